@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from strataplan.llm.bpe import op1_bpe
 from strataplan.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from strataplan.llm.packing import op3_packing
 from strataplan.llm.sharding import op4_sharding
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op7_exact_dedup": op7_exact_dedup,
 }
