@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from strataplan.llm.bpe import op1_bpe
 from strataplan.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from strataplan.llm.language import op2_language
 from strataplan.llm.packing import op3_packing
+from strataplan.llm.secrets import op6_secrets
 from strataplan.llm.sharding import op4_sharding
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_language": op2_language,
+    "op6_secrets": op6_secrets,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op7_exact_dedup": op7_exact_dedup,
