@@ -5,6 +5,8 @@ from __future__ import annotations
 from strataplan.llm.bpe import op1_bpe
 from strataplan.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from strataplan.llm.language import op2_language
+from strataplan.llm.lines import OP9_SQL, op9_lines
+from strataplan.llm.neighbours import op10_neighbours
 from strataplan.llm.packing import op3_packing
 from strataplan.llm.secrets import op6_secrets
 from strataplan.llm.sharding import op4_sharding
@@ -16,6 +18,8 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_lines": op9_lines,
+    "op10_neighbours": op10_neighbours,
 }
 
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}
+ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op9_lines": OP9_SQL}
