@@ -1,0 +1,41 @@
+"""Connected components of a distributed edge list: alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strataplan.runtime import save
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Hang every larger neighbour of a node on the node's smallest neighbour (or itself)."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Hang a node and its smaller neighbours on the smallest of them."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    hung = down.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.unionByName(low.select("u", F.col("m").alias("v")))
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """node, root (the smallest node of its component), for every node of an edge (u, v) list.
+
+    Each round is written to the shared folder, so a lost executor costs one round at most. Rounds grow with the
+    logarithm of the number of nodes; ``rounds`` only stops a run that would never end, by raising.
+    """
+    edges = save(edges.filter("u != v").distinct(), "edges")
+    mark = None
+    for _ in range(rounds):
+        edges = save(_small_star(_large_star(edges)).distinct(), "edges")
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == mark:
+            roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+        mark = now
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

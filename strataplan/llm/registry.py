@@ -6,6 +6,7 @@ from strataplan.llm.bpe import op1_bpe
 from strataplan.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from strataplan.llm.language import op2_language
 from strataplan.llm.lines import OP9_SQL, op9_lines
+from strataplan.llm.near_dedup import op8_near_dedup
 from strataplan.llm.neighbours import op10_neighbours
 from strataplan.llm.packing import op3_packing
 from strataplan.llm.secrets import op6_secrets
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op9_lines": op9_lines,
     "op10_neighbours": op10_neighbours,
 }
