@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,6 +56,12 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice that earlier shuffles are out of use, so that their files go before the next stage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(n_rows: int, per_bucket: int = 50_000) -> int:
     """How many salt buckets hold ``n_rows`` at about ``per_bucket`` rows each."""
     return max(1, -(-n_rows // per_bucket))
