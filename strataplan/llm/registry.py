@@ -9,6 +9,7 @@ from strataplan.llm.lines import OP9_SQL, op9_lines
 from strataplan.llm.near_dedup import op8_near_dedup
 from strataplan.llm.neighbours import op10_neighbours
 from strataplan.llm.packing import op3_packing
+from strataplan.llm.passages import op5_passages
 from strataplan.llm.secrets import op6_secrets
 from strataplan.llm.sharding import op4_sharding
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op6_secrets": op6_secrets,
     "op3_packing": op3_packing,
+    "op5_passages": op5_passages,
     "op4_sharding": op4_sharding,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_near_dedup": op8_near_dedup,
