@@ -89,3 +89,15 @@ def numbered(df: DataFrame, key: str, order: list[str], salt_on: list[str], n_ro
 def whole(text: str | Column) -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def text_key(text: str) -> Column:
+    """Tells rows apart that share an id but not a text."""
+    return F.xxhash64(whole(text)).alias("text_key")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` that are not among ``gone`` (doc_id, text_key); null ids are compared like any value."""
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["_gone_key"])
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
