@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataplan.runtime import save, whole
+from strataplan.runtime import save, text_key, whole, without
 
 PREFIX = 128  # characters that the second refinement reads
 
@@ -25,7 +25,7 @@ def normalised(text: str) -> Column:
 
 
 def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = True) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, text_key (hash of the text as it stands).
 
     A cheap signature (length, hash of a prefix) is written once. Rows alone in their length, then rows alone in
     (length, prefix hash), leave the search; only the rest are grouped by the full SHA-256.
@@ -33,10 +33,10 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     ``digest_all``: the caller wants the digest of every row, so the one scan also computes it; the refinement then
     saves the shuffles. If false, texts are read again, for survivors only, and text_sha256 is null elsewhere.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("_t"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col), normalised(text_col).alias("_t"))
     cheap = [F.octet_length("_t").cast("long").alias("_len"), F.xxhash64(F.substring("_t", 1, PREFIX)).alias("_prefix")]
     full = F.unhex(F.sha2(F.col("_t"), 256))
-    sig = save(base.select("doc_id", *cheap, *([full.alias("_full")] if digest_all else [])), "exact-signatures")
+    sig = save(base.select("doc_id", "text_key", *cheap, *([full.alias("_full")] if digest_all else [])), "exact-signatures")
 
     by_length = sig.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     by_prefix = (
@@ -50,8 +50,8 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
         # The second reading: a row's own (length, prefix hash) decides whether its full text is hashed.
         flags = by_prefix.withColumn("_again", F.lit(True))
         rows = save(
-            base.select("doc_id", *cheap, "_t").join(flags, ["_len", "_prefix"], "left")
-            .select("doc_id", "_len", "_prefix", F.when(F.col("_again"), full).alias("_full")),
+            base.select("doc_id", "text_key", *cheap, "_t").join(flags, ["_len", "_prefix"], "left")
+            .select("doc_id", "text_key", "_len", "_prefix", F.when(F.col("_again"), full).alias("_full")),
             "exact-survivors",
         )
         survivors = rows.filter("_full is not null")
@@ -66,11 +66,17 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
         F.when(F.col("_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("_keep"))).alias("kept"),
         F.lower(F.hex("_full")).alias("text_sha256"),
+        "text_key",
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that another row stands for; all columns as they were."""
+    return without(docs, refine(docs, id_col, text_col).filter("not kept"), id_col, text_col)
+
+
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return refine(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return refine(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
 
 
 OP7_SQL = r"""

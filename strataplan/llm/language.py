@@ -33,6 +33,7 @@ SMOOTHING = 0.1
 UNKNOWN = 1e-9  # of a character that is no piece
 CACHE_WORDS = 300_000
 HELD_OUT_REMAINDER = 2
+LEAST_SCORE = 0.5
 
 _RUN = re.compile(r"[^\W\d_]{1,%d}" % STRETCH)
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -245,5 +246,24 @@ def predictions(docs: DataFrame, vocabulary_path: str | None = None) -> DataFram
     return docs.select("doc_id", (_remainder("doc_id") == HELD_OUT_REMAINDER).alias("held_out"), "text").mapInArrow(run, RESULT)
 
 
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without texts that have no language or whose best language scores under ``least``; columns as they were."""
+    spark = docs.sparkSession
+    ship(spark)
+    model = model_of(docs, id_col, text_col, lang_col, None)
+    sent = spark.sparkContext.broadcast(model)
+    key = f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id()}"
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keep = [name != "und" and score >= least for name, score in judged(key, sent.value, b.column(at))]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_language(spark, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataplan.llm.components import components
-from strataplan.runtime import save, ship
+from strataplan.runtime import save, ship, text_key, without
 
 WORDS = 5
 THRESHOLD = (85, 100)
@@ -37,7 +37,7 @@ MISS = 1e-7
 BLOCK = 2_048
 
 _NO_ID = -(1 << 63)
-SIGNED = "doc_id long, n_shingles long, node binary, bands array<long>, signature binary"
+SIGNED = "doc_id long, text_key long, n_shingles long, node binary, bands array<long>, signature binary"
 
 
 def thresholds(batch: int = BATCH, total: int = BANDS * ROWS, miss: float = MISS, at_least: tuple[int, int] = THRESHOLD) -> list[tuple[int, int]]:
@@ -106,17 +106,17 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         for b in batches:
             n, node, bands, sigs = [], [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 h = shingle_set(t.as_py() or b"", WORDS)
                 n.append(len(h))
                 sig = signature(h) if len(h) else None
                 node.append(_node(h) if len(h) else None)
                 bands.append(band_keys(sig) if len(h) else None)
                 sigs.append(sig.tobytes() if len(h) else None)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "node", "bands", "signature"])
+            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "node", "bands", "signature"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("_t")).mapInArrow(run, SIGNED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col), F.col(text_col).cast("binary").alias("_t")).mapInArrow(run, SIGNED)
 
 
 def _posterior(a, b):
@@ -243,7 +243,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    """One row per input row: doc_id, n_shingles, component_id, kept, text_key (hash of the text as it stands)."""
     rows = save(signed(docs, id_col, text_col), "signatures")
     filled = rows.filter("node is not null")
     classes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"))
@@ -274,10 +274,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = classes.filter("_n > 1").join(roots.select("node"), "node", "left_anti").select("node", F.col("doc_id").alias("_c"))
     labels = linked.unionByName(copies).withColumn("_in", F.lit(True))
     component = F.when(F.col("_in"), F.col("_c")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+    return rows.select("doc_id", "text_key", "n_shingles", "node").join(labels, "node", "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key"
     )
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component; all columns as they were."""
+    return without(docs, near_duplicates(docs, id_col, text_col).filter("not kept"), id_col, text_col)
+
+
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")

@@ -24,6 +24,7 @@ _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run, so shorter runs need no match of their own
 MIN_VALUE, MIN_ACCESS = 6, 20
+REDACTION = "[SECRET]"
 
 LEDGER = "blob binary, rule_version string, spans string"
 
@@ -103,5 +104,41 @@ def report(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame,
     return out, ledger
 
 
+def redacted(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with every span replaced by REDACTION; columns as they were, the length brought up to date."""
+    new = save(scan(docs, ledger, text_col=text_col), "secret-ledger")
+    ledger = new if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(new)
+    hits = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    found = docs.withColumn("_blob", blob_address(text_col)).join(hits.hint("shuffle_hash"), "_blob", "left").drop("_blob")
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = [mask(t.as_py(), s.as_py()) if s.is_valid else t.as_py() for t, s in zip(b.column(at), b.column(b.num_columns - 1))]
+            cols = b.columns[:-1]
+            cols[at] = pa.array(texts, b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+
+    out = found.mapInArrow(run, schema)
+    if length_col and length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        out = out.withColumn(length_col, F.when(F.col(length_col).isNotNull(), F.coalesce(F.length(text_col).cast(kind), F.col(length_col))))
+    return out
+
+
+def mask(text: str, line: str) -> str:
+    """The text with the line's spans, overlapping ones together, replaced."""
+    out, at = [], 0
+    for start, end in sorted(tuple(map(int, x.split(":")[1:])) for x in line.split(",")):
+        if end <= at:
+            continue
+        if start >= at:
+            out += [text[at:start], REDACTION]
+        at = end
+    return "".join([*out, text[at:]])
+
+
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
