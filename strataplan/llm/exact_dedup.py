@@ -38,11 +38,10 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     full = F.unhex(F.sha2(F.col("_t"), 256))
     sig = save(base.select("doc_id", "text_key", *cheap, *([full.alias("_full")] if digest_all else [])), "exact-signatures")
 
-    by_length = sig.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    by_prefix = (
-        sig.join(by_length, "_len", "left_semi")
-        .groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    )
+    # Counted once at the finer level, so that a length shared by a large group of copies is one row by then.
+    counts = sig.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    by_length = counts.groupBy("_len").agg(F.sum("_n").alias("_n")).filter("_n > 1").select("_len")
+    by_prefix = counts.join(by_length, "_len", "left_semi").filter("_n > 1").drop("_n")
     if digest_all:
         rows = sig
         survivors = sig.join(by_prefix, ["_len", "_prefix"], "left_semi")
