@@ -26,7 +26,7 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataplan.llm.components import components
+from strataplan.operators.graph import components
 from strataplan.runtime import save, ship, text_key, without
 
 WORDS = 5
