@@ -1,4 +1,653 @@
-"""Queries registered for the driver, with the SQL each one equals."""
+"""Queries registered for the driver, one per operator, with the SQL each one equals.
+
+The driver's tables are not drawings, so points, boxes and lines are computed from their integer columns, the same way
+on both sides; doubles are rounded half to even.
+"""
+
+from __future__ import annotations
+
+import tomllib
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataplan.functions import geometry as G
+from strataplan.operators import aggregates as A
+from strataplan.operators import joins as J
+from strataplan.operators import windows as W
+from strataplan.operators.assign import assign
+from strataplan.operators.graph import components
+from strataplan.operators.suppress import suppress
+from strataplan.operators.ward import ward
+from strataplan.plans import grammar
+from strataplan.runtime import ship
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c, digits: int = 6):
+    """Rounded half to even, without a negative zero."""
+    return F.bround(c, digits) + F.lit(0.0)
+
+
+def default_rules():
+    return grammar.rules_of(tomllib.loads((Path(__file__).parent / "rules.toml").read_text()))
+
+
+# --- sources, projections, scalar geometry -------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, role, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) = 1")
+def a02_dedupe_first(spark, d):
+    return J.first_by(read(spark, d, "conversations"), ["conv_id", "role"], ["turn", "text"]).select("conv_id", "role", "turn", "text")
+
+
+@query("SELECT o_orderstatus AS cls, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS ord, count(*) AS n FROM orders GROUP BY 1, 2")
+def a08_class_summary(spark, d):
+    order = F.create_map(F.lit("O"), F.lit(1), F.lit("F"), F.lit(2))
+    o = read(spark, d, "orders")
+    return o.groupBy(F.col("o_orderstatus").alias("cls")).agg(F.count(F.lit(1)).alias("n")).select("cls", F.coalesce(F.try_element_at(order, F.col("cls")), F.lit(3)).alias("ord"), "n")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  round_even(-(l_partkey % 100) * sin(radians(l_linenumber * 20.0)) + (l_suppkey % 100) * cos(radians(l_linenumber * 20.0)), 6) + 0.0 AS across,
+  round_even((l_partkey % 100) * cos(radians(l_linenumber * 20.0)) + (l_suppkey % 100) * sin(radians(l_linenumber * 20.0)), 6) + 0.0 AS along,
+  round_even((l_partkey % 100) * 150.0 / 72, 1) AS px
+FROM lineitem""")
+def b05_axis_offset(spark, d):
+    x, y = (F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 100).cast("double")
+    a = F.radians(F.col("l_linenumber") * 20.0)
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(G.offset(x, y, a)).alias("across"), r6(G.along(x, y, a)).alias("along"), G.pixels(F.array(G.point(x, y)), 150)[0][0].alias("px"))
+
+
+def part_boxes(spark, d):
+    """p_partkey, brand, and a box from integer columns."""
+    k = F.col("p_partkey")
+    x, y, w, h = F.col("p_size").cast("double"), (k % 50).cast("double"), (F.col("p_size") % 7 + 1).cast("double"), (k % 5 + 1).cast("double")
+    return read(spark, d, "part").select("p_partkey", "p_brand", x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"))
+
+
+def box_items():
+    ring = F.array(*(G.point(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
+    return ring, F.array(F.struct(F.lit("re").alias("kind"), ring.alias("pts")))
+
+
+PART_BOX = "(SELECT p_partkey, p_brand, p_size::DOUBLE AS x0, (p_partkey % 50)::DOUBLE AS y0, (p_size + p_size % 7 + 1)::DOUBLE AS x1, (p_partkey % 50 + p_partkey % 5 + 1)::DOUBLE AS y1 FROM part)"
+
+
+@query(f"""
+SELECT p_partkey, 0 AS side, x0 AS ax, y0 AS ay, x1 AS bx, y0 AS by_ FROM {PART_BOX}
+UNION ALL SELECT p_partkey, 1, x1, y0, x1, y1 FROM {PART_BOX}
+UNION ALL SELECT p_partkey, 2, x1, y1, x0, y1 FROM {PART_BOX}
+UNION ALL SELECT p_partkey, 3, x0, y1, x0, y0 FROM {PART_BOX}""")
+def b02_rect_sides(spark, d):
+    lines = part_boxes(spark, d).select("p_partkey", F.posexplode(G.item_lines(box_items()[1])).alias("side", "s"))
+    return lines.select("p_partkey", "side", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by_"))
+
+
+@query(f"SELECT p_partkey, (x1 - x0) * (y1 - y0) AS area, 2 * (x1 - x0 + y1 - y0) AS perimeter, TRUE AS closed, 1 AS parts FROM {PART_BOX}")
+def b03_shoelace_area(spark, d):
+    ring, items = box_items()
+    return part_boxes(spark, d).select("p_partkey", G.area(ring).alias("area"), G.perimeter(ring).alias("perimeter"), G.is_closed(items).alias("closed"), F.size(G.chains(items)).alias("parts"))
+
+
+@query("""
+SELECT p_partkey, round_even(greatest(w, h), 6) AS length, round_even(least(w, h), 6) AS width,
+  round_even(CASE WHEN w >= h THEN a ELSE a + 90 END, 6) AS angle_deg
+FROM (SELECT p_partkey, (p_size + 3)::DOUBLE AS w, (p_partkey % 40 + 2.5)::DOUBLE AS h, (p_partkey % 8) * 10.0 + 5 AS a FROM part)""")
+def b04_oriented_box(spark, d):
+    w, h = (F.col("p_size") + 3).cast("double"), F.col("p_partkey") % 40 + 2.5
+    a = F.radians(F.col("p_partkey") % 8 * 10.0 + 5)
+
+    def at(u, v):
+        return G.point(u * F.cos(a) - v * F.sin(a), u * F.sin(a) + v * F.cos(a))
+
+    zero = F.lit(0.0)
+    box = G.oriented_rectangle(F.array(at(zero, zero), at(w, zero), at(w, h), at(zero, h)))
+    return read(spark, d, "part").withColumn("o", box).select("p_partkey", *(F.bround(F.col(f"o.{c}"), 6).alias(c) for c in ("length", "width", "angle_deg")))
+
+
+@query("""
+SELECT p_partkey, round_even(CASE WHEN s0 > 0 THEN (l0 - m0) / s0 ELSE l0 END, 6) + 0.0 AS z_size, round_even(CASE WHEN s1 > 0 THEN (l1 - m1) / s1 ELSE l1 END, 6) + 0.0 AS z_price
+FROM (SELECT p_partkey, l0, l1, avg(l0) OVER w AS m0, stddev_pop(l0) OVER w AS s0, avg(l1) OVER w AS m1, stddev_pop(l1) OVER w AS s1
+  FROM (SELECT p_partkey, p_brand, ln(greatest(p_size, 0.05)) AS l0, ln(greatest(p_retailprice, 0.05)) AS l1 FROM part) WINDOW w AS (PARTITION BY p_brand))""")
+def b16_zscore_features(spark, d):
+    f = read(spark, d, "part").select("p_partkey", "p_brand", F.ln(F.greatest(F.col("p_size").cast("double"), F.lit(0.05))).alias("z_size"), F.ln(F.greatest("p_retailprice", F.lit(0.05))).alias("z_price"))
+    return A.z_scores(f, ["p_brand"], ["z_size", "z_price"]).select("p_partkey", r6("z_size").alias("z_size"), r6("z_price").alias("z_price"))
+
+
+@query(f"""
+SELECT p_partkey, round_even(greatest(greatest(x0 - 25, 25 - x1), 0.0)::DOUBLE, 6) AS dx,
+  round_even(CASE WHEN 25.25 > x0 AND 25.25 < x1 AND 20.25 > y0 AND 20.25 < y1 THEN 0 ELSE
+    sqrt(greatest(x0 - 25.25, 25.25 - x1, 0) ** 2 + greatest(y0 - 20.25, 20.25 - y1, 0) ** 2) END, 6) AS distance FROM {PART_BOX}""")
+def b11_label_distance(spark, d):
+    ring, _ = box_items()
+    gap = F.bround(F.greatest(F.col("x0") - 25, 25 - F.col("x1"), F.lit(0.0)), 6)
+    return part_boxes(spark, d).select("p_partkey", gap.alias("dx"), F.bround(G.label_distance(F.lit("solid"), F.lit(25.25), F.lit(20.25), ring, F.lit(0.05)), 6).alias("distance"))
+
+
+@query(f"""SELECT p_partkey, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy,
+  CASE WHEN (y1 - y0) / (x1 - x0) > 0.85 AND (y1 - y0) / (x1 - x0) < 1.15 THEN greatest(x1 - x0, y1 - y0) / 2 END AS r FROM {PART_BOX}""")
+def b23_circles(spark, d):
+    curve = F.array(F.struct(F.lit("c").alias("kind"), box_items()[0].alias("pts")))
+    c = part_boxes(spark, d).withColumn("c", G.circle_of(curve, *(F.col(x) for x in ("x0", "y0", "x1", "y1"))))
+    mid = G.centre(*(F.col(x) for x in ("x0", "y0", "x1", "y1")))
+    return c.select("p_partkey", mid["x"].alias("cx"), mid["y"].alias("cy"), F.col("c.r").alias("r"))
+
+
+# --- filters and guards --------------------------------------------------------------------------------------------
+
+
+@query(r"""
+SELECT p_partkey, t AS text, CASE WHEN regexp_matches(t, '^\d+[.,]\d+$') AND replace(t, ',', '.')::DOUBLE > 0 THEN replace(t, ',', '.')::DOUBLE END AS value
+FROM (SELECT p_partkey, concat(p_size % 3, CASE p_partkey % 3 WHEN 0 THEN '.' WHEN 1 THEN ',' ELSE 'x' END, p_partkey % 90) AS t FROM part)""")
+def c01_number_texts(spark, d):
+    k = F.col("p_partkey") % 3
+    text = F.concat((F.col("p_size") % 3).cast("string"), F.when(k == 0, ".").when(k == 1, ",").otherwise("x"), (F.col("p_partkey") % 90).cast("string"))
+    return read(spark, d, "part").select("p_partkey", text.alias("text")).withColumn("value", grammar.number_of(F.col("text")))
+
+
+@query("""
+SELECT o_custkey, samples, inliers, CASE WHEN samples < 10 THEN 'too few samples' WHEN inliers / samples < 0.75 THEN 'unreliable' ELSE 'ok' END AS status
+FROM (SELECT o_custkey, count(*) AS samples, count(*) FILTER (o_orderpriority <> '1-URGENT') AS inliers FROM orders GROUP BY 1)""")
+def c13_guard_status(spark, d):
+    n = read(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("o_orderpriority") != "1-URGENT").alias("inliers"))
+    return A.guard(n, 10, 0.75)
+
+
+# --- joins ---------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH l AS (SELECT s_suppkey AS line_id, (s_suppkey * 37 % 1000)::DOUBLE AS ax, (s_suppkey * 53 % 1000)::DOUBLE AS ay, (20 + s_nationkey)::DOUBLE AS n, s_suppkey % 2 AS up FROM supplier),
+p AS (SELECT o_orderkey AS point_id, (o_orderkey * 17 % 1000) + 0.5 AS x, (o_custkey * 29 % 1000) + 0.25 AS y FROM orders),
+c AS (SELECT point_id, line_id, CASE WHEN up = 1 THEN y - ay ELSE x - ax END AS along, CASE WHEN up = 1 THEN abs(x - ax) ELSE abs(y - ay) END AS across, n FROM p, l)
+SELECT point_id, line_id, along, across FROM c WHERE along > 0 AND along < n AND across < 15 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY across, line_id) = 1""")
+def d01_nearest_line(spark, d):
+    s = read(spark, d, "supplier")
+    x, y, n = (F.col("s_suppkey") * 37 % 1000).cast("double"), (F.col("s_suppkey") * 53 % 1000).cast("double"), (F.col("s_nationkey") + 20).cast("double")
+    up = (F.col("s_suppkey") % 2).cast("double")
+    lines = s.select(F.col("s_suppkey").alias("line_id"), x.alias("ax"), y.alias("ay"), (x + n * (1 - up)).alias("bx"), (y + n * up).alias("by"))
+    o = read(spark, d, "orders")
+    points = o.select(F.col("o_orderkey").alias("point_id"), (F.col("o_orderkey") * 17 % 1000 + 0.5).alias("x"), (F.col("o_custkey") * 29 % 1000 + 0.25).alias("y"), F.lit(15.0).alias("size"))
+    return J.nearest_line(points, lines, 50.0).select("point_id", "line_id", "along", "across")
+
+
+def order_lines(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    lo = ((k * 7 + c) % 60).cast("double")
+    return read(spark, d, "orders").select((c % 300).alias("plan"), (k % 3).alias("pen"), k.alias("id"), ((k * 13 + c * 5) % 400).cast("double").alias("off"), lo.alias("lo"), (lo + 10 + k % 20).alias("hi"))
+
+
+ORDER_LINES = "(SELECT o_custkey % 300 AS plan, o_orderkey % 3 AS pen, o_orderkey AS id, ((o_orderkey * 13 + o_custkey * 5) % 400)::DOUBLE AS off, ((o_orderkey * 7 + o_custkey) % 60)::DOUBLE AS lo, ((o_orderkey * 7 + o_custkey) % 60 + 10 + o_orderkey % 20)::DOUBLE AS hi FROM orders)"
+PAIRS = f"""(SELECT a.plan, a.pen, a.id AS i, b.id AS j, a.off AS off_i, b.off AS off_j, abs(a.off - b.off) AS spacing, greatest(a.lo, b.lo) AS "from", least(a.hi, b.hi) AS "to", least(a.hi - a.lo, b.hi - b.lo) AS shorter
+  FROM {ORDER_LINES} a JOIN {ORDER_LINES} b ON a.plan = b.plan AND a.pen = b.pen AND a.id < b.id)"""
+
+
+@query(f'SELECT plan, pen, i, j, spacing, "to" - "from" AS overlap FROM {PAIRS} WHERE spacing BETWEEN 10 AND 150 AND "to" - "from" >= 5 AND "to" > "from"')
+def d10_parallel_pairs(spark, d):
+    return J.parallel_pairs(order_lines(spark, d), ["plan", "pen"], 10, 150, overlap=5).select("plan", "pen", "i", "j", "spacing", (F.col("to") - F.col("from")).alias("overlap"))
+
+
+@query(f'SELECT plan, pen, i, j, spacing FROM {PAIRS} WHERE spacing BETWEEN 3 AND 16 AND "to" - "from" > 0.8 * shorter AND "to" >= "from"')
+def d32_joint_pairs(spark, d):
+    return J.parallel_pairs(order_lines(spark, d), ["plan", "pen"], 3, 16, share=0.8).select("plan", "pen", "i", "j", "spacing")
+
+
+@query(f"""
+WITH p AS (SELECT * FROM {PAIRS} WHERE spacing BETWEEN 10 AND 150 AND "to" - "from" >= 5 AND "to" > "from")
+SELECT p.plan, p.pen, i, j, count(c.id) AS inside FROM p LEFT JOIN {ORDER_LINES} c ON p.plan = c.plan AND p.pen = c.pen AND c.id <> i AND c.id <> j
+  AND c.off > least(off_i, off_j) + 0.5 AND c.off < greatest(off_i, off_j) - 0.5 AND least(c.hi, "to") - greatest(c.lo, "from") > 0.3 * ("to" - "from")
+GROUP BY 1, 2, 3, 4""")
+def d11_between_exists(spark, d):
+    lines = order_lines(spark, d)
+    pairs = J.parallel_pairs(lines, ["plan", "pen"], 10, 150, overlap=5)
+    return J.between(pairs, lines, ["plan", "pen"], 0.5, 0.3, 75.0).select("plan", "pen", "i", "j", "inside")
+
+
+NESTED = "(SELECT p_partkey AS id, p_size AS cx, p_partkey % 7 AS cy, 2 + p_partkey * 3 % 40 AS w, 2 + p_partkey * 7 % 30 AS h FROM part)"
+
+
+@query(f"""
+SELECT o.id, count(i.id) AS nested, coalesce(string_agg(i.w || 'x' || i.h, '|' ORDER BY i.w DESC, i.h DESC), '') AS sizes
+FROM {NESTED} o LEFT JOIN {NESTED} i ON o.cx = i.cx AND o.cy = i.cy AND o.id <> i.id AND i.w <= o.w AND i.h <= o.h AND (i.w < o.w OR i.h < o.h) GROUP BY 1""")
+def d24_nested_boxes(spark, d):
+    k = F.col("p_partkey")
+    boxes = read(spark, d, "part").select(k.alias("id"), F.col("p_size").cast("double").alias("cx"), (k % 7).alias("cy"), (2 + k * 3 % 40).alias("w"), (2 + k * 7 % 30).alias("h"))
+    inner = J.renamed(boxes, "i_", ["cy"])
+    hold = (F.col("id") != F.col("i_id")) & (F.col("i_w") <= F.col("w")) & (F.col("i_h") <= F.col("h")) & ((F.col("i_w") < F.col("w")) | (F.col("i_h") < F.col("h")))
+    found = J.band_join(boxes, inner, "cx", "i_cx", 0.03, ["cy"]).filter(hold)
+    sizes = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i_w", "i_h")), False), lambda x: F.concat(x["i_w"], F.lit("x"), x["i_h"])), "|")
+    lists = found.groupBy("id").agg(F.count(F.lit(1)).alias("nested"), sizes.alias("sizes"))
+    return boxes.select("id").join(lists, "id", "left").na.fill({"nested": 0, "sizes": ""})
+
+
+@query("""
+WITH l AS (SELECT p_partkey AS label_id, (p_partkey * 37 % 2000)::DOUBLE AS x, (p_partkey * 53 % 2000)::DOUBLE AS y, p_size % 3 AS k FROM part),
+o AS (SELECT s_suppkey AS obj_id, (s_suppkey * 71 % 2000)::DOUBLE AS x0, (s_suppkey * 97 % 2000)::DOUBLE AS y0, (s_suppkey * 71 % 2000 + 40 + s_suppkey % 60)::DOUBLE AS x1, (s_suppkey * 97 % 2000 + 20 + s_suppkey % 30)::DOUBLE AS y1, s_nationkey % 3 AS ok FROM supplier),
+e AS (SELECT label_id, obj_id, sqrt(greatest(x0 - x, x - x1, 0.0) ** 2 + greatest(y0 - y, y - y1, 0.0) ** 2) AS dist, CASE WHEN k <> ok THEN 1.5 ELSE 0.0 END AS penalty FROM l, o)
+SELECT label_id, obj_id, round_even(dist / 5 + penalty, 6) AS cost FROM e WHERE dist < 15""")
+def d30_label_edges(spark, d):
+    return label_edges(spark, d).select("label_id", "obj_id", F.bround("cost", 6).alias("cost"))
+
+
+def label_edges(spark, d):
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    labels = read(spark, d, "part").select(k.alias("label_id"), (k * 37 % 2000).cast("double").alias("x"), (k * 53 % 2000).cast("double").alias("y"), (F.col("p_size") % 3).alias("kind"))
+    x0, y0 = (s * 71 % 2000).cast("double"), (s * 97 % 2000).cast("double")
+    objects = read(spark, d, "supplier").select(s.alias("obj_id"), x0.alias("x0"), y0.alias("y0"), (x0 + 40 + s % 60).alias("x1"), (y0 + 20 + s % 30).alias("y1"), (F.col("s_nationkey") % 3).alias("obj_kind"))
+    near = J.grid_join(labels, objects, ("x", "y", "x", "y"), ("x0", "y0", "x1", "y1"), 50.0, reach=15.0)
+    dist = J.box_distance(*(F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")))
+    penalty = F.when(F.col("kind") != F.col("obj_kind"), 1.5).otherwise(0.0)
+    return near.withColumn("dist", dist).filter("dist < 15").withColumn("cost", F.col("dist") / 5 + penalty)
+
+
+@query("""
+WITH p AS (SELECT c_custkey AS id, (c_custkey * 31 % 1000)::DOUBLE AS x, (c_custkey * 17 % 1000)::DOUBLE AS y FROM customer),
+l AS (SELECT s_suppkey AS label_id, (s_suppkey * 71 % 1000)::DOUBLE AS lx, (s_suppkey * 43 % 1000)::DOUBLE AS ly, s_nationkey % 4 AS building FROM supplier),
+r AS (SELECT id, building, row_number() OVER (PARTITION BY id ORDER BY sqrt((x - lx) ** 2 + (y - ly) ** 2), label_id) AS rank, sqrt((x - lx) ** 2 + (y - ly) ** 2) AS dist FROM p, l),
+n AS (SELECT * FROM r WHERE rank <= 5 AND dist < 150),
+v AS (SELECT id, building, count(*) AS c, min(rank) AS seen FROM n GROUP BY 1, 2)
+SELECT id, building, round_even(c / sum(c) OVER (PARTITION BY id), 6) AS share FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, seen) = 1""")
+def d34_knn_vote(spark, d):
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    points = read(spark, d, "customer").select(c.alias("id"), (c * 31 % 1000).cast("double").alias("x"), (c * 17 % 1000).cast("double").alias("y"))
+    labels = read(spark, d, "supplier").select(s.alias("label_id"), (s * 71 % 1000).cast("double").alias("lx"), (s * 43 % 1000).cast("double").alias("ly"), (F.col("s_nationkey") % 4).alias("building"))
+    near = J.nearest_join(points, labels, "id", "label_id", ("x", "y"), ("lx", "ly"), 150.0, 5).withColumnRenamed("rank", "seen")
+    total = near.groupBy("id").agg(F.count(F.lit(1)).alias("_all"))
+    return A.most_common(near, ["id"], "building", "seen").join(total, "id").select("id", "building", F.bround(F.col("n") / F.col("_all"), 6).alias("share"))
+
+
+TYPE_GROUPS = "(SELECT p_type, p_brand, median(p_size) AS med FROM part GROUP BY 1, 2)"
+
+
+@query(f"""
+SELECT p.p_partkey, count(*) AS n, string_agg(g.p_brand, '|' ORDER BY abs(p.p_size - g.med), g.p_brand) AS candidates
+FROM part p JOIN {TYPE_GROUPS} g ON p.p_type = g.p_type AND abs(p.p_size - g.med) <= 1 GROUP BY 1""")
+def d36_tolerance_join(spark, d):
+    fit = type_fits(spark, d)
+    n = fit.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"))
+    return A.candidate_list(fit, ["p_partkey"], F.abs(F.col("p_size") - F.col("med")), "brand").join(n, "p_partkey").select("p_partkey", "n", "candidates")
+
+
+def type_fits(spark, d):
+    p = read(spark, d, "part")
+    groups = p.groupBy("p_type", F.col("p_brand").alias("brand")).agg(F.median("p_size").alias("med"))
+    return J.band_join(p.select("p_partkey", "p_type", F.col("p_size").cast("double").alias("p_size")), groups, "p_size", "med", 1.0, ["p_type"])
+
+
+@query(f"""
+SELECT a.p_partkey AS a, b.p_partkey AS b, round_even((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS overlap
+FROM {PART_BOX} a JOIN {PART_BOX} b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""")
+def k02_clip_area(spark, d):
+    ship(spark)
+    a = part_boxes(spark, d)
+    b = J.renamed(a, "b_", ["p_brand"])
+    pairs = J.grid_join(a, b, ("x0", "y0", "x1", "y1"), ("b_x0", "b_y0", "b_x1", "b_y1"), 8.0, ["p_brand"]).filter("p_partkey < b_p_partkey")
+
+    def clipped(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from strataplan.functions.kernels import overlap_area
+
+        for t in batches:
+            v = np.array([t.column(i).to_numpy(zero_copy_only=False) for i in range(2, 10)]).T
+
+            def ring(r):
+                return np.array([[r[0], r[1]], [r[2], r[1]], [r[2], r[3]], [r[0], r[3]]])
+
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array([overlap_area(ring(r[:4]), ring(r[4:])) for r in v], pa.float64())], ["a", "b", "overlap"])
+
+    cols = ["p_partkey", "b_p_partkey", "x0", "y0", "x1", "y1", "b_x0", "b_y0", "b_x1", "b_y1"]
+    got = pairs.select(*cols).mapInArrow(clipped, "a long, b long, overlap double")
+    return got.filter("overlap > 0").withColumn("overlap", F.bround("overlap", 6))
+
+
+@query(f"""
+SELECT o.p_partkey AS id, count(i.p_partkey) FILTER (i.x0 >= o.x0 AND i.x1 <= o.x1 AND i.y0 >= o.y0 AND i.y1 <= o.y1) AS inside, count(i.p_partkey) AS touching,
+  coalesce(bool_or(i.x0 <= o.x0 AND i.x1 >= o.x1 AND i.y0 <= o.y0 AND i.y1 >= o.y1), FALSE) AS covered
+FROM {PART_BOX} o LEFT JOIN {PART_BOX} i ON o.p_brand = i.p_brand AND o.p_partkey <> i.p_partkey AND i.x0 <= o.x1 AND o.x0 <= i.x1 AND i.y0 <= o.y1 AND o.y0 <= i.y1 GROUP BY 1""")
+def d27_object_features(spark, d):
+    a = part_boxes(spark, d)
+    b = J.renamed(a, "b_", ["p_brand"])
+    near = J.grid_join(a, b, ("x0", "y0", "x1", "y1"), ("b_x0", "b_y0", "b_x1", "b_y1"), 8.0, ["p_brand"]).filter("p_partkey <> b_p_partkey")
+    inner = F.expr("b_x0 >= x0 AND b_x1 <= x1 AND b_y0 >= y0 AND b_y1 <= y1")
+    outer = F.expr("b_x0 <= x0 AND b_x1 >= x1 AND b_y0 <= y0 AND b_y1 >= y1")
+    f = near.groupBy("p_partkey").agg(F.count_if(inner).alias("inside"), F.count(F.lit(1)).alias("touching"), F.bool_or(outer).alias("covered"))
+    return a.select("p_partkey").join(f, "p_partkey", "left").na.fill({"inside": 0, "touching": 0, "covered": False}).withColumnRenamed("p_partkey", "id")
+
+
+@query("""
+WITH r AS (SELECT s.s_suppkey AS circle, (c.c_custkey * 7 % 360 + 10) // 20 AS dir FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey AND abs(c.c_custkey * 31 % 1000 - s.s_suppkey * 71 % 1000) <= 40)
+SELECT circle, count(DISTINCT dir) AS directions FROM r GROUP BY 1 HAVING count(DISTINCT dir) >= 3""")
+def d14_ray_directions(spark, d):
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    circles = read(spark, d, "supplier").select(s.alias("circle"), F.col("s_nationkey").alias("plan"), (s * 71 % 1000).cast("double").alias("cx"))
+    rays = read(spark, d, "customer").select(F.col("c_nationkey").alias("plan"), (c * 31 % 1000).cast("double").alias("x"), F.expr("(c_custkey * 7 % 360 + 10) div 20").alias("dir"))
+    near = J.band_join(circles, rays, "cx", "x", 40.0, ["plan"])
+    return near.groupBy("circle").agg(F.count_distinct("dir").alias("directions")).filter("directions >= 3")
+
+
+# --- aggregations --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_brand, round_even(0.66 * median(least(p_size, p_retailprice / 100)), 6) AS glyph FROM part GROUP BY 1")
+def e01_median(spark, d):
+    return read(spark, d, "part").groupBy("p_brand").agg(F.bround(0.66 * F.median(F.least(F.col("p_size").cast("double"), F.col("p_retailprice") / 100)), 6).alias("glyph"))
+
+
+FIT_SQL = "SELECT * FROM (SELECT p_brand, regr_slope(l, v) AS k, -regr_intercept(l, v) AS gap FROM s JOIN {0} USING (p_brand) WHERE abs((l + gap) / k - v) < 0.02 GROUP BY 1)"
+
+
+@query(f"""
+WITH s AS (SELECT p_brand, p_size + 0.35 AS v, 14.17 * (p_size + 0.35) - 3.0 + CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 17 ELSE 0 END AS l FROM part),
+k0 AS (SELECT a.p_brand, median((a.l - b.l) / (a.v - b.v)) AS k FROM s a JOIN s b ON a.p_brand = b.p_brand AND a.v - b.v > 1 GROUP BY 1),
+f0 AS (SELECT p_brand, k, median(k * v - l) AS gap FROM s JOIN k0 USING (p_brand) GROUP BY 1, 2),
+f1 AS ({FIT_SQL.format("f0")}), f2 AS ({FIT_SQL.format("f1")}), f3 AS ({FIT_SQL.format("f2")})
+SELECT p_brand, round_even(k, 6) AS k, round_even(gap, 6) AS gap, count(*) AS samples, count(*) FILTER (abs((l + gap) / k - v) < 0.02) AS inliers FROM s JOIN f3 USING (p_brand) GROUP BY 1, 2, 3""")
+def e02_robust_fit(spark, d):
+    v = F.col("p_size") + 0.35
+    s = read(spark, d, "part").select("p_brand", v.alias("v"), (14.17 * v - 3.0 + F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey") % 17).otherwise(0)).alias("l"))
+    return A.robust_fit(s, ["p_brand"], "v", "l", 0.02, 1.0).select("p_brand", F.bround("k", 6).alias("k"), F.bround("gap", 6).alias("gap"), "samples", "inliers")
+
+
+DASHES = "(SELECT l_suppkey % 50 AS plan, l_linenumber AS ang, l_partkey % 5 AS off, l_orderkey % 500 * 2.0 AS lo, l_orderkey % 500 * 2.0 + 1 + l_orderkey % 3 * 0.5 AS hi, l_orderkey % 4 AS pen, l_orderkey AS id FROM lineitem)"
+
+
+@query(f"""
+WITH g AS (SELECT plan, ang, off, count(*) AS pieces, sum(hi - lo) / (max(hi) - min(lo)) AS cover FROM {DASHES} GROUP BY 1, 2, 3),
+f AS (SELECT * FROM g WHERE pieces >= 8 AND cover <= 0.15),
+p AS (SELECT plan, pen, count(*) AS n, min(id) AS seen FROM {DASHES} JOIN f USING (plan, ang, off) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY plan ORDER BY n DESC, seen) = 1)
+SELECT plan, ang, off, pieces, round_even(cover, 6) AS cover, pen AS axis_pen FROM f JOIN p USING (plan)""")
+def e03_dashed_groups(spark, d):
+    k = F.col("l_orderkey")
+    lo = k % 500 * 2.0
+    pieces = read(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("plan"), F.col("l_linenumber").alias("ang"), (F.col("l_partkey") % 5).alias("off"), lo.alias("lo"), (lo + 1 + k % 3 * 0.5).alias("hi"), (k % 4).alias("pen"), k.alias("id"))
+    keys = ["plan", "ang", "off"]
+    g = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("pieces"), (F.sum(F.col("hi") - F.col("lo")) / (F.max("hi") - F.min("lo"))).alias("cover"))
+    dashed = g.filter((F.col("pieces") >= 8) & (F.col("cover") <= 0.15))
+    pen = A.most_common(pieces.join(dashed, keys, "left_semi"), ["plan"], "pen", "id").select("plan", F.col("pen").alias("axis_pen"))
+    return dashed.join(pen, "plan").select(*keys, "pieces", F.bround("cover", 6).alias("cover"), "axis_pen")
+
+
+@query("""
+WITH c AS (SELECT event_type, user_id % 36 * 5 AS dir, count(*) AS n, min(event_id) AS seen FROM events GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, seen) AS k FROM c WINDOW w AS (PARTITION BY event_type))
+SELECT a.event_type, a.dir AS first_dir, b.dir AS second_dir, abs(a.dir - b.dir) BETWEEN 80 AND 100 AND b.n >= 0.3 * a.n AS crossed FROM r a JOIN r b ON a.event_type = b.event_type AND a.k = 1 AND b.k = 2""")
+def e05_top2_families(spark, d):
+    e = read(spark, d, "events").select("event_type", (F.col("user_id") % 36 * 5).alias("dir"), "event_id")
+    top = A.most_common(e, ["event_type"], "dir", "event_id", 2)
+    one = top.filter("rank = 1").select("event_type", F.col("dir").alias("first_dir"), F.col("n").alias("_n1"))
+    two = top.filter("rank = 2").select("event_type", F.col("dir").alias("second_dir"), F.col("n").alias("_n2"))
+    crossed = F.abs(F.col("first_dir") - F.col("second_dir")).between(80, 100) & (F.col("_n2") >= 0.3 * F.col("_n1"))
+    return one.join(two, "event_type").select("event_type", "first_dir", "second_dir", crossed.alias("crossed"))
+
+
+@query("""
+WITH h AS (SELECT event_type, CAST(round_even(value / 5.0, 0) AS INT) AS bin, count(*)::DOUBLE AS h FROM events GROUP BY 1, 2),
+dn AS (SELECT t.event_type, b.bin, coalesce(h.h, 0) AS h FROM (SELECT DISTINCT event_type FROM events) t CROSS JOIN (SELECT CAST(range AS INT) AS bin FROM range(101)) b LEFT JOIN h ON h.event_type = t.event_type AND h.bin = b.bin),
+s AS (SELECT *, sum(h) OVER (PARTITION BY event_type ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth, sum(h) OVER (PARTITION BY event_type) AS total FROM dn),
+n AS (SELECT *, lag(smooth) OVER w AS lf, lead(smooth) OVER w AS rt FROM s WINDOW w AS (PARTITION BY event_type ORDER BY bin))
+SELECT event_type, bin, smooth FROM n WHERE bin BETWEEN 1 AND 99 AND smooth >= lf AND smooth > rt AND smooth >= greatest(15.0, 0.01 * total)""")
+def e07_hist_peaks(spark, d):
+    e = read(spark, d, "events").withColumn("one", F.lit(1.0))
+    return W.peaks(W.histogram(e, ["event_type"], "value", "one", 5.0, 101), ["event_type"], 15.0, 0.01).select("event_type", "bin", "smooth")
+
+
+@query("""
+WITH w AS (SELECT l_returnflag, l_extendedprice AS x, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+c AS (SELECT *, sum(q) OVER (PARTITION BY l_returnflag ORDER BY x) AS run, sum(q) OVER (PARTITION BY l_returnflag) AS total FROM w)
+SELECT l_returnflag, min(x) AS median FROM c WHERE run * 2 >= total GROUP BY 1""")
+def e08_weighted_median(spark, d):
+    return A.weighted_median(read(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity")
+
+
+@query("SELECT l_returnflag, l_linestatus, round_even(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS share, median(l_quantity) AS med FROM lineitem GROUP BY 1, 2")
+def e09_weighted_mean(spark, d):
+    q = F.col("l_quantity")
+    return read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.bround(F.sum(F.col("l_discount") * q) / F.sum(q), 6).alias("share"), F.median(q).alias("med"))
+
+
+LANDINGS = "(SELECT c_custkey, c_mktsegment AS label, c_nationkey % 5 AS kind, c_nationkey AS key, CAST(floor(c_acctbal / 500) AS BIGINT) AS size FROM customer)"
+
+
+def landings(spark, d):
+    return read(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("label"), (F.col("c_nationkey") % 5).alias("kind"), F.col("c_nationkey").alias("key"), F.floor(F.col("c_acctbal") / 500).alias("size"))
+
+
+@query(f"""
+WITH c AS (SELECT *, count(*) OVER (PARTITION BY label, kind, key, size) > 1 AS again FROM {LANDINGS}),
+g AS (SELECT label, kind, count(*) AS n, count(*) FILTER (again) AS consistent FROM c GROUP BY 1, 2)
+SELECT label, kind, n, consistent, CASE WHEN sum(consistent) OVER (PARTITION BY label) >= 5 THEN consistent ELSE n END AS score FROM g""")
+def e15_landing_scores(spark, d):
+    x = landings(spark, d)
+    same = x.groupBy("label", "kind", "key", "size").agg(F.count(F.lit(1)).alias("m"))
+    g = same.groupBy("label", "kind").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("m") > 1, F.col("m")).otherwise(0)).alias("consistent"))
+    total = g.groupBy("label").agg(F.sum("consistent").alias("_t"))
+    return g.join(total, "label").select("label", "kind", "n", "consistent", F.when(F.col("_t") >= 5, F.col("consistent")).otherwise(F.col("n")).alias("score"))
+
+
+@query(f"SELECT label, kind, n, round_even(n / max(n) OVER (PARTITION BY label), 6) AS affinity, n = max(n) OVER (PARTITION BY label) AS home FROM (SELECT label, kind, count(*) AS n FROM {LANDINGS} GROUP BY 1, 2)")
+def e16_affinity(spark, d):
+    n = landings(spark, d).groupBy("label", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return A.affinity(n, "label", "kind").select("label", "kind", "n", F.bround("affinity", 6).alias("affinity"), "home")
+
+
+@query("""
+WITH m AS (SELECT c_custkey % 100 AS cluster, count(*) AS members FROM customer GROUP BY 1),
+v AS (SELECT c_custkey % 100 AS cluster, c_mktsegment AS vote, count(*) AS n FROM customer WHERE c_acctbal > 4000 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, vote) AS k, sum(n) OVER (PARTITION BY cluster) AS t FROM v),
+g AS (SELECT m.cluster, members, max(vote) FILTER (k = 1) AS top, coalesce(max(n) FILTER (k = 1), 0) AS a, coalesce(max(n) FILTER (k = 2), 0) AS b, coalesce(max(t), 0) AS t FROM m LEFT JOIN r USING (cluster) GROUP BY 1, 2)
+SELECT cluster, members, CAST(t AS BIGINT) AS labelled, CASE WHEN t > 0 THEN round_even(a / t, 6) END AS purity,
+  CASE WHEN t >= 0.1 * members AND ((a >= 5 AND a >= 1.5 * b) OR (a >= 2 AND a > b AND t >= 0.3 * members)) THEN top END AS name FROM g""")
+def e17_vote(spark, d):
+    c = read(spark, d, "customer").withColumn("cluster", F.col("c_custkey") % 100)
+    sizes = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    votes = c.filter("c_acctbal > 4000").groupBy("cluster", F.col("c_mktsegment").alias("vote")).agg(F.count(F.lit(1)).alias("n"))
+    out = A.named_by_vote(votes, sizes, ["cluster"], "vote", 5, 1.5, (2, 0.3), 0.1)
+    return out.select("cluster", "members", "labelled", F.bround("purity", 6).alias("purity"), "name")
+
+
+@query("""
+WITH e AS (SELECT p_brand, min(p_size) AS a, max(p_size) AS b, min(p_retailprice) AS c, max(p_retailprice) AS d FROM part WHERE p_type LIKE '%O%' GROUP BY 1)
+SELECT p_partkey, coalesce(p_size BETWEEN a - 1 AND b + 1 AND p_retailprice BETWEEN c - 1 AND d + 1, FALSE) AS inside FROM part LEFT JOIN e USING (p_brand)""")
+def e18_envelope(spark, d):
+    p = read(spark, d, "part")
+    return A.within_envelope(p, p.filter(F.col("p_type").contains("O")), ["p_brand"], ["p_size", "p_retailprice"], 1.0).select("p_partkey", "inside")
+
+
+@query("""
+WITH f AS (SELECT p_type, p_size AS lead FROM part QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_partkey % 31, p_size, p_partkey) = 1)
+SELECT p_type, median(p_size)::DOUBLE AS size, count(*) AS agreeing FROM part JOIN f USING (p_type) WHERE abs(p_size - lead) <= 3 GROUP BY 1""")
+def e20_type_size(spark, d):
+    p = read(spark, d, "part").select("p_type", "p_partkey", "p_size", (F.col("p_partkey") % 31).alias("distance"))
+    return A.agreed_size(p, ["p_type"], "distance", "p_size", 3, "p_partkey")
+
+
+@query("""
+WITH a AS (SELECT p.p_partkey, p.p_brand, p.p_type, (SELECT count(*) FROM part q WHERE q.p_brand = p.p_brand AND q.p_type = p.p_type AND abs(q.p_size - p.p_size) <= 1) AS w FROM part p)
+SELECT p_partkey, w - 1 AS agreeing, CASE WHEN w > 1 THEN 'fits' WHEN max(w) OVER (PARTITION BY p_brand, p_type) >= 2 THEN 'retype' ELSE 'conflict' END AS verdict FROM a""")
+def e22_consistency(spark, d):
+    p = read(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    return A.size_consistency(p, ["p_brand", "p_type"], "p_size", "p_partkey", 1.0).select("p_partkey", "agreeing", "verdict")
+
+
+@query("""
+SELECT p_brand, count(*) AS members, min(p_size) AS lo, max(p_size) AS hi,
+  concat_ws(', ', CASE WHEN count(*) FILTER (p_type LIKE '%A%') > count(*) / 2 THEN 'mostly A' END, min(p_size) || ' to ' || max(p_size)) AS description FROM part GROUP BY 1""")
+def e27_group_descriptions(spark, d):
+    most = F.count_if(F.col("p_type").contains("A")) > F.count(F.lit(1)) / 2
+    text = F.concat_ws(", ", F.when(most, "mostly A"), F.concat(F.min("p_size"), F.lit(" to "), F.max("p_size")))
+    return read(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("members"), F.min("p_size").alias("lo"), F.max("p_size").alias("hi"), text.alias("description"))
+
+
+# --- windows -------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_id::DOUBLE AS lo, event_id + value AS hi FROM events),
+m AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach + 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY lo, event_id ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS pieces, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY 1, 2""")
+def f05_islands(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_id", F.col("event_id").cast("double").alias("lo"), (F.col("event_id") + F.col("value")).alias("hi"))
+    return W.islands(e, ["user_id"], "lo", "hi", 20.0, "event_id").groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("pieces"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id::DOUBLE AS lo, event_id + value AS hi FROM events),
+m AS (SELECT *, max(hi) OVER (PARTITION BY user_id ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e)
+SELECT user_id, round_even(sum(greatest(hi - greatest(lo, coalesce(reach, lo)), 0)), 4) AS covered FROM m GROUP BY 1""")
+def d25_union_length(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_id", F.col("event_id").cast("double").alias("lo"), (F.col("event_id") + F.col("value")).alias("hi"))
+    runs = W.islands(e, ["user_id"], "lo", "hi", 0.0, "event_id").groupBy("user_id", "island").agg((F.max("hi") - F.min("lo")).alias("n"))
+    return runs.groupBy("user_id").agg(F.bround(F.sum("n"), 4).alias("covered"))
+
+
+@query()
+def f06_order_groups(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_id", F.col("value").alias("lo"), (F.col("value") + 5).alias("hi"))
+    return W.order_groups(e, ["user_id"], "event_id", "lo", "hi", 300, 2.0)
+
+
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(p_type, 'None'), p_size, p_partkey) AS number FROM part")
+def f07_numbering(spark, d):
+    return W.numbered_by(read(spark, d, "part"), ["p_brand"], [F.coalesce("p_type", F.lit("None")), "p_size", "p_partkey"]).select("p_partkey", F.col("number").cast("long").alias("number"))
+
+
+@query("""
+SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place, greatest(1, count(*) OVER (PARTITION BY o_custkey) // 4) AS step FROM orders) WHERE place % step = 0""")
+def f09_systematic_sample(spark, d):
+    return W.systematic_sample(read(spark, d, "orders"), ["o_custkey"], ["o_orderkey"], 4).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS types FROM part GROUP BY 1")
+def g05_type_list(spark, d):
+    return A.candidate_list(read(spark, d, "part"), ["p_brand"], F.col("p_type"), "p_type", "types")
+
+
+# --- labels, types, rules ------------------------------------------------------------------------------------------
+
+
+def label_texts(spark, d):
+    """One label text per part; every rule of the grammar and its optional parts occur."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    b = (100 + k % 30).cast("string")
+    forms = [
+        F.concat(F.lit("P"), s, F.lit("/"), b), F.concat(F.lit("P"), s, F.lit("a / "), b, F.lit(" x")), F.concat(F.lit("V"), s, F.lit(" /"), b), F.concat(F.lit("VP"), s),
+        F.concat(F.lit("S"), s), F.concat(F.lit("SC"), s, F.lit(" - "), b), F.concat(F.lit("S"), s, F.lit(" ("), s + 100, F.lit("x"), k % 90 + 10, F.lit("x40)")),
+        F.concat(F.lit("SF"), s, F.lit(" 80x"), s), F.concat(F.lit("VP"), s, F.lit("-SF1 "), s, F.lit("X25")), F.concat(F.lit("LG-"), s, F.lit("x"), k % 90), F.concat(F.lit("note "), s),
+    ]
+    text = F.lit(None).cast("string")
+    for i, f in reversed(list(enumerate(forms))):
+        text = F.when(k % len(forms) == i, f).otherwise(text)
+    return read(spark, d, "part").select("p_partkey", text.alias("text"))
+
+
+TEXTS = """(SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN concat('P', p_size, '/', 100 + p_partkey % 30) WHEN 1 THEN concat('P', p_size, 'a / ', 100 + p_partkey % 30, ' x')
+  WHEN 2 THEN concat('V', p_size, ' /', 100 + p_partkey % 30) WHEN 3 THEN concat('VP', p_size) WHEN 4 THEN concat('S', p_size) WHEN 5 THEN concat('SC', p_size, ' - ', 100 + p_partkey % 30)
+  WHEN 6 THEN concat('S', p_size, ' (', p_size + 100, 'x', p_partkey % 90 + 10, 'x40)') WHEN 7 THEN concat('SF', p_size, ' 80x', p_size) WHEN 8 THEN concat('VP', p_size, '-SF1 ', p_size, 'X25')
+  WHEN 9 THEN concat('LG-', p_size, 'x', p_partkey % 90) ELSE concat('note ', p_size) END AS text FROM part)"""
+
+
+@query(rf"""
+SELECT p_partkey, text, CASE WHEN m = 'footing' THEN 'footing:' || regexp_extract(text, '^(SC|S)', 1) ELSE m END AS kind,
+  CASE m WHEN 'column' THEN 'P' || regexp_extract(text, '^P(\d+[a-z]?)', 1) || '/' || regexp_extract(text, '^P\d+[a-z]?\s*/\s*(\d{{3}})', 1)
+    WHEN 'wall' THEN 'V' || regexp_extract(text, '^V(\d+)', 1) || '/' || regexp_extract(text, '/\s*(\d{{3}})', 1) WHEN 'retaining_wall' THEN 'VP' || regexp_extract(text, '^VP(\d+)', 1)
+    ELSE regexp_extract(text, '^(SC|S)(\d+)', 1) || regexp_extract(text, '^(SC|S)(\d+)', 2) || regexp_extract(text, '\(\d+x\d+x\d+\)') END AS key,
+  nullif(CASE m WHEN 'column' THEN regexp_extract(text, '/\s*(\d{{3}})', 1) WHEN 'wall' THEN regexp_extract(text, '/\s*(\d{{3}})', 1) WHEN 'footing' THEN regexp_extract(text, '^SC\d+ - (\d{{3}})', 1) END, '') AS building,
+  CASE WHEN m = 'footing' AND text LIKE '%(%' THEN round_even(greatest(regexp_extract(text, '\((\d+)x', 1)::INT, regexp_extract(text, '\(\d+x(\d+)x', 1)::INT) * 0.01, 6) END AS longer
+FROM (SELECT *, CASE WHEN regexp_matches(text, '^P\d+[a-z]?\s*/\s*\d{{3}}') THEN 'column' WHEN regexp_matches(text, '^V\d+[a-z]?\s*/\s*\d{{3}}') THEN 'wall' WHEN regexp_matches(text, '^VP\d+') THEN 'retaining_wall' WHEN regexp_matches(text, '^S(C|)\d+') THEN 'footing' END AS m FROM {TEXTS})
+WHERE m IS NOT NULL""")
+def k17_label_parse(spark, d):
+    out = grammar.parsed_labels(label_texts(spark, d), "text", default_rules()[0])
+    return out.select("p_partkey", "text", "kind", "key", "building", F.bround(F.col("dims")[0], 6).alias("longer"))
+
+
+@query(rf"""
+SELECT p_partkey, 'grade_beam' AS kind, 'LG' || regexp_extract(text, '(\d+)x', 1) || 'x' || regexp_extract(text, 'x(\d+)', 1) AS key, regexp_extract(text, '(\d+)x', 1)::INT / 100 AS a, regexp_extract(text, 'x(\d+)', 1)::INT / 100 AS b FROM {TEXTS} WHERE text LIKE 'LG%'
+UNION ALL SELECT p_partkey, 'strip_footing', 'SF' || regexp_extract(text, 'SF(\d+)', 1), regexp_extract(text, '(\d+)[xX]\d+', 1)::INT / 100, regexp_extract(text, '[xX](\d+)', 1)::INT / 100 FROM {TEXTS} WHERE text LIKE '%SF%'""")
+def k18_band_parse(spark, d):
+    out = grammar.band_labels(label_texts(spark, d), "text", default_rules()[1])
+    return out.select("p_partkey", "kind", "key", F.col("numbers")[0].alias("a"), F.col("numbers")[1].alias("b"))
+
+
+@query(f"""
+SELECT p_partkey, CASE WHEN c IS NULL THEN '?' ELSE '~' || c END AS type_key FROM part LEFT JOIN
+  (SELECT p.p_partkey, string_agg(g.p_brand, '|' ORDER BY abs(p.p_size - g.med), g.p_brand) AS c FROM part p JOIN {TYPE_GROUPS} g ON p.p_type = g.p_type AND abs(p.p_size - g.med) <= 1 GROUP BY 1) USING (p_partkey)""")
+def k25_type_infer(spark, d):
+    fits = A.candidate_list(type_fits(spark, d), ["p_partkey"], F.abs(F.col("p_size") - F.col("med")), "brand")
+    return read(spark, d, "part").select("p_partkey").join(fits, "p_partkey", "left").select("p_partkey", grammar.inferred_type("candidates").alias("type_key"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size > 40 THEN 'retaining_wall' WHEN p_partkey % 9 = 0 THEN 'retaining_wall' WHEN p_size * 100 <= 4 * (p_partkey % 12 + 1) * 100 THEN 'column' ELSE 'core_wall' END AS cls FROM part""")
+def k28_rules(spark, d):
+    from strataplan.plans.rules import wall_class
+
+    k = F.col("p_partkey")
+    return read(spark, d, "part").select("p_partkey", wall_class(F.col("p_size") > 40, k % 9 == 0, F.col("p_size").cast("double"), (k % 12 + 1).cast("double")).alias("cls"))
+
+
+# --- assignment, clustering, graph ---------------------------------------------------------------------------------
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE (c_custkey * 7919) % 10 < 6),
+n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
+r(node, root) AS (SELECT node, node FROM n UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a)
+SELECT node, min(root) AS root FROM r GROUP BY 1""")
+def j01_components(spark, d):
+    k = F.col("c_custkey")
+    return components(read(spark, d, "customer").filter(k * 7919 % 10 < 6).select(k.alias("u"), (k + 1).alias("v")))
+
+
+@query()
+def k05_nms(spark, d):
+    boxes = part_boxes(spark, d).withColumn("size", F.expr("(x1 - x0) * (y1 - y0)"))
+    other = J.renamed(boxes, "b_", ["p_brand"])
+    pairs = J.grid_join(boxes, other, ("x0", "y0", "x1", "y1"), ("b_x0", "b_y0", "b_x1", "b_y1"), 8.0, ["p_brand"]).filter("p_partkey < b_p_partkey")
+    common = F.expr("(least(x1, b_x1) - greatest(x0, b_x0)) * (least(y1, b_y1) - greatest(y0, b_y0))")
+    clash = pairs.filter(common > 0.5 * F.least("size", "b_size")).select(F.col("p_partkey").alias("a"), F.col("b_p_partkey").alias("b"))
+    ranked = boxes.select(F.col("p_partkey").alias("id"), F.struct((-F.col("size")).alias("s"), "p_partkey").alias("rank"))
+    return suppress(ranked, clash)
+
+
+@query()
+def k01_assignment(spark, d):
+    edges = label_edges(spark, d).select(F.lit("plan").alias("plan_id"), "label_id", "obj_id", F.lit(2).alias("slots"), "cost")
+    return assign(edges, 3.5).select("label_id", "obj_id", F.bround("cost", 6).alias("cost"))
+
+
+@query()
+def k03_ward(spark, d):
+    return ward(read(spark, d, "embeddings"), ["label"], "vec_id", "embedding")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Texts to labels to candidate objects to votes: what each object is called by the labels near it."""
+    texts = label_texts(spark, d)
+    labels = grammar.parsed_labels(texts, "text", default_rules()[0]).select(F.col("p_partkey").alias("label_id"), "kind", "key")
+    edges = label_edges(spark, d).select("label_id", "obj_id", "cost")
+    best = J.first_by(edges, ["label_id"], ["cost", "obj_id"])
+    votes = best.join(labels, "label_id").groupBy("obj_id", F.col("kind").alias("vote")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = best.groupBy("obj_id").agg(F.count(F.lit(1)).alias("members"))
+    return A.named_by_vote(votes, sizes, ["obj_id"], "vote", 5, 1.5, (2, 0.3), 0.1)
