@@ -101,3 +101,10 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> Dat
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
     same = docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["_gone_key"])
     return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
