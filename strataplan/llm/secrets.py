@@ -15,7 +15,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataplan.runtime import save, ship, whole
+from strataplan.runtime import save, ship, unused, whole
 
 # The rules, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex")
@@ -108,8 +108,9 @@ def redacted(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "
     """``docs`` with every span replaced by REDACTION; columns as they were, the length brought up to date."""
     new = save(scan(docs, ledger, text_col=text_col), "secret-ledger")
     ledger = new if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(new)
-    hits = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    found = docs.withColumn("_blob", blob_address(text_col)).join(hits.hint("shuffle_hash"), "_blob", "left").drop("_blob")
+    blob, spans = unused(docs, "_blob"), unused(docs, "_spans")
+    hits = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    found = docs.withColumn(blob, blob_address(text_col)).join(hits.hint("shuffle_hash"), blob, "left").drop(blob)
     at, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches):
