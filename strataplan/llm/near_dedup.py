@@ -1,14 +1,15 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Texts become sets of 5-word shingles; texts with equal sets are one node. Signatures of BANDS x ROWS hashes are
-banded; nodes that share a band meet in its bucket. Pairs are compared a batch of hashes at a time, and leave when
-the posterior probability that their similarity reaches the threshold (uniform prior) falls under MISS. Survivors are
-verified exactly on their full sets.
+Texts become sets of 5-word shingles; texts with equal sets are one node. The minima of BANDS x ROWS hash functions are
+banded; nodes that share a band meet in its bucket. Nodes that meet others get signatures of HASHES minima, a byte
+each, and pairs are compared a batch of them at a time: they leave when the posterior probability that their
+similarity reaches the threshold (uniform prior) falls under MISS. Survivors are verified exactly on their full sets.
 
-Only what decides components is compared. First every node of a bucket meets the bucket's hub. Then, in buckets that
-still hold two components or more, nodes of different components meet, in blocks of BLOCK x BLOCK nodes; a pair counts
-in the first band it shares. So a large group of near copies costs its size, not its square, and a hot bucket is
-spread over blocks.
+Only what decides components is compared. First every node of a bucket meets the bucket's hub, the node that meets
+most others in all its buckets. Then, in buckets that still hold two components or more, nodes of different components
+meet, in blocks of BLOCK x BLOCK nodes; a pair counts in the first band it shares. That is done twice: once only the
+likeliest partner of a node in each other component is verified, and then, between what is still apart, all. So a
+large group of near copies costs its size, not its square, and a hot bucket is spread over blocks.
 
 A pair at the threshold shares no band with probability (1 - 0.85**5)**24 < 1e-6.
 
@@ -32,18 +33,20 @@ from strataplan.runtime import save, ship, text_key, without
 WORDS = 5
 THRESHOLD = (85, 100)
 BANDS, ROWS = 24, 5
-BATCH = 24
+HASHES = 512
+BATCH = 64
 MISS = 1e-7
 BLOCK = 2_048
 
 _NO_ID = -(1 << 63)
-SIGNED = "doc_id long, text_key long, n_shingles long, node binary, bands array<long>, signature binary"
+SIGNED = "doc_id long, text_key long, n_shingles long, node binary, bands array<long>"
 
 
-def thresholds(batch: int = BATCH, total: int = BANDS * ROWS, miss: float = MISS, at_least: tuple[int, int] = THRESHOLD) -> list[tuple[int, int]]:
+def thresholds(batch: int = BATCH, total: int = HASHES, miss: float = MISS, at_least: tuple[int, int] = THRESHOLD) -> list[tuple[int, int]]:
     """(hashes compared, fewest matches to go on): below, P(similarity >= threshold | matches) < miss.
 
-    With a uniform prior the posterior is Beta(m + 1, n - m + 1), and its tail is a binomial sum.
+    With a uniform prior the posterior is Beta(m + 1, n - m + 1), and its tail is a binomial sum. Bytes also agree by
+    chance, which only keeps more.
     """
     t = at_least[0] / at_least[1]
     out = []
@@ -63,21 +66,31 @@ def _seeds():
 
     from strataplan.llm.shingles import mix
 
-    s = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
+    s = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
     return s[0::2] | np.uint64(1), s[1::2]
 
 
-def signature(hashes):
-    """uint32 minima of BANDS * ROWS hash functions over a set."""
+def minima(hashes, functions: int):
+    """Top halves of the smallest values that the first hash functions take on a set."""
     import numpy as np
 
-    a, b = _seeds()
-    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 2048):
-        low = np.minimum(low, (hashes[i : i + 2048, None] * a + b).min(0))
+    a, b = (x[:functions] for x in _seeds())
+    low = np.full(functions, np.iinfo(np.uint64).max, np.uint64)
+    step = 250_000 // functions
+    for i in range(0, len(hashes), step):
+        low = np.minimum(low, (hashes[i : i + step, None] * a + b).min(0))
     return (low >> np.uint64(32)).astype("<u4")
 
 
+def signature(hashes) -> bytes:
+    """HASHES minima, mixed down to a byte each."""
+    import numpy as np
+
+    from strataplan.llm.shingles import mix
+
+    return (mix(minima(hashes, HASHES).astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def band_keys(sig):
     import numpy as np
 
@@ -96,7 +109,7 @@ def _node(hashes) -> bytes:
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Set size, node (digest of the set), band keys and signature of every row; null beyond the size where empty."""
+    """Set size, node (digest of the set) and band keys of every row; null beyond the size where empty."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -105,22 +118,20 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         from strataplan.llm.shingles import shingle_set
 
         for b in batches:
-            n, node, bands, sigs = [], [], [], []
+            n, node, bands = [], [], []
             for t in b.column(2):
                 h = shingle_set(t.as_py() or b"", WORDS)
                 n.append(len(h))
-                sig = signature(h) if len(h) else None
                 node.append(_node(h) if len(h) else None)
-                bands.append(band_keys(sig) if len(h) else None)
-                sigs.append(sig.tobytes() if len(h) else None)
-            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "node", "bands", "signature"])
+                bands.append(band_keys(minima(h, BANDS * ROWS)) if len(h) else None)
+            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "node", "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col), F.col(text_col).cast("binary").alias("_t")).mapInArrow(run, SIGNED)
 
 
 def _posterior(a, b):
-    """Which rows of two signature matrices stay after every batch."""
+    """Which rows of two signature matrices stay after every batch, and their matches."""
     import numpy as np
 
     alive, done = np.arange(len(a)), 0
@@ -128,24 +139,24 @@ def _posterior(a, b):
     for n, least in thresholds():
         matches[alive] += (a[alive, done:n] == b[alive, done:n]).sum(1)
         alive, done = alive[matches[alive] >= least], n
-    return alive
+    return alive, matches[alive]
 
 
 def _signatures(column):
     import numpy as np
 
-    return np.frombuffer(b"".join(x.as_py() for x in column), "<u4").reshape(len(column), BANDS * ROWS)
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), HASHES)
 
 
-def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def prune(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that the sequential comparison of signatures leaves."""
-    left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("_sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("_sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("signature").alias("_sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("signature").alias("_sb"))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield batch.take(_as_index(_posterior(_signatures(batch.column(2)), _signatures(batch.column(3))))).select(["a", "b"])
+                yield batch.take(_as_index(_posterior(_signatures(batch.column(2)), _signatures(batch.column(3)))[0])).select(["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_sa", "_sb").mapInArrow(run, "a binary, b binary")
 
@@ -156,38 +167,44 @@ def _as_index(rows):
     return pa.array(rows, pa.int64())
 
 
-def across_components(members: DataFrame) -> DataFrame:
+def across_components(members: DataFrame, likeliest: bool) -> DataFrame:
     """Pairs of different components in one bucket that pass the signatures, each in its first shared band.
 
-    members: key, band, node, root, signature.
+    members: key, band, node, root, bands, signature. ``likeliest``: of a node's partners in one other component only
+    the one with most matches, in each block.
     """
     size = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
     mixed = size.filter("_lo != _hi").select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_chunks"))
     dealt = members.join(mixed, "key").withColumn("_chunk", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int"))
     # A node goes to each block (i, j), i <= j, that its chunk is half of.
     halves = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda j: F.struct(F.least("_chunk", j).alias("i"), F.greatest("_chunk", j).alias("j")))
-    placed = dealt.withColumn("_block", F.explode(halves)).select("key", "band", "_block.i", "_block.j", "_chunk", "node", "root", "signature")
+    placed = dealt.withColumn("_block", F.explode(halves)).select("key", "band", "_block.i", "_block.j", "_chunk", "node", "root", "bands", "signature")
 
     def block(table):
         import numpy as np
         import pyarrow as pa
 
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        nodes, roots = table["node"].to_pylist(), np.array(table["root"].to_pylist(), object)
+        nodes, names = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)
+        roots, nodes = names, table["node"].to_pylist()
         sigs, chunk, band = _signatures(table["signature"]), table["_chunk"].to_numpy(), table["band"][0].as_py()
-        names = {r: k for k, r in enumerate(sorted(set(roots)))}
-        roots = np.array([names[r] for r in roots])
-        left, right = (np.flatnonzero(chunk == i), np.flatnonzero(chunk == j))
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(nodes), BANDS)
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         first, second = [], []
         for k, x in enumerate(left):
             others = right[k + 1 :] if i == j else right
             others = others[roots[others] != roots[x]]
             if not len(others):
                 continue
-            kept = others[_posterior(np.broadcast_to(sigs[x], (len(others), sigs.shape[1])), sigs[others])]
+            at, matches = _posterior(np.broadcast_to(sigs[x], (len(others), HASHES)), sigs[others])
+            kept = others[at]
             if band and len(kept):
-                same = (sigs[kept, : band * ROWS] == sigs[x, : band * ROWS]).reshape(len(kept), band, ROWS)
-                kept = kept[~same.all(2).any(1)]
+                new = ~(keys[kept, :band] == keys[x, :band]).any(1)
+                kept, matches = kept[new], matches[new]
+            if likeliest and len(kept) > 1:
+                order = np.lexsort((-matches, roots[kept]))
+                kept = kept[order]
+                kept = kept[np.concatenate(([True], roots[kept][1:] != roots[kept][:-1]))]
             first += [nodes[x]] * len(kept)
             second += [nodes[y] for y in kept]
         return pa.table([pa.array(first, pa.binary()), pa.array(second, pa.binary())], ["a", "b"])
@@ -196,7 +213,7 @@ def across_components(members: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, packed text of the wanted (node, doc_id)."""
+    """node, signature, packed text of the wanted (node, doc_id)."""
     wanted = wanted.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id")).distinct()
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.col(text_col).alias("_t"))
 
@@ -209,10 +226,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             texts = [t.as_py() or b"" for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(shingle_set(t, WORDS)) for t in texts], pa.binary()), pa.array([squeeze(t) for t in texts], pa.binary())], ["node", "packed"])
+            sets = [shingle_set(t, WORDS) for t in texts]
+            cols = [pa.array([_node(h) for h in sets], pa.binary()), pa.array([signature(h) for h in sets], pa.binary()), pa.array([squeeze(t) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "signature", "packed"])
 
     found = keyed.join(wanted.hint("shuffle_hash"), "_id", "left_semi").select(F.col("_t").cast("binary").alias("_t"))
-    return found.mapInArrow(run, "node binary, packed binary").dropDuplicates(["node"])
+    return found.mapInArrow(run, "node binary, signature binary, packed binary").dropDuplicates(["node"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -249,25 +268,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"))
 
     banded = filled.select("node", F.posexplode("bands").alias("band", "key")).distinct()
-    buckets = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_hi")).filter("hub != _hi").drop("_hi")
-    met = save(banded.join(buckets, "key").select("key", "band", "node", "hub"), "buckets")
-    candidates = save(
-        filled.join(met.select("node").distinct(), "node", "left_semi").select("node", "signature").dropDuplicates(["node"])
-        .join(classes, "node").select("node", "doc_id", "signature"), "candidates",
-    )
-    sets = save(sets_of(docs, candidates, id_col, text_col), "candidate-texts")
+    buckets = banded.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count(F.lit(1)).alias("_meets")).filter("_lo != _hi").drop("_lo", "_hi")
+    met = save(banded.join(buckets, "key").select("key", "band", "node", "_meets"), "buckets")
+    meets = met.groupBy("node").agg(F.sum("_meets").alias("_all"))
+    hubs = met.join(meets, "node").groupBy("key").agg(F.max(F.struct("_all", "node"))["node"].alias("hub"))
+    stars = met.join(hubs, "key").filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
-    stars = met.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = save(confirm(prune(stars, candidates), sets), "links")
+    candidates = classes.join(meets, "node", "left_semi")
+    sets = save(sets_of(docs, candidates, id_col, text_col), "candidate-texts")
+    links = save(confirm(prune(stars, sets), sets), "links")
+    bands = filled.join(meets, "node", "left_semi").select("node", "bands").dropDuplicates(["node"])
+    described = save(bands.join(sets.select("node", "signature"), "node"), "described")
+    for likeliest in (True, False):
+        roots = components(links)
+        members = (
+            met.select("key", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            .join(described, "node").select("key", "band", "node", "root", "bands", "signature")
+        )
+        more = confirm(save(across_components(members, likeliest), "cross-pairs"), sets)
+        links = save(links.unionByName(more), "links")
     roots = components(links)
 
-    members = (
-        met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        .join(candidates.select("node", "signature"), "node").select("key", "band", "node", "root", "signature")
-    )
-    more = save(confirm(save(across_components(members), "cross-pairs"), sets), "links")
-    roots = components(links.unionByName(more))
-
     named = roots.join(classes, "node")
     of_root = named.groupBy("root").agg(F.min("doc_id").alias("_c"))
     linked = named.join(of_root, "root").select("node", "_c")

@@ -112,9 +112,32 @@ def test_near_chain(spark, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_family(spark):
+    """Copies that are near one text but not each other, far ones among them, and a bucket of several blocks."""
+    import random
+
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(140)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 6])):
+            words[rng.randrange(140)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets, root = [shingles(t) for _, t in rows], list(range(120))
+    for i in range(120):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert got == dict(enumerate(root))
+
+
 def test_posterior_thresholds():
     at = near_dedup.thresholds()
-    assert [n for n, _ in at] == [24, 48, 72, 96, 120] and all(m < 0.85 * n for n, m in at)
+    assert [n for n, _ in at] == list(range(64, 513, 64)) and all(m < 0.85 * n for n, m in at)
 
 
 @BOTH
