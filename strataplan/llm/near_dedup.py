@@ -42,6 +42,7 @@ _NO_ID = -(1 << 63)
 SIGNED = "doc_id long, text_key long, n_shingles long, node binary, bands array<long>"
 
 
+@lru_cache
 def thresholds(batch: int = BATCH, total: int = HASHES, miss: float = MISS, at_least: tuple[int, int] = THRESHOLD) -> list[tuple[int, int]]:
     """(hashes compared, fewest matches to go on): below, P(similarity >= threshold | matches) < miss.
 
