@@ -109,11 +109,13 @@ def within_envelope(members: DataFrame, voters: DataFrame, keys: list[str], size
     return j.withColumn("inside", F.coalesce(test, F.lit(False))).drop(*[f"_{n}_{s}" for s in sizes for n in ("lo", "hi")])
 
 
-def agreed_size(labels: DataFrame, keys: list[str], distance: str, size: str, tolerance: float, id_col: str) -> DataFrame:
-    """Per key the median size among those that agree with the closest label's, as ``size``, ``agreeing``."""
-    lead = first_by(labels, keys, [distance, size, id_col]).select(*keys, F.col(size).alias("_lead"))
-    agreeing = labels.join(lead, keys).filter(F.abs(F.col(size) - F.col("_lead")) <= tolerance)
-    return agreeing.groupBy(*keys).agg(F.median(size).alias("size"), F.count(F.lit(1)).alias("agreeing"))
+def agreed_size(labels: DataFrame, keys: list[str], distance: str, sizes: list[str], tolerance: float, id_col: str) -> DataFrame:
+    """Per key the median sizes among the rows that agree in all of them with the closest row, and ``agreeing``."""
+    lead = first_by(labels, keys, [distance, *sizes, id_col]).select(*keys, *[F.col(s).alias(f"_lead_{s}") for s in sizes])
+    same = F.lit(True)
+    for s in sizes:
+        same = same & (F.abs(F.col(s) - F.col(f"_lead_{s}")) <= tolerance)
+    return labels.join(lead, keys).filter(same).groupBy(*keys).agg(*[F.median(s).alias(s) for s in sizes], F.count(F.lit(1)).alias("agreeing"))
 
 
 def size_consistency(printed: DataFrame, keys: list[str], size: str, id_col: str, tolerance: float) -> DataFrame:

@@ -427,6 +427,15 @@ def second_costs(edges: DataFrame, home: DataFrame, f: DataFrame, t: Tolerances)
     return e.withColumn("cost", F.col("cost") + penalty)
 
 
+def sized_costs(edges: DataFrame, close: DataFrame, t: Tolerances) -> DataFrame:
+    """Dearer edges to objects that do not have the size which the closest labels of the type agree on."""
+    sure = close.filter((F.col("d") <= t.sure_distance) & F.col("kind").isin("column", "wall", "footing:S", "footing:SC"))
+    sizes = A.agreed_size(sure, ["plan_id", "key"], "d", ["length", "width"], t.size_tol, "label_id").select("plan_id", "key", F.col("length").alias("_l"), F.col("width").alias("_w"))
+    other = (F.abs(F.col("length") - F.col("_l")) > t.size_tol) | (F.abs(F.col("width") - F.col("_w")) > t.size_tol)
+    e = edges.join(sizes, ["plan_id", "key"], "left")
+    return e.withColumn("cost", F.col("cost") + F.when(F.coalesce(other, F.lit(False)), t.size_penalty).otherwise(0.0)).drop("_l", "_w")
+
+
 def types(f: DataFrame, matched: DataFrame, t: Tolerances) -> DataFrame:
     """Objects with class, key, type_source, label and building."""
     best = J.first_by(matched, ["plan_id", "obj_id"], ["cost", "label_id"]).select("plan_id", F.col("obj_id").alias("id"), "key", F.col("text").alias("label"), "building", F.col("kind").alias("label_kind"))
@@ -487,7 +496,8 @@ def detect(paths: DataFrame, texts: DataFrame, config: dict, t: Tolerances = Tol
     home = save(home, "home")
     named = save(similar_names(named, f, cl, t), "named")
     f = save(f.join(cl, ["plan_id", "id"], "left").join(named.select("plan_id", "cluster", "class", "named_by"), ["plan_id", "cluster"], "left").withColumn("named_by", F.coalesce("named_by", F.lit(""))), "named-objects")
-    second = second_costs(edges, home, f, t)
-    m2 = save(edges.drop("cost").join(match(second, t), pick), "matches")
+    second = save(second_costs(edges, home, f, t), "second")
+    close = edges.drop("cost").join(match(second, t), pick)
+    m2 = save(edges.drop("cost").join(match(sized_costs(second, close, t), t), pick), "matches")
     o = unlabelled_walls(types(f, m2, t), t)
     return Result(save(numbered(buildings(o, l, t)), "detected"), l, named, m2, calibration)

@@ -479,7 +479,7 @@ WITH f AS (SELECT p_type, p_size AS lead FROM part QUALIFY row_number() OVER (PA
 SELECT p_type, median(p_size)::DOUBLE AS size, count(*) AS agreeing FROM part JOIN f USING (p_type) WHERE abs(p_size - lead) <= 3 GROUP BY 1""")
 def e20_type_size(spark, d):
     p = read(spark, d, "part").select("p_type", "p_partkey", "p_size", (F.col("p_partkey") % 31).alias("distance"))
-    return A.agreed_size(p, ["p_type"], "distance", "p_size", 3, "p_partkey")
+    return A.agreed_size(p, ["p_type"], "distance", ["p_size"], 3, "p_partkey").withColumnRenamed("p_size", "size")
 
 
 @query("""
@@ -607,6 +607,146 @@ def k28_rules(spark, d):
     return read(spark, d, "part").select("p_partkey", wall_class(F.col("p_size") > 40, k % 9 == 0, F.col("p_size").cast("double"), (k % 12 + 1).cast("double")).alias("cls"))
 
 
+# --- the remaining relations of the detection ----------------------------------------------------------------------
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size > 40 THEN 'Column' WHEN p_size > 20 THEN 'Grade beam' END AS word,
+  concat_ws(' ', CASE WHEN p_size > 40 THEN 'Column' WHEN p_size > 20 THEN 'Grade beam' END, nullif(p_brand, 'Brand#2'), printf('%.2f', p_size + 0.25) || ' m') AS text FROM part""")
+def b19_display_text(spark, d):
+    word = F.when(F.col("p_size") > 40, "Column").when(F.col("p_size") > 20, "Grade beam")
+    size = F.format_string("%.2f m", F.col("p_size") + 0.25)
+    return read(spark, d, "part").select("p_partkey", word.alias("word"), F.concat_ws(" ", word, F.nullif("p_brand", F.lit("Brand#2")), size).alias("text"))
+
+
+@query("SELECT p_partkey, 'footing:' || CASE WHEN p_size % 2 = 0 THEN 'S' ELSE 'SC' END AS kind, CASE WHEN p_size % 2 = 0 THEN 'isolated_footing' ELSE 'combined_footing' END AS cls, 'footing' AS family FROM part")
+def b21_class_lookup(spark, d):
+    from strataplan.plans.detect import lookup
+    from strataplan.tolerances import FAMILY, LABEL_CLASS
+
+    kind = F.concat(F.lit("footing:"), F.when(F.col("p_size") % 2 == 0, "S").otherwise("SC"))
+    p = read(spark, d, "part").select("p_partkey", kind.alias("kind")).withColumn("cls", lookup(LABEL_CLASS, F.col("kind")))
+    return p.withColumn("family", lookup(FAMILY, F.col("cls")))
+
+
+@query("SELECT p_partkey, '{\"id\":' || p_partkey || ',\"class\":\"' || p_type || '\",\"label\":' || CASE WHEN p_size > 25 THEN '\"' || p_brand || '\"' ELSE 'null' END || CASE WHEN p_size % 3 = 0 THEN ',\"net\":' || p_size ELSE '' END || '}' AS json FROM part")
+def a05_detection_json(spark, d):
+    must = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_type").alias("class"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("label")), {"ignoreNullFields": "false"})
+    may = F.to_json(F.struct(F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("net")))
+    both = F.when(may == "{}", must).otherwise(F.concat(F.substring(must, F.lit(1), F.length(must) - 1), F.lit(","), F.substring(may, F.lit(2), F.length(may))))
+    return read(spark, d, "part").select("p_partkey", both.alias("json"))
+
+
+HOLDERS = "(SELECT s_suppkey AS s, (s_suppkey * 3 % 55 - 1)::DOUBLE AS a0, (s_suppkey * 7 % 50 - 1)::DOUBLE AS b0, (s_suppkey * 3 % 55 + 12)::DOUBLE AS a1, (s_suppkey * 7 % 50 + 9)::DOUBLE AS b1 FROM supplier)"
+
+
+def holders(spark, d):
+    s = F.col("s_suppkey")
+    a, b = (s * 3 % 55 - 1).cast("double"), (s * 7 % 50 - 1).cast("double")
+    return read(spark, d, "supplier").select(s.alias("s"), a.alias("a0"), b.alias("b0"), (a + 13).alias("a1"), (b + 10).alias("b1"))
+
+
+HELD = ("x0", "y0", "x1", "y1"), ("a0", "b0", "a1", "b1")
+
+
+@query(f"SELECT p_partkey FROM {PART_BOX} p WHERE NOT EXISTS (SELECT 1 FROM {HOLDERS} h WHERE x0 >= a0 AND y0 >= b0 AND x1 <= a1 AND y1 <= b1 AND greatest(x1 - x0, y1 - y0) <= 0.6 * least(a1 - a0, b1 - b0))")
+def c02_not_in_text(spark, d):
+    p = part_boxes(spark, d)
+    inside = F.expr("x0 >= a0 and y0 >= b0 and x1 <= a1 and y1 <= b1 and greatest(x1 - x0, y1 - y0) <= 0.6 * least(a1 - a0, b1 - b0)")
+    return p.join(J.grid_join(p, holders(spark, d), *HELD, 8.0).filter(inside).select("p_partkey").distinct(), "p_partkey", "left_anti").select("p_partkey")
+
+
+@query(f"SELECT p_partkey, min(s) AS region FROM {PART_BOX} p JOIN {HOLDERS} h ON (x0 + x1) / 2 BETWEEN a0 AND a1 AND (y0 + y1) / 2 BETWEEN b0 AND b1 GROUP BY 1")
+def d33_point_in_region(spark, d):
+    p = part_boxes(spark, d).select("p_partkey", F.expr("(x0 + x1) / 2").alias("x"), F.expr("(y0 + y1) / 2").alias("y"))
+    return J.first_by(J.grid_join(p, holders(spark, d), ("x", "y", "x", "y"), HELD[1], 8.0), ["p_partkey"], ["s"]).select("p_partkey", F.col("s").alias("region"))
+
+
+@query(f"""
+SELECT o.p_partkey FROM {PART_BOX} o WHERE EXISTS (SELECT 1 FROM {PART_BOX} q WHERE q.p_brand = o.p_brand AND q.p_partkey <> o.p_partkey AND q.x1 - q.x0 = o.x1 - o.x0
+  AND greatest(q.x0 - o.x1, o.x0 - q.x1, 0) ** 2 + greatest(q.y0 - o.y1, o.y0 - q.y1, 0) ** 2 <= 1.0)""")
+def d35_touching_equal(spark, d):
+    a = part_boxes(spark, d)
+    near = J.grid_join(a, J.renamed(a, "q_", ["p_brand"]), HELD[0], ("q_x0", "q_y0", "q_x1", "q_y1"), 8.0, ["p_brand"], 1.0)
+    apart = F.hypot(F.expr("greatest(q_x0 - x1, x0 - q_x1, 0d)"), F.expr("greatest(q_y0 - y1, y0 - q_y1, 0d)"))
+    return near.filter((apart <= 1.0) & F.expr("p_partkey <> q_p_partkey and q_x1 - q_x0 = x1 - x0")).select("p_partkey").distinct()
+
+
+@query(f"""
+WITH e AS (SELECT p_partkey, s, least(abs(x0 - a0), abs(x0 - a1)) AS gap FROM {PART_BOX}, {HOLDERS} WHERE least(abs(x0 - a0), abs(x0 - a1)) <= 1.6 AND y0 >= b0 AND y0 <= b1)
+SELECT p_partkey, s AS edge_of, gap FROM e QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY gap, s) = 1""")
+def d26_nearest_edge(spark, d):
+    p = part_boxes(spark, d).select("p_partkey", "x0", "y0")
+    near = J.grid_join(p, holders(spark, d), ("x0", "y0", "x0", "y0"), HELD[1], 8.0, reach=1.6).withColumn("gap", F.least(F.abs(F.expr("x0 - a0")), F.abs(F.expr("x0 - a1"))))
+    return J.first_by(near.filter("gap <= 1.6 and y0 >= b0 and y0 <= b1"), ["p_partkey"], ["gap", "s"]).select("p_partkey", F.col("s").alias("edge_of"), "gap")
+
+
+@query("""
+WITH c AS (SELECT p_type, p_brand, avg(p_size) AS a, avg(p_retailprice) / 100 AS b FROM part GROUP BY 1, 2),
+n AS (SELECT c.p_type, c.p_brand, q.p_brand AS near, sqrt((c.a - q.a) ** 2 + (c.b - q.b) ** 2) AS dist FROM c JOIN c q ON c.p_type = q.p_type AND c.p_brand <> q.p_brand)
+SELECT p_type, p_brand, near, round_even(dist, 6) AS dist FROM n QUALIFY row_number() OVER (PARTITION BY p_type, p_brand ORDER BY round_even(dist, 9), near) = 1""")
+def d31_nearest_centroid(spark, d):
+    c = read(spark, d, "part").groupBy("p_type", "p_brand").agg(F.array(F.avg("p_size"), F.avg("p_retailprice") / 100).alias("x"))
+    q = c.select("p_type", F.col("p_brand").alias("near"), F.col("x").alias("y"))
+    dist = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    n = c.join(q, "p_type").filter("p_brand <> near").withColumn("dist", dist).withColumn("_o", F.bround("dist", 9))
+    return J.first_by(n, ["p_type", "p_brand"], ["_o", "near"]).select("p_type", "p_brand", "near", F.bround("dist", 6).alias("dist"))
+
+
+@query("""
+WITH n AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2)
+SELECT c_nationkey, c_mktsegment, n FROM (SELECT *, n / sum(n) OVER (PARTITION BY c_nationkey) AS share FROM n) WHERE share >= 0.2""")
+def e19_usual_pens(spark, d):
+    n = read(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("c_nationkey").agg(F.sum("n").alias("_t"))
+    return n.join(total, "c_nationkey").filter(F.col("n") / F.col("_t") >= 0.2).drop("_t")
+
+
+@query("""
+WITH v AS (SELECT o_custkey, o_orderpriority AS b, count(*) AS n, min(o_orderkey) AS seen FROM orders GROUP BY 1, 2),
+t AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey) AS total FROM v)
+SELECT o_custkey, CASE WHEN n / total >= 0.4 THEN b END AS building FROM t QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, seen) = 1""")
+def e21_region_vote(spark, d):
+    o = read(spark, d, "orders")
+    total = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("_t"))
+    top = A.most_common(o, ["o_custkey"], "o_orderpriority", "o_orderkey").join(total, "o_custkey")
+    return top.select("o_custkey", F.when(F.col("n") / F.col("_t") >= 0.4, F.col("o_orderpriority")).alias("building"))
+
+
+@query("SELECT p_brand, coalesce(median(p_size) FILTER (p_type = 'ECONOMY' AND p_size > 45), 0.25)::DOUBLE AS wall, median(p_size) FILTER (p_type = 'PROMO')::DOUBLE AS thickness FROM part GROUP BY 1")
+def e24_default_median(spark, d):
+    pick = lambda c: F.median(F.when(c, F.col("p_size")))
+    return read(spark, d, "part").groupBy("p_brand").agg(F.coalesce(pick((F.col("p_type") == "ECONOMY") & (F.col("p_size") > 45)), F.lit(0.25)).alias("wall"), pick(F.col("p_type") == "PROMO").alias("thickness"))
+
+
+@query("SELECT p_type AS kind, p_partkey AS id FROM part WHERE p_size > 10 UNION ALL SELECT 'supplier', s_suppkey FROM supplier EXCEPT ALL SELECT 'supplier', c_custkey FROM customer WHERE c_nationkey = 3")
+def h01_union_minus(spark, d):
+    one = read(spark, d, "part").filter("p_size > 10").select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("id"))
+    two = read(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"))
+    gone = read(spark, d, "customer").filter("c_nationkey = 3").select(F.lit("supplier").alias("kind"), F.col("c_custkey").alias("id"))
+    return one.unionByName(two).join(gone, ["kind", "id"], "left_anti")
+
+
+@query("""
+WITH RECURSIVE v AS (SELECT c_nationkey, floor(c_acctbal)::DOUBLE AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY floor(c_acctbal), c_custkey) AS k FROM customer),
+r(c_nationkey, k, last, kept) AS (SELECT c_nationkey, 1::BIGINT, x, TRUE FROM v WHERE k = 1
+  UNION ALL SELECT v.c_nationkey, v.k, CASE WHEN v.x - r.last > 300 THEN v.x ELSE r.last END, v.x - r.last > 300 FROM r JOIN v ON v.c_nationkey = r.c_nationkey AND v.k = r.k + 1)
+SELECT c_nationkey, last AS width FROM r WHERE kept""")
+def f03_accepted_ascending(spark, d):
+    c = read(spark, d, "customer").select("c_nationkey", F.floor("c_acctbal").cast("double").alias("width"))
+    return W.accepted_ascending(c, ["c_nationkey"], "width", 300.0)
+
+
+@query("""
+WITH l AS (SELECT p_partkey AS label_id, (p_partkey * 37 % 2000)::DOUBLE AS x, (p_partkey * 53 % 2000)::DOUBLE AS y, p_size % 3 AS k FROM part),
+o AS (SELECT s_suppkey AS obj_id, (s_suppkey * 71 % 2000)::DOUBLE AS x0, (s_suppkey * 97 % 2000)::DOUBLE AS y0, (s_suppkey * 71 % 2000 + 40 + s_suppkey % 60)::DOUBLE AS x1, (s_suppkey * 97 % 2000 + 20 + s_suppkey % 30)::DOUBLE AS y1, s_nationkey % 3 AS ok FROM supplier),
+e AS (SELECT *, sqrt(greatest(x0 - x, x - x1, 0.0) ** 2 + greatest(y0 - y, y - y1, 0.0) ** 2) AS dist FROM l, o)
+SELECT label_id, obj_id, CASE WHEN k = ok THEN 0.0::DOUBLE WHEN k = 0 THEN 1.0::DOUBLE END AS penalty FROM e WHERE dist < 15""")
+def k22_penalty(spark, d):
+    penalty = F.when(F.col("kind") == F.col("obj_kind"), 0.0).when(F.col("kind") == 0, 1.0)
+    return label_edges(spark, d).select("label_id", "obj_id", penalty.alias("penalty"))
+
+
 # --- assignment, clustering, graph ---------------------------------------------------------------------------------
 
 
