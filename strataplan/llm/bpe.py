@@ -23,8 +23,13 @@ from pyspark.sql import DataFrame
 
 from strataplan.runtime import ship
 
-CACHE_WORDS = 250_000  # remembered words in a worker; all are dropped when full
-LONG = 64  # longer fragments and words are not remembered
+CACHE_WORDS = 400_000  # remembered words in a worker; all are dropped when full
+LONG = 64  # longer fragments merge through a heap
+GROUP_CHARS = 2_000_000  # texts whose new words are encoded together hold about so many characters
+
+_ID_BITS = 24
+_ID = (1 << _ID_BITS) - 1
+_NO_MERGE = 1 << 62
 
 _LATIN_END = 0x180  # below it, letters, digits and blanks are fixed, NFC changes nothing, lower case stays below
 
@@ -70,14 +75,16 @@ class Codec:
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.alphabet = byte_alphabet()
         self.byte_of = {c: b for b, c in self.alphabet.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # Of a pair of ids: its merge's rank and new id in one number, which sorts by rank.
+        self.merges: dict[tuple[int, int], int] = {}
         for rank, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.merges[self.vocab[a], self.vocab[b]] = rank << _ID_BITS | self.vocab[a + b]
         self.inner = [self.vocab[self.alphabet[b]] for b in range(256)]
         self.final = [self.vocab[self.alphabet[b] + self.suffix] for b in range(256)]
         self.joined = self._joined_pairs()
         self.fragments: dict[tuple[bytes, bool], tuple[int, ...]] = {}
+        self.tables = None
         self._split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         kind = "words" if self.suffix else "bytes"
         self._find = _PATTERNS[kind].findall
@@ -121,64 +128,115 @@ class Codec:
     def encode_word(self, word: str) -> list[int]:
         """Cut at certain boundaries, encode the fragments independently, concatenate."""
         b = word.encode("utf-8", "surrogateescape")
-        if not b:
-            return []
+        joined = self.joined
+        cuts = [i for i in range(1, len(b)) if not joined[b[i - 1] << 8 | b[i]]]
+        if not cuts:
+            return self._encode_fragment(b, True) if b else []
         ids: list[int] = []
-        start, joined = 0, self.joined
-        for i in range(1, len(b)):
-            if not joined[b[i - 1] << 8 | b[i]]:
-                ids += self._fragment(b[start:i], False)
-                start = i
-        ids += self._fragment(b[start:], True)
-        return ids
+        start = 0
+        for i in cuts:
+            ids += self._remembered(b[start:i], False)
+            start = i
+        return ids + [*self._remembered(b[start:], True)]
 
-    def _fragment(self, b: bytes, last: bool) -> tuple[int, ...]:
+    def _remembered(self, b: bytes, last: bool) -> tuple[int, ...]:
         found = self.fragments.get((b, last))
         if found is None:
-            ids = [self.inner[x] for x in b]
-            if last:
-                ids[-1] = self.final[b[-1]]
-            found = tuple(self._merge_long(ids) if len(ids) > LONG else self._merge(ids))
+            found = tuple(self._encode_fragment(b, last))
             if len(b) <= LONG:
                 if len(self.fragments) >= CACHE_WORDS:
                     self.fragments.clear()
                 self.fragments[b, last] = found
         return found
 
+    def _encode_fragment(self, b: bytes, last: bool) -> list[int]:
+        ids = [self.inner[x] for x in b]
+        if last:
+            ids[-1] = self.final[b[-1]]
+        return self._merge_long(ids) if len(ids) > LONG else self._merge(ids)
+
     def _merge(self, ids: list[int]) -> list[int]:
         """Merge the leftmost pair of the lowest rank until none is left."""
-        merges = self.merges
-        while len(ids) > 1:
-            best, at = None, 0
-            for i in range(len(ids) - 1):
-                m = merges.get((ids[i], ids[i + 1]))
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, i
-            if best is None:
+        get = self.merges.get
+        order = [get(pair, _NO_MERGE) for pair in zip(ids, ids[1:])]
+        while order:
+            best = min(order)
+            if best == _NO_MERGE:
                 break
-            ids[at : at + 2] = [best[1]]
+            i = order.index(best)
+            ids[i] = best & _ID
+            del ids[i + 1], order[i]
+            if i:
+                order[i - 1] = get((ids[i - 1], ids[i]), _NO_MERGE)
+            if i < len(order):
+                order[i] = get((ids[i], ids[i + 1]), _NO_MERGE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list."""
-        merges, n = self.merges, len(ids)
+        get, n = self.merges.get, len(ids)
         nxt, prv = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = nxt[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = m & _ID, -1
             nxt[i] = nxt[j]
             if nxt[i] >= 0:
                 prv[nxt[i]] = i
             for left, right in ((prv[i], i), (i, nxt[i])):
-                if left >= 0 and right >= 0 and (m := merges.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (m[0], left, ids[left], ids[right], m[1]))
+                if left >= 0 and right >= 0 and (m := get((ids[left], ids[right]))) is not None:
+                    heapq.heappush(heap, (m, left, ids[left], ids[right]))
         return [x for x in ids if x >= 0]
 
+    def encode_words(self, words: list[str]):
+        """Ids of many words at once, end to end, and where each word's ids start (one more at the end).
+
+        All words stand in one buffer, which is cut at word starts and at certain boundaries; fragments of equal length
+        merge in step, a row each.
+        """
+        import numpy as np
+
+        raw = [w.encode("utf-8", "surrogateescape") for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum(sizes)
+        if self.tables is None:
+            self.tables = self._as_arrays()
+        inner, final, joined, pairs, merged = self.tables
+        ids = inner[data]
+        closing = ends[sizes > 0] - 1
+        ids[closing] = final[data[closing]]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = joined[data[:-1].astype(np.int64) << 8 | data[1:]] == 0 if len(data) else False
+        cut[ends], cut[0] = True, True
+        starts = np.flatnonzero(cut[:-1]) if len(data) else np.empty(0, np.int64)
+        lengths = np.diff(np.append(starts, len(data)))
+        for n in np.unique(lengths).tolist():
+            at = starts[lengths == n]
+            if n > LONG:
+                for i in at.tolist():
+                    got = self._merge_long(ids[i : i + n].tolist())
+                    ids[i : i + n] = [*got, *[-1] * (n - len(got))]
+            elif n > 1:
+                for i in range(0, len(at), 4096):
+                    place = at[i : i + 4096, None] + np.arange(n)
+                    ids[place] = _merge_in_step(ids[place], pairs, merged)
+        kept = ids >= 0
+        before = np.concatenate(([0], np.cumsum(kept)))
+        return ids[kept], before[np.concatenate(([0], ends))]
+
+    def _as_arrays(self):
+        import numpy as np
+
+        keys = np.array([a << _ID_BITS | b for a, b in self.merges], np.int64)
+        values = np.array(list(self.merges.values()), np.int64)
+        order = np.argsort(keys)
+        return np.array(self.inner, np.int64), np.array(self.final, np.int64), np.frombuffer(self.joined, np.uint8), keys[order], values[order]
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for words, special in self.pieces(text):
@@ -197,33 +255,81 @@ class Codec:
         return out.decode("utf-8", "replace")
 
 
+def _merge_in_step(rows, pairs, merged):
+    """Each row's ids after all merges, left-aligned, -1 behind. In a round every row makes its lowest merge (the
+    leftmost of equals) and so loses one id; rows without a merge are done."""
+    import numpy as np
+
+    def order_of(left, right):
+        key = left << _ID_BITS | right
+        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        return np.where(pairs[at] == key, merged[at], _NO_MERGE)
+
+    out = np.full(rows.shape, -1, np.int64)
+    live = np.arange(len(rows))
+    order = order_of(rows[:, :-1], rows[:, 1:])
+    while len(live):
+        n = rows.shape[1]
+        best = order.argmin(1) if n > 1 else np.zeros(len(rows), np.int64)
+        lowest = order[np.arange(len(rows)), best] if n > 1 else np.full(len(rows), _NO_MERGE)
+        done = lowest == _NO_MERGE
+        if done.any():
+            out[live[done], :n] = rows[done]
+            go = ~done
+            live, rows, order, best, lowest = live[go], rows[go], order[go], best[go], lowest[go]
+            if not len(live):
+                break
+        k = np.arange(len(live))
+        rows[k, best] = lowest & _ID
+        keep = np.ones(rows.shape, bool)
+        keep[k, best + 1] = False
+        rows = rows[keep].reshape(len(live), n - 1)
+        keep = np.ones(order.shape, bool)
+        keep[k, best] = False
+        order = order[keep].reshape(len(live), n - 2)
+        left = best > 0
+        order[k[left], best[left] - 1] = order_of(rows[k[left], best[left] - 1], rows[k[left], best[left]])
+        right = best < n - 2
+        order[k[right], best[right]] = order_of(rows[k[right], best[right]], rows[k[right], best[right] + 1])
+    return out
+
+
 class Remembered:
-    """Per-word forms of one codec, kept across a worker's tasks: word -> made(ids)."""
-
-    def __init__(self, codec: Codec, *made):
-        self.codec, self.made = codec, made
-        self.maps: list[dict] = [{} for _ in made]
-
-    def of(self, words: list[str]) -> list[list]:
-        """For each form, its value for every word in order."""
-        first = self.maps[0]
-        fresh = {}
-        for w in set(words).difference(first):
-            ids = self.codec.encode_word(w)
-            values = [f(ids) for f in self.made]
-            if len(w) > LONG:
-                fresh[w] = values
-            else:
-                for m, v in zip(self.maps, values):
-                    m[w] = v
+    """word -> made(ids) of one codec, kept across a worker's tasks. Unknown words of many texts are encoded together."""
+
+    def __init__(self, codec: Codec, made):
+        self.codec, self.made, self.known = codec, made, {}
+
+    def learn(self, runs: list[list[str]]) -> None:
+        words = set().union(*runs)
+        fresh = list(words.difference(self.known))
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.known, fresh = {}, list(words)
         if fresh:
-            out = [[m[w] if w in m else fresh[w][k] for w in words] for k, m in enumerate(self.maps)]
-        else:
-            out = [[*map(m.__getitem__, words)] for m in self.maps]
-        if len(first) > CACHE_WORDS:
-            for m in self.maps:
-                m.clear()
-        return out
+            ids, at = self.codec.encode_words(fresh)
+            self.known.update(zip(fresh, self.made(ids, at.tolist())))
+
+    def of(self, words: list[str]) -> list:
+        return [*map(self.known.__getitem__, words)]
+
+
+def in_groups(forms: Remembered, texts):
+    """Each text's pieces (forms of its words, special token), texts of GROUP_CHARS at a time."""
+    held, size = [], 0
+
+    def flush():
+        forms.learn([words for pieces in held for words, _ in pieces])
+        for pieces in held:
+            yield [(forms.of(words), special) for words, special in pieces]
+
+    for t in texts:
+        text = t.as_py() or ""
+        held.append(forms.codec.pieces(text))
+        size += len(text)
+        if size >= GROUP_CHARS:
+            yield from flush()
+            held, size = [], 0
+    yield from flush()
 
 
 @lru_cache(maxsize=4)
@@ -234,7 +340,13 @@ def codec(path: str) -> Codec:
 @lru_cache(maxsize=4)
 def _digest_forms(path: str) -> Remembered:
     c = codec(path)
-    return Remembered(c, lambda ids: " ".join(map(str, ids)), lambda ids: " ".join(c.token[i] for i in ids))
+
+    def made(ids, at):
+        ids = ids.tolist()
+        for i, j in zip(at, at[1:]):
+            yield " ".join(map(str, ids[i:j])), " ".join([c.token[x] for x in ids[i:j]])
+
+    return Remembered(c, made)
 
 
 def public_path(name: str) -> str:
@@ -279,13 +391,11 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """Encode and decode each text; token count and digests of ids and decoded text."""
     ship(docs.sparkSession)
 
-    def one(text: str) -> tuple[int, str, str]:
-        forms, c = _digest_forms(path), codec(path)
+    def one(c: Codec, pieces) -> tuple[int, str, str]:
         ids, tokens = [], []
-        for words, special in c.pieces(text):
-            a, b = forms.of(words)
-            ids += a
-            tokens += b
+        for forms, special in pieces:
+            ids += [a for a, _ in forms]
+            tokens += [b for _, b in forms]
             if special is not None:
                 ids.append(str(special))
                 tokens.append(c.token[special])
@@ -297,8 +407,9 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         import pyarrow as pa
 
+        c, forms = codec(path), _digest_forms(path)
         for b in batches:
-            rows = [one(t.as_py() or "") for t in b.column(1)]
+            rows = [one(c, pieces) for pieces in in_groups(forms, b.column(1))]
             n, i, d = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

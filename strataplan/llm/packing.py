@@ -18,7 +18,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataplan.llm.bpe import Remembered, codec, public_path
+from strataplan.llm.bpe import Remembered, codec, in_groups, public_path
 from strataplan.runtime import numbered, save, ship
 
 CAPACITY = 1024
@@ -30,9 +30,12 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 @lru_cache(maxsize=4)
 def _word_bytes(path: str) -> Remembered:
-    import numpy as np
+    def made(ids, at):
+        raw = ids.astype("<u4").tobytes()
+        for i, j in zip(at, at[1:]):
+            yield raw[4 * i : 4 * j]
 
-    return Remembered(codec(path), lambda ids: np.array(ids, "<u4").tobytes())
+    return Remembered(codec(path), made)
 
 
 def cut(n: int, capacity: int = CAPACITY, min_cut: int = MIN_CUT) -> list[int]:
@@ -49,10 +52,10 @@ def cut(n: int, capacity: int = CAPACITY, min_cut: int = MIN_CUT) -> list[int]:
 def tokenised_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     ship(docs.sparkSession)
 
-    def ids_of(text: str) -> bytes:
-        forms, c, parts = _word_bytes(path), codec(path), []
-        for words, special in c.pieces(text):
-            parts += forms.of(words)[0]
+    def ids_of(pieces) -> bytes:
+        parts = []
+        for words, special in pieces:
+            parts += words
             if special is not None:
                 parts.append(special.to_bytes(4, "little"))
         parts.append(CLOSING_ID.to_bytes(4, "little"))
@@ -61,10 +64,11 @@ def tokenised_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches):
         import pyarrow as pa
 
+        forms = _word_bytes(path)
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for d, t in zip(b.column(0), b.column(1)):
-                doc, ids = d.as_py(), ids_of(t.as_py() or "")
+            for d, pieces in zip(b.column(0), in_groups(forms, b.column(1))):
+                doc, ids = d.as_py(), ids_of(pieces)
                 n, at = len(ids) // 4, 0
                 for size in cut(n):
                     for col, v in zip(cols, (doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n)):

@@ -27,6 +27,14 @@ def test_codec_equals_library(name, document_rows, odd_rows):
         assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_words_in_step_equal_words_alone(name, document_rows, odd_rows):
+    own = bpe.codec(bpe.public_path(name))
+    words = sorted({w for _, t in document_rows + odd_rows for run, _ in own.pieces(t or "") for w in run}) + ["", "q" * 100, "zqx" * 40]
+    ids, at = own.encode_words(words)
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [own.encode_word(w) for w in words]
+
+
 def test_cuts_are_forced():
     own = bpe.codec(bpe.public_path(NAMES[0]))
     for token in list(own.vocab)[:5000]:
