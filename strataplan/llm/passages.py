@@ -7,7 +7,8 @@ on the input.
    windows lie in stretches with equal smallest hash, so stretches meet in buckets by that hash. Stretches with equal
    content are settled there (all but those of the smallest doc_id go); within a map task that is done before the
    shuffle. A hash with one content needs nothing more.
-2. Index. Where one hash has several contents, the bytes of the first occurrences are fetched and meet in cells. A cell
+2. Index. Where one hash has several contents that also agree in the REACH bytes left or right of the hashed ones (any
+   common window holds one of the two), the bytes of the first occurrences are fetched and meet in cells. A cell
    sorts their suffixes, keeps the run-compressed Burrows-Wheeler transform (runs also end where the SPAN-byte context
    changes) with each run's LF base and the sample taken at run ends, among them the smallest doc_id of the context, and
    drops the suffix array. Every text is then streamed through it from its end, one LF step a byte, all texts of the
@@ -15,7 +16,7 @@ on the input.
    A hash with more than HOT contents is dealt by single windows instead, so no cell grows with it.
 3. Marks are joined to the texts, which are cut.
 
-Identity of stretches rests on 104 bits of two independent hashes; cells compare bytes. One task of step 1 holds, for a
+Identity of stretches rests on 96 bits of two independent hashes; cells compare bytes. One task of step 1 holds, for a
 passage that stands in n different surroundings, n records of about 20 bytes.
 
 Defined results: null text counts as empty; a row with a null doc_id keeps all its bytes and removes none elsewhere;
@@ -34,19 +35,32 @@ from strataplan.runtime import release, save, ship, whole
 
 SPAN = 50
 K = 16
-BUCKET_BYTES = 8 << 20  # text per bucket of sampled stretches
+REACH = (SPAN - K) // 2  # of the bytes around the hashed ones, a window has so many on one side at least
+BUCKET_BYTES = 16 << 20  # text per bucket of sampled stretches
 PART_BYTES = 4 << 20  # text per part that is cut at once
-FLUSH_BYTES = 16 << 20  # text whose stretches leave a map task together
+FLUSH_BYTES = 8 << 20  # text whose stretches leave a map task together
 CELL_BYTES = 1 << 20  # bytes per cell that is indexed
-LONGEST = 200  # windows in a stretch, so that its bytes count in one byte
 HOT = 20_000  # contents of one hash beyond which windows are dealt singly
 
-_M_BITS, _S_BITS = 56, 48
+_POSITION_BITS, _HASH_BITS = 16, 48
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def stretches(data):
-    """start, end, smallest hash and content hash of each stretch of windows with one smallest K-byte hash."""
+    """``stretches_of`` a text, a number of windows at a time whose places fit the bits they have."""
+    import numpy as np
+
+    step = (1 << _POSITION_BITS) - SPAN
+    parts = []
+    for lo in range(0, max(1, len(data) - SPAN + 1), step):
+        starts, ends, *rest = stretches_of(data[lo : lo + step + SPAN - 1])
+        parts.append((starts + lo, ends + lo, *rest))
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
+def stretches_of(data):
+    """start, end, smallest hash, content hash, and a byte each for the bytes left and right of the hashed ones (0
+    where the stretch does not reach that far), for each stretch of windows with one smallest K-byte hash."""
     import numpy as np
 
     from strataplan.llm.shingles import RangeHash, mix
@@ -54,23 +68,27 @@ def stretches(data):
     n = len(data)
     if n < SPAN:
         none = np.empty(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint8), none.astype(np.uint8)
     ranges = RangeHash(data)
     at = np.arange(n - K + 1)
-    low, reach, width = ranges.of(at, at + K), 1, SPAN - K + 1
+    mask = np.uint64((1 << _POSITION_BITS) - 1)
+    # Hash above, place below: the smallest says where it stands; equal hashes make stretches of their own.
+    low, reach, width = (ranges.of(at, at + K) & ~mask) | (at.astype(np.uint64) & mask), 1, SPAN - K + 1
     while 2 * reach <= width:
         low = np.minimum(low[:-reach], low[reach:])
         reach *= 2
     if reach < width:
         low = np.minimum(low[: len(low) - (width - reach)], low[width - reach :])
     starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-    windows = np.diff(np.append(starts, len(low)))
-    if windows.max() > LONGEST:  # periodic text: one smallest hash over many windows, told apart by content all the same
-        pieces = -(-windows // LONGEST)
-        starts = np.repeat(starts, pieces) + LONGEST * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     ends = np.append(starts[1:], len(low)) + SPAN - 1
+    place = starts + ((low[starts] & mask).astype(np.int64) - starts & int(mask))
+    sides = []
+    for lo, hi in ((place - REACH, place), (place + K, place + K + REACH)):
+        there = (lo >= starts) & (hi <= ends)
+        code = ranges.of(np.where(there, lo, 0), np.where(there, hi, 0)) % np.uint64(255) + np.uint64(1)
+        sides.append(np.where(there, code, 0).astype(np.uint8))
     content = mix(ranges.of(starts, ends) + np.uint64(0x5851F42D4C957F2D))
-    return starts, ends, low[starts] >> np.uint64(64 - _M_BITS), content >> np.uint64(64 - _S_BITS)
+    return starts, ends, low[starts] >> np.uint64(64 - _HASH_BITS), content >> np.uint64(64 - _HASH_BITS), *sides
 
 
 def _pack(*arrays) -> bytes:
@@ -94,11 +112,48 @@ def _unpack(blobs, dtypes):
     return [np.concatenate(p) if p else np.empty(0, t) for p, t in zip(parts, dtypes)]
 
 
-#: smallest hash (7 bytes) and content hash (6), as bytes; document of the blob; start; length
 _MARK = ("<i8", "<i8", "<i4", "<i4")  # doc_id, row key, start, end
 _WANT = ("<i8", "<i8", "<i4", "<i4", "<u8", "<i1")  # the same, smallest hash, hot
 
 
+def _squeeze(*arrays) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+
+
+def _by_document(doc, key, start):
+    """Distinct (doc, key), rows of each, and the rows' order by them and start."""
+    import numpy as np
+
+    order = np.lexsort((start, key, doc))
+    d, k = doc[order], key[order]
+    new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1]))))
+    return d[new], k[new], np.diff(np.append(new, len(d))), order
+
+
+def _marks(doc, key, start, end) -> bytes:
+    """Intervals in document order, as steps, compressed."""
+    import numpy as np
+
+    d, k, counts, order = _by_document(doc, key, start)
+    s, e = start[order].astype("<i4"), end[order].astype("<i4")
+    head = np.array([len(d), len(s)], "<i8").tobytes()
+    return head + _squeeze(np.diff(d, prepend=0).astype("<i8"), k.astype("<i4"), counts.astype("<i4"), np.diff(s, prepend=0).astype("<i4"), (e - s).astype("<i4"))
+
+
+def _read_marks(blob: bytes):
+    import numpy as np
+
+    docs, n = np.frombuffer(blob, "<i8", 2).tolist()
+    raw = _unzip(blob[16:])
+    d = np.cumsum(np.frombuffer(raw, "<i8", docs))
+    k = np.frombuffer(raw, "<i4", docs, 8 * docs).astype(np.int64)
+    counts = np.frombuffer(raw, "<i4", docs, 12 * docs)
+    s = np.cumsum(np.frombuffer(raw, "<i4", n, 16 * docs), dtype=np.int32)
+    return np.repeat(d, counts), np.repeat(k, counts), s, s + np.frombuffer(raw, "<i4", n, 16 * docs + 4 * n)
+
+
 def _bytes_of(values, size: int):
     import numpy as np
 
@@ -113,30 +168,46 @@ def _back(raw, size: int):
     return out.view("<u8").ravel()
 
 
-def _records(m, s, doc, key, start, size) -> bytes:
-    """Records in document order; each document's id and key once."""
+def _records(m, s, left, right, doc, key, start, size) -> bytes:
+    """Records in document order: hashes as they are, the rest as compressed steps."""
     import numpy as np
 
-    pairs, which = np.unique(np.stack([doc, key]), axis=1, return_inverse=True)
-    which = which.ravel()
-    order = np.lexsort((start, which))
-    counts = np.bincount(which, minlength=pairs.shape[1]).astype("<i4")
-    head = np.array([len(order), pairs.shape[1]], "<i8").tobytes()
-    return head + pairs.astype("<i8").tobytes() + counts.tobytes() + _bytes_of(m[order], 7).tobytes() + _bytes_of(s[order], 6).tobytes() + start[order].astype("<i4").tobytes() + size[order].astype("<u1").tobytes()
+    d, k, counts, order = _by_document(doc, key, start)
+    steps = _squeeze(np.diff(d, prepend=0).astype("<i8"), counts.astype("<i4"), np.diff(start[order], prepend=0).astype("<i4"), size[order].astype("<u1"))
+    head = np.array([len(d), len(order), len(steps)], "<i8").tobytes()
+    return head + k.astype("<i4").tobytes() + _bytes_of(m[order], 6).tobytes() + _bytes_of(s[order], 6).tobytes() + left[order].tobytes() + right[order].tobytes() + steps
 
 
 def _read_records(blob):
+    """m, s, left, right, doc, key, start, size."""
     import numpy as np
 
-    n, docs = np.frombuffer(blob, "<i8", 2).tolist()
-    at = 16
-    pairs = np.frombuffer(blob, "<i8", 2 * docs, at).reshape(2, docs)
-    at += 16 * docs
-    counts = np.frombuffer(blob, "<i4", docs, at)
+    docs, n, _ = np.frombuffer(blob, "<i8", 3).tolist()
+    at = 24
+    k = np.frombuffer(blob, "<i4", docs, at).astype(np.int64)
     at += 4 * docs
-    m, s = _back(blob[at : at + 7 * n], 7), _back(blob[at + 7 * n : at + 13 * n], 6)
-    at += 13 * n
-    return m, s, np.repeat(pairs[0], counts), np.repeat(pairs[1], counts), np.frombuffer(blob, "<i4", n, at), np.frombuffer(blob, "<u1", n, at + 4 * n)
+    m, s = _back(blob[at : at + 6 * n], 6), _back(blob[at + 6 * n : at + 12 * n], 6)
+    at += 12 * n
+    left, right = np.frombuffer(blob, np.uint8, n, at), np.frombuffer(blob, np.uint8, n, at + n)
+    raw = _unzip(blob[at + 2 * n :])
+    d = np.cumsum(np.frombuffer(raw, "<i8", docs))
+    counts = np.frombuffer(raw, "<i4", docs, 8 * docs)
+    start = np.cumsum(np.frombuffer(raw, "<i4", n, 12 * docs), dtype=np.int32)
+    return m, s, left, right, np.repeat(d, counts), np.repeat(k, counts), start, np.frombuffer(raw, "<u1", n, 12 * docs + 4 * n)
+
+
+def _told_apart(m, side, content):
+    """Rows whose (m, side) is shared by several contents; side 0 is shared with nothing. Rows are sorted by m."""
+    import numpy as np
+
+    order = np.lexsort((content, side, m))
+    mm, ss, cc = m[order], side[order], content[order]
+    new = np.concatenate(([True], (mm[1:] != mm[:-1]) | (ss[1:] != ss[:-1])))
+    edges = np.flatnonzero(new)
+    several = np.maximum.reduceat(cc, edges) != np.minimum.reduceat(cc, edges)
+    out = np.zeros(len(m), bool)
+    out[order] = np.repeat(several, np.diff(np.append(edges, len(m)))) & (ss > 0)
+    return out
 
 
 def _settled(m, s, doc):
@@ -168,13 +239,13 @@ def sampled(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
     def flush(held):
         import numpy as np
 
-        m, s, doc, key, start, size = (np.concatenate(x) for x in zip(*held))
+        m, s, left, right, doc, key, start, size = (np.concatenate(x) for x in zip(*held))
         order, _, first = _settled(m, s, doc)
         gone, kept = order[~first], order[first]
         for part, cols in _by(key[gone] % parts, doc[gone], key[gone], start[gone].astype("<i4"), (start[gone] + size[gone]).astype("<i4")):
-            yield part % buckets, part, _pack(*cols)
-        m, s, doc, key, start, size = (x[kept] for x in (m, s, doc, key, start, size))
-        for bucket, cols in _by((m % np.uint64(buckets)).astype(np.int64), m, s, doc, key, start, size):
+            yield part % buckets, part, _marks(*cols)
+        m, s, left, right, doc, key, start, size = (x[kept] for x in (m, s, left, right, doc, key, start, size))
+        for bucket, cols in _by((m % np.uint64(buckets)).astype(np.int64), m, s, left, right, doc, key, start, size):
             yield bucket, -1, _records(*cols)
 
     def table(rows):
@@ -190,9 +261,9 @@ def sampled(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
         for b in batches:
             for doc, key, text in zip(b.column(0), b.column(1), b.column(2)):
                 data = np.frombuffer(text.as_buffer(), np.uint8) if text.as_buffer().size else np.empty(0, np.uint8)
-                starts, ends, m, s = stretches(data)
+                starts, ends, m, s, left, right = stretches(data)
                 if len(starts):
-                    held.append((m, s, np.full(len(starts), doc.as_py()), np.full(len(starts), key.as_py()), starts, ends - starts))
+                    held.append((m, s, left, right, np.full(len(starts), doc.as_py()), np.full(len(starts), key.as_py()), starts, ends - starts))
                     size += len(data)
                 if size >= FLUSH_BYTES:
                     yield table(list(flush(held)))
@@ -215,24 +286,26 @@ def resolve(records: DataFrame, parts: int) -> DataFrame:
         for part, data in zip(table["part"].to_pylist(), table["data"]):
             if part >= 0:
                 raw = data.as_py()
-                out.append((part, 0, int.from_bytes(raw[:8], "little"), raw))
+                out.append((part, 0, int.from_bytes(raw[8:16], "little"), raw))
             else:
                 blobs.append(data.as_buffer().to_pybytes())
         if blobs:
-            m, s, doc, key, start, size = (np.concatenate(x) for x in zip(*map(_read_records, blobs)))
+            m, s, left, right, doc, key, start, size = (np.concatenate(x) for x in zip(*map(_read_records, blobs)))
             del blobs
             order, new, first = _settled(m, s, doc)
-            m, doc, key, start = m[order], doc[order], key[order], start[order]
+            m, left, right, doc, key, start = (x[order] for x in (m, left, right, doc, key, start))
             end = start + size[order]
-            for part, cols in _by(key[~first] % parts, doc[~first], key[~first], start[~first], end[~first].astype("<i4")):
-                out.append((part, 0, len(cols[0]), _pack(*cols)))
+            for part, cols in _by(key[~first] % parts, doc[~first], key[~first], start[~first], end[~first]):
+                out.append((part, 0, len(cols[0]), _marks(*cols)))
             # Contents of each hash, and whether they begin in more than one document.
             edges = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
             contents = np.add.reduceat(new.astype(np.int64), edges)
             lows = np.where(first, doc, np.iinfo(np.int64).min)
             differ = np.maximum.reduceat(lows, edges) > np.minimum.reduceat(doc, edges)
             rows = np.diff(np.append(edges, len(m)))
-            want = np.repeat((contents > 1) & differ, rows) & first
+            content = np.cumsum(new)
+            alike = _told_apart(m, left, content) | _told_apart(m, right, content)
+            want = np.repeat((contents > 1) & differ, rows) & first & alike
             hot = np.repeat(contents > HOT, rows)
             for part, cols in _by(key[want] % parts, doc[want], key[want], start[want], end[want].astype("<i4"), m[want].astype("<u8"), hot[want].astype("<i1")):
                 out.append((part, 1, len(cols[0]), _pack(*cols)))
@@ -424,8 +497,14 @@ def indexed(contents: DataFrame, parts: int) -> DataFrame:
         moved = np.repeat(offset[order] - (np.cumsum(sizes[order]) - sizes[order]), sizes[order]) + np.arange(len(body))
         doc, key, start, sizes = doc[order], key[order], start[order], sizes[order]
         text, place = RunIndex(body[moved], sizes, doc).covered(doc)
-        at = (start[text] + place).astype("<i4")
-        out = [(part, _pack(*cols)) for part, cols in _by(key[text] % parts, doc[text], key[text], at, (at + SPAN).astype("<i4"))]
+        # Places that follow each other in a text are one interval.
+        order = np.lexsort((place, text))
+        text, place = text[order], place[order]
+        new = np.concatenate(([True], (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1))) if len(text) else np.empty(0, bool)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(text)) - 1
+        text, lo, hi = text[first], place[first], place[last] + SPAN
+        out = [(part, _marks(*cols)) for part, cols in _by(key[text] % parts, doc[text], key[text], start[text] + lo, start[text] + hi)]
         part, data = zip(*out) if out else ((), ())
         return pa.table([pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
 
@@ -440,7 +519,8 @@ def cut_texts(docs: DataFrame, marks: DataFrame, parts: int, with_text: bool = F
         import numpy as np
         import pyarrow as pa
 
-        doc, key, start, end = _unpack((x.as_py() for x in right["data"]), _MARK)
+        marks = [_read_marks(x.as_py()) for x in right["data"]]
+        doc, key, start, end = (np.concatenate(x) for x in zip(*marks)) if marks else (np.empty(0, np.int64),) * 4
         order = np.lexsort((start, key, doc))
         doc, key, start, end = doc[order], key[order], start[order], end[order]
         edges = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))) if len(doc) else np.empty(0, np.int64)
@@ -477,7 +557,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    rows = rows.withColumn("_key", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("_key", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0x7FFFFFFF)))  # tells rows of one doc_id apart
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets, parts = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // PART_BYTES))
 
