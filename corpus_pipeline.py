@@ -19,6 +19,8 @@ from strataplan.llm.packing import packed
 from strataplan.llm.secrets import redacted
 from strataplan.runtime import save
 
+NEAR = (80, 100)  # of the shingles of two near duplicates, so many are in both
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identifiable language go."""
@@ -32,7 +34,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest doc_id stays."""
-    return drop_near_copies(docs)
+    return drop_near_copies(docs, at_least=NEAR)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

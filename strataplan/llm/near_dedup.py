@@ -1,6 +1,6 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Texts become sets of 5-word shingles; texts with equal sets are one node. The minima of BANDS x ROWS hash functions are
+Texts become sets of 5-word shingles; texts with equal sets are one node. The minima of bands x ROWS hash functions are
 banded; nodes that share a band meet in its bucket. Nodes that meet others get signatures of HASHES minima, a byte
 each, and pairs are compared a batch of them at a time: they leave when the posterior probability that their
 similarity reaches the threshold (uniform prior) falls under MISS. Survivors are verified exactly on their full sets.
@@ -11,7 +11,8 @@ meet, in blocks of BLOCK x BLOCK nodes; a pair counts in the first band it share
 likeliest partner of a node in each other component is verified, and then, between what is still apart, all. So a
 large group of near copies costs its size, not its square, and a hot bucket is spread over blocks.
 
-A pair at the threshold shares no band with probability (1 - 0.85**5)**24 < 1e-6.
+The threshold is the caller's. A pair at it shares no band with probability under NO_BAND: 24 bands at 85/100, the
+contract of op8, where (1 - 0.85**5)**24 < 1e-6, and 35 at 80/100, which the pipeline takes.
 
 Defined results: null text counts as empty; empty sets link with nothing, so such rows stay alone; fewer than 5 words
 are one shingle; rows with a null doc_id join components but never name one that has a number; repeated rows are one
@@ -22,7 +23,7 @@ than the two named are ignored.
 from __future__ import annotations
 
 from functools import lru_cache
-from math import comb
+from math import ceil, comb, log, log1p
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ from strataplan.runtime import save, ship, text_key, without
 
 WORDS = 5
 THRESHOLD = (85, 100)
-BANDS, ROWS = 24, 5
+ROWS = 5
+NO_BAND = 1e-6
 HASHES = 512
 BATCH = 64
 MISS = 1e-7
@@ -42,6 +44,11 @@ _NO_ID = -(1 << 63)
 SIGNED = "doc_id long, text_key long, n_shingles long, node binary, bands array<long>"
 
 
+def bands_at(at_least: tuple[int, int]) -> int:
+    """The fewest bands of ROWS minima of which a pair at the threshold shares none with probability under NO_BAND."""
+    return ceil(log(NO_BAND) / log1p(-((at_least[0] / at_least[1]) ** ROWS)))
+
+
 @lru_cache
 def thresholds(batch: int = BATCH, total: int = HASHES, miss: float = MISS, at_least: tuple[int, int] = THRESHOLD) -> list[tuple[int, int]]:
     """(hashes compared, fewest matches to go on): below, P(similarity >= threshold | matches) < miss.
@@ -97,8 +104,8 @@ def band_keys(sig):
 
     from strataplan.llm.shingles import mix
 
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for part in sig.reshape(BANDS, ROWS).T:
+    key = np.arange(1, len(sig) // ROWS + 1, dtype=np.uint64)
+    for part in sig.reshape(-1, ROWS).T:
         key = mix(key * np.uint64(0x100000001B3) + part)
     return key.view(np.int64)
 
@@ -109,9 +116,10 @@ def _node(hashes) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Set size, node (digest of the set) and band keys of every row; null beyond the size where empty."""
     ship(docs.sparkSession)
+    functions = bands_at(at_least) * ROWS
 
     def run(batches):
         import pyarrow as pa
@@ -124,20 +132,20 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 h = shingle_set(t.as_py() or b"", WORDS)
                 n.append(len(h))
                 node.append(_node(h) if len(h) else None)
-                bands.append(band_keys(minima(h, BANDS * ROWS)) if len(h) else None)
+                bands.append(band_keys(minima(h, functions)) if len(h) else None)
             cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "node", "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col), F.col(text_col).cast("binary").alias("_t")).mapInArrow(run, SIGNED)
 
 
-def _posterior(a, b):
+def _posterior(a, b, at_least: tuple[int, int]):
     """Which rows of two signature matrices stay after every batch, and their matches."""
     import numpy as np
 
     alive, done = np.arange(len(a)), 0
     matches = np.zeros(len(a), np.int64)
-    for n, least in thresholds():
+    for n, least in thresholds(at_least=at_least):
         matches[alive] += (a[alive, done:n] == b[alive, done:n]).sum(1)
         alive, done = alive[matches[alive] >= least], n
     return alive, matches[alive]
@@ -149,7 +157,7 @@ def _signatures(column):
     return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), HASHES)
 
 
-def prune(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def prune(pairs: DataFrame, sets: DataFrame, at_least: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Pairs (a, b) that the sequential comparison of signatures leaves."""
     left = sets.select(F.col("node").alias("a"), F.col("signature").alias("_sa"))
     right = sets.select(F.col("node").alias("b"), F.col("signature").alias("_sb"))
@@ -157,7 +165,7 @@ def prune(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield batch.take(_as_index(_posterior(_signatures(batch.column(2)), _signatures(batch.column(3)))[0])).select(["a", "b"])
+                yield batch.take(_as_index(_posterior(_signatures(batch.column(2)), _signatures(batch.column(3)), at_least)[0])).select(["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_sa", "_sb").mapInArrow(run, "a binary, b binary")
 
@@ -168,7 +176,7 @@ def _as_index(rows):
     return pa.array(rows, pa.int64())
 
 
-def across_components(members: DataFrame, likeliest: bool) -> DataFrame:
+def across_components(members: DataFrame, likeliest: bool, at_least: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Pairs of different components in one bucket that pass the signatures, each in its first shared band.
 
     members: key, band, node, root, bands, signature. ``likeliest``: of a node's partners in one other component only
@@ -189,7 +197,7 @@ def across_components(members: DataFrame, likeliest: bool) -> DataFrame:
         nodes, names = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)
         roots, nodes = names, table["node"].to_pylist()
         sigs, chunk, band = _signatures(table["signature"]), table["_chunk"].to_numpy(), table["band"][0].as_py()
-        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(nodes), BANDS)
+        keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         first, second = [], []
         for k, x in enumerate(left):
@@ -197,7 +205,7 @@ def across_components(members: DataFrame, likeliest: bool) -> DataFrame:
             others = others[roots[others] != roots[x]]
             if not len(others):
                 continue
-            at, matches = _posterior(np.broadcast_to(sigs[x], (len(others), HASHES)), sigs[others])
+            at, matches = _posterior(np.broadcast_to(sigs[x], (len(others), HASHES)), sigs[others], at_least)
             kept = others[at]
             if band and len(kept):
                 new = ~(keys[kept, :band] == keys[x, :band]).any(1)
@@ -235,7 +243,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
     return found.mapInArrow(run, "node binary, signature binary, packed binary").dropDuplicates(["node"])
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, at_least: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Links (u, v): pairs whose full sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("packed").alias("_pa"))
     right = sets.select(F.col("node").alias("b"), F.col("packed").alias("_pb"))
@@ -255,16 +263,16 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     last = [a, shingle_set(unpack(x.as_py()), WORDS)]
                 other = shingle_set(unpack(y.as_py()), WORDS)
                 both = len(np.intersect1d(last[1], other, assume_unique=True))
-                if THRESHOLD[1] * both >= THRESHOLD[0] * (len(last[1]) + len(other) - both):
+                if at_least[1] * both >= at_least[0] * (len(last[1]) + len(other) - both):
                     kept.append(k)
             yield batch.take(_as_index(kept)).select(["a", "b"]).rename_columns(["u", "v"])
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "_pa", "_pb").mapInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, text_key (hash of the text as it stands)."""
-    rows = save(signed(docs, id_col, text_col), "signatures")
+    rows = save(signed(docs, id_col, text_col, at_least), "signatures")
     filled = rows.filter("node is not null")
     classes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"))
 
@@ -277,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     candidates = classes.join(meets, "node", "left_semi")
     sets = save(sets_of(docs, candidates, id_col, text_col), "candidate-texts")
-    links = save(confirm(prune(stars, sets), sets), "links")
+    links = save(confirm(prune(stars, sets, at_least), sets, at_least), "links")
     bands = filled.join(meets, "node", "left_semi").select("node", "bands").dropDuplicates(["node"])
     described = save(bands.join(sets.select("node", "signature"), "node"), "described")
     for likeliest in (True, False):
@@ -286,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             met.select("key", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             .join(described, "node").select("key", "band", "node", "root", "bands", "signature")
         )
-        more = confirm(save(across_components(members, likeliest), "cross-pairs"), sets)
+        more = confirm(save(across_components(members, likeliest, at_least), "cross-pairs"), sets, at_least)
         links = save(links.unionByName(more), "links")
     roots = components(links)
 
@@ -301,9 +309,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each component; all columns as they were."""
-    return without(docs, near_duplicates(docs, id_col, text_col).filter("not kept"), id_col, text_col)
+    return without(docs, near_duplicates(docs, id_col, text_col, at_least).filter("not kept"), id_col, text_col)
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -135,6 +135,41 @@ def test_near_family(spark):
     assert got == dict(enumerate(root))
 
 
+def test_pipeline_near_stage_links_from_80(spark, documents, document_rows):
+    """The stage against brute force at 80/100, with pairs that lie under op8's threshold."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows, n = [(d, t) for d, t in document_rows if t], max(d for d, _ in document_rows) + 1
+    for k in range(40):
+        words = [f"p{k}w{i}" for i in range(rng.randrange(150, 300))]
+        rows.append((n + 2 * k, " ".join(words)))
+        for at in rng.sample(range(len(words) // 5 - 1), round(len(words) * rng.uniform(0.012, 0.03))):
+            words[at * 5 + 2] = f"x{rng.randrange(10**6)}"
+        rows.append((n + 2 * k + 1, " ".join(words)))
+    sets, root, between = [shingles(t) for _, t in rows], list(range(len(rows))), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= 80 * (union := len(a) + len(sets[j]) - both):
+                between += 100 * both < 85 * union
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    first = {}
+    for i, (d, t) in enumerate(rows):
+        first[root[i]] = min(first.get(root[i], d), d)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert between >= 5
+    assert Counter(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == Counter(d for i, (d, t) in enumerate(rows) if d == first[root[i]] or not sets[i])
+
+
+def test_bands_of_a_threshold():
+    assert near_dedup.bands_at((85, 100)) == 24 and near_dedup.bands_at((80, 100)) == 35
+    assert all((1 - (n / d) ** near_dedup.ROWS) ** near_dedup.bands_at((n, d)) < near_dedup.NO_BAND for n, d in ((85, 100), (80, 100)))
+
+
 def test_posterior_thresholds():
     at = near_dedup.thresholds()
     assert [n for n, _ in at] == list(range(64, 513, 64)) and all(m < 0.85 * n for n, m in at)
