@@ -4,8 +4,9 @@ Pieces come from a fixed public vocabulary. Each language has a probability for
 maximisation over all segmentations of the training words. A word's probability under a language is the sum over all
 its segmentations, by the forward algorithm; a text's score is the sum of its words' logarithms, over every word.
 
-Only a bounded sample of labelled rows is fitted: per language the SAMPLE_ROWS first rows in hash order among those of
-at most SAMPLE_CHARS characters. Scoring reads whole texts.
+Only a bounded sample of labelled rows is fitted: per language the SAMPLE_ROWS first rows in hash order among all that
+have a letter, and of a text longer than SAMPLE_CHARS characters a stretch of that length from its first letter on.
+Scoring reads whole texts.
 
 Defined results: null text, or text without a letter, is `und` with score 0; without any labelled row all texts are
 `und`; ties go to the first language in alphabetical order; rows with a null or repeated doc_id are scored like any
@@ -124,9 +125,11 @@ class Lattice:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """At most ``rows`` labelled (lang, text) a language, from outside the held-out quarter."""
-    labelled = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).filter(
-        F.col("_l").isNotNull() & (F.length("_t") <= SAMPLE_CHARS) & (_remainder("_d") != HELD_OUT_REMAINDER)
+    usable = F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (_remainder(id_col) != HELD_OUT_REMAINDER)
+    text = F.when(F.length(text_col) <= SAMPLE_CHARS, F.col(text_col)).otherwise(
+        F.substring(F.regexp_replace(text_col, r"^\P{L}+", ""), 1, SAMPLE_CHARS)
     )
+    labelled = docs.filter(usable).select(F.col(id_col).alias("_d"), text.alias("_t"), F.col(lang_col).alias("_l"))
     first = Window.partitionBy("_l").orderBy(F.xxhash64("_d"), "_d")
     top = labelled.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= rows)
     return sorted((r["_l"], r["_t"]) for r in top.select("_l", "_t").collect())

@@ -28,6 +28,18 @@ def test_language_odd(odd, none):
     assert kept.columns == odd.columns and {5, 6, 7, 8}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_language_of_long_texts_is_learned(spark):
+    """Each labelled text of one language is longer than what the fit takes of a text; one opens with a long table."""
+    words = {"aa": "lorem ipsum dolor sit amet", "bb": "kettu juoksee metsassa nopeasti"}
+    rows = [(i, " ".join([words["aa"]] * 20), "aa") for i in range(12)]
+    rows += [(100 + i, "1 2 3 | " * (4000 if i % 2 else 0) + " ".join([words["bb"]] * 1000), "bb") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(t) > language.SAMPLE_CHARS for _, t, lang in rows if lang == "bb")
+    assert all(0 < len(t) <= language.SAMPLE_CHARS and "kettu" in t for lang, t in language.sample(docs, "doc_id", "text", "lang") if lang == "bb")
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs).collect()} == {d: lang for d, _, lang in rows}
+    assert language.keep_identified(docs.filter("lang = 'bb'")).count() == 12
+
+
 def test_forward_sums_all_segmentations():
     pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}
     table = np.array([[0.1], [0.2], [0.3], [0.25], [0.15], [0.0], [1e-9]])
