@@ -29,7 +29,6 @@ SAMPLE_ROWS = 150
 SAMPLE_CHARS = 20_000
 ROUNDS = 2
 STRETCH = 24
-LONGEST_PIECE = 10
 SMOOTHING = 0.1
 UNKNOWN = 1e-9  # of a character that is no piece
 CACHE_WORDS = 300_000
@@ -50,7 +49,7 @@ def vocabulary(path: str) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    kept = sorted(p for p in pieces if 0 < len(p) <= LONGEST_PIECE and (p == "▁" or p.lstrip("▁").isalpha()))
+    kept = sorted(p for p in pieces if p == "▁" or p.lstrip("▁").isalpha())
     return {p: i for i, p in enumerate(kept)}
 
 
@@ -59,13 +58,14 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, int]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces), default=1)
         self.none, self.unknown = len(pieces), len(pieces) + 1  # rows of the table: probability 0, UNKNOWN
 
     def _numbers(self, marked: list[str], n: int):
         import numpy as np
 
         get, none, unknown = self.pieces.get, self.none, self.unknown
-        out = np.empty((n, min(n, LONGEST_PIECE), len(marked)), np.int32)
+        out = np.empty((n, min(n, self.longest), len(marked)), np.int32)
         longest = out.shape[1]
         out[:] = none
         for i in range(n):

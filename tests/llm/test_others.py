@@ -47,6 +47,21 @@ def test_forward_sums_all_segmentations():
     assert abs(score - (0.1 * 0.2 * 0.3 + 0.1 * 0.25 + 0.15 * 0.3)) < 1e-12
 
 
+def test_forward_takes_the_longest_pieces():
+    """Every letter piece of the public model is in the vocabulary, and a word that is one piece has its probability in the sum."""
+    import sentencepiece
+
+    path = language.public_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = language.vocabulary(path)
+    every = {p for p in (model.id_to_piece(i).lower() for i in range(model.get_piece_size())) if p == "▁" or p.lstrip("▁").isalpha()}
+    assert set(pieces) == every
+    word = max((p for p in every if p.startswith("▁")), key=len)[1:]
+    table = np.full((len(pieces) + 2, 1), 1e-30)
+    table[pieces["▁" + word]] = 0.25
+    assert len(word) > 10 and abs(np.exp(language.Lattice(pieces).log_scores([word], table))[0, 0] - 0.25) < 1e-9
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
