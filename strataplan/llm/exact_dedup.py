@@ -70,8 +70,8 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that another row stands for; all columns as they were."""
-    return without(docs, refine(docs, id_col, text_col).filter("not kept"), id_col, text_col)
+    """``docs`` without the rows that another row stands for; all columns as they were. Needs no digest of the others."""
+    return without(docs, refine(docs, id_col, text_col, digest_all=False).filter("not kept"), id_col, text_col)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

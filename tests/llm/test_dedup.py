@@ -43,6 +43,16 @@ def test_exact_drops(odd, none):
     assert exact_dedup.refine(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
 
 
+def test_exact_stage_digests_survivors_only(documents, monkeypatch):
+    """The stage writes no digest of every text in its first scan."""
+    written, put = {}, exact_dedup.save
+    monkeypatch.setattr(exact_dedup, "save", lambda df, name, *more: written.setdefault(name, put(df, name, *more)))
+    kept = exact_dedup.drop_copies(documents)
+    assert "_full" not in written["exact-signatures"].columns
+    again = written["exact-survivors"].filter("_full is not null").count()
+    assert 0 < documents.count() - kept.count() < again < documents.count()
+
+
 @BOTH
 def test_sharding(which, request):
     docs, rows = pick(which, request)
