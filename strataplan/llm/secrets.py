@@ -3,6 +3,9 @@
 Every version of a text is addressed by its SHA-256. The ledger holds (blob, rule version, spans); only pairs that it
 lacks are scanned, once each however many paths carry the blob, and findings are joined back to all paths.
 
+Where STORE is set in the session, the ledger lies in that folder: a run that is given no ledger reads it and appends
+its new rows, so later runs scan only what is new. Where it is not set, such a run starts from an empty ledger.
+
 Defined results: null text counts as empty; a path whose blob has no finding gets zero counts and empty spans; rows
 with a null or repeated doc_id are paths like any other; an empty table gives an empty table; columns other than the
 two named are ignored.
@@ -12,7 +15,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataplan.runtime import save, ship, unused, whole
@@ -27,6 +30,7 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 REDACTION = "[SECRET]"
 
 LEDGER = "blob binary, rule_version string, spans string"
+STORE = "spark.strataplan.secrets.ledger"
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -84,6 +88,29 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = R
     return unseen(docs, ledger, rule_version, text_col).mapInArrow(run, LEDGER)
 
 
+def stored(spark: SparkSession) -> DataFrame | None:
+    """The ledger in the session's STORE, each pair once; none where no run has written one."""
+    path = spark.conf.get(STORE, None)
+    if not path:
+        return None
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
+        return None
+    return spark.read.schema(LEDGER).parquet(path).dropDuplicates(["blob", "rule_version"])
+
+
+def updated(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text") -> DataFrame:
+    """The ledger, or the session's stored one, with the rows of every blob it lacks."""
+    spark = docs.sparkSession
+    path = spark.conf.get(STORE, None) if ledger is None else None
+    ledger = stored(spark) if path else ledger
+    new = save(scan(docs, ledger, text_col=text_col), "secret-ledger")
+    if path:
+        new.write.mode("append").parquet(path)
+        return stored(spark)
+    return new if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(new)
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All paths with the spans of their blob: doc_id, spans ('' where none)."""
     paths = docs.select(F.col(id_col).cast("long").alias("doc_id"), blob_address(text_col).alias("blob"))
@@ -93,8 +120,7 @@ def findings(docs: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSIO
 
 def report(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Scan what is new; (per-path findings with counts and digest, ledger with the new rows added)."""
-    new = save(scan(docs, ledger), "secret-ledger")
-    ledger = new if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(new)
+    ledger = updated(docs, ledger)
     kinds = F.when(F.col("spans") == "", F.array()).otherwise(F.transform(F.split("spans", ","), lambda x: F.split(x, ":")[0]))
 
     def count(kind: str):
@@ -106,8 +132,7 @@ def report(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame,
 
 def redacted(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span replaced by REDACTION; columns as they were, the length brought up to date."""
-    new = save(scan(docs, ledger, text_col=text_col), "secret-ledger")
-    ledger = new if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(new)
+    ledger = updated(docs, ledger, text_col)
     blob, spans = unused(docs, "_blob"), unused(docs, "_spans")
     hits = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     found = docs.withColumn(blob, blob_address(text_col)).join(hits.hint("shuffle_hash"), blob, "left").drop(blob)

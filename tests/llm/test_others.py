@@ -89,6 +89,32 @@ def test_ledger_is_incremental(odd, documents):
     assert out.count() == odd.count() + documents.count() and more.select("blob").distinct().count() == more.count()
 
 
+def test_stored_ledger_is_read_and_appended(spark, odd, small, tmp_path, monkeypatch):
+    """A second run of the query, and the pipeline's stage after it, scan nothing; a new text is scanned alone."""
+    import corpus_pipeline
+
+    scanned, scan = [], secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda *a, **b: scanned.append(scan(*a, **b)) or scanned[-1])
+    monkeypatch.setattr(secrets, "save", lambda df, name, put=secrets.save: scanned.append(put(df, name)) or scanned[-1])
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = Counter(map(tuple, secrets.op6_secrets(spark, small).collect()))
+    masked = Counter((r.doc_id, r.text) for r in corpus_pipeline.secrets(spark, docs, small).collect())
+    spark.conf.set(secrets.STORE, str(tmp_path / "ledger"))
+    try:
+        counts = []
+        for step in (lambda: secrets.op6_secrets(spark, small), lambda: secrets.op6_secrets(spark, small)):
+            assert Counter(map(tuple, step().collect())) == want
+            counts.append(scanned[-1].count())
+        assert Counter((r.doc_id, r.text) for r in corpus_pipeline.secrets(spark, docs, small).collect()) == masked
+        counts.append(scanned[-1].count())
+        more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "a new text, password=abcdefgh")], "doc_id long, text string"))
+        assert Counter(r.spans for r in secrets.report(more)[0].filter("doc_id = -1").collect()) == {"assign:12:29": 1}
+        counts.append(scanned[-1].count())
+        assert counts[0] > 1 and counts[1:] == [0, 0, 1] and secrets.stored(spark).count() == counts[0] + 1
+    finally:
+        spark.conf.unset(secrets.STORE)
+
+
 def test_redaction(odd, none):
     got = {r.doc_id: r for r in secrets.redacted(odd.withColumn("n_chars", odd.doc_id)).collect()}
     assert got[16].text == "[SECRET] [SECRET] [SECRET] secret: x" and got[16].n_chars == len(got[16].text) and got[5].text is None
