@@ -760,6 +760,14 @@ def j01_components(spark, d):
     return components(read(spark, d, "customer").filter(k * 7919 % 10 < 6).select(k.alias("u"), (k + 1).alias("v")))
 
 
+@query()
+def j01_components_all(spark, d):
+    """No filter: all customers in one chain of keys, and all orders and parts that lines join. 3k, 3k + 1 and 3k + 2 are their nodes."""
+    k, order, part = F.col("c_custkey") * 3, F.col("l_orderkey") * 3 + 1, F.col("l_partkey") * 3 + 2
+    chain = read(spark, d, "customer").select(k.alias("u"), (k + 3).alias("v"))
+    return components(chain.unionByName(read(spark, d, "lineitem").select(order.alias("u"), part.alias("v"))))
+
+
 @query()
 def k05_nms(spark, d):
     boxes = part_boxes(spark, d).withColumn("size", F.expr("(x1 - x0) * (y1 - y0)"))

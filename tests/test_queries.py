@@ -73,6 +73,25 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
 
 
+def test_components_of_all_rows(spark, small, db):
+    """Every customer, order and part with a line is in a row; one component is a chain of all customers."""
+    edges = db.sql("SELECT 3 * c_custkey, 3 * c_custkey + 3 FROM customer UNION ALL SELECT 3 * l_orderkey + 1, 3 * l_partkey + 2 FROM lineitem").fetchall()
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = own.QUERIES["j01_components_all"](spark, small).collect()
+    assert len(got) == len(root) and {r.node: r.root for r in got} == {n: find(n) for n in root}
+    assert sum(r.root == 0 for r in got) == db.sql("SELECT count(*) FROM customer").fetchall()[0][0] + 1 > 100
+
+
 def test_assignment_equals_brute_force(spark):
     rng = random.Random(4)
     for _ in range(30):
