@@ -2,9 +2,10 @@
 
 A run of RUN lines (or more) that occurs again, later in (doc_id, line) order, is deleted there; occurrences are judged
 on the input. Each window of RUN lines selects the line with the smallest hash (ties: the last), so two equal runs
-select the same line at the same place: windows that share no selected line with another place cannot repeat and
-leave. Around shared fingerprints windows are compared whole, each to the first place that has it, and overlapping
-later windows extend each other to full runs.
+select the same line at the same place. Only selected lines are written in the first scan, each once, with their
+places. Where a selected line is at two places or more, the text is read again and the windows that select it are
+compared whole, each to the first place that has it; overlapping later windows extend each other both ways to full
+runs. All other windows cannot repeat and are never hashed.
 
 Defined results: null and empty texts have no lines; other texts are split at "\\n" only and shorter ones than RUN lines
 keep everything; rows with a null doc_id come first; rows that repeat doc_id and text are one place, so neither deletes
@@ -35,42 +36,76 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_doc"), F.xxhash64(whole(text_col)).alias("_text")]
 
 
-def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_length: int = RUN) -> DataFrame:
-    """Every window of ``run_length`` lines: its selected line's hash and place, its own hash, its start."""
+def hashed(text: str | None, run_length: int) -> tuple[list[bytes], list[int], list[int]]:
+    """Hash and rank of every line, and which line each window of ``run_length`` lines selects."""
+    import xxhash
+
+    raw = [xxhash.xxh3_128_digest(x.encode()) for x in lines_of(text)]
+    rank = [int.from_bytes(x[:8], "big", signed=True) for x in raw]
+    return raw, rank, [min(range(i, i + run_length), key=lambda j: (rank[j], -j)) for i in range(len(raw) - run_length + 1)]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_length: int = RUN) -> DataFrame:
+    """Every line that a window selects, once: its row, its hash, its place."""
     ship(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], []]
             for doc, key, text in zip(b.column(0), b.column(1), b.column(2)):
-                raw = [xxhash.xxh3_128_digest(x.encode()) for x in lines_of(text.as_py())]
-                rank = [int.from_bytes(x[:8], "big", signed=True) for x in raw]
+                _, rank, selected = hashed(text.as_py(), run_length)
                 d, t = doc.as_py(), key.as_py()
-                for i in range(len(raw) - run_length + 1):
-                    at = min(range(i, i + run_length), key=lambda j: (rank[j], -j))
-                    row = (d, t, i, rank[at], at, xxhash.xxh3_128_digest(b"".join(raw[i : i + run_length])))
-                    for col, v in zip(cols, row):
+                for at in dict.fromkeys(selected):
+                    for col, v in zip(cols, (d, t, rank[at], at)):
                         col.append(v)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["_doc", "_text", "_start", "_print", "_at", "_window"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["_doc", "_text", "_print", "_at"])
 
-    return docs.select(*row_key(id_col, text_col), text_col).mapInArrow(run, "_doc long, _text long, _start int, _print long, _at int, _window binary")
+    return docs.select(*row_key(id_col, text_col), text_col).mapInArrow(run, "_doc long, _text long, _print long, _at int")
 
 
-def later_windows(found: DataFrame) -> DataFrame:
-    """Rows of ``windows`` whose lines started at an earlier place: _doc, _text, _starts."""
+def shared_places(found: DataFrame) -> DataFrame:
+    """Fingerprints that are at two places or more, by row: _doc, _text, _ats."""
     place = F.struct("_doc", "_text", "_at")
     shared = (
         found.groupBy("_print").agg(F.min(place).alias("_lo"), F.max(place).alias("_hi"))
         .filter("_lo != _hi").select("_print")
     )
-    near = found.join(shared, "_print", "left_semi")
+    return found.join(shared, "_print", "left_semi").groupBy("_doc", "_text").agg(F.collect_set("_at").alias("_ats"))
+
+
+def windows(docs: DataFrame, places: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_length: int = RUN) -> DataFrame:
+    """The windows that select a line at one of the places: row, start, hash of all lines."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            cols: list[list] = [[], [], [], []]
+            for doc, key, text, ats in zip(b.column(0), b.column(1), b.column(2), b.column(3)):
+                raw, _, selected = hashed(text.as_py(), run_length)
+                d, t, wanted = doc.as_py(), key.as_py(), set(ats.as_py())
+                for i, at in enumerate(selected):
+                    if at in wanted:
+                        for col, v in zip(cols, (d, t, i, xxhash.xxh3_128_digest(b"".join(raw[i : i + run_length])))):
+                            col.append(v)
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["_doc", "_text", "_start", "_window"])
+
+    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    near = keyed.join(places.hint("shuffle_hash"), ["_doc", "_text"]).select("_doc", "_text", "text", "_ats")
+    return near.mapInArrow(run, "_doc long, _text long, _start int, _window binary")
+
+
+def later_windows(found: DataFrame) -> DataFrame:
+    """Rows of ``windows`` whose lines started at an earlier place: _doc, _text, _starts."""
     here = F.struct("_doc", "_text", "_start")
-    first = near.groupBy("_window").agg(F.min(here).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    later = near.join(first, "_window").filter(here > F.col("_first"))
+    first = found.groupBy("_window").agg(F.min(here).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    later = found.join(first, "_window").filter(here > F.col("_first"))
     return later.groupBy("_doc", "_text").agg(F.collect_set("_start").alias("_starts"))
 
 
@@ -96,7 +131,8 @@ def strip_lines(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_length: int = RUN) -> DataFrame:
-    found = save(windows(docs, id_col, text_col, run_length), "line-windows")
+    prints = save(fingerprints(docs, id_col, text_col, run_length), "line-fingerprints")
+    found = save(windows(docs, shared_places(prints), id_col, text_col, run_length), "line-windows")
     return strip_lines(docs, later_windows(found), id_col, text_col, run_length)
 
 

@@ -204,6 +204,19 @@ def test_lines(which, request):
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.dedup_lines(docs).collect()) == want
 
 
+def test_lines_hash_windows_around_shared_fingerprints_only(documents, document_rows):
+    """Fewer fingerprints than windows, each place once, and no window hashed that shares no selected line."""
+    every = sum(max(0, len(lines.lines_of(t)) - 2) for _, t in document_rows)
+    prints = lines.fingerprints(documents).collect()
+    assert len(prints) == len({(r._doc, r._text, r._at) for r in prints}) < every
+    found = lines.windows(documents, lines.shared_places(lines.fingerprints(documents)))
+    at = Counter(r._print for r in prints)
+    shared = {(r._doc, r._text, r._at) for r in prints if at[r._print] > 1}
+    keys = {r._doc: r._text for r in prints}
+    want = {(d, i) for d, t in document_rows for i, x in enumerate(lines.hashed(t, 3)[2]) if (d, keys[d], x) in shared}
+    assert {(r._doc, r._start) for r in found.collect()} == want and 0 < len(want) < every
+
+
 def passages_by_force(rows):
     first = {}
     for d, t in rows:
