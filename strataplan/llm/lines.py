@@ -7,6 +7,9 @@ places. Where a selected line is at two places or more, the text is read again a
 compared whole, each to the first place that has it; overlapping later windows extend each other both ways to full
 runs. All other windows cannot repeat and are never hashed.
 
+``long_bytes`` widens the law: a run of fewer lines, one line included, that has so many bytes (its lines joined by
+"\n") is deleted at its later places too. op9_lines is held to runs of RUN lines by its SQL; op9_lines_long takes LONG.
+
 Defined results: null and empty texts have no lines; other texts are split at "\\n" only and shorter ones than RUN lines
 keep everything; rows with a null doc_id come first; rows that repeat doc_id and text are one place, so neither deletes
 the other; an empty table gives an empty table; columns other than the two named are ignored.
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from strataplan.runtime import save, ship, whole
 
 RUN = 3
+LONG = 50  # bytes, as in op5
 
 _NO_ID = -(1 << 63)
 RESULT = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
@@ -101,15 +105,39 @@ def windows(docs: DataFrame, places: DataFrame, id_col: str = "doc_id", text_col
     return near.mapInArrow(run, "_doc long, _text long, _start int, _window binary")
 
 
+def long_runs(docs: DataFrame, long_bytes: int, id_col: str = "doc_id", text_col: str = "text", run_length: int = RUN) -> DataFrame:
+    """Every run of fewer than ``run_length`` lines that has ``long_bytes``: row, start, hash of all lines, lines."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for doc, key, text in zip(b.column(0), b.column(1), b.column(2)):
+                parts = [x.encode() for x in lines_of(text.as_py())]
+                raw, d, t = [xxhash.xxh3_128_digest(x) for x in parts], doc.as_py(), key.as_py()
+                for size in range(1, run_length):
+                    for i in range(len(parts) - size + 1):
+                        if sum(map(len, parts[i : i + size])) + size - 1 >= long_bytes:
+                            for col, v in zip(cols, (d, t, i, xxhash.xxh3_128_digest(b"".join(raw[i : i + size])), size)):
+                                col.append(v)
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["_doc", "_text", "_start", "_window", "_size"])
+
+    return docs.select(*row_key(id_col, text_col), text_col).mapInArrow(run, "_doc long, _text long, _start int, _window binary, _size int")
+
+
 def later_windows(found: DataFrame) -> DataFrame:
-    """Rows of ``windows`` whose lines started at an earlier place: _doc, _text, _starts."""
+    """Windows whose lines started at an earlier place: _doc, _text, _starts (_start, _size)."""
     here = F.struct("_doc", "_text", "_start")
     first = found.groupBy("_window").agg(F.min(here).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     later = found.join(first, "_window").filter(here > F.col("_first"))
-    return later.groupBy("_doc", "_text").agg(F.collect_set("_start").alias("_starts"))
+    return later.groupBy("_doc", "_text").agg(F.collect_set(F.struct("_start", "_size")).alias("_starts"))
 
 
-def strip_lines(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_length: int = RUN) -> DataFrame:
+def strip_lines(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, kept text, n_lines, n_removed."""
 
     def run(batches):
@@ -119,7 +147,7 @@ def strip_lines(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_
             kept, lines, removed = [], [], []
             for text, starts in zip(b.column(1), b.column(2)):
                 parts = lines_of(text.as_py())
-                gone = {s + i for s in (starts.as_py() or ()) for i in range(run_length)}
+                gone = {s["_start"] + i for s in (starts.as_py() or ()) for i in range(s["_size"])}
                 kept.append("\n".join(x for i, x in enumerate(parts) if i not in gone))
                 lines.append(len(parts))
                 removed.append(len(gone))
@@ -130,14 +158,23 @@ def strip_lines(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_
     return marked.select("doc_id", "text", "_starts").mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_length: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_length: int = RUN, long_bytes: int | None = None) -> DataFrame:
     prints = save(fingerprints(docs, id_col, text_col, run_length), "line-fingerprints")
-    found = save(windows(docs, shared_places(prints), id_col, text_col, run_length), "line-windows")
-    return strip_lines(docs, later_windows(found), id_col, text_col, run_length)
+    found = windows(docs, shared_places(prints), id_col, text_col, run_length).withColumn("_size", F.lit(run_length))
+    if long_bytes is not None:
+        found = found.unionByName(long_runs(docs, long_bytes, id_col, text_col, run_length))
+    return strip_lines(docs, later_windows(save(found, "line-windows")), id_col, text_col)
 
 
 def op9_lines(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return summary(dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op9_lines_long(spark, sf_dir: str) -> DataFrame:
+    return summary(dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), long_bytes=LONG))
+
+
+def summary(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -157,3 +194,23 @@ WITH l AS (
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM documents LEFT JOIN d USING (doc_id)
 """
+
+OP9_LONG_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text <> ''
+), w AS (
+  SELECT *, lead(line, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b, lead(line, 2) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM l
+), f AS (
+  SELECT *, strlen(line) >= 50 AND row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS one,
+         b IS NOT NULL AND strlen(line) + strlen(b) + 1 >= 50 AND row_number() OVER (PARTITION BY line, b ORDER BY doc_id, i) > 1 AS two,
+         c IS NOT NULL AND row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, i) > 1 AS later FROM w
+), m AS (
+  SELECT *, one OR bool_or(two) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)
+         OR bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone FROM f
+), d AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS t FROM m GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents LEFT JOIN d USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from strataplan.llm.bpe import op1_bpe
 from strataplan.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from strataplan.llm.language import op2_language
-from strataplan.llm.lines import OP9_SQL, op9_lines
+from strataplan.llm.lines import OP9_LONG_SQL, OP9_SQL, op9_lines, op9_lines_long
 from strataplan.llm.near_dedup import op8_near_dedup
 from strataplan.llm.neighbours import op10_neighbours
 from strataplan.llm.packing import op3_packing
@@ -23,7 +23,8 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_lines": op9_lines,
+    "op9_lines_long": op9_lines_long,
     "op10_neighbours": op10_neighbours,
 }
 
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op9_lines": OP9_SQL}
+ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op9_lines": OP9_SQL, "op9_lines_long": OP9_LONG_SQL}

@@ -217,6 +217,40 @@ def test_lines_hash_windows_around_shared_fingerprints_only(documents, document_
     assert {(r._doc, r._start) for r in found.collect()} == want and 0 < len(want) < every
 
 
+@BOTH
+def test_lines_long_runs(which, request):
+    """Later runs of three lines, and of one or two lines with 50 bytes or more, against brute force."""
+    docs, rows = pick(which, request)
+    seen, later = set(), defaultdict(set)
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        parts = lines.lines_of(t)
+        for i in range(len(parts)):
+            for size in (1, 2, 3):
+                w = tuple(parts[i : i + size])
+                if len(w) == size and (size == 3 or len("\n".join(w).encode()) >= lines.LONG):
+                    if w in seen:
+                        later[d, t].update(range(i, i + size))
+                    seen.add(w)
+    want = Counter()
+    for d, t in rows:
+        parts = lines.lines_of(t)
+        want[d, len(parts), len(later[d, t]), "\n".join(x for i, x in enumerate(parts) if i not in later[d, t])] += 1
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.dedup_lines(docs, long_bytes=lines.LONG).collect()) == want
+
+
+def test_lines_long_query_deletes_one_line(spark, small, tmp_path):
+    """One long line that stands alone in a text goes where it is later; the query equals its SQL."""
+    import duckdb
+
+    text = "This work is licensed under the GNU General Public License, version 3."
+    spark.createDataFrame([(1, f"a\n{text}\nb"), (2, text), (3, f"c\n{text}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in lines.op9_lines_long(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1}
+    for query, sql in ((lines.op9_lines, lines.OP9_SQL), (lines.op9_lines_long, lines.OP9_LONG_SQL)):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+        assert Counter(map(tuple, query(spark, small).collect())) == Counter(con.sql(sql).fetchall())
+
+
 def passages_by_force(rows):
     first = {}
     for d, t in rows:
