@@ -23,19 +23,39 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(low.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 50, at_most: int | None = None) -> DataFrame:
     """node, root (the smallest node of its component), for every node of an edge (u, v) list.
 
     Each round is written to the shared folder, so a lost executor costs one round at most. Rounds grow with the
-    logarithm of the number of nodes; ``rounds`` only stops a run that would never end, by raising.
+    logarithm of the number of nodes; ``rounds`` only stops a run that would never end, by raising. ``at_most``: edges
+    at most, where the caller knows.
     """
-    edges = save(edges.filter("u != v").distinct(), "edges")
-    mark = None
+    edges = save(edges.filter("u != v").distinct(), "edges", at_most)
+    mark = _mark(edges)
     for _ in range(rounds):
-        edges = save(_small_star(_large_star(edges)).distinct(), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if not mark[0]:
+            break
+        edges = save(_small_star(_large_star(edges)).distinct(), "edges", mark[0], 1)
+        now = _mark(edges)
         if now == mark:
-            roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+            break
         mark = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Number of edges, and a sum that changes with any of them."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def merged_components(roots: DataFrame, links: DataFrame, at_most: int | None = None) -> DataFrame:
+    """``roots`` (node, root) after more links (u, v): only the links' own components are searched again, root by root."""
+    u, v = (roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in "uv")
+    between = links.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
+    found = components(between, at_most=at_most)
+    moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
+    fresh = found.join(roots.select("node"), "node", "left_anti")
+    return moved.select("node", F.coalesce("_to", "root").alias("root")).unionByName(fresh.select("node", "root"))
