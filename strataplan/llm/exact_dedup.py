@@ -51,7 +51,7 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
         rows = save(
             base.select("doc_id", "text_key", *cheap, "_t").join(flags, ["_len", "_prefix"], "left")
             .select("doc_id", "text_key", "_len", "_prefix", F.when(F.col("_again"), full).alias("_full")),
-            "exact-survivors",
+            "exact-survivors", sig.count(),
         )
         survivors = rows.filter("_full is not null")
     groups = (

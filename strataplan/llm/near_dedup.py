@@ -7,12 +7,17 @@ similarity reaches the threshold (uniform prior) falls under MISS. Survivors are
 
 Only what decides components is compared. First every node of a bucket meets the bucket's hub, the node that meets
 most others in all its buckets. Then, in buckets that still hold two components or more, nodes of different components
-meet, in blocks of BLOCK x BLOCK nodes; a pair counts in the first band it shares. That is done twice: once only the
-likeliest partner of a node in each other component is verified, and then, between what is still apart, all. So a
-large group of near copies costs its size, not its square, and a hot bucket is spread over blocks.
+meet; a pair counts in the first place it shares. A bucket of more than BLOCK nodes is dealt again by groups of DEEPER
+further minima, as many groups as the threshold needs, so that nodes which share only common words do not meet. What
+exceeds BLOCK even then (thousands of texts that nearly reach the threshold) is compared in blocks of BLOCK x BLOCK.
+That is done twice: once only the likeliest partner of a node in each other component is verified, and then, between
+what is still apart, all. So a large group of near copies costs its size, not its square.
+
+Shingles are 64-bit hashes; "exactly" means on the full sets of these.
 
 The threshold is the caller's. A pair at it shares no band with probability under NO_BAND: 24 bands at 85/100, the
-contract of op8, where (1 - 0.85**5)**24 < 1e-6, and 35 at 80/100, which the pipeline takes.
+contract of op8, where (1 - 0.85**5)**24 < 1e-6, and 35 at 80/100, which the pipeline takes. The same holds for the
+groups of a crowded bucket.
 
 Defined results: null text counts as empty; empty sets link with nothing, so such rows stay alone; fewer than 5 words
 are one shingle; rows with a null doc_id join components but never name one that has a number; repeated rows are one
@@ -28,7 +33,7 @@ from math import ceil, comb, log, log1p
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataplan.operators.graph import components
+from strataplan.operators.graph import components, merged_components
 from strataplan.runtime import save, ship, text_key, without
 
 WORDS = 5
@@ -39,14 +44,15 @@ HASHES = 512
 BATCH = 64
 MISS = 1e-7
 BLOCK = 2_048
+DEEPER = 6
 
 _NO_ID = -(1 << 63)
 SIGNED = "doc_id long, text_key long, n_shingles long, node binary, bands array<long>"
 
 
-def bands_at(at_least: tuple[int, int]) -> int:
-    """The fewest bands of ROWS minima of which a pair at the threshold shares none with probability under NO_BAND."""
-    return ceil(log(NO_BAND) / log1p(-((at_least[0] / at_least[1]) ** ROWS)))
+def bands_at(at_least: tuple[int, int], rows: int = ROWS) -> int:
+    """The fewest bands of ``rows`` minima of which a pair at the threshold shares none with probability under NO_BAND."""
+    return ceil(log(NO_BAND) / log1p(-((at_least[0] / at_least[1]) ** rows)))
 
 
 @lru_cache
@@ -176,28 +182,44 @@ def _as_index(rows):
     return pa.array(rows, pa.int64())
 
 
-def across_components(members: DataFrame, likeliest: bool, at_least: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """Pairs of different components in one bucket that pass the signatures, each in its first shared band.
+def _mixed(places: DataFrame) -> DataFrame:
+    """Places (key) that hold two components or more, with their nodes counted."""
+    size = places.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+    return size.filter("_lo != _hi").select("key", "_n")
+
 
-    members: key, band, node, root, bands, signature. ``likeliest``: of a node's partners in one other component only
-    the one with most matches, in each block.
+def across_components(members: DataFrame, described: DataFrame, likeliest: bool, at_least: tuple[int, int] = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Pairs of different components in one bucket that pass the signatures, each in the first place it shares.
+
+    members: key, band, node, root; described: node, bands, signature. ``likeliest``: of a node's partners in one other
+    component only the one with most matches, in each place.
     """
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
-    mixed = size.filter("_lo != _hi").select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_chunks"))
-    dealt = members.join(mixed, "key").withColumn("_chunk", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int"))
+    groups = min(bands_at(at_least, DEEPER), HASHES // DEEPER)
+    met = members.join(_mixed(members), "key")
+    flat = met.filter(F.col("_n") <= block).select("key", "band", F.lit(-1).alias("group"), "node", "root", F.lit(1).alias("_chunks"))
+    # Group k of a crowded bucket's node: DEEPER bytes of its signature.
+    part = F.transform(
+        F.sequence(F.lit(0), F.lit(groups - 1)),
+        lambda k: F.struct(k.alias("group"), F.xxhash64("key", k, F.substring("signature", k * DEEPER + 1, F.lit(DEEPER))).alias("deep")),
+    )
+    crowded = met.filter(F.col("_n") > block).drop("_n").join(described.select("node", "signature"), "node")
+    deep = crowded.select("band", "node", "root", F.explode(part).alias("_p")).select(F.col("_p.deep").alias("key"), "band", F.col("_p.group").alias("group"), "node", "root")
+    deep = deep.join(_mixed(deep), "key").select("key", "band", "group", "node", "root", F.ceil(F.col("_n") / block).cast("int").alias("_chunks"))
+    dealt = flat.unionByName(deep).withColumn("_chunk", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("int"))
     # A node goes to each block (i, j), i <= j, that its chunk is half of.
     halves = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda j: F.struct(F.least("_chunk", j).alias("i"), F.greatest("_chunk", j).alias("j")))
-    placed = dealt.withColumn("_block", F.explode(halves)).select("key", "band", "_block.i", "_block.j", "_chunk", "node", "root", "bands", "signature")
+    placed = dealt.withColumn("_block", F.explode(halves)).join(described, "node").select("key", "band", "group", "_block.i", "_block.j", "_chunk", "node", "root", "bands", "signature")
 
-    def block(table):
+    def compared(table):
         import numpy as np
         import pyarrow as pa
 
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        nodes, names = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)
-        roots, nodes = names, table["node"].to_pylist()
-        sigs, chunk, band = _signatures(table["signature"]), table["_chunk"].to_numpy(), table["band"][0].as_py()
+        roots = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
+        nodes, sigs, chunk = table["node"].to_pylist(), _signatures(table["signature"]), table["_chunk"].to_numpy()
+        band, group = table["band"][0].as_py(), table["group"][0].as_py()
         keys = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
+        before = sigs[:, : max(0, group) * DEEPER].reshape(len(nodes), -1, DEEPER) if group > 0 else None
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         first, second = [], []
         for k, x in enumerate(left):
@@ -207,8 +229,10 @@ def across_components(members: DataFrame, likeliest: bool, at_least: tuple[int,
                 continue
             at, matches = _posterior(np.broadcast_to(sigs[x], (len(others), HASHES)), sigs[others], at_least)
             kept = others[at]
-            if band and len(kept):
+            if len(kept) and (band or before is not None):
                 new = ~(keys[kept, :band] == keys[x, :band]).any(1)
+                if before is not None:
+                    new &= ~(before[kept] == before[x]).all(2).any(1)
                 kept, matches = kept[new], matches[new]
             if likeliest and len(kept) > 1:
                 order = np.lexsort((-matches, roots[kept]))
@@ -218,7 +242,7 @@ def across_components(members: DataFrame, likeliest: bool, at_least: tuple[int,
             second += [nodes[y] for y in kept]
         return pa.table([pa.array(first, pa.binary()), pa.array(second, pa.binary())], ["a", "b"])
 
-    return placed.groupBy("key", "i", "j").applyInArrow(block, "a binary, b binary")
+    return placed.groupBy("key", "i", "j").applyInArrow(compared, "a binary, b binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -270,33 +294,29 @@ def confirm(pairs: DataFrame, sets: DataFrame, at_least: tuple[int, int] = THRES
     return pairs.join(right, "b").join(left, "a").select("a", "b", "_pa", "_pb").mapInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: tuple[int, int] = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: tuple[int, int] = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, text_key (hash of the text as it stands)."""
     rows = save(signed(docs, id_col, text_col, at_least), "signatures")
+    n = rows.count()
     filled = rows.filter("node is not null")
     classes = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n"))
 
     banded = filled.select("node", F.posexplode("bands").alias("band", "key")).distinct()
     buckets = banded.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count(F.lit(1)).alias("_meets")).filter("_lo != _hi").drop("_lo", "_hi")
-    met = save(banded.join(buckets, "key").select("key", "band", "node", "_meets"), "buckets")
+    met = save(banded.join(buckets, "key").select("key", "band", "node", "_meets"), "buckets", n)
     meets = met.groupBy("node").agg(F.sum("_meets").alias("_all"))
     hubs = met.join(meets, "node").groupBy("key").agg(F.max(F.struct("_all", "node"))["node"].alias("hub"))
     stars = met.join(hubs, "key").filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
     candidates = classes.join(meets, "node", "left_semi")
-    sets = save(sets_of(docs, candidates, id_col, text_col), "candidate-texts")
-    links = save(confirm(prune(stars, sets, at_least), sets, at_least), "links")
+    sets = save(sets_of(docs, candidates, id_col, text_col), "candidate-texts", n)
     bands = filled.join(meets, "node", "left_semi").select("node", "bands").dropDuplicates(["node"])
-    described = save(bands.join(sets.select("node", "signature"), "node"), "described")
+    described = save(bands.join(sets.select("node", "signature"), "node"), "described", n)
+    roots = save(components(confirm(prune(stars, sets, at_least), sets, at_least), at_most=n), "roots", n, 1)
     for likeliest in (True, False):
-        roots = components(links)
-        members = (
-            met.select("key", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            .join(described, "node").select("key", "band", "node", "root", "bands", "signature")
-        )
-        more = confirm(save(across_components(members, likeliest, at_least), "cross-pairs"), sets, at_least)
-        links = save(links.unionByName(more), "links")
-    roots = components(links)
+        members = met.select("key", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = save(across_components(members, described, likeliest, at_least, block), "cross-pairs", n)
+        roots = save(merged_components(roots, confirm(pairs, sets, at_least), n), "roots", n, 1)
 
     named = roots.join(classes, "node")
     of_root = named.groupBy("root").agg(F.min("doc_id").alias("_c"))

@@ -99,12 +99,12 @@ def stored(spark: SparkSession) -> DataFrame | None:
     return spark.read.schema(LEDGER).parquet(path).dropDuplicates(["blob", "rule_version"])
 
 
-def updated(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text") -> DataFrame:
-    """The ledger, or the session's stored one, with the rows of every blob it lacks."""
+def updated(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text", rows: int | None = None) -> DataFrame:
+    """The ledger, or the session's stored one, with the rows of every blob it lacks. ``rows``: of ``docs``, where known."""
     spark = docs.sparkSession
     path = spark.conf.get(STORE, None) if ledger is None else None
     ledger = stored(spark) if path else ledger
-    new = save(scan(docs, ledger, text_col=text_col), "secret-ledger")
+    new = save(scan(docs, ledger, text_col=text_col), "secret-ledger", rows)
     if path:
         new.write.mode("append").parquet(path)
         return stored(spark)
@@ -130,9 +130,9 @@ def report(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame,
     return out, ledger
 
 
-def redacted(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def redacted(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", length_col: str | None = "n_chars", rows: int | None = None) -> DataFrame:
     """``docs`` with every span replaced by REDACTION; columns as they were, the length brought up to date."""
-    ledger = updated(docs, ledger, text_col)
+    ledger = updated(docs, ledger, text_col, rows)
     blob, spans = unused(docs, "_blob"), unused(docs, "_spans")
     hits = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     found = docs.withColumn(blob, blob_address(text_col)).join(hits.hint("shuffle_hash"), blob, "left").drop(blob)
