@@ -17,34 +17,40 @@ from strataplan.llm.language import keep_identified
 from strataplan.llm.near_dedup import drop_near_copies
 from strataplan.llm.packing import packed
 from strataplan.llm.secrets import redacted
-from strataplan.runtime import save
+from strataplan.runtime import merged, save
 
 NEAR = (80, 100)  # of the shingles of two near duplicates, so many are in both
 
 
+def sized(docs: DataFrame, step) -> DataFrame:
+    """``step`` (of documents and their number) on ``docs``, read and returned in partitions by the number of rows."""
+    n = docs.count()
+    return merged(step(merged(docs, n), n), n)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identifiable language go."""
-    return keep_identified(docs)
+    return sized(docs, lambda d, n: keep_identified(d))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
-    return drop_copies(docs)
+    return sized(docs, lambda d, n: drop_copies(d))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest doc_id stays."""
-    return drop_near_copies(docs, at_least=NEAR)
+    return sized(docs, lambda d, n: drop_near_copies(d, at_least=NEAR))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text, and n_chars follows."""
-    return redacted(docs)
+    return sized(docs, lambda d, n: redacted(d, rows=n))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of every document, placed in sequences."""
-    return packed(docs, public_path("byte_bpe_50k.json"))
+    return sized(docs, lambda d, n: packed(d, public_path("byte_bpe_50k.json")))
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("secrets", secrets), ("packing", packing)]
