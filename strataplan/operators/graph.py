@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataplan.runtime import save
+from strataplan.runtime import SHORT_ROWS, save
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,12 @@ def components(edges: DataFrame, rounds: int = 50, at_most: int | None = None) -
     logarithm of the number of nodes; ``rounds`` only stops a run that would never end, by raising. ``at_most``: edges
     at most, where the caller knows.
     """
-    edges = save(edges.filter("u != v").distinct(), "edges", at_most)
+    edges = save(edges.filter("u != v").distinct(), "edges", at_most, SHORT_ROWS)
     mark = _mark(edges)
     for _ in range(rounds):
         if not mark[0]:
             break
-        edges = save(_small_star(_large_star(edges)).distinct(), "edges", mark[0], 1)
+        edges = save(_small_star(_large_star(edges)).distinct(), "edges", mark[0], SHORT_ROWS if mark[0] > SHORT_ROWS else 0)
         now = _mark(edges)
         if now == mark:
             break

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
-ROWS_PER_TASK = 25_000
+ROWS_PER_TASK = 5_000  # of whole texts
+SHORT_ROWS = 100_000  # the same, of ids and hashes
 
 
 def ship(spark: SparkSession) -> None:
@@ -39,21 +40,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def merged(df: DataFrame, rows: int, least: int | None = None) -> DataFrame:
-    """``df`` in a partition for each ROWS_PER_TASK of about ``rows`` rows, if it has more; in ``least`` at least (two a
-    core), so that the last step still keeps every core at work. Small tables are thus not one file per partition."""
-    least = least or 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(least, -(-rows // ROWS_PER_TASK)))
+def merged(df: DataFrame, rows: int, per: int = ROWS_PER_TASK) -> DataFrame:
+    """``df`` in a partition for each ``per`` of about ``rows`` rows, if it has more; in one a core at least, so that the
+    last step still keeps every core at work (``per`` 0: in one). Small tables are thus not one file per partition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(cores, -(-rows // per)) if per else 1)
 
 
-def save(df: DataFrame, name: str, rows: int | None = None, least: int | None = None) -> DataFrame:
+def save(df: DataFrame, name: str, rows: int | None = None, per: int = ROWS_PER_TASK) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
     ``rows``: about how many rows at most, where the caller knows; it is ``merged`` first.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = merged(df, rows, least)
+        df = merged(df, rows, per)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
