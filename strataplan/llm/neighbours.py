@@ -8,8 +8,9 @@ the radius; those are reranked by exact inner products. The radius is learned on
 code distances between rows and their true neighbours at the sample's density. A query with too few codes in the
 radius widens it until there are enough.
 
-Rows and queries meet in cells: blocks of about BLOCK rows by chunks of about CHUNK queries, each cell with its own
-index. Every row is indexed, and nothing is emitted but each cell's nearest per query.
+Every row is indexed, in one block of about BLOCK_BYTES of vectors; queries are dealt to chunks of that size, and each
+chunk meets each block in a cell of its own, where only candidates are scored and only the nearest of each query leave.
+A row is sent once for each chunk of queries, a query once for each block.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, have no vec_id, or have another
 length than most vectors of the sample take no part; of rows that repeat a vec_id the one with the smallest vector
@@ -31,8 +32,9 @@ SAMPLE_QUERIES = 500
 COVER = 0.98
 MAX_BITS = 64
 ITERATIONS = 30
-BLOCK = 8_192
-CHUNK = 4_096
+BLOCK_BYTES = 16 << 20  # of vectors as doubles, in a block of rows or a chunk of queries
+TOGETHER = 128  # queries whose candidates are found at once
+DENSE = 1 / 16  # share of a block from which on scoring all of it costs less than gathering the candidates
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -71,31 +73,80 @@ class MultiIndex:
         import numpy as np
 
         self.keys = keys
+        self.words = _as_words(keys)
         self.rows = [np.argsort(keys[:, j], kind="stable") for j in range(keys.shape[1])]
         self.starts = [np.searchsorted(keys[r, j], np.arange(257)) for j, r in enumerate(self.rows)]
         ones = np.array([bin(i).count("1") for i in range(256)])
-        self.ones = ones.astype(np.uint8)
         self.ball = [np.flatnonzero(ones <= r) for r in range(9)]
 
-    def within(self, query, radius: int):
-        """Rows whose code is at most ``radius`` bits from the query's."""
+    def within(self, queries, radius: int, least: int = 0):
+        """Which rows' codes are at most ``radius`` bits from each query's: [query, row]. A query that has fewer than
+        ``least`` of them also gets the next nearest codes, as far as the one that makes up the number."""
         import numpy as np
 
         n, m = self.keys.shape
-        seen = np.zeros(n, bool)
+        probed = np.zeros((len(queries), n), bool)
         each, more = divmod(radius, m)
         for j in range(m):
             reach = each if j <= more else each - 1
             if reach >= 8:
-                seen[:] = True
+                probed[:] = True
                 break
             if reach < 0:
                 continue
             rows, starts = self.rows[j], self.starts[j]
-            for key in (int(query[j]) ^ self.ball[reach]).tolist():
-                seen[rows[starts[key] : starts[key + 1]]] = True
-        rows = np.flatnonzero(seen)
-        return rows[self.ones[self.keys[rows] ^ query].sum(1, dtype=np.int64) <= radius]
+            values, who = np.unique(queries[:, j], return_inverse=True)
+            for k, value in enumerate(values.tolist()):
+                near = np.sort(value ^ self.ball[reach])
+                hit = np.concatenate([rows[a:b] for a, b in zip(starts[near], starts[near + 1])])
+                probed[np.ix_(np.flatnonzero(who == k), hit)] = True
+        apart = self.apart(queries)
+        found = probed & (apart <= radius)
+        for q in np.flatnonzero(found.sum(1) < min(least, n)):
+            found[q] = apart[q] <= np.partition(apart[q], min(least, n) - 1)[min(least, n) - 1]
+        return found
+
+    def apart(self, queries):
+        """Bits in which codes differ: [query, row]."""
+        import numpy as np
+
+        out = np.zeros((len(queries), len(self.words)), np.uint16)
+        for mine, theirs in zip(self.words.T, _as_words(queries).T):
+            out += np.bitwise_count(theirs[:, None] ^ mine[None, :])
+        return out
+
+
+def _as_words(keys):
+    """Codes in words of 64 bits."""
+    import numpy as np
+
+    wide = np.zeros((len(keys), -(-keys.shape[1] // 8) * 8), np.uint8)
+    wide[:, : keys.shape[1]] = keys
+    return wide.view(np.uint64)
+
+
+def nearest_of(index: MultiIndex, ids, data, asked, wanted, probes, radius: int, nearest: int):
+    """(query, row, score) of each query's nearest among its candidates, nearest first, ties to smaller ids.
+
+    Where candidates are many, a matrix product orders them first; what it leaves within its error of the last place
+    is scored again, each pair by itself, so that equal vectors score alike.
+    """
+    import numpy as np
+
+    found = index.within(probes, radius, nearest + 1)
+    found &= asked[:, None] != ids[None, :]
+    if found.mean() > DENSE:
+        rough = wanted @ data.T
+        rough[~found] = -np.inf
+        k = min(nearest, data.shape[0])
+        floor = np.partition(rough, data.shape[0] - k, axis=1)[:, data.shape[0] - k]
+        error = 1e-9 * np.linalg.norm(wanted, axis=1) * np.linalg.norm(data, axis=1).max(initial=0)
+        found &= rough >= (floor - error)[:, None]
+    for q, v, near in zip(asked.tolist(), wanted, found):
+        near = np.flatnonzero(near)
+        scores = (data[near] * v).sum(1)
+        top = np.lexsort((ids[near], -scores))[:nearest]
+        yield q, ids[near[top]], scores[top]
 
 
 def codes(x, mean, projection):
@@ -123,7 +174,8 @@ def search(vectors: DataFrame, nearest: int = NEAREST, query_step: int = QUERY_S
     spark = vectors.sparkSession
     ship(spark)
     x = F.col("_x")
-    usable = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_x")).filter(
+    kept = vectors.schema[vector_col].dataType.simpleString() in ("array<float>", "array<double>")
+    usable = vectors.select(F.col(id_col).cast("long").alias("_id"), (F.col(vector_col) if kept else F.col(vector_col).cast("array<double>")).alias("_x")).filter(
         F.col("_id").isNotNull() & x.isNotNull() & F.exists(x, lambda v: v != 0)
         & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     )
@@ -138,8 +190,10 @@ def search(vectors: DataFrame, nearest: int = NEAREST, query_step: int = QUERY_S
     usable = usable.filter(F.size("_x") == dim)
     n_rows = usable.count()
     n_queries = usable.filter(F.col("_id") % query_step == 0).count()
-    mean, projection, radius = learn(np.array([r["_x"] for r in head if len(r["_x"]) == dim]), nearest, n_rows)
-    blocks, chunks = -(-n_rows // BLOCK), max(1, -(-n_queries // CHUNK))
+    mean, projection, radius = learn(np.array([r["_x"] for r in head if len(r["_x"]) == dim], float), nearest, n_rows)
+    most = max(1, BLOCK_BYTES // (8 * dim))
+    blocks = max(-(-n_rows // most), min(2 * spark.sparkContext.defaultParallelism, -(-n_rows // 1024)))
+    chunks = max(1, -(-n_queries // most))
     sent = spark.sparkContext.broadcast((mean, projection))  # dimension x bits
 
     def cell(rows, queries):
@@ -151,34 +205,23 @@ def search(vectors: DataFrame, nearest: int = NEAREST, query_step: int = QUERY_S
         if len(ids) and len(asked):
             mean, projection = sent.value
             index, probes = MultiIndex(codes(data, mean, projection)), codes(wanted, mean, projection)
-            bits = projection.shape[1]
-            for q, v, probe in zip(asked.tolist(), wanted, probes):
-                reach = radius
-                near = index.within(probe, reach)
-                while len(near) <= nearest and reach < bits:
-                    reach = min(bits, reach + 4)
-                    near = index.within(probe, reach)
-                near = near[ids[near] != q]
-                scores = (data[near] * v).sum(1)
-                if len(near) > nearest:
-                    floor = np.partition(scores, -nearest)[-nearest]
-                    near, scores = near[scores >= floor], scores[scores >= floor]
-                top = np.lexsort((ids[near], -scores))[:nearest]
-                found[0] += [q] * len(top)
-                found[1] += ids[near[top]].tolist()
-                found[2] += scores[top].tolist()
+            for at in range(0, len(asked), TOGETHER):
+                some = slice(at, at + TOGETHER)
+                for q, near, scores in nearest_of(index, ids, data, asked[some], wanted[some], probes[some], radius, nearest):
+                    found[0] += [q] * len(near)
+                    found[1] += near.tolist()
+                    found[2] += scores.tolist()
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    def dealt(i: int):
-        return F.pmod(F.xxhash64("_id", F.lit(i)), F.lit(blocks if i == 0 else chunks))
+    def dealt(parts: int, name: str):
+        return F.pmod(F.xxhash64("_id", F.lit(name)), F.lit(parts)).cast("int").alias(f"_{name}")
 
-    rows = usable.select("_id", "_x", dealt(0).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
-    queries = usable.filter(F.col("_id") % query_step == 0).select("_id", "_x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), dealt(1).alias("_chunk"))
-    as_int = [F.col("_block").cast("int").alias("_block"), F.col("_chunk").cast("int").alias("_chunk")]
-    pairs = (
-        rows.select("_id", "_x", *as_int).groupBy("_block", "_chunk")
-        .cogroup(queries.select("_id", "_x", *as_int).groupBy("_block", "_chunk")).applyInArrow(cell, FOUND)
-    )
+    def every(parts: int, name: str):
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(f"_{name}")
+
+    rows = usable.select("_id", "_x", dealt(blocks, "block"), every(chunks, "chunk"))
+    queries = usable.filter(F.col("_id") % query_step == 0).select("_id", "_x", every(blocks, "block"), dealt(chunks, "chunk"))
+    pairs = rows.groupBy("_block", "_chunk").cogroup(queries.groupBy("_block", "_chunk")).applyInArrow(cell, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
