@@ -1,9 +1,10 @@
 """Sharding by longest-processing-time scheduling: groups that stay together go to the least-loaded shard.
 
-Law: ``bytes`` (shard sizes near equal). A group is all rows with equal texts. Groups above a share of the whole
-(1 / FINENESS) are scheduled one by one; smaller ones are first bundled by hash into FINENESS parcels. Items, fewer
-than 2 * FINENESS whatever the input, are sorted by size and go to the least-loaded shard through a heap. Rows then
-look their item up in a table of that bounded size, so no group, however large, meets in one task.
+Law: ``bytes`` (shard sizes near equal). A group is all rows with equal texts. Groups of equal size are interchangeable,
+so the schedule is made for runs (size, number of groups): largest first, each group to the least-loaded shard through
+a heap. A long run is dealt in closed form, with the loads that the heap would give. A group finds its shard by its rank
+among the groups of its size. Runs are as many as there are different group sizes, fewer than the root of twice the
+corpus's bytes whatever the number of groups; no group, however large, meets in one task.
 
 Defined results: null text has no bytes (size 1) and is a group with the empty texts; repeated rows and rows with a
 null doc_id are sharded like any other, in null-first order of slots; an empty table gives an empty table; columns
@@ -13,28 +14,60 @@ other than the two named are ignored.
 from __future__ import annotations
 
 import heapq
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataplan.runtime import numbered, save, whole
 
-FINENESS = 4096
 SHARDS = 8
+HEAP_RUN = 64  # longer runs are dealt in closed form
+BROADCAST_RUNS = 200_000
 
 
-def schedule(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """Longest first, each to the least-loaded shard; ties to the smaller item and the smaller shard."""
-    heap = [(0, s) for s in range(shards)]
-    placed = {}
-    for item, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, s = heapq.heappop(heap)
-        placed[item] = s
-        heapq.heappush(heap, (load + size, s))
+def dealt_run(loads: list[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` items of one size each shard takes when each goes to the least-loaded shard, ties to the first.
+
+    Shard s takes its i-th item at load loads[s] + i * size, and the run takes the ``count`` smallest of these.
+    """
+    if count <= HEAP_RUN:
+        heap = [(load, s) for s, load in enumerate(loads)]
+        heapq.heapify(heap)
+        taken = [0] * len(loads)
+        for _ in range(count):
+            load, s = heap[0]
+            heapq.heapreplace(heap, (load + size, s))
+            taken[s] += 1
+        return taken
+
+    def below(level: int) -> list[int]:
+        return [max(0, -(-(level - load) // size)) for load in loads]
+
+    low, high = min(loads), min(loads) + count * size + 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(below(middle)) <= count else (low, middle)
+    taken = below(low)
+    left = count - sum(taken)
+    for s, load in enumerate(loads):
+        if left and load + taken[s] * size == low:
+            taken[s] += 1
+            left -= 1
+    return taken
+
+
+def schedule(runs: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int]]]:
+    """For each (size, number of groups), largest first: the rank at which each shard's groups end."""
+    loads, placed = [0] * shards, []
+    for size, count in sorted(runs, reverse=True):
+        taken = dealt_run(loads, size, count)
+        loads = [load + n * size for load, n in zip(loads, taken)]
+        placed.append((size, list(accumulate(taken))))
     return placed
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", fineness: int = FINENESS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     spark = docs.sparkSession
     text = whole(text_col)
@@ -44,28 +77,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.unhex(F.sha2(text, 256)).alias("_group"),
+            F.monotonically_increasing_id().alias("_row"),
         ),
         "shard-rows",
     )
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_size"))
-    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    # Fewer than `fineness` groups can exceed total / fineness, so both collected tables are bounded by it.
-    heavy = [(bytes(r[0]), r[1]) for r in groups.filter(F.col("_size") * fineness > total).collect()]
-    heavy.sort()
-    heavy_ids = {g: fineness + i for i, (g, _) in enumerate(heavy)}
-    heavy_df = spark.createDataFrame([(bytearray(g), i) for g, i in heavy_ids.items()], "_group binary, _heavy int")
-    parcel = F.pmod(F.xxhash64("_group"), F.lit(fineness)).cast("int")
-    light = groups.filter(F.col("_size") * fineness <= total).groupBy(parcel.alias("_item")).agg(F.sum("_size").alias("_size"))
-    items = [(r[0], r[1]) for r in light.collect()] + [(heavy_ids[g], s) for g, s in heavy]
-    placed = spark.createDataFrame(list(schedule(items, shards).items()), "_item int, shard int")
-
-    keyed = (
-        rows.join(F.broadcast(heavy_df), "_group", "left")
-        .withColumn("_item", F.coalesce("_heavy", parcel))
-        .join(F.broadcast(placed), "_item")
-        .select("doc_id", "size", "text_crc32", "_group", "shard")
-    )
-    out = numbered(keyed, "shard", ["doc_id", "_group"], ["doc_id", "_group"], n_rows, "slot")
+    n_rows = rows.count()
+    groups = save(rows.groupBy("_group").agg(F.sum("size").alias("_size")), "shard-groups", n_rows)
+    runs = [(r[0], r[1]) for r in groups.groupBy("_size").agg(F.count(F.lit(1))).collect()]
+    placed = spark.createDataFrame(schedule(runs, shards), "_size long, _ends array<long>")
+    placed = F.broadcast(placed) if len(runs) <= BROADCAST_RUNS else placed
+    ranked = numbered(groups, "_size", ["_group"], ["_group"], n_rows, "_rank")
+    homes = ranked.join(placed, "_size").select("_group", F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))).alias("shard"))
+    keyed = rows.join(homes, "_group")
+    out = numbered(keyed, "shard", ["doc_id", "_row"], ["_row"], n_rows, "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
