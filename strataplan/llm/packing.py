@@ -102,13 +102,13 @@ def tail_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[in
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to rows of ``tokenised_pieces``."""
     spark = pieces.sparkSession
-    pieces = save(pieces.withColumn("_class", F.floor(F.lit(capacity) / F.col("length")).cast("int")), "pieces")
+    pieces = save(pieces.withColumn("_class", F.floor(F.lit(capacity) / F.col("length")).cast("int")).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("_class").agg(F.count(F.lit(1))).collect()}  # at most `capacity` rows
     base, tail, _ = tail_plan(counts, capacity)
     bases = spark.createDataFrame(list(base.items()), "_class int, _base long")
     tails = spark.createDataFrame(tail, "_class int, _index long, _tail long")  # fewer rows than the classes' sizes add up to
     placed = (
-        numbered(pieces, "_class", ["doc_id", "start", "ids_crc32"], ["doc_id", "start", "ids_crc32"], sum(counts.values()), "_index")
+        numbered(pieces, "_class", ["doc_id", "start", "_row"], ["_row"], sum(counts.values()), "_index")
         .join(F.broadcast(bases), "_class")
         .join(F.broadcast(tails), ["_class", "_index"], "left")
         .withColumn("sequence_id", F.coalesce("_tail", F.col("_base") + F.floor(F.col("_index") / F.col("_class"))).cast("long"))
