@@ -5,13 +5,13 @@ maximisation over all segmentations of the training words. A word's probability
 its segmentations, by the forward algorithm; a text's score is the sum of its words' logarithms, over every word.
 
 Only a bounded sample of labelled rows is fitted: per language the SAMPLE_ROWS first rows in hash order among all that
-have a letter, and of a text longer than SAMPLE_CHARS characters a stretch of that length from its first letter on.
-Scoring reads whole texts.
+have a letter, and of a text longer than SAMPLE_CHARS characters a stretch of that length from its first letter on; a run of letters longer than FIT_LETTERS is
+fitted in stretches of that length. Scoring reads whole texts, and a run of letters of any length as one word.
 
 Defined results: null text, or text without a letter, is `und` with score 0; without any labelled row all texts are
 `und`; ties go to the first language in alphabetical order; rows with a null or repeated doc_id are scored like any
-other (a null doc_id counts as the empty text in the split); letter runs longer than 24 are scored in stretches of
-24; an empty table gives an empty table; extra columns are ignored.
+other (a null doc_id counts as the empty text in the split); an empty table gives an empty table; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ from strataplan.runtime import ship
 SAMPLE_ROWS = 150
 SAMPLE_CHARS = 20_000
 ROUNDS = 2
-STRETCH = 24
+FIT_LETTERS = 24  # in a longer run, probabilities of whole segmentations leave the range of doubles
+RESCALE = 8  # steps between rescalings in longer runs
 SMOOTHING = 0.1
 UNKNOWN = 1e-9  # of a character that is no piece
 CACHE_WORDS = 300_000
 HELD_OUT_REMAINDER = 2
 LEAST_SCORE = 0.5
 
-_RUN = re.compile(r"[^\W\d_]{1,%d}" % STRETCH)
+_RUN = re.compile(r"[^\W\d_]+")
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -100,10 +101,32 @@ class Lattice:
         import numpy as np
 
         out = np.empty((len(words), table.shape[1]))
-        for ks, ids in self.groups(words):
-            out[ks] = np.log(self.forward(ids, table)[-1])
+        short = [k for k, w in enumerate(words) if len(w) <= FIT_LETTERS]
+        for ks, ids in self.groups([words[k] for k in short]):
+            out[[short[k] for k in ks]] = np.log(self.forward(ids, table)[-1])
+        for k, w in enumerate(words):
+            if len(w) > FIT_LETTERS:
+                out[k] = self.long_log_score(w, table)
         return out
 
+    def long_log_score(self, word: str, table):
+        """The same sum for a word of any length: only the last ``longest`` values are held, and rescaled as they shrink."""
+        import numpy as np
+
+        w, get, none, unknown = "▁" + word, self.pieces.get, self.none, self.unknown
+        last, log = np.zeros((self.longest, table.shape[1])), np.zeros(table.shape[1])
+        last[0] = 1  # newest first
+        for i in range(1, len(w) + 1):
+            ids = [get(w[i - 1], unknown), *(get(w[i - size : i], none) for size in range(2, min(self.longest, i) + 1))]
+            new = (last[: len(ids)] * table[ids]).sum(0)
+            last[1:] = last[:-1]
+            last[0] = new
+            if i % RESCALE == 0:
+                top = last.max(0)
+                last /= top
+                log += np.log(top)
+        return log + np.log(last[0])
+
     def expected(self, words: list[str], counts, table):
         """Expected piece counts over all segmentations of counted words."""
         import numpy as np
@@ -130,7 +153,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int
         F.substring(F.regexp_replace(text_col, r"^\P{L}+", ""), 1, SAMPLE_CHARS)
     )
     labelled = docs.filter(usable).select(F.col(id_col).alias("_d"), text.alias("_t"), F.col(lang_col).alias("_l"))
-    first = Window.partitionBy("_l").orderBy(F.xxhash64("_d"), "_d")
+    first = Window.partitionBy("_l").orderBy(F.xxhash64("_d"), "_d", "_t")
     top = labelled.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= rows)
     return sorted((r["_l"], r["_t"]) for r in top.select("_l", "_t").collect())
 
@@ -146,7 +169,7 @@ def fit(labelled: list[tuple[str, str]], pieces: dict[str, int], rounds: int = R
     languages = sorted({lang for lang, _ in labelled})
     seen = {lang: Counter() for lang in languages}
     for lang, text in labelled:
-        seen[lang].update(words_of(text))
+        seen[lang].update(w[i : i + FIT_LETTERS] for w in words_of(text) for i in range(0, len(w), FIT_LETTERS))
     words = sorted(set().union(*seen.values())) if languages else []
     counts = np.array([[seen[lang][w] for lang in languages] for w in words], float).reshape(len(words), len(languages))
     lattice = Lattice(pieces)
