@@ -72,6 +72,7 @@ class Codec:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.token_of_number = {str(i): t for i, t in self.token.items()}
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.alphabet = byte_alphabet()
         self.byte_of = {c: b for b, c in self.alphabet.items()}
@@ -254,6 +255,12 @@ class Codec:
         out = b"".join(bytes(self.byte_of[c] for c in t) if all(c in self.byte_of for c in t) else t.encode() for t in tokens)
         return out.decode("utf-8", "replace")
 
+    def decode_line(self, line: str) -> str:
+        """``decode`` of decimal ids with a blank between."""
+        if self.byte_decoder:
+            return self.decode(map(int, line.split()))
+        return " ".join(map(self.token_of_number.__getitem__, line.split()))
+
 
 def _merge_in_step(rows, pairs, merged):
     """Each row's ids after all merges, left-aligned, -1 behind. In a round every row makes its lowest merge (the
@@ -344,7 +351,7 @@ def _digest_forms(path: str) -> Remembered:
     def made(ids, at):
         ids = ids.tolist()
         for i, j in zip(at, at[1:]):
-            yield " ".join(map(str, ids[i:j])), " ".join([c.token[x] for x in ids[i:j]])
+            yield " ".join(map(str, ids[i:j]))
 
     return Remembered(c, made)
 
@@ -392,15 +399,13 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
 
     def one(c: Codec, pieces) -> tuple[int, str, str]:
-        ids, tokens = [], []
+        ids = []
         for forms, special in pieces:
-            ids += [a for a, _ in forms]
-            tokens += [b for _, b in forms]
+            ids += forms
             if special is not None:
                 ids.append(str(special))
-                tokens.append(c.token[special])
-        line = " ".join(ids)
-        decoded = c.decode([int(x) for x in line.split()]) if c.byte_decoder else " ".join(tokens)
+        line = " ".join(filter(None, ids))
+        decoded = c.decode_line(line)
         n = line.count(" ") + 1 if line else 0
         return n, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
