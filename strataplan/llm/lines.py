@@ -7,8 +7,8 @@ places. Where a selected line is at two places or more, the text is read again a
 compared whole, each to the first place that has it; overlapping later windows extend each other both ways to full
 runs. All other windows cannot repeat and are never hashed.
 
-``long_bytes`` widens the law: a run of fewer lines, one line included, that has so many bytes (its lines joined by
-"\n") is deleted at its later places too. op9_lines is held to runs of RUN lines by its SQL; op9_lines_long takes LONG.
+A run of fewer lines, one line included, is deleted at its later places too where it has ``long_bytes`` (its lines
+joined by "\n"); op9_lines takes LONG. Such a run may select any line, so it is hashed wherever it stands.
 
 Defined results: null and empty texts have no lines; other texts are split at "\\n" only and shorter ones than RUN lines
 keep everything; rows with a null doc_id come first; rows that repeat doc_id and text are one place, so neither deletes
@@ -167,10 +167,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_lines(spark, sf_dir: str) -> DataFrame:
-    return summary(dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-
-
-def op9_lines_long(spark, sf_dir: str) -> DataFrame:
     return summary(dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), long_bytes=LONG))
 
 
@@ -179,23 +175,6 @@ def summary(out: DataFrame) -> DataFrame:
 
 
 OP9_SQL = """
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
-  FROM documents WHERE text <> ''
-), w AS (
-  SELECT *, lead(line, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b, lead(line, 2) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM l
-), f AS (
-  SELECT *, c IS NOT NULL AND row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, i) > 1 AS later FROM w
-), m AS (
-  SELECT *, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone FROM f
-), d AS (
-  SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS t FROM m GROUP BY doc_id
-)
-SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM documents LEFT JOIN d USING (doc_id)
-"""
-
-OP9_LONG_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text <> ''

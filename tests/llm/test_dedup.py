@@ -76,12 +76,56 @@ def test_sharding(which, request):
         assert max(load.values()) - min(load.values()) <= largest
 
 
+def plain_schedule(sizes, shards):
+    """Longest first, one group at a time, each to the least-loaded shard: load of each shard, groups by (size, shard)."""
+    loads, placed = [0] * shards, Counter()
+    for size in sorted(sizes, reverse=True):
+        s = loads.index(min(loads))
+        loads[s] += size
+        placed[size, s] += 1
+    return loads, placed
+
+
+@BOTH
+@pytest.mark.parametrize("shards", [3, 8])
+def test_sharding_schedules_every_group(which, shards, request):
+    """Every group of the whole table, against one schedule in plain order."""
+    docs, rows = pick(which, request)
+    total = Counter()
+    for _, t in rows:
+        total[t or ""] += len((t or "").encode()) + 1
+    loads, placed = plain_schedule(total.values(), shards)
+    got = sharding.shard(docs, shards).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert [size[s] for s in range(shards)] == loads
+    if which == "documents":
+        text = {d: t or "" for d, t in rows}
+        assert Counter((total[t], s) for t, s in {(text[r.doc_id], r.shard) for r in got}) == placed
+
+
 def test_sharding_heavy_group(spark, none):
-    docs = spark.createDataFrame([(i, "copy" if i % 3 else f"text {i}") for i in range(600)], "doc_id long, text string")
-    got = sharding.shard(docs, fineness=8).collect()
-    assert len({r.shard for r in got if r.doc_id % 3}) == 1 and len(got) == 600
+    docs = spark.createDataFrame([(i if i % 3 else None, "copy" if i % 3 else None) for i in range(600)], "doc_id long, text string")
+    got = sharding.shard(docs).collect()
+    assert len({r.shard for r in got if r.doc_id is not None}) == 1 and len(got) == 600
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert sharding.shard(none).count() == 0
-    assert sharding.schedule([(0, 5), (1, 4), (2, 3), (3, 3), (4, 3)], 2) == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1}
+    assert sharding.schedule([(5, 1), (4, 1), (3, 3)], 2) == [(5, [1, 1]), (4, [0, 1]), (3, [1, 3])]
+
+
+def test_sharding_long_runs_are_dealt_as_one_by_one():
+    """The closed form of a run against the heap, from level and uneven loads."""
+    for loads in ([0] * 8, [7, 0, 93, 12, 12, 55, 1, 400], [1000, 0, 0, 3, 3, 3, 2, 1]):
+        for size in (1, 7, 50):
+            for count in (65, 100, 777):
+                level, taken = list(loads), [0] * 8
+                for _ in range(count):
+                    s = level.index(min(level))
+                    level[s] += size
+                    taken[s] += 1
+                assert sharding.dealt_run(loads, size, count) == taken
 
 
 def shingles(t):
@@ -175,6 +219,24 @@ def test_pipeline_near_stage_links_from_80(spark, documents, document_rows):
     assert Counter(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()) == Counter(d for i, (d, t) in enumerate(rows) if d == first[root[i]] or not sets[i])
 
 
+def test_near_crowded_bucket(spark):
+    """Texts that share a frame meet in crowded buckets: dealt again by further minima, they give the same components."""
+    rng = __import__("random").Random(3)
+    frame = " ".join(f"frame{i}" for i in range(60))
+    rows = []
+    for i in range(60):
+        own = [f"own{rng.randrange(10**9)}" for _ in range(40)]
+        rows.append((2 * i, frame + " " + " ".join(own)))
+        own[rng.randrange(40)] = "changed"
+        rows.append((2 * i + 1, frame + " " + " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    dealt = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, block=4).collect()}
+    sets = {d: shingles(t) for d, t in rows}
+    want = {d: d - d % 2 if 100 * len(sets[d] & sets[d ^ 1]) >= 85 * len(sets[d] | sets[d ^ 1]) else d for d in sets}
+    assert plain == dealt == want and any(d != c for d, c in want.items())
+
+
 def test_bands_of_a_threshold():
     assert near_dedup.bands_at((85, 100)) == 24 and near_dedup.bands_at((80, 100)) == 35
     assert all((1 - (n / d) ** near_dedup.ROWS) ** near_dedup.bands_at((n, d)) < near_dedup.NO_BAND for n, d in ((85, 100), (80, 100)))
@@ -238,17 +300,16 @@ def test_lines_long_runs(which, request):
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in lines.dedup_lines(docs, long_bytes=lines.LONG).collect()) == want
 
 
-def test_lines_long_query_deletes_one_line(spark, small, tmp_path):
+def test_lines_query_deletes_one_line(spark, small, tmp_path):
     """One long line that stands alone in a text goes where it is later; the query equals its SQL."""
     import duckdb
 
     text = "This work is licensed under the GNU General Public License, version 3."
     spark.createDataFrame([(1, f"a\n{text}\nb"), (2, text), (3, f"c\n{text}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.n_removed for r in lines.op9_lines_long(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1}
-    for query, sql in ((lines.op9_lines, lines.OP9_SQL), (lines.op9_lines_long, lines.OP9_LONG_SQL)):
-        con = duckdb.connect()
-        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
-        assert Counter(map(tuple, query(spark, small).collect())) == Counter(con.sql(sql).fetchall())
+    assert {r.doc_id: r.n_removed for r in lines.op9_lines(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    assert Counter(map(tuple, lines.op9_lines(spark, small).collect())) == Counter(con.sql(lines.OP9_SQL).fetchall())
 
 
 def passages_by_force(rows):

@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
+from tokenizers import Tokenizer
 
 from strataplan.llm import language, neighbours, secrets
 
@@ -62,6 +64,63 @@ def test_forward_takes_the_longest_pieces():
     assert len(word) > 10 and abs(np.exp(language.Lattice(pieces).log_scores([word], table))[0, 0] - 0.25) < 1e-9
 
 
+def segmentations(word):
+    """All ways to cut a word."""
+    if not word:
+        yield []
+    for i in range(1, len(word) + 1):
+        for rest in segmentations(word[i:]):
+            yield [word[:i], *rest]
+
+
+def test_long_words_sum_all_segmentations_too(monkeypatch):
+    """A word longer than what is fitted: no cut is left out, and the sum does not leave the range of doubles."""
+    pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "aba": 5, "baba": 6}
+    table = np.array([[0.1, 0.2], [0.2, 0.1], [0.3, 0.2], [0.25, 0.1], [0.15, 0.1], [0.05, 0.2], [0.1, 0.01], [0.0, 0.0], [1e-9, 1e-9]])
+    lattice = language.Lattice(pieces)
+    word = "ababcabab"
+
+    def product(cut, col):
+        out = 1.0
+        for p in cut:
+            out *= table[pieces.get(p, lattice.unknown if len(p) == 1 else lattice.none), col]
+        return out
+
+    want = [np.log(sum(product(cut, col) for cut in segmentations("▁" + word))) for col in (0, 1)]
+    assert np.allclose(lattice.log_scores([word], table)[0], want)
+    assert np.allclose(lattice.long_log_score(word, table), want)
+    twice = "ab" * 12 + "cab" * 30
+    monkeypatch.setattr(language, "FIT_LETTERS", 1000)
+    plain = lattice.log_scores([twice], table)[0]
+    monkeypatch.undo()
+    assert len(twice) > language.FIT_LETTERS and np.allclose(lattice.log_scores([twice], table)[0], plain)
+    assert np.isfinite(lattice.long_log_score("c" * 5000, table)).all()
+    assert language.words_of("x" * 30 + " 1") == ["x" * 30]
+
+
+def test_language_query_against_plain_sums(spark, documents, document_rows):
+    """Every text's language from the fitted table, segment by segment in plain Python."""
+    pieces, languages, table = language.model_of(documents, "doc_id", "text", "lang", None)
+    longest = max(map(len, pieces))
+    known = {}
+
+    def log_word(word):
+        if word not in known:
+            w = "▁" + word
+            alpha = [np.ones(len(languages))]
+            for i in range(1, len(w) + 1):
+                alpha.append(sum(alpha[k] * table[pieces.get(w[k:i], len(pieces) + 1 if i - k == 1 else len(pieces))] for k in range(max(0, i - longest), i)))
+            known[word] = np.log(alpha[-1])
+        return known[word]
+
+    want = {}
+    for d, t in document_rows:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        total = sum((log_word(w) for w in words), np.zeros(len(languages)))
+        want[d] = languages[int(total.argmax())] if any(c.isalpha() for c in t or "") else "und"
+    assert {r.doc_id: r.lang_pred for r in language.identify(documents).collect()} == want
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -151,7 +210,30 @@ def test_pigeonhole_finds_every_code():
     q = rng.integers(0, 256, 4).astype(np.uint8)
     apart = np.unpackbits(keys ^ q, axis=1).sum(1)
     for r in range(0, 33):
-        assert index.within(q, r).tolist() == np.flatnonzero(apart <= r).tolist()
+        assert np.flatnonzero(index.within(np.array([q, keys[5]]), r)[0]).tolist() == np.flatnonzero(apart <= r).tolist()
+    wide = index.within(q[None], 0, 10)[0]
+    assert wide.sum() >= 10 and apart[wide].max() <= apart[~wide].min()
+
+
+def test_neighbours_tie_at_the_last_place(spark, monkeypatch):
+    """Forty equal vectors and twenty places; one id twice, with different vectors; two chunks of queries, blocks of a few rows."""
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 8 * 8 * 12)
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(400, 8))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[100:140] = vectors[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(7, (vectors[7] + 50).tolist())]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    ids = np.arange(400)
+    vectors[7] = min(rows[7][1], rows[400][1])
+    want = {q: exact_nearest(ids, vectors, q, 20) for q in range(0, 400, 20)}
+    assert got[100] == list(zip(*[x if isinstance(x, list) else x.tolist() for x in want[100]])) and [v for v, _ in got[100]] == list(range(101, 121))
+    assert all(len(x) == 20 for x in got.values()) and sorted(got) == sorted(want)
+    assert sum(len({v for v, _ in got[q]} & set(want[q][0])) for q in want) >= 0.9 * 20 * len(want)
+    exact = all(abs(s - vectors[q] @ vectors[v]) < 1e-9 for q, found in got.items() for v, s in found)
+    assert exact
 
 
 def test_neighbours_odd(spark):
@@ -162,6 +244,32 @@ def test_neighbours_odd(spark):
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+def kept_by_force(texts, some, of):
+    """The smallest doc_id of each component of documents whose shingle sets share some/of of their union."""
+    sets = {}
+    for d, t in texts.items():
+        w = t.encode().lower().split()
+        sets[d] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    at = {}
+    for d, s in sets.items():
+        for x in s:
+            at.setdefault(x, []).append(d)
+    root = {d: d for d in texts}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for d, s in sets.items():
+        both = Counter(e for x in s for e in at[x] if e < d)
+        for e, n in both.items():
+            if of * n >= some * (len(s) + len(sets[e]) - n):
+                a, b = sorted((top(d), top(e)))
+                root[b] = a
+    return {top(d) for d in texts}
+
+
 def test_pipeline(spark, small, document_rows):
     import corpus_pipeline
 
@@ -183,17 +291,42 @@ def test_pipeline(spark, small, document_rows):
             for d, t in sorted(rows):
                 first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), d)
             assert set(left) == set(first.values())
+        elif name == "near":
+            assert set(left) == kept_by_force(before, *corpus_pipeline.NEAR)
         elif name == "secrets":
-            assert all(base(t) == "" for t in left.values())
-    pieces = corpus_pipeline.run(spark, small)
-    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(left)
+            assert all(base(t) == "" for t in left.values()) and set(left) == set(before)
+        before = left
+    pieces = corpus_pipeline.run(spark, small).collect()
+    tokens = Tokenizer.from_file(language.public_path("byte_bpe_50k.json"))
+    ids = {d: tokens.encode(t, add_special_tokens=False).ids + [0] for d, t in left.items()}
+    starts, used = {}, {}
+    for p in pieces:
+        part = ids[p.doc_id][p.start : p.start + p.length]
+        assert len(part) == p.length and p.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes()) and p.doc_tokens == len(ids[p.doc_id])
+        starts.setdefault(p.doc_id, []).append((p.start, p.length))
+        used.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for table, whole in ((starts, {d: len(x) for d, x in ids.items()}), (used, None)):
+        for k, spans in table.items():
+            spans.sort()
+            assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[0][0] == 0
+            assert sum(n for _, n in spans) == whole[k] if whole else sum(n for _, n in spans) <= 1024
+    assert set(starts) == set(left) and sorted(used) == list(range(len(used)))
 
 
 def test_pipeline_of_nothing_and_odd(spark, odd, none, tmp_path):
     import corpus_pipeline
 
-    for docs in (none, odd):
+    for given in (none, odd):
+        docs = given
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, "")
-            docs = spark.createDataFrame(out.collect(), out.schema)
-        assert (docs.count() == 0) == (docs.schema is not None and out.count() == 0)
+            rows = out.collect()
+            if given is none:
+                assert not rows
+            elif name == "language":
+                assert {r.doc_id for r in rows} == {None} | {r.doc_id for r in odd.collect() if r.doc_id is not None and any(c.isalpha() for c in r.text or "")}
+            elif name == "packing":
+                assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+            else:
+                assert out.columns == odd.columns and {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()} and rows
+            docs = spark.createDataFrame(rows, out.schema)
