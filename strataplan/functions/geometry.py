@@ -146,13 +146,16 @@ def circle_of(items: Column, x0: Column, y0: Column, x1: Column, y1: Column, low
     return F.when(round_, F.struct(((x0 + x1) / 2).alias("cx"), ((y0 + y1) / 2).alias("cy"), (F.greatest(w, h) / 2).alias("r")))
 
 
-def anchor(ring: Column, gap: float) -> Column:
-    """struct<x, y, angle>: beyond the middle of the upper of a box's two long sides (y points down)."""
+def anchor(ring: Column, gap: float, along: Column, x0: Column, y0: Column) -> Column:
+    """struct<x, y, angle>: where a label is written. ``along`` a long box: from the left end of its upper long side, moved
+    out along the side's normal (y points down), read left to right; else above the corner (x0, y0)."""
     by_length = F.array_sort(F.transform(sides(ring), lambda s: F.struct((-F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"])).alias("n"), (s["a"]["y"] + s["b"]["y"]).alias("h"), s["a"].alias("a"), s["b"].alias("b"))))
     top = F.array_min(F.transform(F.slice(by_length, 1, 2), lambda s: F.struct(s["h"].alias("h"), s["a"].alias("a"), s["b"].alias("b"))))
-    angle = F.degrees(F.atan2(top["b"]["y"] - top["a"]["y"], top["b"]["x"] - top["a"]["x"]))
-    upright = F.when(angle > 90, angle - 180).when(angle <= -90, angle + 180).otherwise(angle)
-    return F.struct(((top["a"]["x"] + top["b"]["x"]) / 2).alias("x"), ((top["a"]["y"] + top["b"]["y"]) / 2 - gap).alias("y"), upright.alias("angle"))
+    turned = (top["b"]["x"] < top["a"]["x"]) | ((top["b"]["x"] == top["a"]["x"]) & (top["b"]["y"] > top["a"]["y"]))
+    p, q = F.when(turned, top["b"]).otherwise(top["a"]), F.when(turned, top["a"]).otherwise(top["b"])
+    angle = F.atan2(q["y"] - p["y"], q["x"] - p["x"])
+    beside = F.struct((p["x"] + gap * F.sin(angle)).alias("x"), (p["y"] - gap * F.cos(angle)).alias("y"), F.degrees(angle).alias("angle"))
+    return F.when(along, beside).otherwise(F.struct(x0.cast("double").alias("x"), (y0 - gap).cast("double").alias("y"), F.lit(0.0).alias("angle")))
 
 
 def pixels(ring: Column, dpi: float) -> Column:

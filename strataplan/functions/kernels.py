@@ -71,3 +71,46 @@ def clip(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
 
 def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
     return area(clip(a, b))
+
+
+def ring_array(column) -> np.ndarray:
+    """[row, corner, (x, y)] of an Arrow column of rings; shorter rings repeat their last corner."""
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten()
+    xy = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1) if len(flat) else np.empty((0, 2))
+    size = np.diff(column.offsets.to_numpy())
+    start = np.cumsum(size) - size
+    place = start[:, None] + np.minimum(np.arange(max(1, size.max(initial=1))), np.maximum(size, 1)[:, None] - 1)
+    return xy[place] if len(xy) else np.zeros((len(column), 1, 2))
+
+
+def areas(rings: np.ndarray) -> np.ndarray:
+    x, y = rings[..., 0], rings[..., 1]
+    return np.abs((x * np.roll(y, -1, 1) - np.roll(x, -1, 1) * y).sum(1)) / 2
+
+
+def overlap_areas(subjects: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """``overlap_area`` of many pairs at once; windows convex."""
+    x, y = windows[..., 0], windows[..., 1]
+    turned = (x * np.roll(y, -1, 1) - np.roll(x, -1, 1) * y).sum(1) < 0
+    windows = np.where(turned[:, None, None], windows[:, ::-1], windows)
+    out = subjects
+    dead = np.zeros(len(out), bool)
+    for k in range(windows.shape[1]):
+        p, q = windows[:, k, None], windows[:, (k + 1) % windows.shape[1], None]
+        side = (q - p)[..., 0] * (out - p)[..., 1] - (q - p)[..., 1] * (out - p)[..., 0]
+        after, other = np.roll(out, -1, 1), np.roll(side, -1, 1)
+        kept, cut = side >= 0, (side < 0) != (other < 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = out + (after - out) * np.where(cut, side / (side - other), 0)[..., None]
+        both = np.stack([out, cross], 2).reshape(len(out), -1, 2)
+        use = np.stack([kept, cut], 2).reshape(len(out), -1)
+        n = use.sum(1)
+        dead |= n == 0
+        order = np.argsort(~use, axis=1, kind="stable")
+        width = max(1, int(n.max(initial=1)))
+        order = order[np.arange(len(out))[:, None], np.minimum(np.arange(width), np.maximum(n, 1)[:, None] - 1)]
+        out = both[np.arange(len(out))[:, None], order]
+    return np.where(dead, 0.0, areas(out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataplan.operators.joins import first_by
+from strataplan.operators.joins import band_join, first_by
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, out: str = "median") -> DataFrame:
@@ -26,6 +26,31 @@ def most_common(df: DataFrame, keys: list[str], value: str, first_seen: str, k:
     return first_by(counts, keys, [F.desc("n"), "_seen", value], k, "rank").drop("_seen")
 
 
+def weighted_mean(df: DataFrame, keys: list[str], value: Column, weight: Column, out: str, *more: Column) -> DataFrame:
+    """Per key the mean of ``value`` by ``weight``, and further aggregates."""
+    return df.groupBy(*keys).agg((F.sum(value * weight) / F.sum(weight)).alias(out), *more)
+
+
+def usual(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """Values that make up ``share`` of a key's rows, with their number ``n``."""
+    n = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy(*keys).agg(F.sum("n").alias("_t"))
+    return n.join(total, keys).filter(F.col("n") / F.col("_t") >= share).drop("_t")
+
+
+def dominant(df: DataFrame, keys: list[str], value: str, first_seen: str, share: float) -> DataFrame:
+    """Per key the most frequent value if it makes up ``share`` of the key's rows, else null."""
+    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
+    top = most_common(df, keys, value, first_seen).join(total, keys)
+    return top.select(*keys, F.when(F.col("n") / F.col("_t") >= share, F.col(value)).alias(value))
+
+
+def median_or(value: Column, condition: Column, default: float | None = None) -> Column:
+    """Median of the rows that meet a condition, or a default."""
+    found = F.median(F.when(condition, value))
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
 def robust_fit(samples: DataFrame, keys: list[str], v: str, length: str, tolerance: float, min_spread: float, rounds: int = 3) -> DataFrame:
     """length = k * v - gap per key: median slope of pairs that differ by more than ``min_spread``, median intercept,
     then least squares on inliers ``rounds`` times. Columns: keys, k, gap, samples, inliers, median_error, p95_error.
@@ -127,13 +152,26 @@ def size_consistency(printed: DataFrame, keys: list[str], size: str, id_col: str
     """
     groups = printed.groupBy(*keys, size).agg(F.count(F.lit(1)).alias("_n"))
     other = groups.select(*keys, F.col(size).alias("_s2"), F.col("_n").alias("_n2"))
-    near = groups.join(other, keys).filter(F.abs(F.col(size) - F.col("_s2")) <= tolerance).groupBy(*keys, size).agg(F.sum("_n2").cast("long").alias("_with"))
+    near = band_join(groups, other, size, "_s2", tolerance, keys).groupBy(*keys, size).agg(F.sum("_n2").cast("long").alias("_with"))
     best = near.groupBy(*keys).agg(F.max("_with").alias("_best"))
     j = printed.join(near, [*keys, size]).join(best, keys).withColumn("agreeing", F.col("_with") - 1)
     verdict = F.when(F.col("agreeing") >= 1, "fits").when(F.col("_best") >= 2, "retype").otherwise("conflict")
     return j.withColumn("verdict", verdict).drop("_with", "_best")
 
 
+def two_size_consistency(printed: DataFrame, keys: list[str], length: str, width: str, id_col: str, length_tol: float, width_tol: float, width_only: str) -> DataFrame:
+    """``size_consistency`` of rows with two sizes, of which a flag may leave only the width to be compared."""
+    a = printed.select(*keys, F.col(id_col).alias("_a"), F.col(length).alias("_la"), F.col(width).alias("_wa"), F.col(width_only).alias("_only"))
+    b = printed.select(*keys, F.col(id_col).alias("_b"), F.col(length).alias("_lb"), F.col(width).alias("_wb"))
+    near = band_join(a, b, "_wa", "_wb", width_tol, keys).filter(F.col("_only") | (F.abs(F.col("_la") - F.col("_lb")) <= length_tol))
+    n = near.groupBy(*keys, F.col("_a").alias(id_col)).agg(F.count(F.lit(1)).alias("_with"))
+    j = printed.join(n, [*keys, id_col])
+    # Alone with its key it fits; with one other that disagrees neither is known to be right.
+    stats = j.groupBy(*keys).agg(F.max("_with").alias("_best"), F.count(F.lit(1)).alias("_all"))
+    verdict = F.when((F.col("_all") == 1) | (F.col("_with") > 1), "fits").when(F.col("_best") >= 2, "retype").otherwise("conflict")
+    return j.join(stats, keys).withColumn("agreeing", (F.col("_with") - 1).cast("long")).withColumn("verdict", verdict).drop("_with", "_best", "_all")
+
+
 def z_scores(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Population z-score of each column per key; unchanged where a key's values are all equal.
 

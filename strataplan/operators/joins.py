@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataplan.runtime import ship
+
 
 def cells(lo: Column, hi: Column, size: float) -> Column:
     """Numbers of the cells that [lo, hi] touches."""
@@ -63,17 +65,40 @@ def parallel_pairs(lines: DataFrame, on: list[str], least: float, most: float, o
 
 
 def between(pairs: DataFrame, lines: DataFrame, on: list[str], margin: float, share: float, most: float) -> DataFrame:
-    """Pairs with ``inside``: how many other lines of equal ``on`` lie strictly between, along over ``share`` of the pair."""
-    c = renamed(lines.select(*on, "id", "off", "lo", "hi"), "k_", on)
+    """Pairs with ``inside``: how many other lines of equal ``on`` lie strictly between, along over ``share`` of the pair.
+
+    Pairs, at most ``most`` wide, meet the lines of their stretch of offsets in one task, which counts each pair's range of
+    the lines sorted by offset; pairs and lines are never multiplied in a shuffle.
+    """
+    wide = 4 * most
     middle = (F.col("off_i") + F.col("off_j")) / 2
-    near = band_join(pairs.withColumn("_mid", middle), c, "_mid", "k_off", most, on)
-    hit = (
-        (F.col("k_id") != F.col("i")) & (F.col("k_id") != F.col("j"))
-        & (F.col("k_off") > F.least("off_i", "off_j") + margin) & (F.col("k_off") < F.greatest("off_i", "off_j") - margin)
-        & (F.least("k_hi", "to") - F.greatest("k_lo", "from") > share * (F.col("to") - F.col("from")))
-    )
-    found = near.filter(hit).groupBy(*on, "i", "j").agg(F.count(F.lit(1)).alias("inside"))
-    return pairs.join(found, [*on, "i", "j"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)).cast("long"))
+    p = pairs.select(*(F.col(x).alias(x) for x in on), F.floor(middle / wide).cast("long").alias("_bin"), "i", "j", *(F.col(c).cast("double").alias(c) for c in ("off_i", "off_j", "from", "to")))
+    bins = F.sequence(F.floor((F.col("off") - most) / wide).cast("long"), F.floor((F.col("off") + most) / wide).cast("long"))
+    c = lines.select(*(F.col(x).alias(x) for x in on), F.explode(bins).alias("_bin"), "id", *(F.col(x).cast("double").alias(x) for x in ("off", "lo", "hi")))
+
+    def count(some, met):
+        import numpy as np
+        import pyarrow as pa
+
+        i, j, off_i, off_j, lo, hi = (some[x].to_numpy() for x in ("i", "j", "off_i", "off_j", "from", "to"))
+        order = np.argsort(met["off"].to_numpy(), kind="stable")
+        ids, off, a, b = (met[x].to_numpy()[order] for x in ("id", "off", "lo", "hi"))
+        first = np.searchsorted(off, np.minimum(off_i, off_j) + margin, "right")
+        n = np.maximum(0, np.searchsorted(off, np.maximum(off_i, off_j) - margin, "left") - first)
+        inside = np.zeros(len(i), np.int64)
+        for some_rows in np.array_split(np.arange(len(i)), max(1, int(n.sum()) >> 20)):
+            k = n[some_rows]
+            row = np.repeat(some_rows, k)
+            line = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+            hit = (ids[line] != i[row]) & (ids[line] != j[row]) & (np.minimum(b[line], hi[row]) - np.maximum(a[line], lo[row]) > share * (hi[row] - lo[row]))
+            inside += np.bincount(row[hit], minlength=len(i))
+        return some.select([*on, "i", "j"]).append_column("inside", pa.array(inside))
+
+    ship(pairs.sparkSession)
+    kinds = dict(p.dtypes)
+    schema = ", ".join([*(f"`{x}` {kinds[x]}" for x in (*on, "i", "j")), "inside long"])
+    found = p.groupBy(*on, "_bin").cogroup(c.groupBy(*on, "_bin")).applyInArrow(count, schema)
+    return pairs.join(found, [*on, "i", "j"])
 
 
 def first_by(df: DataFrame, keys: list[str], order: list, k: int = 1, rank: str | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Detection of drawn elements on any number of plans at once: every relation is keyed by plan_id.
 
 Stages, each a DataFrame in and out: calibrate, scaled, segments, solids, outlines, bands, hatches, stamps, objects,
-features, clusters, labels, match, names, types, ids. All coordinates are metres once scaled.
+features, clusters, labels, match, names, regions, types, ids. All coordinates are metres once scaled.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ from strataplan.operators import joins as J
 from strataplan.operators import windows as W
 from strataplan.operators.assign import assign
 from strataplan.operators.graph import components
-from strataplan.operators.shapes import RING, bounds, distinct_shapes, overlaps, with_box
+from strataplan.operators import shapes as S
+from strataplan.operators.shapes import bounds, distinct_shapes, overlaps, with_box
+from strataplan.operators.suppress import suppress
 from strataplan.operators.ward import ward
-from strataplan.plans import grammar
-from strataplan.plans.rules import column_section_cm
+from strataplan.plans import grammar, rules
+from strataplan.plans import relations as R
 from strataplan.runtime import save
 from strataplan.tolerances import CLASS_ORDER, FAMILY, LABEL_CLASS, Tolerances
 
-OBJECT = ["plan_id", "id", "kind", "ring", "o", "length", "width", "area", "pen", "band", "holds", "net_length"]
+KEY = ["plan_id", "id"]
 
 
 @dataclass
@@ -35,10 +37,10 @@ class Result:
     clusters: DataFrame
     matches: DataFrame
     calibration: DataFrame
+    log: DataFrame | None = None
 
 
-def lookup(table: dict, key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+lookup = rules.lookup
 
 
 # --- scale ---------------------------------------------------------------------------------------------------------
@@ -112,8 +114,7 @@ def segments(paths: DataFrame, texts: DataFrame, t: Tolerances) -> DataFrame:
     key = ["plan_id", "seg_id"]
     box = s.select(*key, F.least("ax", "bx").alias("sx0"), F.least("ay", "by").alias("sy0"), F.greatest("ax", "bx").alias("sx1"), F.greatest("ay", "by").alias("sy1"))
     words = texts.select("plan_id", "text_id", *((F.col(f"rect.{c}") + sign * F.col("pt")).alias(f"t{c}") for c, sign in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))))
-    inside = F.expr("sx0 >= tx0 and sy0 >= ty0 and sx1 <= tx1 and sy1 <= ty1 and greatest(sx1 - sx0, sy1 - sy0) <= 1.2 * least(tx1 - tx0, ty1 - ty0)")
-    text = J.grid_join(box, words, ("sx0", "sy0", "sx1", "sy1"), ("tx0", "ty0", "tx1", "ty1"), 5.0, ["plan_id"]).filter(inside)
+    text = R.in_words(box, words, ("sx0", "sy0", "sx1", "sy1"), ("tx0", "ty0", "tx1", "ty1"), 1.2, 5.0, ["plan_id"])
     s = s.join(text.select(*key).distinct(), key, "left_anti")
     return mark_dashed(s, t)
 
@@ -125,8 +126,7 @@ def mark_dashed(s: DataFrame, t: Tolerances) -> DataFrame:
     keys = ["plan_id", "_a", "_off"]
     s = s.withColumn("_a", F.bround(F.degrees("ang") / t.dash_degrees)).withColumn("_off", F.bround(G.offset(F.col("ax"), F.col("ay"), angle) / t.collinear))
     short = s.filter(F.col("len") <= t.dash_max)
-    groups = short.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.sum("len") / (F.max("_hi") - F.min("_lo"))).alias("cover"))
-    groups = groups.filter((F.col("n") >= t.dash_min_pieces) & (F.col("cover") <= t.dash_cover)).select(*keys, F.lit(True).alias("_d"))
+    groups = R.dashed_groups(short, keys, "_lo", "_hi", t.dash_min_pieces, t.dash_cover).select(*keys, F.lit(True).alias("_d"))
     s = s.join(groups, keys, "left").withColumn("dashed", F.coalesce(F.col("_d") & (F.col("len") <= t.dash_max), F.lit(False)))
     pen = A.most_common(s.filter("dashed and w > 0"), ["plan_id"], "w", "seg_id").select("plan_id", F.col("w").alias("_pen"))
     return s.join(pen, "plan_id", "left").withColumn("axis_pen", F.coalesce(F.col("w") == F.col("_pen"), F.lit(False))).drop("_a", "_off", "_d", "_pen", "_lo", "_hi")
@@ -141,24 +141,48 @@ def usable(s: DataFrame) -> DataFrame:
 
 def _rings(paths: DataFrame) -> DataFrame:
     r = paths.select("plan_id", "idx", F.col("width").alias("pen"), F.posexplode(G.chains(F.col("items"))).alias("part", "ring"))
-    return r.withColumn("area", G.area(F.col("ring"))).filter("area > 0").withColumn("id", F.xxhash64("plan_id", "idx", "part"))
+    return S.repaired(r).withColumn("area", G.area(F.col("ring"))).filter("area > 0").withColumn("id", F.xxhash64("plan_id", "idx", "part"))
+
+
+def solids(paths: DataFrame, t: Tolerances) -> tuple[DataFrame, DataFrame]:
+    """(filled rectangles, each once however often it is drawn, with straight stretches of bent fills; other fills).
+
+    Fills painted one after another that touch are one shape.
+    """
+    painted = S.paint_groups(_rings(paths.filter("type in ('f', 'fs') and filled")).select("plan_id", "idx", "ring"), t.paint_gap, t.touch)
+    painted = painted.withColumn("area", G.area(F.col("ring"))).filter("area > 0").withColumn("id", F.xxhash64("plan_id", "idx", "ring"))
+    r = save(with_box(painted), "fills")
+    straight = (F.col("o.rectness") > t.rectness) & (F.col("o.width") >= t.min_side)
+    as_box = F.when(F.size("ring") == 4, F.col("ring")).otherwise(F.col("o.obb"))
+    boxes = distinct_shapes(save(r.filter(straight).withColumn("ring", as_box), "rectangles"), t.dup_iou)
+    other = r.filter(~straight)
+    usual = boxes.groupBy("plan_id").agg(F.median("o.width").alias("_w"))
+    bent = other.join(usual, "plan_id", "left").filter(
+        (F.col("area") >= t.bent_fill_min_area) & rules.thin_fill(F.col("area"), G.perimeter(F.col("ring")), F.coalesce(2 * F.col("_w"), F.lit(t.thin_default)))
+    )
+    legs = S.stretches(bent, boxes, t.stretch_thickness, t.stretch_min_len).withColumn("id", F.xxhash64("plan_id", "of", "part", "ring")).withColumn("area", G.area(F.col("ring")))
+    every = save(boxes.select("plan_id", "id", "ring", "o", "area").unionByName(with_box(legs).select("plan_id", "id", "ring", "o", "area")), "solids")
+    pens = outline_pens(paths, every, t)
+    return every.join(pens, KEY, "left").select("plan_id", "id", F.lit("solid").alias("kind"), "ring", "o", "area", F.coalesce("outline_pen", F.lit(0.0)).alias("pen")), other.select("plan_id", "id", "ring", "area")
 
 
-def solids(paths: DataFrame, t: Tolerances) -> DataFrame:
-    """Filled rectangles, each once however often it is drawn."""
-    r = with_box(_rings(paths.filter("type in ('f', 'fs') and filled")))
-    good = r.filter((F.col("o.rectness") >= t.rectness) & (F.col("o.width") >= t.min_side))
-    return distinct_shapes(save(good, "fills"), t.dup_iou).select("plan_id", "id", F.lit("solid").alias("kind"), "ring", "o", "area", "pen")
+def outline_pens(paths: DataFrame, found: DataFrame, t: Tolerances) -> DataFrame:
+    """plan_id, id, outline_pen: of the strokes that run along a shape's border."""
+    lines = strokes(paths.filter("type = 's'"))
+    on = R.on_borders(lines, R.sides_of(found, "id"), t.on_border, per=["id"]).join(lines.select("plan_id", "seg_id", "w"), ["plan_id", "seg_id"])
+    on = on.join(found.select(*KEY, G.perimeter(F.col("ring")).alias("_border")), KEY).withColumn("_on", F.col("share") * F.col("len"))
+    return R.pen_along(on, KEY, "w", "_on", "len", "_border")
 
 
 def outlines(paths: DataFrame, found: DataFrame, t: Tolerances) -> DataFrame:
-    """Closed stroked rectangles that are not the border of something found by its fill."""
+    """Closed stroked rectangles that are not the border of something found by its fill or hatch, nor of a stamped region."""
     closed = paths.filter("type = 's'").filter(G.is_closed(F.col("items")))
     r = with_box(_rings(closed).filter((F.col("area") >= t.outline_min_area) & (F.col("area") <= t.outline_max_area)))
     r = distinct_shapes(save(r.filter(F.col("o.rectness") > t.outline_rectness), "outlines"), 0.96)
-    cover = overlaps(r, found.select("plan_id", "id", "ring"), grow=t.grow)
-    border = cover.groupBy("plan_id", "a").agg(F.sum("common").alias("c"), F.max("area_a").alias("s")).filter("c > 0.8 * s")
-    left = r.join(border.select("plan_id", F.col("a").alias("id")), ["plan_id", "id"], "left_anti")
+    walls = found.filter("kind <> 'stamped_region'")
+    border = R.covered_shares(r, walls, t.grow).filter("share > 0.8").select(*KEY)
+    alike = overlaps(r, found.select("plan_id", "id", "ring")).filter("common > 0.8 * area_a and common > 0.8 * area_b").select("plan_id", F.col("a").alias("id"))
+    left = r.join(border.unionByName(alike).distinct(), KEY, "left_anti")
     return left.select("plan_id", "id", F.lit("outline").alias("kind"), "ring", "o", "area", "pen")
 
 
@@ -190,36 +214,84 @@ def band_pairs(s: DataFrame, found: DataFrame, t: Tolerances) -> DataFrame:
     pairs = J.between(pairs, lines, on, t.inside_margin, 0.3, t.band_max)
     mid = (F.col("off_i") + F.col("off_j")) / 2
     pairs = pairs.withColumn("ring", G.run_polygon(F.col("a"), mid, F.col("from"), F.col("to"), F.col("spacing"))).withColumn("id", F.xxhash64("plan_id", "i", "j"))
-    pairs = save(pairs.withColumn("mid", mid), "band-pairs")
+    pairs = save(pairs.withColumn("mid", mid).withColumn("overlap", F.col("to") - F.col("from")), "band-pairs")
+    # Lines that run along a solid's border are its edge: they bound no band, and between two lines they are no other element's.
+    lined = usable(s).filter(F.col("len") >= t.line_min)
+    edge = save(R.on_borders(lined, R.sides_of(found), t.on_border).filter("share > 0.5").select("plan_id", F.col("seg_id").alias("_e")), "edge-lines")
+    own = [pairs.join(edge.withColumnRenamed("_e", side), ["plan_id", side], "left_semi").select("id") for side in "ij"]
+    bounded = own[0].unionByName(own[1]).distinct()
+    foreign = lines.join(edge.withColumnRenamed("_e", "id"), ["plan_id", "id"], "left_anti")
+    strange = J.between(pairs.drop("inside"), foreign, on, t.inside_margin, 0.3, t.band_max).select("id", F.col("inside").alias("foreign_inside"))
     fill = overlaps(pairs, found.select("plan_id", "id", "ring")).groupBy(F.col("a").alias("id")).agg((F.sum("common") / F.max("area_a")).alias("filled"))
-    return pairs.join(fill, "id", "left").na.fill(0.0, ["filled"]).withColumn("overlap", F.col("to") - F.col("from"))
+    pairs = pairs.join(fill, "id", "left").join(hatched_pairs(pairs, s, t), "id", "left").join(strange, "id").join(bounded.withColumn("edges_on_solid", F.lit(True)), "id", "left")
+    pairs = pairs.na.fill(0.0, ["filled"]).na.fill(False, ["hatched", "edges_on_solid"])
+    return pairs.withColumn("filled", F.when(F.col("hatched"), F.greatest(F.col("filled"), F.lit(1.0))).otherwise(F.col("filled")))
+
+
+def hatched_pairs(pairs: DataFrame, s: DataFrame, t: Tolerances) -> DataFrame:
+    """id, hatched: pairs with one family of short oblique strokes between them along most of their length."""
+    short = usable(s).filter(F.col("len") < t.stroke_max).select("plan_id", "seg_id", "ax", "ay", "bx", "by", F.col("ang").alias("sang"))
+    near = J.grid_join(bounds(pairs.select("plan_id", "id", "ring", "a", "from", "to", "mid", "spacing", "overlap")), R.boxed(short, "s"), R.BOX, R.prefixed("s"), 2.0, ["plan_id"], t.stroke_reach)
+    at, half = F.col("a"), F.col("spacing") / 2 + t.stroke_reach
+    within = F.lit(True)
+    for p in "ab":
+        u, v = G.along(F.col(f"{p}x"), F.col(f"{p}y"), at), G.offset(F.col(f"{p}x"), F.col(f"{p}y"), at)
+        within = within & (u >= F.col("from") - t.stroke_reach) & (u <= F.col("to") + t.stroke_reach) & (F.abs(v - F.col("mid")) <= half)
+    inner = near.filter(within & (F.abs(F.sin(F.col("sang") - at)) > 0.3))
+    inner = inner.select("id", F.bround(F.degrees("sang") / 5).alias("dir"), G.along((F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2, at).alias("at"), "overlap")
+    return R.hatched(inner, ["id"], "dir", "at", "overlap", 3.0, t.hatch_spread).select("id", F.lit(True).alias("hatched"))
+
+
+def paired(t: Tolerances) -> Column:
+    """Pairs that make a family: two lines with nothing between them, or that hold a solid, and no edge on a solid's face."""
+    holds = (F.col("filled") >= t.band_holds[0]) & (F.col("foreign_inside") == 0)
+    return ~F.col("edges_on_solid") & (F.col("filled") <= t.band_holds[1]) & ((F.col("inside") == 0) | holds)
 
 
 def band_families(pairs: DataFrame, t: Tolerances) -> DataFrame:
     """plan_id, family width, share filled: peaks of the paired length by spacing, at the median spacing under each."""
-    p = pairs.filter((F.col("filled") <= t.band_holds[1]) & ((F.col("inside") == 0) | (F.col("filled") >= t.band_holds[0])))
+    p = pairs.filter(paired(t))
     h = W.histogram(p, ["plan_id"], "spacing", "overlap", t.band_bin, int(t.band_max / t.band_bin) + 2)
     tops = W.peaks(h, ["plan_id"], t.band_peak_min, t.band_peak_share).select("plan_id", F.col("bin").cast("double").alias("bin"))
     under = J.band_join(tops.withColumn("_at", F.col("bin") * t.band_bin), p.select("plan_id", "spacing", "overlap"), "_at", "spacing", 1.5 * t.band_bin, ["plan_id"])
     width = A.weighted_median(under, ["plan_id", "bin"], "spacing", "overlap", "width").withColumn("width", F.bround("width", 3))
     kept = W.accepted_ascending(width, ["plan_id"], "width", t.band_tol)
     pieces = J.band_join(kept, p.select("plan_id", "spacing", "overlap", "filled"), "width", "spacing", t.band_tol, ["plan_id"])
-    return pieces.groupBy("plan_id", "width").agg((F.sum(F.col("filled") * F.col("overlap")) / F.sum("overlap")).alias("share"))
+    return A.weighted_mean(pieces, ["plan_id", "width"], F.col("filled"), F.col("overlap"), "share")
 
 
-def bands(pairs: DataFrame, families: DataFrame, t: Tolerances) -> DataFrame:
-    """Runs of pieces of one family on one line, gaps closed."""
-    p = J.band_join(families.select("plan_id", F.col("width").alias("band"), "share"), pairs.drop("share"), "band", "spacing", t.band_tol, ["plan_id"])
-    p = p.filter((F.col("filled") <= t.band_holds[1]) & ((F.col("inside") == 0) | (F.col("filled") >= t.band_holds[0])))
-    p = p.withColumn("_line", F.bround(F.col("mid") / t.band_offset))
+def band_runs(pieces: DataFrame, t: Tolerances) -> DataFrame:
+    """Runs of pieces (band: their width) on one line, gaps closed; a run inside a longer one is a duplicate."""
+    p = pieces.withColumn("_line", F.bround(F.col("mid") / t.band_offset))
     keys = ["plan_id", "band", "a", "_line"]
     runs = W.islands(p, keys, "from", "to", t.band_run_gap, "id").groupBy(*keys, "island").agg(
-        F.min("from").alias("lo"), F.max("to").alias("hi"), F.min_by("mid", "from").alias("off"), F.first("share").alias("share"), F.min("w").alias("pen")
+        F.min("from").alias("lo"), F.max("to").alias("hi"), F.min_by("mid", F.struct("from", "id")).alias("off"), F.first("share").alias("share"), F.min("w").alias("pen")
     )
     ring = G.run_polygon(F.col("a"), F.col("off"), F.col("lo"), F.col("hi"), F.col("band"))
-    runs = runs.withColumn("ring", ring).withColumn("id", F.xxhash64(*keys, "island")).withColumn("area", (F.col("hi") - F.col("lo")) * F.col("band"))
-    runs = distinct_shapes(save(runs, "runs"), 0.9)
-    return runs.select("plan_id", "id", F.lit("band").alias("kind"), "ring", G.oriented_rectangle(F.col("ring")).alias("r"), "area", "pen", "band", (F.col("share") >= t.band_holding).alias("holds"), (F.col("hi") - F.col("lo")).alias("span"))
+    runs = runs.withColumn("ring", ring).withColumn("id", F.xxhash64(*keys, "island")).withColumn("area", (F.col("hi") - F.col("lo")) * F.col("band")).withColumn("span", F.col("hi") - F.col("lo"))
+    runs = save(runs, "runs")
+    # Inside another, grown by run_dup: less than its whole area may stick out by the tolerance along its sides.
+    within = overlaps(runs, runs.select("plan_id", "id", R.grown_run(t.run_dup).alias("ring"))).filter((F.col("a") != F.col("b")) & (F.col("common") >= F.col("area_a") * (1 - 1e-9)))
+    ranked = runs.select("id", F.struct((-F.col("span")).alias("s"), "id").alias("rank"))
+    size = runs.select("id", "span")
+    longer = within.join(size.select(F.col("id").alias("a"), F.col("span").alias("sa")), "a").join(size.select(F.col("id").alias("b"), F.col("span").alias("sb")), "b")
+    longer = longer.filter((F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("b") < F.col("a"))))
+    return runs.join(suppress(ranked, longer.select("a", "b")), "id", "left_semi")
+
+
+def bands(pairs: DataFrame, families: DataFrame, t: Tolerances) -> DataFrame:
+    p = J.band_join(families.select("plan_id", F.col("width").alias("band"), "share"), pairs, "band", "spacing", t.band_tol, ["plan_id"])
+    runs = band_runs(p.filter(paired(t)), t)
+    return runs.select(
+        "plan_id", "id", F.lit("band").alias("kind"), "ring", G.oriented_rectangle(F.col("ring")).alias("r"), "area", "pen", "band", (F.col("share") >= t.band_holding).alias("holds"), "span",
+        *(e.alias(n) for n, e in _axis_ends()),
+    )
+
+
+def _axis_ends():
+    for p, u in (("a", "lo"), ("b", "hi")):
+        yield f"{p}x", F.col(u) * F.cos("a") - F.col("off") * F.sin("a")
+        yield f"{p}y", F.col(u) * F.sin("a") + F.col("off") * F.cos("a")
 
 
 def hatches(s: DataFrame, t: Tolerances) -> DataFrame:
@@ -236,55 +308,105 @@ def hatches(s: DataFrame, t: Tolerances) -> DataFrame:
     close = J.grid_join(h, J.renamed(h, "t_", ["plan_id"]), box, tbox, 1.0, ["plan_id"], 2 * t.hatch_gap).filter("seg_id < t_seg_id")
     roots = components(close.select(node.alias("u"), F.concat("plan_id", F.lit("\x00"), "t_seg_id").alias("v")))
     m = h.withColumn("node", node).join(roots, "node")
-    big = m.groupBy("plan_id", "root").agg(F.count(F.lit(1)).alias("strokes"), F.median("len").alias("stroke_len"), F.flatten(F.collect_list(F.array(G.point(F.col("ax"), F.col("ay")), G.point(F.col("bx"), F.col("by"))))).alias("ring"))
-    big = big.filter(F.col("strokes") >= t.hatch_min_strokes)
-    fam = m.withColumn("fam", F.pmod(F.bround(F.degrees("ang") / 5) * 5, F.lit(180)))
-    top = A.most_common(fam, ["plan_id", "root"], "fam", "seg_id", 2)
-    two = top.groupBy("plan_id", "root").agg(*(F.max(F.when(F.col("rank") == i, F.col(c))).alias(f"{c}{i}") for i in (1, 2) for c in ("fam", "n")))
-    crossed = F.coalesce(F.abs(F.col("fam1") - F.col("fam2")).between(80, 100) & (F.col("n2") >= 0.3 * F.col("n1")), F.lit(False))
-    out = with_box(big.join(two, ["plan_id", "root"]).withColumn("crossed", crossed))
-    out = out.filter(F.col("o.length") >= 0.3)
-    return out.select("plan_id", F.xxhash64("plan_id", "root").alias("id"), F.when(F.col("crossed"), "cross_hatch").otherwise("single_hatch").alias("kind"), F.col("o.obb").alias("ring"), "o", (F.col("o.length") * F.col("o.width")).alias("area"), F.lit(0.0).alias("pen"), "strokes", "stroke_len")
-
-
-def stamps(paths: DataFrame, s: DataFrame, t: Tolerances) -> DataFrame:
-    """Circles that at least three long lines from different directions end on: the box of the lines' far ends."""
+    big = with_box(S.hatch_blobs(m, ["plan_id", "root"], t.hatch_min_strokes, t.hatch_gap, t.hatch_local))
+    length = F.col("area") / F.col("thickness")
+    big = big.filter(length >= t.hatch_min_len)
+    kind = F.when(F.col("crossed"), "cross_hatch").otherwise("single_hatch")
+    box = F.struct(F.col("o.length").alias("length"), F.col("o.width").alias("width"), F.col("o.angle_deg").alias("angle_deg"), (F.col("area") / (F.col("o.length") * F.col("o.width"))).alias("rectness"), F.col("o.obb").alias("obb"))
+    return big.select("plan_id", F.xxhash64("plan_id", "root").alias("id"), kind.alias("kind"), F.col("o.obb").alias("ring"), box.alias("o"), "area", F.lit(0.0).alias("pen"), "strokes", "stroke_len", "thickness", length.alias("hatch_length"))
+
+
+def legs_of_hatches(found: DataFrame, pairs: DataFrame, t: Tolerances) -> DataFrame:
+    """Hatched areas, the bent ones as the straight legs between their border lines."""
+    pieces = pairs.filter("hatched and inside = 0").withColumn("band", F.bround("spacing", 2)).withColumn("share", F.lit(0.0))
+    legs = band_runs(pieces, t)
+    crossed, rest = found.filter("kind = 'cross_hatch'"), found.filter("kind <> 'cross_hatch'")
+    share = overlaps(legs, crossed.select("plan_id", "id", "ring")).select("plan_id", F.col("a").alias("leg"), F.col("b").alias("region"), (F.col("common") / F.col("area_a")).alias("share"))
+    stay, used = R.replaced_by_legs(crossed.withColumn("rectness", F.col("o.rectness")), legs, share)
+    used = save(used.select("plan_id", "id", "ring", "area", "region"), "legs")
+    ranked = used.select("id", F.struct((-F.col("area")).alias("s"), "id").alias("rank"))
+    clash = overlaps(used, used).filter("a < b and common >= 0.5 * least(area_a, area_b)").select("a", "b")
+    used = with_box(used.join(suppress(ranked, clash), "id", "left_semi"))
+    of = found.select("plan_id", F.col("id").alias("region"), "strokes", "stroke_len")
+    used = used.join(of, ["plan_id", "region"]).select(
+        "plan_id", "id", F.lit("cross_hatch").alias("kind"), "ring", "o", "area", F.lit(0.0).alias("pen"), "strokes", "stroke_len",
+        F.least("o.width", F.lit(1.0)).alias("thickness"), F.col("o.length").alias("hatch_length"), F.lit(True).alias("leg_of_region"),
+    )
+    return rest.unionByName(stay.drop("rectness")).unionByName(used, allowMissingColumns=True)
+
+
+def one_wall_once(fills: DataFrame, hatched: DataFrame, t: Tolerances) -> tuple[DataFrame, DataFrame]:
+    """(solids, hatched areas): a wall that is filled and hatched is one solid, which takes the extent of both."""
+    shape = lambda df: df.select("plan_id", "id", F.col("o.width").alias("width"), F.col("o.angle_deg").alias("deg"), "area")
+    pairs = overlaps(hatched.select("plan_id", "id", "ring"), fills.select("plan_id", "id", "ring"))
+    twice = save(R.drawn_twice(shape(hatched), shape(fills), pairs, t.size_tol, t.parallel_deg), "drawn-twice")
+    more = twice.join(hatched.select("plan_id", F.col("id").alias("hatch"), F.col("o.obb").alias("_more")), ["plan_id", "hatch"]).groupBy("plan_id", F.col("solid").alias("id")).agg(F.flatten(F.collect_list("_more")).alias("_more"))
+    grown = with_box(fills.join(more, KEY).withColumn("_all", F.concat("ring", "_more")), "_all", "_box")
+    box = F.struct(*(F.col(f"_box.{c}").alias(c) for c in ("length", "width", "angle_deg")), F.lit(1.0).alias("rectness"), F.col("_box.obb").alias("obb"))
+    grown = grown.select("plan_id", "id", "kind", F.col("_box.obb").alias("ring"), box.alias("o"), (F.col("_box.length") * F.col("_box.width")).alias("area"), "pen")
+    fills = fills.join(more, KEY, "left_anti").unionByName(grown)
+    return fills, hatched.join(twice.select("plan_id", F.col("hatch").alias("id")), KEY, "left_anti")
+
+
+def borders_of_walls(closed: DataFrame, walls: DataFrame, t: Tolerances) -> tuple[DataFrame, DataFrame]:
+    """(outlines that are no wall's border; (wall, ring, o) of walls that take their outline's exact shape)."""
+    covered = R.covered_shares(closed, walls, t.grow).filter("share > 0.8").select(*KEY)
+    left = save(closed.join(covered, KEY, "left_anti"), "open-outlines")
+    hatch = walls.filter("kind <> 'solid'")
+    share = overlaps(hatch.select("plan_id", "id", "ring"), left.select("plan_id", "id", R.grown_box(t.grow).alias("ring"))).select("plan_id", F.col("a").alias("wall"), F.col("b").alias("outline"), (F.col("common") / F.col("area_a")).alias("share"), F.col("area_a").alias("wall_area"))
+    share = share.join(left.select("plan_id", F.col("id").alias("outline"), F.col("o.angle_deg").alias("outline_deg")), ["plan_id", "outline"]).join(hatch.select("plan_id", F.col("id").alias("wall"), F.col("o.angle_deg").alias("wall_deg")), ["plan_id", "wall"])
+    taken = R.wall_in_outline(share, t.parallel_deg)
+    shape = left.select("plan_id", F.col("id").alias("outline"), F.col("ring").alias("_ring"), F.col("o").alias("_o"), F.col("area").alias("_area"))
+    new = J.first_by(taken.join(shape, ["plan_id", "outline"]), ["plan_id", "wall"], [F.desc("_area"), "outline"])
+    return left.join(taken.select("plan_id", F.col("outline").alias("id")), KEY, "left_anti"), new.select("plan_id", F.col("wall").alias("id"), "_ring", "_o")
+
+
+def stamps(paths: DataFrame, s: DataFrame, walls: DataFrame, t: Tolerances) -> DataFrame:
+    """Circles that at least three long lines from different directions end on, first come first: the outline those lines
+    point to, or their far ends' hull."""
     circle = G.circle_of(F.col("items"), *(F.col(f"rect.{x}") for x in ("x0", "y0", "x1", "y1")))
-    c = paths.filter("type = 's'").withColumn("c", circle).filter("c is not null").select("plan_id", "idx", "c.cx", "c.cy", "c.r", *(e.alias(n) for n, e in (("cx0", F.expr("c.cx - c.r - 0.5")), ("cy0", F.expr("c.cy - c.r - 0.5")), ("cx1", F.expr("c.cx + c.r + 0.5")), ("cy1", F.expr("c.cy + c.r + 0.5")))))
-    rays = s.filter((F.col("len") >= t.ray_min) & ~F.col("dashed")).select("plan_id", "seg_id", "ax", "ay", "bx", "by", "ang", F.least("ax", "bx").alias("lx0"), F.least("ay", "by").alias("ly0"), F.greatest("ax", "bx").alias("lx1"), F.greatest("ay", "by").alias("ly1"))
-    near = J.grid_join(c, rays, ("cx0", "cy0", "cx1", "cy1"), ("lx0", "ly0", "lx1", "ly1"), 4.0, ["plan_id"])
-    da, db = F.hypot(F.expr("ax - cx"), F.expr("ay - cy")), F.hypot(F.expr("bx - cx"), F.expr("by - cy"))
-    across = F.abs(G.offset(F.expr("cx - ax"), F.expr("cy - ay"), F.col("ang")))
-    far = F.when(db > da, G.point(F.col("bx"), F.col("by"))).otherwise(G.point(F.col("ax"), F.col("ay")))
-    hit = near.filter((across < 0.3 * F.col("r")) & (F.least(da, db) < F.col("r") + t.ray_start) & (F.greatest(da, db) > t.ray_reach)).withColumn("far", far)
-    hit = hit.withColumn("dir", F.bround(F.degrees(F.atan2(F.col("far.y") - F.col("cy"), F.col("far.x") - F.col("cx"))) / 20))
-    g = hit.groupBy("plan_id", "idx").agg(F.count_distinct("dir").alias("dirs"), F.collect_list("far").alias("ring")).filter("dirs >= 3")
-    g = with_box(g)
-    return g.select("plan_id", F.xxhash64("plan_id", "idx", F.lit("stamp")).alias("id"), F.lit("stamped_region").alias("kind"), F.col("o.obb").alias("ring"), "o", (F.col("o.length") * F.col("o.width")).alias("area"), F.lit(0.0).alias("pen"))
+    c = paths.filter("type = 's'").withColumn("c", circle).filter("c is not null").select("plan_id", "idx", "c.cx", "c.cy", "c.r")
+    rays = s.filter((F.col("len") >= t.ray_min) & ~F.col("dashed")).select("plan_id", "seg_id", "ax", "ay", "bx", "by", "ang")
+    found = save(R.stamped(R.ray_hits(c, rays, t.ray_start, t.ray_reach)).withColumn("id", F.xxhash64("plan_id", "idx", F.lit("stamp"))), "stamps")
+    near = J.grid_join(found.select("plan_id", "id", "idx", "cx", "cy", "r"), J.renamed(found.select("plan_id", "id", "idx", "cx", "cy"), "e_", ["plan_id"]), ("cx", "cy", "cx", "cy"), ("e_cx", "e_cy", "e_cx", "e_cy"), 2.0, ["plan_id"], 1.0)
+    later = near.filter("e_idx < idx and hypot(cx - e_cx, cy - e_cy) < r").select(F.col("id").alias("a"), F.col("e_id").alias("b"))
+    found = found.join(suppress(found.select("id", F.struct("idx", "id").alias("rank")), later), "id", "left_semi")
+    lines = usable(s).filter(F.col("len") >= t.trace_min_line)
+    g = with_box(S.traced_outlines(found.select("plan_id", "idx", "id", "cx", "cy", "rays", "corners"), lines, walls, t.trace_zone, t.trace_snap, t.trace_wall_reach))
+    return g.select("plan_id", "id", F.lit("stamped_region").alias("kind"), "ring", "o", G.area(F.col("ring")).alias("area"), F.lit(0.0).alias("pen"), "traced", F.col("cx").alias("stamp_x"), F.col("cy").alias("stamp_y"))
 
 
 def objects(paths: DataFrame, texts: DataFrame, t: Tolerances) -> tuple[DataFrame, DataFrame]:
     """(objects, segments): everything found by geometry alone, near the filled shapes."""
     segs = save(segments(paths, texts, t), "segments")
-    fills = save(solids(paths, t), "solids")
+    fills, loose = solids(paths, t)
+    fills, loose = save(fills, "solid-objects"), save(loose.filter(F.col("area") > 0.02), "loose-fills")
     hatched = save(hatches(segs, t), "hatches")
-    found = fills.select("plan_id", "id", "ring").unionByName(hatched.filter("kind = 'cross_hatch'").select("plan_id", "id", "ring"))
-    closed = save(nested_boxes(outlines(paths, found, t), t), "closed")
+    rafts = save(stamps(paths, segs, fills.select("plan_id", "ring"), t), "rafts")
+    shape = ["plan_id", "id", "kind", "ring"]
+    found = fills.select(*shape).unionByName(hatched.filter("kind = 'cross_hatch'").select(*shape)).unionByName(loose.select("plan_id", "id", F.lit("fill").alias("kind"), "ring"))
+    closed = save(outlines(paths, found.unionByName(rafts.select(*shape)), t), "closed")
     pairs = save(band_pairs(segs, found, t), "pairs")
-    runs = bands(pairs, band_families(pairs, t), t)
-    net = overlaps(runs, closed.select("plan_id", "id", "ring")).groupBy(F.col("a").alias("id")).agg(F.sum("common").alias("crossed"))
-    runs = runs.join(net, "id", "left").withColumn("net_length", F.col("span") - F.coalesce("crossed", F.lit(0.0)) / F.col("band"))
-    runs = runs.withColumn("o", F.struct(F.col("r.length").alias("length"), F.col("r.width").alias("width"), F.col("r.angle_deg").alias("angle_deg"), F.col("r.rectness").alias("rectness"), F.col("ring").alias("obb"))).drop("r", "span")
-    rafts = stamps(paths, segs, t)
+    hatched = save(legs_of_hatches(hatched, pairs, t), "hatched")
+    fills, hatched = one_wall_once(fills, hatched, t)
+    fills, hatched = save(fills, "solid-objects"), save(hatched, "hatched")
+    walls = fills.select(*shape, "o").unionByName(hatched.select(*shape, "o"))
+    closed, bordered = borders_of_walls(closed, walls, t)
+    closed, bordered = save(nested_boxes(closed, t), "closed"), save(bordered, "bordered")
+    hatched = hatched.join(bordered, KEY, "left").withColumn("ring", F.coalesce("_ring", "ring")).withColumn("o", F.coalesce("_o", "o")).drop("_ring", "_o")
+    runs = save(bands(pairs, band_families(pairs, t), t), "bands")
+    runs = runs.join(R.net_lengths(runs, closed), KEY, "left").withColumn("net_length", F.col("span") - F.coalesce("crossed", F.lit(0.0)))
+    runs = runs.withColumn("o", F.struct(F.col("r.length").alias("length"), F.col("r.width").alias("width"), F.col("r.angle_deg").alias("angle_deg"), F.col("r.rectness").alias("rectness"), F.col("ring").alias("obb"))).drop("r", "crossed", "ax", "ay", "bx", "by")
     every = fills
     for more in (hatched, rafts, closed, runs):
         every = every.unionByName(more, allowMissingColumns=True)
-    every = every.withColumn("length", F.col("o.length")).withColumn("width", F.coalesce("band", F.col("o.width"))).withColumn("holds", F.coalesce("holds", F.lit(False)))
+    measured = (F.col("kind") == "cross_hatch") & F.col("thickness").isNotNull()
+    every = every.withColumn("length", F.coalesce("span", F.when(measured, F.col("hatch_length")), F.col("o.length"))).withColumn("width", F.coalesce("band", F.when(measured, F.col("thickness")), F.col("o.width")))
+    every = save(every.withColumn("holds", F.coalesce("holds", F.lit(False))), "every")
     # The drawing area: within reach of a solid (title blocks and legends have none).
-    boxes = bounds(every.withColumn("_x", F.lit(0)))
-    near = J.grid_join(boxes.select("plan_id", "id", *_middle()), J.renamed(bounds(fills.select("plan_id", F.col("id").alias("s"), "ring")), "s_", ["plan_id"]), ("mx", "my", "mx", "my"), ("s_x0", "s_y0", "s_x1", "s_y1"), t.area_buffer, ["plan_id"], t.area_buffer)
-    near = near.filter(J.box_distance(*(F.col(c) for c in ("mx", "my", "s_x0", "s_y0", "s_x1", "s_y1"))) <= t.area_buffer).select("plan_id", "id").distinct()
-    return save(every.join(near, ["plan_id", "id"], "left_semi"), "objects"), segs
+    near = J.grid_join(bounds(every.select(*KEY, "ring")).select(*KEY, *_middle()), J.renamed(bounds(fills.select("plan_id", F.col("id").alias("s"), "ring")), "s_", ["plan_id"]), ("mx", "my", "mx", "my"), ("s_x0", "s_y0", "s_x1", "s_y1"), t.area_buffer, ["plan_id"], t.area_buffer)
+    near = near.filter(J.box_distance(*(F.col(c) for c in ("mx", "my", "s_x0", "s_y0", "s_x1", "s_y1"))) <= t.area_buffer).select(*KEY).distinct()
+    return save(every.join(near, KEY, "left_semi"), "objects"), segs
 
 
 def _middle():
@@ -295,38 +417,34 @@ def _middle():
 
 
 def features(objs: DataFrame, paths: DataFrame, t: Tolerances) -> DataFrame:
-    """Objects with counts of what lies in and around them and with ``x``, their feature vector."""
+    """Objects with counts of what lies in and around them; mx, my is the middle of their box."""
     o = bounds(objs)
-    key = ["plan_id", "id"]
-    box, obox = ("x0", "y0", "x1", "y1"), ("q_x0", "q_y0", "q_x1", "q_y1")
-    other = J.renamed(o.select("plan_id", "id", "kind", "holds", *box), "q_", ["plan_id"])
+    box, obox = R.BOX, R.prefixed("q_")
+    other = J.renamed(o.select("plan_id", "id", *box), "q_", ["plan_id"])
     touch = J.grid_join(o.select("plan_id", "id", *box), other, box, obox, 4.0, ["plan_id"], t.touch).filter("id <> q_id")
-    near = touch.groupBy(*key).agg(F.count_if(F.expr("q_kind = 'solid'")).alias("touches_solid"), F.count_if(F.expr("q_kind = 'band' and not q_holds")).alias("empty_bands_touching"))
-    share = overlaps(objs, objs, grow=t.touch).filter("a <> b").join(objs.select(F.col("id").alias("a"), F.col("kind").alias("ka")), "a").join(objs.select(F.col("id").alias("b"), F.col("kind").alias("kb"), F.col("holds").alias("hb")), "b")
-    inner = share.groupBy("plan_id", F.col("a").alias("id")).agg(
-        F.count_if(F.expr("kb = 'solid' and common > 0.5 * area_b")).alias("solids_inside"),
-        F.max(F.expr("cast(kb = 'outline' and common > 0.5 * area_a as int)")).alias("inside_outline"),
-        F.max(F.expr("cast(ka <> 'band' and kb = 'band' and hb and common > 0.5 * area_a as int)")).alias("in_band_holding_solid"),
-        F.max(F.expr("cast(kb = 'stamped_region' and common > 0.5 * area_a as int)")).alias("on_stamped_region"),
-    )
+    touch = touch.select("plan_id", "id", F.col("q_id").alias("b"), F.lit(True).alias("touching"))
+    share = overlaps(objs, objs, grow=t.touch).filter("a <> b").select("plan_id", F.col("a").alias("id"), "b", "area_a", "area_b", "common")
+    around = touch.join(share, ["plan_id", "id", "b"], "full").na.fill(False, ["touching"]).join(objs.select("plan_id", F.col("id").alias("b"), F.col("kind").alias("kb"), F.col("holds").alias("hb")), ["plan_id", "b"])
+    strips = R.covered_shares(objs.filter("kind <> 'band'"), objs.filter("kind = 'band' and holds"), 0.0).filter("share > 0.5").select(*KEY, F.lit(1).alias("in_band_holding_solid"))
     dots = paths.filter(F.greatest(F.expr("rect.x1 - rect.x0"), F.expr("rect.y1 - rect.y0")) < t.dot_max).select("plan_id", F.expr("(rect.x0 + rect.x1) / 2").alias("dx"), F.expr("(rect.y0 + rect.y1) / 2").alias("dy"))
-    spots = J.grid_join(o.select("plan_id", "id", "ring", *box), dots, box, ("dx", "dy", "dx", "dy"), 4.0, ["plan_id"]).filter(G.inside(F.col("dx"), F.col("dy"), F.col("ring"))).groupBy(*key).agg(F.count(F.lit(1)).alias("dots_inside"))
+    spots = J.grid_join(o.select("plan_id", "id", "ring", *box), dots, box, ("dx", "dy", "dx", "dy"), 4.0, ["plan_id"]).filter(G.inside(F.col("dx"), F.col("dy"), F.col("ring"))).groupBy(*KEY).agg(F.count(F.lit(1)).alias("dots_inside"))
     counts = ["touches_solid", "empty_bands_touching", "solids_inside", "inside_outline", "in_band_holding_solid", "on_stamped_region", "dots_inside"]
-    f = o.join(near, key, "left").join(inner, key, "left").join(spots, key, "left").na.fill(0, counts)
-    top = f.groupBy("plan_id").agg(F.max("pen").alias("_top"))
-    f = f.join(top, "plan_id").withColumn("outline_pen", F.coalesce(F.col("pen") / F.nullif("_top", F.lit(0.0)), F.lit(0.0))).drop("_top")
-    return f.join(perimeter(f, t), key, "left").withColumn("on_perimeter", F.coalesce("on_perimeter", F.lit(0)))
+    f = o.join(R.feature_counts(around, KEY), KEY, "left").join(strips, KEY, "left").join(spots, KEY, "left").na.fill(0, counts)
+    top = f.groupBy("plan_id").agg(F.max(F.when(F.col("kind") == "solid", F.col("pen"))).alias("_top"))
+    f = f.join(top, "plan_id").withColumn("outline_pen", F.when(F.col("kind") == "solid", F.coalesce(F.col("pen") / F.nullif("_top", F.lit(0.0)), F.lit(0.0))).otherwise(0.0)).drop("_top")
+    f = f.withColumn("nested_boxes", (F.coalesce(F.size("nested"), F.lit(0)) > 0).cast("int")).select("*", *_middle())
+    return f.join(perimeter(f, t), KEY, "left").withColumn("on_perimeter", F.coalesce("on_perimeter", F.lit(0)))
 
 
 def perimeter(f: DataFrame, t: Tolerances) -> DataFrame:
-    """Walls beside and parallel to the edge of what the plan's solids span, seen from outside row by row: nothing
-    solid lies farther out across their direction on one side."""
-    s = f.filter("kind in ('solid', 'cross_hatch')").select("plan_id", "id", F.col("o.angle_deg").alias("deg"), *_middle(), F.col("o.length").alias("l"))
-    a = F.radians(F.col("deg"))
-    s = s.withColumn("u", G.along(F.col("mx"), F.col("my"), a)).withColumn("v", G.offset(F.col("mx"), F.col("my"), a)).withColumn("_deg", F.pmod(F.bround(F.col("deg") / 15), F.lit(12)))
-    span = s.groupBy("plan_id", "_deg").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    edge = (F.col("v") - F.col("lo") <= t.edge_margin) | (F.col("hi") - F.col("v") <= t.edge_margin)
-    return s.join(span, ["plan_id", "_deg"]).filter(edge).select("plan_id", "id", F.lit(1).alias("on_perimeter"))
+    """plan_id, id, on_perimeter: walls beside and parallel to the edge of the building's footprint."""
+    walls = f.filter("kind in ('solid', 'cross_hatch')")
+    at = f.filter("kind in ('solid', 'cross_hatch', 'outline')").select("plan_id", F.col("id").cast("string").alias("point"), F.col("mx").alias("x"), F.col("my").alias("y"))
+    none = at.select("plan_id", *(F.col("x").alias(c) for c in ("ax", "ay", "bx", "by"))).limit(0)
+    sites = S.footprints(walls, at, none, t.footprint_grow, t.footprint_close, t.joint_cut, t.region_min_area)
+    near = sites.filter(F.col("edge") <= t.footprint_grow + t.edge_margin).select("plan_id", F.col("point").cast("long").alias("id"), "edge_dir")
+    along = R.runs_along(F.col("edge_dir"), F.col("o.angle_deg"), t.parallel_deg)
+    return f.join(near, KEY).filter(along).select(*KEY, F.lit(1).alias("on_perimeter"))
 
 
 def vectors(f: DataFrame) -> DataFrame:
@@ -334,9 +452,9 @@ def vectors(f: DataFrame) -> DataFrame:
     cap = lambda c, n: F.least(F.col(c), F.lit(n)) / n
     f = f.withColumn("ll", F.ln(F.greatest("length", F.lit(0.05)))).withColumn("lw", F.ln(F.greatest("width", F.lit(0.05)))).withColumn("la", F.ln(F.greatest(F.col("length") / F.nullif("width", F.lit(0.0)), F.lit(1.0))))
     f = A.z_scores(f.filter("kind in ('solid', 'outline')").na.fill(0.0, ["la"]), ["plan_id", "kind"], ["ll", "lw", "la"])
-    ec2 = F.when(column_section_cm(F.col("length"), F.col("width")), 1.0).otherwise(0.0)
+    ec2 = F.when(rules.column_section_cm(F.col("length"), F.col("width")), 1.0).otherwise(0.0)
     solid = [F.col("ll"), F.col("lw"), F.col("la"), ec2 * 2.0, cap("touches_solid", 2) * 3.0, F.col("inside_outline") * 0.7, F.col("in_band_holding_solid") * 1.0, F.col("on_stamped_region") * 0.7, F.col("outline_pen") * 3.0, F.col("on_perimeter") * 2.0]
-    nested = F.when(F.coalesce(F.size("nested"), F.lit(0)) > 0, 3.0).otherwise(0.0)
+    nested = F.col("nested_boxes") * 3.0
     outline = [F.col("ll"), F.col("lw"), cap("solids_inside", 3) * 3.0, F.least(F.log1p("dots_inside") / 4, F.lit(1.0)), cap("empty_bands_touching", 3) * 0.5, nested]
     return f.withColumn("x", F.when(F.col("kind") == "solid", F.array(*[c.cast("double") for c in solid])).otherwise(F.array(*[c.cast("double") for c in outline]))).select("plan_id", "kind", "id", "x")
 
@@ -351,8 +469,8 @@ def clusters(f: DataFrame, t: Tolerances) -> DataFrame:
 # --- labels and names ----------------------------------------------------------------------------------------------
 
 
-def labels(texts: DataFrame, config: dict, t: Tolerances) -> DataFrame:
-    """Every label of the plans: plan_id, label_id, text_id, kind, key, building, numbers, x, y."""
+def labels(texts: DataFrame, paths: DataFrame, config: dict, t: Tolerances) -> DataFrame:
+    """Every label of the plans: plan_id, label_id, text_id, kind, key, wall_key, building, numbers, x, y, dir, text_len."""
     anchored, banded = grammar.rules_of(config)
     base = texts.select("plan_id", "text_id", "text", F.expr("(rect.x0 + rect.x1) / 2").alias("x"), F.expr("(rect.y0 + rect.y1) / 2").alias("y"))
     own = grammar.parsed_labels(base, "text", anchored).drop("dims")
@@ -368,111 +486,304 @@ def labels(texts: DataFrame, config: dict, t: Tolerances) -> DataFrame:
     for more in (band, raft, pit):
         every = every.unionByName(more, allowMissingColumns=True)
     # One text that names a wall and the strip under it is one label with the strip's key.
-    per_text = every.groupBy("plan_id", "text_id").agg(F.collect_set("kind").alias("_kinds"))
+    wall = F.when(F.col("kind") == "retaining_wall", F.col("key"))
+    per_text = every.groupBy("plan_id", "text_id").agg(F.collect_set("kind").alias("_kinds"), F.min(wall).alias("wall_key"))
     every = every.join(per_text, ["plan_id", "text_id"])
     both = F.array_contains("_kinds", "retaining_wall") & F.array_contains("_kinds", "strip_footing")
     every = every.filter(~(both & (F.col("kind") == "retaining_wall"))).withColumn("kind", F.when(both & (F.col("kind") == "strip_footing"), "retaining_wall+strip_footing").otherwise(F.col("kind")))
+    every = every.join(text_directions(texts, paths), ["plan_id", "text_id"], "left")
     return every.drop("_kinds").withColumn("label_id", F.xxhash64("plan_id", "text_id", "kind", "key"))
 
 
+def text_directions(texts: DataFrame, paths: DataFrame) -> DataFrame:
+    """plan_id, text_id, dir, text_len: from the glyph strokes inside each text's box."""
+    glyphs = strokes(paths.filter("type = 's'"))
+    glyphs = R.boxed(glyphs.select("plan_id", "seg_id", "ax", "ay", "bx", "by", "len"), "g")
+    words = texts.select("plan_id", "text_id", *(F.col(f"rect.{c}").alias(f"t{c}") for c in R.BOX))
+    tall = 1.2 * F.least(F.expr("tx1 - tx0"), F.expr("ty1 - ty0"))
+    held = J.grid_join(glyphs, words, R.prefixed("g"), R.prefixed("t"), 2.0, ["plan_id"]).filter(F.expr("gx0 >= tx0 and gy0 >= ty0 and gx1 <= tx1 and gy1 <= ty1") & (F.col("len") <= tall))
+    ends = F.explode(F.array(*(F.struct(F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")) for p in "ab")))
+    points = held.select("plan_id", "text_id", ends.alias("_e")).select("plan_id", "text_id", "_e.x", "_e.y")
+    return R.text_directions(points, ["plan_id", "text_id"])
+
+
 def candidate_edges(l: DataFrame, f: DataFrame, t: Tolerances) -> DataFrame:
     """Labels and the objects within reach: distance, cost, slots."""
-    o = f.select("plan_id", F.col("id").alias("obj_id"), F.col("kind").alias("obj_kind"), "ring", "band", "length", "width", "x0", "y0", "x1", "y1")
+    o = f.select("plan_id", F.col("id").alias("obj_id"), F.col("kind").alias("obj_kind"), "ring", "band", "length", "width", F.col("o.angle_deg").alias("deg"), "stamp_x", "stamp_y", "x0", "y0", "x1", "y1")
     near = J.grid_join(l, o, ("x", "y", "x", "y"), ("x0", "y0", "x1", "y1"), 4.0, ["plan_id"], t.label_radius)
     d = G.label_distance(F.col("obj_kind"), F.col("x"), F.col("y"), F.col("ring"), F.lit(t.near))
+    d = F.when(F.col("stamp_x").isNotNull(), F.hypot(F.col("x") - F.col("stamp_x"), F.col("y") - F.col("stamp_y"))).otherwise(d)
     slots = F.when(F.col("length") > t.long_object, 1 + F.floor(F.col("length") / t.long_object)).otherwise(1).cast("int")
     near = near.withColumn("d", d).filter(F.col("d") <= t.label_radius).withColumn("slots", slots)
-    return near.withColumn("cost", F.col("d") / t.distance_unit).withColumn("agrees", G.sizes_agree(F.col("obj_kind"), F.col("band"), F.col("numbers"), t.size_tol))
-
-
-def names(matched: DataFrame, f: DataFrame, cl: DataFrame, t: Tolerances) -> tuple[DataFrame, DataFrame]:
-    """(clusters with votes and names, label kinds with their home kinds)."""
-    landed = matched.groupBy("plan_id", F.col("kind").alias("label"), F.col("obj_kind").alias("on")).agg(F.count(F.lit(1)).alias("n"))
+    mis = rules.misalignment(F.col("dir"), F.col("text_len"), F.col("deg"), F.col("length"), F.col("width"))
+    return near.withColumn("cost", F.col("d") / t.distance_unit + t.align_weight * mis).withColumn("agrees", G.sizes_agree(F.col("obj_kind"), F.col("band"), F.col("numbers"), t.size_tol))
+
+
+def spoken_for(matched: DataFrame, f: DataFrame) -> DataFrame:
+    """``matched`` (with x, y of the label) with a row for each object that a label names."""
+    on = matched.filter("kind = 'retaining_wall+strip_footing' and obj_kind = 'band'").select("plan_id", "label_id", "obj_id", "x", "y")
+    bands_ = f.join(on.select("plan_id", F.col("obj_id").alias("id")).distinct(), KEY, "left_semi").select("plan_id", "id", "ring")
+    held = overlaps(bands_, f.filter("kind = 'solid'").select("plan_id", "id", "ring")).filter("common > 0.5 * area_b").select("plan_id", F.col("a").alias("obj_id"), F.col("b").alias("solid_id"))
+    near = on.join(held, ["plan_id", "obj_id"]).join(f.select("plan_id", F.col("id").alias("solid_id"), "ring"), ["plan_id", "solid_id"])
+    gap = F.when(G.inside(F.col("x"), F.col("y"), F.col("ring")), 0.0).otherwise(G.ring_distance(F.col("x"), F.col("y"), F.col("ring")))
+    inside = J.first_by(near.withColumn("_g", gap), ["plan_id", "label_id", "obj_id"], ["_g", "solid_id"]).select("plan_id", "obj_id", "label_id", "solid_id")
+    return R.compound_targets(matched, inside)
+
+
+def size_meaning(config: dict) -> tuple[dict[str, bool], dict[str, bool], dict[str, bool]]:
+    """(does a label kind's key fix the width only, the same by class, are a class's types per building), from the rules.
+    Kinds that are not listed say nothing about the size."""
+    labels_ = config["labels"]
+    width = {kind: r.get("size_match") == "width" for kind, r in labels_.items()} | {kind: True for kind in config["bands"]}
+    width |= {f"footing:{x}": width["footing"] for x in labels_.get("footing", {}).get("series_subclass", {})} if "footing" in width else {}
+    width["retaining_wall+strip_footing"] = True
+    of = {"column": "column", "shear_wall": "wall", "retaining_wall": "retaining_wall", "isolated_footing": "footing", "combined_footing": "footing"}
+    by_class = {c: width[kind] for c, kind in of.items() if kind in labels_}
+    return width, by_class, {c: bool(labels_[kind].get("per_building", False)) for c, kind in of.items() if kind in labels_}
+
+
+def names(matched: DataFrame, f: DataFrame, cl: DataFrame, config: dict, t: Tolerances) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clusters with votes and names, label kinds with their home kinds, (cluster, kind, object) of each vote)."""
+    width_only = lookup(size_meaning(config)[0], F.col("kind"))
+    same = F.when(width_only, F.lit(0.0)).otherwise(F.bround(F.col("length") / t.size_tol))
+    landed = matched.withColumn("_l", F.when(width_only.isNotNull(), same)).withColumn("_w", F.when(width_only.isNotNull(), F.bround(F.col("width") / t.size_tol)))
+    scores = R.landing_scores(landed.select("plan_id", F.col("kind").alias("label"), F.col("obj_kind").alias("on"), "key", "_l", "_w"), ["plan_id", "label"], "on", ["key", "_l", "_w"], t.name_min_votes)
+    scores = scores.filter("score > 0").select("plan_id", "label", "on", F.col("score").alias("n"))
     key = F.concat_ws("\x00", "plan_id", "label")
-    home = A.affinity(landed.withColumn("_l", key), "_l", "on").filter("home").select("plan_id", F.col("label").alias("kind"), F.col("on").alias("obj_kind"))
-    voting = matched.filter("agrees").join(home, ["plan_id", "kind", "obj_kind"], "left_semi").join(cl.select("plan_id", F.col("id").alias("obj_id"), "cluster"), ["plan_id", "obj_id"])
-    votes = voting.groupBy("plan_id", "cluster", "kind").agg(F.count(F.lit(1)).alias("n"))
+    home = A.affinity(scores.withColumn("_l", key), "_l", "on").filter("home").select("plan_id", F.col("label").alias("kind"), F.col("on").alias("obj_kind"))
+    voting = matched.filter("agrees").join(home, ["plan_id", "kind", "obj_kind"], "left_semi")
+    voters = save(spoken_for(voting, f).select("plan_id", "obj_id", "kind").join(cl.select("plan_id", F.col("id").alias("obj_id"), "cluster"), ["plan_id", "obj_id"]), "voters")
+    votes = voters.groupBy("plan_id", "cluster", "kind").agg(F.count(F.lit(1)).alias("n"))
     sizes = cl.groupBy("plan_id", "cluster").agg(F.count(F.lit(1)).alias("members"))
     named = A.named_by_vote(votes, sizes, ["plan_id", "cluster"], "kind", t.name_min_votes, t.name_margin, t.name_small, t.name_min_labelled)
-    return named.withColumn("class", lookup(LABEL_CLASS, F.col("name"))).withColumn("named_by", F.when(F.col("name").isNotNull(), "label vote").otherwise("")), home
+    most = votes.groupBy("plan_id", "cluster").agg(F.max("n").alias("_m"))
+    tops = votes.join(most, ["plan_id", "cluster"]).filter("n = _m").groupBy("plan_id", "cluster").agg(F.collect_set(lookup(LABEL_CLASS, F.col("kind"))).alias("tops"))
+    named = named.join(tops, ["plan_id", "cluster"], "left")
+    return named.withColumn("class", lookup(LABEL_CLASS, F.col("name"))).withColumn("named_by", F.when(F.col("name").isNotNull(), "label vote").otherwise("")), home, voters
+
+
+def centroids(f: DataFrame, cl: DataFrame) -> DataFrame:
+    """plan_id, kind, cluster, centre: mean feature vectors of solids and outlines."""
+    v = vectors(f).join(cl, KEY).select("plan_id", "kind", "cluster", F.posexplode("x").alias("i", "x"))
+    mean = v.groupBy("plan_id", "kind", "cluster", "i").agg(F.avg("x").alias("x"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"])
+    return mean.groupBy("plan_id", "kind", "cluster").agg(listed.alias("centre"))
+
+
+def similar_names(named: DataFrame, centres: DataFrame, t: Tolerances) -> DataFrame:
+    """Unnamed clusters take the class of the nearest one of their kind that labels named: if close, or if that class is
+    among their own top votes."""
+    voted = centres.join(named.filter("named_by = 'label vote'").select("plan_id", "cluster", F.col("class").alias("near_class")), ["plan_id", "cluster"])
+    voted = voted.select("plan_id", "kind", F.col("cluster").alias("near"), "centre", "near_class")
+    asked = centres.join(named.filter("class is null").select("plan_id", "cluster"), ["plan_id", "cluster"]).withColumnRenamed("centre", "x")
+    best = R.nearest_centroid(asked, voted, ["plan_id", "kind"], "cluster", "x", "near", "centre").select("plan_id", "cluster", "near", "near_class", "dist")
+    j = named.join(best, ["plan_id", "cluster"], "left")
+    take = F.col("class").isNull() & F.col("near_class").isNotNull() & ((F.col("dist") <= t.similar_max) | F.coalesce(F.array_contains("tops", F.col("near_class")), F.lit(False)))
+    said = F.concat(F.lit("similar to cluster "), "near", F.format_string(" (distance %.2f)", F.col("dist")))
+    j = j.withColumn("_take", F.coalesce(take, F.lit(False)))
+    return j.withColumn("named_by", F.when(F.col("_take"), said).otherwise(F.col("named_by"))).withColumn("class", F.when(F.col("_take"), F.col("near_class")).otherwise(F.col("class"))).drop("near", "near_class", "dist", "_take")
+
+
+def unstretched(f: DataFrame, named: DataFrame, voters: DataFrame, t: Tolerances) -> DataFrame:
+    """Members far outside the sizes that their cluster's labels cover lose its class (kept as ``cluster_class``)."""
+    top = named.filter("named_by = 'label vote'").select("plan_id", "cluster", F.col("name").alias("kind"))
+    v = voters.join(top, ["plan_id", "cluster", "kind"], "left_semi").join(f.select("plan_id", F.col("id").alias("obj_id"), "length", "width"), ["plan_id", "obj_id"])
+    checked = A.within_envelope(f, v, ["plan_id", "cluster"], ["length", "width"], t.size_tol)
+    out = (F.col("named_by") == "label vote") & F.col("kind").isin("solid", "outline") & ~F.col("inside")
+    checked = checked.withColumn("_out", out).withColumn("cluster_class", F.col("class"))
+    said = F.concat(F.lit("outside the sizes that the labels of cluster "), "cluster", F.lit(" cover"))
+    return checked.withColumn("class", F.when(~F.col("_out"), F.col("class"))).withColumn("named_by", F.when(F.col("_out"), said).otherwise(F.col("named_by"))).drop("_out", "inside")
+
+
+def wall_pieces(f: DataFrame, matched: DataFrame, t: Tolerances) -> DataFrame:
+    """Column-shaped pieces drawn like walls are set aside: their outline has a pen that no labelled column has, or they
+    continue a wall of the same thickness."""
+    on = matched.filter("kind = 'column'").select("plan_id", F.col("obj_id").alias("id")).join(f.filter("class = 'column'").select(*KEY, "pen"), KEY)
+    pens = A.usual(on, ["plan_id"], "pen", t.pen_share).select("plan_id", "pen", F.lit(True).alias("_usual"))
+    any_ = pens.select("plan_id", F.lit(True).alias("_known")).distinct()
+    column = F.coalesce("class", "cluster_class") == "column"
+    walls = f.filter((F.col("kind") == "solid") & ~F.coalesce(F.col("class") == "column", F.lit(False)))
+    on_wall = R.touching_equal(f.filter(column), walls, ["plan_id"], "id", "width", t.touch, t.width_tol).withColumn("_wall", F.lit(True))
+    j = f.join(pens, ["plan_id", "pen"], "left").join(any_, "plan_id", "left").join(on_wall, KEY, "left").na.fill(False, ["_usual", "_known", "_wall"])
+    piece = F.coalesce(column, F.lit(False)) & ((F.col("_known") & ~F.col("_usual")) | F.col("_wall"))
+    return j.withColumn("piece", piece).withColumn("class", F.when(piece, "core_wall").otherwise(F.col("class"))).withColumn("named_by", F.when(piece, "rule: column-shaped piece drawn like a wall (outline pen or continuity)").otherwise(F.col("named_by"))).drop("_usual", "_known", "_wall")
+
+
+# --- buildings -----------------------------------------------------------------------------------------------------
+
+
+def joints(s: DataFrame, t: Tolerances) -> DataFrame:
+    """plan_id, ax .. by: one line of each expansion joint, two long parallel lines of one pen a few centimetres apart."""
+    long_ = usable(s).filter(F.col("len") >= t.joint_min_len).withColumn("a", F.pmod(F.bround(F.col("ang") / 0.005) * 0.005, F.lit(pi)))
+    at = F.col("a")
+    lo, hi = (g(G.along(F.col("ax"), F.col("ay"), at), G.along(F.col("bx"), F.col("by"), at)) for g in (F.least, F.greatest))
+    off = (G.offset(F.col("ax"), F.col("ay"), at) + G.offset(F.col("bx"), F.col("by"), at)) / 2
+    lines = long_.select("plan_id", "w", "a", F.col("seg_id").alias("id"), off.alias("off"), lo.alias("lo"), hi.alias("hi"))
+    pairs = J.parallel_pairs(lines, ["plan_id", "w", "a"], *t.joint_gap, share=0.8)
+    return pairs.select("plan_id", F.col("i").alias("seg_id")).distinct().join(s, ["plan_id", "seg_id"]).select("plan_id", "ax", "ay", "bx", "by")
 
 
-def similar_names(named: DataFrame, f: DataFrame, cl: DataFrame, t: Tolerances) -> DataFrame:
-    """Unnamed clusters of solids and outlines take the class of the nearest named one of their kind, if close."""
-    v = vectors(f).join(cl, ["plan_id", "id"])
-    centre = v.select("plan_id", "kind", "cluster", F.posexplode("x").alias("i", "x")).groupBy("plan_id", "kind", "cluster", "i").agg(F.avg("x").alias("x"))
-    a = centre.join(named.filter("class is null").select("plan_id", "cluster"), ["plan_id", "cluster"])
-    b = centre.join(named.filter("class is not null").select("plan_id", "cluster", "class"), ["plan_id", "cluster"]).select("plan_id", "kind", "i", F.col("cluster").alias("near"), F.col("class").alias("near_class"), F.col("x").alias("y"))
-    d = a.join(b, ["plan_id", "kind", "i"]).groupBy("plan_id", "cluster", "near", "near_class").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) ** 2)).alias("dist"))
-    best = J.first_by(d, ["plan_id", "cluster"], ["dist", "near"]).filter(F.col("dist") <= t.similar_max)
-    said = F.concat(F.lit("similar to cluster "), "near")
-    return named.join(best, ["plan_id", "cluster"], "left").withColumn("named_by", F.when(F.col("class").isNull() & F.col("near_class").isNotNull(), said).otherwise(F.col("named_by"))).withColumn("class", F.coalesce("class", "near_class")).drop("near", "near_class", "dist")
+def regions(f: DataFrame, l: DataFrame, s: DataFrame, t: Tolerances) -> DataFrame:
+    """plan_id, what (o or l), id, region, depth, building: parts of the footprint between joints, with the building that
+    the labels in them agree on."""
+    at = f.select("plan_id", F.concat(F.lit("o"), "id").alias("point"), F.col("mx").alias("x"), F.col("my").alias("y"))
+    at = at.unionByName(l.filter("building is not null").select("plan_id", F.concat(F.lit("l"), "label_id").alias("point"), "x", "y"))
+    sites = save(S.footprints(f.filter("kind in ('solid', 'outline')"), at, joints(s, t), t.footprint_grow, t.footprint_close, t.joint_cut, t.region_min_area), "sites")
+    sites = sites.filter("region > 0").select("plan_id", F.substring("point", 1, 1).alias("what"), F.expr("substring(point, 2)").cast("long").alias("id"), "region", "depth")
+    said = sites.filter("what = 'l'").join(l.select("plan_id", F.col("label_id").alias("id"), "building"), KEY)
+    vote = A.dominant(said, ["plan_id", "region"], "building", "id", t.region_dominant)
+    return sites.join(vote, ["plan_id", "region"], "left")
 
 
-def match(edges: DataFrame, t: Tolerances) -> DataFrame:
-    return assign(edges.select("plan_id", "label_id", "obj_id", "slots", "cost"), t.unmatched_cost)
+def nearest_building(points: DataFrame, said: DataFrame, on: list[str], t: Tolerances) -> DataFrame:
+    """plan_id, id, b: the majority of the nearest labels that have a building."""
+    near = J.nearest_join(points, said, "id", "b_id", ("mx", "my"), ("bx", "by"), t.building_radius, t.building_k, on)
+    return A.most_common(near, KEY, "b", "rank").select(*KEY, "b")
 
 
-def second_costs(edges: DataFrame, home: DataFrame, f: DataFrame, t: Tolerances) -> DataFrame:
-    """Costs of the second pass: null where class, home kind or printed size forbid; dearer for unnamed objects."""
-    wanted = lookup(LABEL_CLASS, F.col("kind"))
-    e = edges.join(f.select("plan_id", F.col("id").alias("obj_id"), "class", "named_by"), ["plan_id", "obj_id"])
-    e = e.join(home.withColumn("_home", F.lit(True)), ["plan_id", "kind", "obj_kind"], "left")
-    family = lookup(FAMILY, F.col("class"))
-    voted = F.col("named_by") == "label vote"
-    penalty = (
-        F.when(~F.col("agrees") | F.col("_home").isNull(), None).when(F.col("class") == wanted, 0.0)
-        .when(~voted & (family.isNull() | (family == lookup(FAMILY, wanted))), t.unnamed_penalty)
-    )
-    return e.withColumn("cost", F.col("cost") + penalty)
+def buildings(o: DataFrame, l: DataFrame, where: DataFrame, t: Tolerances) -> DataFrame:
+    """An object's building (own_building: of its own label), and region_building where it stands well inside a region."""
+    here = where.filter("what = 'o'").select(*KEY, F.col("region"), "depth", F.col("building").alias("_dominant"))
+    said = l.filter("building is not null").select("plan_id", F.col("label_id").alias("b_id"), F.col("building").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    said_in = said.join(where.filter("what = 'l'").select("plan_id", F.col("id").alias("b_id"), "region"), ["plan_id", "b_id"])
+    points = o.select(*KEY, "mx", "my")
+    anywhere = nearest_building(points, said, ["plan_id"], t).withColumnRenamed("b", "_anywhere")
+    inside = nearest_building(points.join(here.select(*KEY, "region"), KEY), said_in, ["plan_id", "region"], t).withColumnRenamed("b", "_inside")
+    j = o.join(here, KEY, "left").join(inside, KEY, "left").join(anywhere, KEY, "left")
+    j = j.withColumn("building", rules.building_of(F.col("own_building"), F.col("_dominant"), F.col("_inside"), F.col("_anywhere")))
+    return j.withColumn("region_building", F.when(F.col("depth") >= t.joint_margin, F.col("_dominant"))).drop("_dominant", "_inside", "_anywhere", "depth", "region")
+
 
+def match(edges: DataFrame, t: Tolerances, penalty: Column | None = None) -> DataFrame:
+    """One global assignment; ``penalty``: further cost of an edge, null where it is forbidden."""
+    cost = F.col("cost") if penalty is None else F.col("cost") + penalty
+    return assign(edges.select("plan_id", "label_id", "obj_id", "slots", cost.alias("cost")), t.unmatched_cost)
 
-def sized_costs(edges: DataFrame, close: DataFrame, t: Tolerances) -> DataFrame:
-    """Dearer edges to objects that do not have the size which the closest labels of the type agree on."""
+
+def second_costs(edges: DataFrame, home: DataFrame, f: DataFrame, t: Tolerances) -> DataFrame:
+    """Costs of the second pass: null where class, home kind or printed size forbid; dearer for objects without a sure class.
+
+    f: with class, named_by, near_class (of the nearest cluster that labels named).
+    """
+    e = edges.join(f.select("plan_id", F.col("id").alias("obj_id"), "class", "named_by", "near_class"), ["plan_id", "obj_id"])
+    e = e.join(home.withColumn("_home", F.lit(True)), ["plan_id", "kind", "obj_kind"], "left").join(home.select("plan_id", "kind", F.lit(True).alias("_has")).distinct(), ["plan_id", "kind"], "left")
+    parts = (F.col("kind") == "retaining_wall+strip_footing") & F.col("obj_kind").isin("band", "solid")
+    at_home = F.col("_has").isNull() | F.coalesce(F.col("_home"), F.lit(False)) | parts
+    wanted = rules.classes_named(F.col("kind"), LABEL_CLASS)
+    families = F.transform(wanted, lambda c: lookup(FAMILY, c))
+    penalty = rules.compatibility(F.col("agrees"), at_home, wanted, F.coalesce("class", F.lit("")), F.col("class").isNotNull() & (F.col("named_by") == "label vote"), lookup(FAMILY, F.col("near_class")), families, t.unnamed_penalty)
+    return e.withColumn("cost", F.col("cost") + penalty).drop("_home", "_has")
+
+
+def checked_costs(edges: DataFrame, close: DataFrame, placed: DataFrame, t: Tolerances) -> DataFrame:
+    """Dearer edges to objects that do not have the size which the closest labels of the type agree on, or that stand in
+    another building's region (placed: plan_id, id, region_building)."""
     sure = close.filter((F.col("d") <= t.sure_distance) & F.col("kind").isin("column", "wall", "footing:S", "footing:SC"))
     sizes = A.agreed_size(sure, ["plan_id", "key"], "d", ["length", "width"], t.size_tol, "label_id").select("plan_id", "key", F.col("length").alias("_l"), F.col("width").alias("_w"))
-    other = (F.abs(F.col("length") - F.col("_l")) > t.size_tol) | (F.abs(F.col("width") - F.col("_w")) > t.size_tol)
-    e = edges.join(sizes, ["plan_id", "key"], "left")
-    return e.withColumn("cost", F.col("cost") + F.when(F.coalesce(other, F.lit(False)), t.size_penalty).otherwise(0.0)).drop("_l", "_w")
+    e = edges.join(sizes, ["plan_id", "key"], "left").join(placed.select("plan_id", F.col("id").alias("obj_id"), "region_building"), ["plan_id", "obj_id"], "left")
+    cost = rules.checked(F.col("cost"), F.col("length"), F.col("width"), F.col("_l"), F.col("_w"), t.size_tol, t.size_penalty, F.col("building"), F.col("region_building"), t.region_penalty)
+    return e.withColumn("cost", cost).drop("_l", "_w", "region_building")
 
 
-def types(f: DataFrame, matched: DataFrame, t: Tolerances) -> DataFrame:
-    """Objects with class, key, type_source, label and building."""
-    best = J.first_by(matched, ["plan_id", "obj_id"], ["cost", "label_id"]).select("plan_id", F.col("obj_id").alias("id"), "key", F.col("text").alias("label"), "building", F.col("kind").alias("label_kind"))
-    o = f.join(best, ["plan_id", "id"], "left")
+def printed_types(f: DataFrame, matched: DataFrame) -> DataFrame:
+    """Objects with the cheapest label that names them: key, label, label_kind, own_building; type_source where there is one."""
+    spoken = spoken_for(matched, f)
+    best = J.first_by(spoken, ["plan_id", "obj_id"], ["cost", "label_id"]).select("plan_id", F.col("obj_id").alias("id"), "key", F.col("text").alias("label"), F.col("building").alias("own_building"), F.col("kind").alias("label_kind"))
+    return f.join(best, KEY, "left").withColumn("type_source", F.when(F.col("key").isNotNull(), "printed label").otherwise(""))
+
+
+def own_label(o: DataFrame) -> DataFrame:
+    """Evidence ranks: a cluster's label vote, the element's own label, a guess by similarity."""
     own = lookup(LABEL_CLASS, F.col("label_kind"))
-    weak = F.col("named_by") != "label vote"
-    o = o.withColumn("named_by", F.when(weak & own.isNotNull() & ~own.eqNullSafe(F.col("class")), "its own label").otherwise(F.col("named_by"))).withColumn("class", F.when(weak, F.coalesce(own, "class")).otherwise(F.col("class")))
+    takes = (F.coalesce("named_by", F.lit("")) != "label vote") & own.isNotNull() & ~own.eqNullSafe(F.col("class")) & F.col("type_source").startswith("printed")
+    o = o.withColumn("_own", F.coalesce(takes, F.lit(False)))
+    return o.withColumn("named_by", F.when(F.col("_own"), "its own label (the cluster's class was only a guess)").otherwise(F.col("named_by"))).withColumn("class", F.when(F.col("_own"), own).otherwise(F.col("class"))).drop("_own")
+
+
+def validated(o: DataFrame, config: dict, t: Tolerances) -> DataFrame:
+    """Printed types against the sizes of the other elements that carry them: an odd one out takes the type of its region's
+    or label's building that has its size, keeps a question, or, where only two disagree, stays and is flagged."""
+    width_only, _ = size_meaning(config)[1:]
+    kinds = {"column": "column", "wall": "shear_wall", "retaining_wall": "retaining_wall"}
+    p = o.withColumn("g_class", lookup(kinds, F.col("label_kind"))).filter("key is not null and g_class is not null").withColumn("width_only", F.coalesce(lookup(size_meaning(config)[1], F.col("g_class")), F.lit(False)))
+    p = save(p.select(*KEY, "g_class", "key", "length", "width", "building", "region_building", "width_only"), "printed")
+    verdicts = A.two_size_consistency(p, ["plan_id", "g_class", "key"], "length", "width", "id", t.size_tol, t.width_tol, "width_only").select(*KEY, "verdict")
+    usual = p.groupBy("plan_id", F.col("g_class").alias("class"), "key").agg(F.min_by("building", "id").alias("building"), F.median("length").alias("length"), F.median("width").alias("width"))
+    odd = p.join(verdicts.filter("verdict = 'retype'"), KEY).withColumn("class", F.col("g_class")).select(*KEY, "class", "key", "length", "width", "width_only", "region_building", "building")
+    new = R.retyped(odd, usual, ["region_building", "building"], t.size_tol, t.width_tol).select(*KEY, F.col("keys").alias("_keys"))
+    j = o.join(verdicts, KEY, "left").join(new, KEY, "left")
+    misfit = F.concat(F.lit("printed "), "key", F.lit(" does not fit that type's size; "))
+    source = (
+        F.when(F.col("verdict") == "conflict", F.concat(F.lit("printed label; size differs from the other "), "key", F.lit(" (conflict, check)")))
+        .when(F.col("verdict") == "retype", F.when(F.col("_keys").isNull(), F.concat(misfit, F.lit("no type of its building fits"))).when(F.col("_keys").contains("|"), F.concat(misfit, F.lit("several types of its building fit"))).otherwise(F.concat(misfit, F.lit("the size fits "), "_keys")))
+        .otherwise(F.col("type_source"))
+    )
+    key = F.when(F.col("verdict") == "retype", F.col("_keys")).otherwise(F.col("key"))
+    return j.withColumn("type_source", source).withColumn("key", key).drop("verdict", "_keys")
+
+
+def inferred(o: DataFrame, config: dict, t: Tolerances) -> DataFrame:
+    """Unlabelled members of a class that has types take the types of their size (in their building, where types are per
+    building), that of the nearest element first."""
+    _, width_only, per_building = size_meaning(config)
     o = save(o, "typed")
-    groups = o.filter("key is not null and class is not null").groupBy("plan_id", F.col("class").alias("g_class"), F.col("key").alias("g_key")).agg(F.median("length").alias("gl"), F.median("width").alias("gw"))
-    lone = o.filter("key is null and class is not null").select("plan_id", "id", F.col("class").alias("g_class"), "length", "width")
-    fits = J.band_join(lone, groups, "width", "gw", t.width_tol, ["plan_id", "g_class"])
-    by_width = F.col("g_class").isin("retaining_wall")
-    fits = fits.filter(by_width | (F.abs(F.col("length") - F.col("gl")) <= t.size_tol))
-    listed = A.candidate_list(fits, ["plan_id", "id"], F.abs(F.col("length") - F.col("gl")) + F.abs(F.col("width") - F.col("gw")), "g_key")
-    o = o.join(listed, ["plan_id", "id"], "left")
-    source = F.when(F.col("key").isNotNull(), "printed label").when(F.col("candidates").contains("|"), "inferred, ambiguous").when(F.col("candidates").isNotNull(), "inferred: the only type with this size").otherwise("")
-    return o.withColumn("type_source", source).withColumn("type_key", F.coalesce("key", grammar.inferred_type("candidates"))).drop("candidates")
+    told = F.col("type_source").startswith("printed")
+    has = lookup({c: True for c in width_only}, F.col("class"))
+    scope = F.when(lookup(per_building, F.col("class")), F.coalesce("building", F.lit(""))).otherwise(F.lit(""))
+    members = o.filter(told & has & F.col("key").isNotNull()).select("plan_id", F.col("class").alias("g_class"), F.col("key").alias("g_key"), scope.alias("g_scope"), "length", "width", F.col("x0").alias("p0"), F.col("y0").alias("q0"), F.col("x1").alias("p1"), F.col("y1").alias("q1"))
+    groups = members.groupBy("plan_id", "g_class", "g_key", "g_scope").agg(F.median("length").alias("gl"), F.median("width").alias("gw"))
+    lone = o.filter(~told & has & F.col("key").isNull()).select(*KEY, F.col("class").alias("g_class"), scope.alias("g_scope"), "length", "width", "x0", "y0", "x1", "y1")
+    fits = J.band_join(lone, groups, "width", "gw", t.width_tol, ["plan_id", "g_class", "g_scope"])
+    fits = fits.filter(rules.fits_size(F.col("length"), F.col("width"), F.col("gl"), F.col("gw"), F.coalesce(lookup(width_only, F.col("g_class")), F.lit(False)), t.size_tol, t.width_tol))
+    near = fits.drop("gl", "gw").join(members.drop("length", "width"), ["plan_id", "g_class", "g_key", "g_scope"])
+    gap = F.hypot(F.greatest(F.expr("p0 - x1"), F.expr("x0 - p1"), F.lit(0.0)), F.greatest(F.expr("q0 - y1"), F.expr("y0 - q1"), F.lit(0.0)))
+    listed = A.candidate_list(near, KEY, gap, "g_key")
+    o = o.join(listed, KEY, "left")
+    lone_ = ~told & F.coalesce(has, F.lit(False)) & F.col("key").isNull()
+    source = F.when(lone_ & F.col("candidates").contains("|"), "inferred, ambiguous: several types have this size (nearest first)").when(lone_ & F.col("candidates").isNotNull(), "inferred: the only type with this size").when(lone_, "no type has this size").otherwise(F.col("type_source"))
+    return o.withColumn("type_source", source).withColumn("key", F.coalesce("key", F.when(lone_, F.col("candidates")))).drop("candidates")
+
+
+def columns_by_shape(o: DataFrame, named: DataFrame, t: Tolerances) -> DataFrame:
+    """On plans whose labels name no columns, an unlabelled solid of column section is one, unless it continues a wall."""
+    has = named.filter("class = 'column' and named_by = 'label vote'").select("plan_id", F.lit(True).alias("_has")).distinct()
+    solids_ = o.filter("kind = 'solid'")
+    long_ = solids_.filter(~rules.is_column_section(F.col("length"), F.col("width")))
+    on_wall = R.touching_equal(solids_, long_, ["plan_id"], "id", "width", t.touch, t.width_tol).withColumn("_wall", F.lit(True))
+    j = o.join(has, "plan_id", "left").join(on_wall, KEY, "left").na.fill(False, ["_has", "_wall"])
+    free = ~F.col("_has") & (F.col("kind") == "solid") & (F.col("width") > 0) & rules.is_column_section(F.col("length"), F.col("width")) & ~F.col("type_source").startswith("printed") & (F.col("named_by") != "label vote")
+    column = free & ~F.col("_wall")
+    said = "rule: column by shape (L <= 4 W); the plan has no labels that name columns"
+    return j.withColumn("piece", F.col("piece") | (free & F.col("_wall"))).withColumn("wall_rule", F.when(column, said)).withColumn("class", F.when(column, "column").otherwise(F.col("class"))).drop("_has", "_wall")
 
 
 def unlabelled_walls(o: DataFrame, t: Tolerances) -> DataFrame:
-    """Wall-like solids without a printed type and without a class: retaining on the edge or on a strip, else core."""
-    usual = o.filter("class in ('shear_wall', 'retaining_wall')").groupBy("plan_id").agg(F.median("width").alias("_wall"))
-    o = o.join(usual, "plan_id", "left").withColumn("_wall", F.coalesce("_wall", F.lit(t.wall_default)))
-    wall_like = (F.col("kind") == "cross_hatch") | ((F.col("kind") == "solid") & (F.col("width") <= 2 * F.col("_wall")) & (F.col("length") >= 2 * F.col("width")))
-    free = F.col("key").isNull() & (F.col("class").isNull() | F.col("class").isin("shear_wall", "core_wall")) & wall_like
-    edge = (F.col("on_perimeter") == 1) | (F.col("in_band_holding_solid") == 1)
-    rule = F.when(edge, "retaining_wall").otherwise("core_wall")
-    return o.withColumn("named_by", F.when(free, "rule: unlabelled wall").otherwise(F.col("named_by"))).withColumn("class", F.when(free, rule).otherwise(F.col("class"))).drop("_wall")
-
-
-def buildings(o: DataFrame, l: DataFrame, t: Tolerances) -> DataFrame:
-    """An object's own building, else the majority of its nearest labels that have one."""
-    said = l.filter("building is not null").select("plan_id", F.col("label_id").alias("b_id"), F.col("building").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    points = o.select("plan_id", "id", *_middle())
-    near = J.nearest_join(points, said, "id", "b_id", ("mx", "my"), ("bx", "by"), t.building_radius, t.building_k, ["plan_id"])
-    vote = A.most_common(near, ["plan_id", "id"], "b", "rank").select("plan_id", "id", "b")
-    return o.join(vote, ["plan_id", "id"], "left").withColumn("building", F.coalesce("building", "b")).drop("b")
+    """Wall-like objects without a printed type and without a sure class: retaining on the edge or on a strip, else core."""
+    usual = o.groupBy("plan_id").agg(A.median_or(F.col("width"), F.col("class").isin("shear_wall", "retaining_wall"), t.wall_default).alias("_wall"))
+    o = o.join(usual, "plan_id")
+    like = rules.wall_like(F.col("kind"), F.col("length"), F.col("width"), F.col("_wall"), F.col("dots_inside"), F.col("piece"))
+    free = like & rules.open_to_wall_rule(F.col("class"), F.col("key"), F.col("type_source").startswith("printed"), F.col("piece")) & ~(F.coalesce(F.col("class") == "column", F.lit(False)) & ~F.col("piece"))
+    new = rules.wall_class(F.col("on_perimeter") == 1, F.col("in_band_holding_solid") == 1)
+    said = F.when(new == "retaining_wall", "rule: unlabelled wall along the building edge or on a strip footing").when(F.col("piece"), F.col("named_by")).otherwise("rule: unlabelled interior wall, no type of its size")
+    o = o.withColumn("_free", F.coalesce(free, F.lit(False)))
+    return o.withColumn("wall_rule", F.when(F.col("_free"), F.concat(said, F.when(F.col("kind") == "outline", " (drawn as an outline with a pattern inside)").otherwise(""))).otherwise(F.col("wall_rule"))).withColumn("class", F.when(F.col("_free"), new).otherwise(F.col("class"))).drop("_wall", "_free")
+
+
+def wall_thickness_types(o: DataFrame, t: Tolerances) -> DataFrame:
+    """Retaining walls found by the edge rule take the type of their thickness, learned from labelled ones."""
+    o = save(o, "walls")
+    told = F.col("type_source").startswith("printed")
+    walls = o.filter("class = 'retaining_wall'")
+    listed = R.thickness_types(walls.filter("key is null and wall_rule is not null"), walls.filter(told & F.col("key").isNotNull()), t.width_tol)
+    o = o.join(listed, KEY, "left")
+    source = F.when(F.col("candidates").isNull(), F.col("type_source")).otherwise(F.concat(F.lit("inferred: the thickness of this retaining-wall type"), F.when(F.col("candidates").contains("|"), " (several fit, nearest first)").otherwise("")))
+    return o.withColumn("type_source", source).withColumn("key", F.coalesce("key", "candidates")).drop("candidates")
+
+
+def type_keys(o: DataFrame) -> DataFrame:
+    """The printed form of a type: ~ before inferred ones, ? for none."""
+    shown = F.when(F.col("type_source").startswith("inferred"), grammar.inferred_type("key")).otherwise(F.coalesce("key", F.lit("?")))
+    return o.withColumn("type_key", shown).withColumn("named_by", F.coalesce("wall_rule", "named_by"))
 
 
 def numbered(o: DataFrame) -> DataFrame:
@@ -481,23 +792,45 @@ def numbered(o: DataFrame) -> DataFrame:
     return W.numbered_by(o, ["plan_id"], [text("building"), F.coalesce(order, F.lit(99)), text("class"), text("type_key"), "id"], "number")
 
 
+def diagnostics(objs: DataFrame, paths: DataFrame, where: DataFrame, cuts: DataFrame) -> DataFrame:
+    """plan_id, what, n: how many objects of each kind there are, hatched legs, nested boxes, traced regions, joints, regions."""
+    count = F.count(F.lit(1)).alias("n")
+    out = objs.groupBy("plan_id", F.concat(F.lit("objects: "), "kind").alias("what")).agg(count)
+    for what, rows in (
+        ("hatched legs", objs.filter("leg_of_region")), ("nested boxes merged", objs.withColumn("_n", F.explode("nested"))), ("traced regions", objs.filter("traced")),
+        ("joints", cuts), ("regions", where.select("plan_id", "region").distinct()), ("paths", paths),
+    ):
+        out = out.unionByName(rows.groupBy("plan_id").agg(count).select("plan_id", F.lit(what).alias("what"), "n"))
+    return out
+
+
 def detect(paths: DataFrame, texts: DataFrame, config: dict, t: Tolerances = Tolerances()) -> Result:
     calibration = save(calibrate(paths, texts, config), "calibration")
     paths, texts = scaled(paths, texts, calibration)
     paths, texts = save(paths, "paths"), save(texts, "texts")
-    objs, _ = objects(paths, texts, t)
+    objs, segs = objects(paths, texts, t)
     f = save(features(objs, paths, t), "features")
     cl = save(clusters(f, t), "clusters")
-    l = save(labels(texts, config, t), "labels")
+    l = save(labels(texts, paths, config, t), "labels")
+    where = save(regions(f, l, segs, t), "regions")
     edges = save(candidate_edges(l, f, t), "edges")
     pick = ["plan_id", "label_id", "obj_id"]
-    first = edges.drop("cost").join(match(edges, t), pick)
-    named, home = names(first, f, cl, t)
-    home = save(home, "home")
-    named = save(similar_names(named, f, cl, t), "named")
-    f = save(f.join(cl, ["plan_id", "id"], "left").join(named.select("plan_id", "cluster", "class", "named_by"), ["plan_id", "cluster"], "left").withColumn("named_by", F.coalesce("named_by", F.lit(""))), "named-objects")
-    second = save(second_costs(edges, home, f, t), "second")
+    first = save(edges.drop("cost").join(match(edges, t), pick), "first")
+    named, home, voters = names(first, f, cl, config, t)
+    home, centres = save(home, "home"), save(centroids(f, cl), "centroids")
+    named = save(similar_names(named, centres, t), "named")
+    f = f.join(cl, KEY, "left").join(named.select("plan_id", "cluster", "class", "named_by"), ["plan_id", "cluster"], "left").withColumn("named_by", F.coalesce("named_by", F.lit("")))
+    f = save(unstretched(save(f, "named-objects"), named, voters, t), "enveloped")
+    f = save(wall_pieces(f, first, t), "pieces")
+    voted = centres.join(named.filter("named_by = 'label vote'").select("plan_id", "cluster", "class"), ["plan_id", "cluster"]).select("plan_id", "kind", F.col("cluster").alias("near"), "centre", F.col("class").alias("near_class"))
+    own = vectors(f).withColumn("_me", F.col("id").cast("string"))
+    near = R.nearest_centroid(own, voted, ["plan_id", "kind"], "_me", "x", "near", "centre").select(*KEY, "near_class")
+    second = save(second_costs(edges, home, f.join(near, KEY, "left"), t), "second")
     close = edges.drop("cost").join(match(second, t), pick)
-    m2 = save(edges.drop("cost").join(match(sized_costs(second, close, t), t), pick), "matches")
-    o = unlabelled_walls(types(f, m2, t), t)
-    return Result(save(numbered(buildings(o, l, t)), "detected"), l, named, m2, calibration)
+    placed = where.filter(F.col("depth") >= t.joint_margin).filter("what = 'o'").select("plan_id", "id", F.col("building").alias("region_building"))
+    m2 = save(edges.drop("cost").join(match(checked_costs(second, close, placed, t), t), pick), "matches")
+    o = save(buildings(printed_types(f, m2), l, where, t), "placed")
+    o = inferred(own_label(validated(o, config, t)), config, t)
+    o = wall_thickness_types(unlabelled_walls(columns_by_shape(o, named, t), t), t)
+    found = save(numbered(type_keys(o)), "detected")
+    return Result(found, l, named, m2, calibration, diagnostics(objs, paths, where, joints(segs, t)))

@@ -7,9 +7,10 @@ on both sides; doubles are rounded half to even.
 from __future__ import annotations
 
 import tomllib
+from math import pi
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataplan.functions import geometry as G
@@ -18,10 +19,14 @@ from strataplan.operators import joins as J
 from strataplan.operators import windows as W
 from strataplan.operators.assign import assign
 from strataplan.operators.graph import components
+from strataplan.operators import shapes as S
+from strataplan.operators.shapes import overlaps
 from strataplan.operators.suppress import suppress
 from strataplan.operators.ward import ward
-from strataplan.plans import grammar
-from strataplan.runtime import ship
+from strataplan.plans import grammar, rules
+from strataplan.plans import relations as R
+from strataplan.sources import sinks
+from strataplan.tolerances import CLASS_NAME, FAMILY, LABEL_CLASS
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -297,53 +302,41 @@ def type_fits(spark, d):
 SELECT a.p_partkey AS a, b.p_partkey AS b, round_even((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS overlap
 FROM {PART_BOX} a JOIN {PART_BOX} b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""")
 def k02_clip_area(spark, d):
-    ship(spark)
-    a = part_boxes(spark, d)
-    b = J.renamed(a, "b_", ["p_brand"])
-    pairs = J.grid_join(a, b, ("x0", "y0", "x1", "y1"), ("b_x0", "b_y0", "b_x1", "b_y1"), 8.0, ["p_brand"]).filter("p_partkey < b_p_partkey")
-
-    def clipped(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        from strataplan.functions.kernels import overlap_area
+    ring, _ = box_items()
+    boxes = part_boxes(spark, d).select(F.col("p_brand").alias("plan_id"), F.col("p_partkey").alias("id"), ring.alias("ring"))
+    return overlaps(boxes, boxes, 8.0).filter("a < b and common > 0").select("a", "b", F.bround("common", 6).alias("overlap"))
 
-        for t in batches:
-            v = np.array([t.column(i).to_numpy(zero_copy_only=False) for i in range(2, 10)]).T
 
-            def ring(r):
-                return np.array([[r[0], r[1]], [r[2], r[1]], [r[2], r[3]], [r[0], r[3]]])
+@query(f"""
+WITH k AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'solid' WHEN 1 THEN 'outline' WHEN 2 THEN 'band' ELSE 'stamped_region' END AS kind, (x1 - x0) * (y1 - y0) AS area FROM {PART_BOX}),
+n AS (SELECT a.p_partkey AS id, b.kind, b.p_partkey % 3 = 0 AS holds, a.area AS aa, b.area AS ab, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS common
+  FROM k a JOIN k b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND b.x0 <= a.x1 AND a.x0 <= b.x1 AND b.y0 <= a.y1 AND a.y0 <= b.y1)
+SELECT id, count(*) FILTER (kind = 'solid') AS touches_solid, count(*) FILTER (kind = 'band' AND NOT holds) AS empty_bands_touching, count(*) FILTER (kind = 'solid' AND common > 0.5 * ab) AS solids_inside,
+  max((kind = 'outline' AND common > 0.5 * aa)::INT) AS inside_outline, max((kind = 'stamped_region' AND common > 0.5 * aa)::INT) AS on_stamped_region FROM n GROUP BY 1""")
+def d27_object_features(spark, d):
+    ring, _ = box_items()
+    boxes = part_boxes(spark, d).select(F.col("p_brand").alias("plan_id"), F.col("p_partkey").alias("id"), ring.alias("ring"))
+    met = overlaps(boxes, boxes, 8.0).filter("a <> b").select("plan_id", F.col("a").alias("id"), F.col("b"), "area_a", "area_b", "common", F.lit(True).alias("touching"))
+    other = boxes.select("plan_id", F.col("id").alias("b"), F.element_at(F.array(*map(F.lit, ("solid", "outline", "band", "stamped_region"))), (F.col("id") % 4 + 1).cast("int")).alias("kb"), (F.col("id") % 3 == 0).alias("hb"))
+    return R.feature_counts(met.join(other, ["plan_id", "b"]), ["plan_id", "id"]).drop("plan_id")
 
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array([overlap_area(ring(r[:4]), ring(r[4:])) for r in v], pa.float64())], ["a", "b", "overlap"])
 
-    cols = ["p_partkey", "b_p_partkey", "x0", "y0", "x1", "y1", "b_x0", "b_y0", "b_x1", "b_y1"]
-    got = pairs.select(*cols).mapInArrow(clipped, "a long, b long, overlap double")
-    return got.filter("overlap > 0").withColumn("overlap", F.bround("overlap", 6))
+CIRCLES = "(SELECT s_nationkey AS plan, s_suppkey AS circle, (s_suppkey * 71 % 40)::DOUBLE AS cx, (s_suppkey * 43 % 40)::DOUBLE AS cy, 2.1 AS r FROM supplier)"
+RAYS = """(SELECT c_nationkey AS plan, c_custkey AS c, c_custkey * 31 % 400 / 10.0 AS ax, c_custkey * 17 % 400 / 10.0 AS ay, c_custkey * 31 % 400 / 10.0 + CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END * (3.05 + c_custkey % 10) AS bx,
+  c_custkey * 17 % 400 / 10.0 + CASE c_custkey % 4 WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END * (3.05 + c_custkey % 10) AS by_ FROM customer)"""
 
 
 @query(f"""
-SELECT o.p_partkey AS id, count(i.p_partkey) FILTER (i.x0 >= o.x0 AND i.x1 <= o.x1 AND i.y0 >= o.y0 AND i.y1 <= o.y1) AS inside, count(i.p_partkey) AS touching,
-  coalesce(bool_or(i.x0 <= o.x0 AND i.x1 >= o.x1 AND i.y0 <= o.y0 AND i.y1 >= o.y1), FALSE) AS covered
-FROM {PART_BOX} o LEFT JOIN {PART_BOX} i ON o.p_brand = i.p_brand AND o.p_partkey <> i.p_partkey AND i.x0 <= o.x1 AND o.x0 <= i.x1 AND i.y0 <= o.y1 AND o.y0 <= i.y1 GROUP BY 1""")
-def d27_object_features(spark, d):
-    a = part_boxes(spark, d)
-    b = J.renamed(a, "b_", ["p_brand"])
-    near = J.grid_join(a, b, ("x0", "y0", "x1", "y1"), ("b_x0", "b_y0", "b_x1", "b_y1"), 8.0, ["p_brand"]).filter("p_partkey <> b_p_partkey")
-    inner = F.expr("b_x0 >= x0 AND b_x1 <= x1 AND b_y0 >= y0 AND b_y1 <= y1")
-    outer = F.expr("b_x0 <= x0 AND b_x1 >= x1 AND b_y0 <= y0 AND b_y1 >= y1")
-    f = near.groupBy("p_partkey").agg(F.count_if(inner).alias("inside"), F.count(F.lit(1)).alias("touching"), F.bool_or(outer).alias("covered"))
-    return a.select("p_partkey").join(f, "p_partkey", "left").na.fill({"inside": 0, "touching": 0, "covered": False}).withColumnRenamed("p_partkey", "id")
-
-
-@query("""
-WITH r AS (SELECT s.s_suppkey AS circle, (c.c_custkey * 7 % 360 + 10) // 20 AS dir FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey AND abs(c.c_custkey * 31 % 1000 - s.s_suppkey * 71 % 1000) <= 40)
-SELECT circle, count(DISTINCT dir) AS directions FROM r GROUP BY 1 HAVING count(DISTINCT dir) >= 3""")
+WITH d AS (SELECT circle, c, cx, cy, r, ax, ay, bx, by_, sqrt((ax - cx) ** 2 + (ay - cy) ** 2) AS da, sqrt((bx - cx) ** 2 + (by_ - cy) ** 2) AS db, CASE WHEN c % 2 = 0 THEN abs(cy - ay) ELSE abs(cx - ax) END AS across FROM {CIRCLES} JOIN {RAYS} USING (plan)),
+h AS (SELECT *, CASE WHEN db > da THEN bx ELSE ax END AS fx, CASE WHEN db > da THEN by_ ELSE ay END AS fy FROM d WHERE across < 0.3 * r AND least(da, db) < r + 0.45 AND greatest(da, db) > 2.05)
+SELECT circle, count(DISTINCT round_even(degrees(atan2(fy - cy, fx - cx)) / 20, 0)) AS directions FROM h GROUP BY 1 HAVING count(DISTINCT round_even(degrees(atan2(fy - cy, fx - cx)) / 20, 0)) >= 2""")
 def d14_ray_directions(spark, d):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    circles = read(spark, d, "supplier").select(s.alias("circle"), F.col("s_nationkey").alias("plan"), (s * 71 % 1000).cast("double").alias("cx"))
-    rays = read(spark, d, "customer").select(F.col("c_nationkey").alias("plan"), (c * 31 % 1000).cast("double").alias("x"), F.expr("(c_custkey * 7 % 360 + 10) div 20").alias("dir"))
-    near = J.band_join(circles, rays, "cx", "x", 40.0, ["plan"])
-    return near.groupBy("circle").agg(F.count_distinct("dir").alias("directions")).filter("directions >= 3")
+    circles = read(spark, d, "supplier").select(F.col("s_nationkey").alias("plan_id"), s.alias("idx"), (s * 71 % 40).cast("double").alias("cx"), (s * 43 % 40).cast("double").alias("cy"), F.lit(2.1).alias("r"))
+    ax, ay, n = c * 31 % 400 / 10.0, c * 17 % 400 / 10.0, 3.05 + c % 10
+    way = lambda p, q: F.when(c % 4 == p, 1).when(c % 4 == q, -1).otherwise(0)
+    rays = read(spark, d, "customer").select(F.col("c_nationkey").alias("plan_id"), c.alias("seg_id"), ax.alias("ax"), ay.alias("ay"), (ax + way(0, 2) * n).alias("bx"), (ay + way(1, 3) * n).alias("by"), (c % 2 * (pi / 2)).alias("ang"))
+    return R.stamped(R.ray_hits(circles, rays, 0.45, 2.05), 2).select(F.col("idx").alias("circle"), "directions")
 
 
 # --- aggregations --------------------------------------------------------------------------------------------------
@@ -382,8 +375,7 @@ def e03_dashed_groups(spark, d):
     lo = k % 500 * 2.0
     pieces = read(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("plan"), F.col("l_linenumber").alias("ang"), (F.col("l_partkey") % 5).alias("off"), lo.alias("lo"), (lo + 1 + k % 3 * 0.5).alias("hi"), (k % 4).alias("pen"), k.alias("id"))
     keys = ["plan", "ang", "off"]
-    g = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("pieces"), (F.sum(F.col("hi") - F.col("lo")) / (F.max("hi") - F.min("lo"))).alias("cover"))
-    dashed = g.filter((F.col("pieces") >= 8) & (F.col("cover") <= 0.15))
+    dashed = R.dashed_groups(pieces, keys, "lo", "hi", 8, 0.15)
     pen = A.most_common(pieces.join(dashed, keys, "left_semi"), ["plan"], "pen", "id").select("plan", F.col("pen").alias("axis_pen"))
     return dashed.join(pen, "plan").select(*keys, "pieces", F.bround("cover", 6).alias("cover"), "axis_pen")
 
@@ -423,7 +415,7 @@ def e08_weighted_median(spark, d):
 @query("SELECT l_returnflag, l_linestatus, round_even(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS share, median(l_quantity) AS med FROM lineitem GROUP BY 1, 2")
 def e09_weighted_mean(spark, d):
     q = F.col("l_quantity")
-    return read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.bround(F.sum(F.col("l_discount") * q) / F.sum(q), 6).alias("share"), F.median(q).alias("med"))
+    return A.weighted_mean(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_discount"), q, "share", F.median(q).alias("med")).withColumn("share", F.bround("share", 6))
 
 
 LANDINGS = "(SELECT c_custkey, c_mktsegment AS label, c_nationkey % 5 AS kind, c_nationkey AS key, CAST(floor(c_acctbal / 500) AS BIGINT) AS size FROM customer)"
@@ -438,11 +430,7 @@ WITH c AS (SELECT *, count(*) OVER (PARTITION BY label, kind, key, size) > 1 AS
 g AS (SELECT label, kind, count(*) AS n, count(*) FILTER (again) AS consistent FROM c GROUP BY 1, 2)
 SELECT label, kind, n, consistent, CASE WHEN sum(consistent) OVER (PARTITION BY label) >= 5 THEN consistent ELSE n END AS score FROM g""")
 def e15_landing_scores(spark, d):
-    x = landings(spark, d)
-    same = x.groupBy("label", "kind", "key", "size").agg(F.count(F.lit(1)).alias("m"))
-    g = same.groupBy("label", "kind").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("m") > 1, F.col("m")).otherwise(0)).alias("consistent"))
-    total = g.groupBy("label").agg(F.sum("consistent").alias("_t"))
-    return g.join(total, "label").select("label", "kind", "n", "consistent", F.when(F.col("_t") >= 5, F.col("consistent")).otherwise(F.col("n")).alias("score"))
+    return R.landing_scores(landings(spark, d), ["label"], "kind", ["key", "size"], 5)
 
 
 @query(f"SELECT label, kind, n, round_even(n / max(n) OVER (PARTITION BY label), 6) AS affinity, n = max(n) OVER (PARTITION BY label) AS home FROM (SELECT label, kind, count(*) AS n FROM {LANDINGS} GROUP BY 1, 2)")
@@ -491,12 +479,15 @@ def e22_consistency(spark, d):
 
 
 @query("""
-SELECT p_brand, count(*) AS members, min(p_size) AS lo, max(p_size) AS hi,
-  concat_ws(', ', CASE WHEN count(*) FILTER (p_type LIKE '%A%') > count(*) / 2 THEN 'mostly A' END, min(p_size) || ' to ' || max(p_size)) AS description FROM part GROUP BY 1""")
+WITH m AS (SELECT p_brand, CASE WHEN p_size % 2 = 0 THEN 'solid' ELSE 'band' END AS kind, p_size::DOUBLE AS l, p_partkey % 7 * 0.25 AS w, p_type LIKE '%A%' AS f, p_partkey % 2 = 0 AS h FROM part),
+g AS (SELECT p_brand, kind, count(*) AS n, CASE WHEN max(l) - min(l) <= 0.03 THEN printf('%.2f', min(l)) ELSE printf('%.2f-%.2f', min(l), max(l)) END AS ls, CASE WHEN max(w) - min(w) <= 0.03 THEN printf('%.2f', min(w)) ELSE printf('%.2f-%.2f', min(w), max(w)) END AS ws,
+  concat_ws(', ', CASE WHEN count(*) FILTER (f) > count(*) / 2 THEN 'touching filled shapes' END, CASE WHEN kind = 'band' THEN CASE WHEN count(*) FILTER (h) > count(*) / 2 THEN 'holding filled shapes' ELSE 'empty' END END) AS facts FROM m GROUP BY 1, 2)
+SELECT p_brand, kind, n, n || ' ' || CASE WHEN kind = 'band' THEN CASE WHEN n = 1 THEN 'pair of parallel lines' ELSE 'pairs of parallel lines' END ELSE CASE WHEN n = 1 THEN 'filled shape' ELSE 'filled shapes' END END || ', '
+  || CASE WHEN kind = 'band' THEN ws || ' m apart, ' || ls || ' m long' ELSE ls || ' x ' || ws || ' m' END || CASE WHEN facts <> '' THEN '; ' || facts ELSE '' END AS description FROM g""")
 def e27_group_descriptions(spark, d):
-    most = F.count_if(F.col("p_type").contains("A")) > F.count(F.lit(1)) / 2
-    text = F.concat_ws(", ", F.when(most, "mostly A"), F.concat(F.min("p_size"), F.lit(" to "), F.max("p_size")))
-    return read(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("members"), F.min("p_size").alias("lo"), F.max("p_size").alias("hi"), text.alias("description"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    m = read(spark, d, "part").select("p_brand", F.when(size % 2 == 0, "solid").otherwise("band").alias("kind"), size.cast("double").alias("l"), (k % 7 * 0.25).alias("w"), F.col("p_type").contains("A").cast("int").alias("f"), (k % 2 == 0).alias("h"))
+    return m.groupBy("p_brand", "kind").agg(F.count(F.lit(1)).alias("n"), sinks.description(F.col("kind"), "l", "w", [("f", "touching filled shapes")], F.col("h"), 0.03).alias("description"))
 
 
 # --- windows -------------------------------------------------------------------------------------------------------
@@ -522,7 +513,13 @@ def d25_union_length(spark, d):
     return runs.groupBy("user_id").agg(F.bround(F.sum("n"), 4).alias("covered"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, value AS lo, value + 5 AS hi, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+r(user_id, k, event_id, lo, hi, g) AS (SELECT user_id, k, event_id, lo, hi, 1::BIGINT FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.k, e.event_id, CASE WHEN e.event_id - r.event_id <= 300 AND e.lo <= r.hi + 2 AND e.hi >= r.lo - 2 THEN least(e.lo, r.lo) ELSE e.lo END,
+    CASE WHEN e.event_id - r.event_id <= 300 AND e.lo <= r.hi + 2 AND e.hi >= r.lo - 2 THEN greatest(e.hi, r.hi) ELSE e.hi END, CASE WHEN e.event_id - r.event_id <= 300 AND e.lo <= r.hi + 2 AND e.hi >= r.lo - 2 THEN r.g ELSE r.g + 1 END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, g AS group_no FROM r""")
 def f06_order_groups(spark, d):
     e = read(spark, d, "events").select("user_id", "event_id", F.col("value").alias("lo"), (F.col("value") + 5).alias("hi"))
     return W.order_groups(e, ["user_id"], "event_id", "lo", "hi", 300, 2.0)
@@ -599,12 +596,19 @@ def k25_type_infer(spark, d):
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_size > 40 THEN 'retaining_wall' WHEN p_partkey % 9 = 0 THEN 'retaining_wall' WHEN p_size * 100 <= 4 * (p_partkey % 12 + 1) * 100 THEN 'column' ELSE 'core_wall' END AS cls FROM part""")
+WITH w AS (SELECT p_partkey, p_size::DOUBLE AS l, (p_partkey % 12 + 1)::DOUBLE AS w, CASE p_partkey % 3 WHEN 0 THEN 'solid' WHEN 1 THEN 'outline' ELSE 'cross_hatch' END AS kind, p_partkey % 5 AS dots, p_partkey % 11 = 0 AS piece,
+  CASE p_partkey % 4 WHEN 0 THEN 'shear_wall' WHEN 1 THEN 'core_wall' WHEN 2 THEN 'column' END AS cls, CASE WHEN p_partkey % 8 = 0 THEN 'V1' END AS key, p_partkey % 13 = 0 AS printed FROM part),
+r AS (SELECT *, kind = 'cross_hatch' OR piece OR (kind = 'solid' AND w <= 10 AND l >= 2 * w) OR (kind = 'outline' AND w > 0 AND l > 4 * w AND w <= 10 AND dots >= 1) AS alike,
+  NOT printed AND (piece OR cls IS NULL OR cls = 'core_wall' OR (cls = 'shear_wall' AND key IS NULL)) AS free FROM w)
+SELECT p_partkey, CASE WHEN alike AND coalesce(free, FALSE) THEN CASE WHEN l > 40 OR dots = 4 THEN 'retaining_wall' ELSE 'core_wall' END ELSE cls END AS cls FROM r""")
 def k28_rules(spark, d):
-    from strataplan.plans.rules import wall_class
-
-    k = F.col("p_partkey")
-    return read(spark, d, "part").select("p_partkey", wall_class(F.col("p_size") > 40, k % 9 == 0, F.col("p_size").cast("double"), (k % 12 + 1).cast("double")).alias("cls"))
+    k, l, w = F.col("p_partkey"), F.col("p_size").cast("double"), (F.col("p_partkey") % 12 + 1).cast("double")
+    pick = lambda c, n, *words: F.element_at(F.array(*map(F.lit, words)), (c % n + 1).cast("int"))
+    cls, key = pick(k, 4, "shear_wall", "core_wall", "column", None), F.when(k % 8 == 0, "V1")
+    like = rules.wall_like(pick(k, 3, "solid", "outline", "cross_hatch"), l, w, F.lit(5.0), k % 5, k % 11 == 0)
+    free = rules.open_to_wall_rule(cls, key, k % 13 == 0, k % 11 == 0)
+    new = F.when(like & F.coalesce(free, F.lit(False)), rules.wall_class(l > 40, k % 5 == 4)).otherwise(cls)
+    return read(spark, d, "part").select("p_partkey", new.alias("cls"))
 
 
 # --- the remaining relations of the detection ----------------------------------------------------------------------
@@ -612,29 +616,26 @@ def k28_rules(spark, d):
 
 @query("""
 SELECT p_partkey, CASE WHEN p_size > 40 THEN 'Column' WHEN p_size > 20 THEN 'Grade beam' END AS word,
-  concat_ws(' ', CASE WHEN p_size > 40 THEN 'Column' WHEN p_size > 20 THEN 'Grade beam' END, nullif(p_brand, 'Brand#2'), printf('%.2f', p_size + 0.25) || ' m') AS text FROM part""")
+  concat_ws(' ', CASE WHEN p_size > 40 THEN 'Column' WHEN p_size > 20 THEN 'Grade beam' END, CASE WHEN p_brand <> 'Brand#2' THEN CASE WHEN p_partkey % 2 = 0 THEN '~' ELSE '' END || p_brand END,
+    printf('%.2f × %.2f m', p_size + 0.25, p_partkey % 8 * 0.25 + 0.5) || CASE WHEN p_size % 3 = 0 THEN printf(', %.1f m²', p_size + 0.5) ELSE '' END) AS text FROM part""")
 def b19_display_text(spark, d):
-    word = F.when(F.col("p_size") > 40, "Column").when(F.col("p_size") > 20, "Grade beam")
-    size = F.format_string("%.2f m", F.col("p_size") + 0.25)
-    return read(spark, d, "part").select("p_partkey", word.alias("word"), F.concat_ws(" ", word, F.nullif("p_brand", F.lit("Brand#2")), size).alias("text"))
+    word = rules.lookup(CLASS_NAME, F.when(F.col("p_size") > 40, "column").when(F.col("p_size") > 20, "grade_beam"))
+    key = F.coalesce(F.nullif("p_brand", F.lit("Brand#2")), F.lit(""))
+    text = rules.display_text(word, key, F.col("p_partkey") % 2 == 0, F.col("p_size") + 0.25, F.col("p_partkey") % 8 * 0.25 + 0.5, F.col("p_size") + 0.5, F.col("p_size") % 3 != 0)
+    return read(spark, d, "part").select("p_partkey", word.alias("word"), text.alias("text"))
 
 
 @query("SELECT p_partkey, 'footing:' || CASE WHEN p_size % 2 = 0 THEN 'S' ELSE 'SC' END AS kind, CASE WHEN p_size % 2 = 0 THEN 'isolated_footing' ELSE 'combined_footing' END AS cls, 'footing' AS family FROM part")
 def b21_class_lookup(spark, d):
-    from strataplan.plans.detect import lookup
-    from strataplan.tolerances import FAMILY, LABEL_CLASS
-
     kind = F.concat(F.lit("footing:"), F.when(F.col("p_size") % 2 == 0, "S").otherwise("SC"))
-    p = read(spark, d, "part").select("p_partkey", kind.alias("kind")).withColumn("cls", lookup(LABEL_CLASS, F.col("kind")))
-    return p.withColumn("family", lookup(FAMILY, F.col("cls")))
+    p = read(spark, d, "part").select("p_partkey", kind.alias("kind")).withColumn("cls", rules.lookup(LABEL_CLASS, F.col("kind")))
+    return p.withColumn("family", rules.lookup(FAMILY, F.col("cls")))
 
 
 @query("SELECT p_partkey, '{\"id\":' || p_partkey || ',\"class\":\"' || p_type || '\",\"label\":' || CASE WHEN p_size > 25 THEN '\"' || p_brand || '\"' ELSE 'null' END || CASE WHEN p_size % 3 = 0 THEN ',\"net\":' || p_size ELSE '' END || '}' AS json FROM part")
 def a05_detection_json(spark, d):
-    must = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_type").alias("class"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("label")), {"ignoreNullFields": "false"})
-    may = F.to_json(F.struct(F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("net")))
-    both = F.when(may == "{}", must).otherwise(F.concat(F.substring(must, F.lit(1), F.length(must) - 1), F.lit(","), F.substring(may, F.lit(2), F.length(may))))
-    return read(spark, d, "part").select("p_partkey", both.alias("json"))
+    p = read(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("id"), F.col("p_type").alias("class"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("label"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("net"))
+    return p.select("p_partkey", sinks.json_of(["id", "class", "label"], ["net"]).alias("json"))
 
 
 HOLDERS = "(SELECT s_suppkey AS s, (s_suppkey * 3 % 55 - 1)::DOUBLE AS a0, (s_suppkey * 7 % 50 - 1)::DOUBLE AS b0, (s_suppkey * 3 % 55 + 12)::DOUBLE AS a1, (s_suppkey * 7 % 50 + 9)::DOUBLE AS b1 FROM supplier)"
@@ -652,8 +653,7 @@ HELD = ("x0", "y0", "x1", "y1"), ("a0", "b0", "a1", "b1")
 @query(f"SELECT p_partkey FROM {PART_BOX} p WHERE NOT EXISTS (SELECT 1 FROM {HOLDERS} h WHERE x0 >= a0 AND y0 >= b0 AND x1 <= a1 AND y1 <= b1 AND greatest(x1 - x0, y1 - y0) <= 0.6 * least(a1 - a0, b1 - b0))")
 def c02_not_in_text(spark, d):
     p = part_boxes(spark, d)
-    inside = F.expr("x0 >= a0 and y0 >= b0 and x1 <= a1 and y1 <= b1 and greatest(x1 - x0, y1 - y0) <= 0.6 * least(a1 - a0, b1 - b0)")
-    return p.join(J.grid_join(p, holders(spark, d), *HELD, 8.0).filter(inside).select("p_partkey").distinct(), "p_partkey", "left_anti").select("p_partkey")
+    return p.join(R.in_words(p, holders(spark, d), *HELD, 0.6, 8.0).select("p_partkey").distinct(), "p_partkey", "left_anti").select("p_partkey")
 
 
 @query(f"SELECT p_partkey, min(s) AS region FROM {PART_BOX} p JOIN {HOLDERS} h ON (x0 + x1) / 2 BETWEEN a0 AND a1 AND (y0 + y1) / 2 BETWEEN b0 AND b1 GROUP BY 1")
@@ -666,19 +666,23 @@ def d33_point_in_region(spark, d):
 SELECT o.p_partkey FROM {PART_BOX} o WHERE EXISTS (SELECT 1 FROM {PART_BOX} q WHERE q.p_brand = o.p_brand AND q.p_partkey <> o.p_partkey AND q.x1 - q.x0 = o.x1 - o.x0
   AND greatest(q.x0 - o.x1, o.x0 - q.x1, 0) ** 2 + greatest(q.y0 - o.y1, o.y0 - q.y1, 0) ** 2 <= 1.0)""")
 def d35_touching_equal(spark, d):
-    a = part_boxes(spark, d)
-    near = J.grid_join(a, J.renamed(a, "q_", ["p_brand"]), HELD[0], ("q_x0", "q_y0", "q_x1", "q_y1"), 8.0, ["p_brand"], 1.0)
-    apart = F.hypot(F.expr("greatest(q_x0 - x1, x0 - q_x1, 0d)"), F.expr("greatest(q_y0 - y1, y0 - q_y1, 0d)"))
-    return near.filter((apart <= 1.0) & F.expr("p_partkey <> q_p_partkey and q_x1 - q_x0 = x1 - x0")).select("p_partkey").distinct()
+    a = part_boxes(spark, d).withColumn("width", F.expr("x1 - x0"))
+    return R.touching_equal(a, a, ["p_brand"], "p_partkey", "width", 1.0, 0.02, 8.0).select("p_partkey")
+
+
+EDGES = f"""(SELECT s * 4 AS edge, a0 AS ax, b0 AS ay, a1 AS bx, b0 AS by_ FROM {HOLDERS} UNION ALL SELECT s * 4 + 1, a1, b0, a1, b1 FROM {HOLDERS}
+  UNION ALL SELECT s * 4 + 2, a0, b1, a1, b1 FROM {HOLDERS} UNION ALL SELECT s * 4 + 3, a0, b0, a0, b1 FROM {HOLDERS})"""
 
 
 @query(f"""
-WITH e AS (SELECT p_partkey, s, least(abs(x0 - a0), abs(x0 - a1)) AS gap FROM {PART_BOX}, {HOLDERS} WHERE least(abs(x0 - a0), abs(x0 - a1)) <= 1.6 AND y0 >= b0 AND y0 <= b1)
-SELECT p_partkey, s AS edge_of, gap FROM e QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY gap, s) = 1""")
+WITH e AS (SELECT p_partkey, edge, ax = bx AS upright, sqrt(greatest(ax - x0, x0 - bx, 0) ** 2 + greatest(ay - y0, y0 - by_, 0) ** 2) AS gap FROM {PART_BOX}, {EDGES})
+SELECT p_partkey, edge AS edge_of, round_even(gap, 6) AS gap, upright = (p_partkey % 2 = 1) AS on_edge FROM e WHERE gap <= 1.6 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY gap, edge) = 1""")
 def d26_nearest_edge(spark, d):
-    p = part_boxes(spark, d).select("p_partkey", "x0", "y0")
-    near = J.grid_join(p, holders(spark, d), ("x0", "y0", "x0", "y0"), HELD[1], 8.0, reach=1.6).withColumn("gap", F.least(F.abs(F.expr("x0 - a0")), F.abs(F.expr("x0 - a1"))))
-    return J.first_by(near.filter("gap <= 1.6 and y0 >= b0 and y0 <= b1"), ["p_partkey"], ["gap", "s"]).select("p_partkey", F.col("s").alias("edge_of"), "gap")
+    walls = part_boxes(spark, d).select(F.lit("p").alias("plan_id"), F.col("p_partkey").alias("id"), F.col("x0").alias("mx"), F.col("y0").alias("my"), (F.col("p_partkey") % 2 * 90.0).alias("deg"))
+    ring = F.array(*(G.point(F.col(x), F.col(y)) for x, y in (("a0", "b0"), ("a1", "b0"), ("a1", "b1"), ("a0", "b1"))))
+    sides = holders(spark, d).select(F.lit("p").alias("plan_id"), "s", F.posexplode(G.sides(ring)).alias("side", "_s"))
+    edges = sides.select("plan_id", (F.col("s") * 4 + F.col("side")).alias("edge_id"), *(F.col(f"_s.{p}.{c}").alias(f"e{p}{c}") for p in "ab" for c in "xy"))
+    return R.nearest_parallel_edge(walls, edges, 1.6, 15.0).select(F.col("id").alias("p_partkey"), F.col("edge_id").alias("edge_of"), F.bround("gap", 6).alias("gap"), "on_edge")
 
 
 @query("""
@@ -688,18 +692,14 @@ SELECT p_type, p_brand, near, round_even(dist, 6) AS dist FROM n QUALIFY row_num
 def d31_nearest_centroid(spark, d):
     c = read(spark, d, "part").groupBy("p_type", "p_brand").agg(F.array(F.avg("p_size"), F.avg("p_retailprice") / 100).alias("x"))
     q = c.select("p_type", F.col("p_brand").alias("near"), F.col("x").alias("y"))
-    dist = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    n = c.join(q, "p_type").filter("p_brand <> near").withColumn("dist", dist).withColumn("_o", F.bround("dist", 9))
-    return J.first_by(n, ["p_type", "p_brand"], ["_o", "near"]).select("p_type", "p_brand", "near", F.bround("dist", 6).alias("dist"))
+    return R.nearest_centroid(c, q, ["p_type"], "p_brand", "x", "near", "y").select("p_type", "p_brand", "near", F.bround("dist", 6).alias("dist"))
 
 
 @query("""
 WITH n AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2)
 SELECT c_nationkey, c_mktsegment, n FROM (SELECT *, n / sum(n) OVER (PARTITION BY c_nationkey) AS share FROM n) WHERE share >= 0.2""")
 def e19_usual_pens(spark, d):
-    n = read(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
-    total = n.groupBy("c_nationkey").agg(F.sum("n").alias("_t"))
-    return n.join(total, "c_nationkey").filter(F.col("n") / F.col("_t") >= 0.2).drop("_t")
+    return A.usual(read(spark, d, "customer"), ["c_nationkey"], "c_mktsegment", 0.2)
 
 
 @query("""
@@ -707,16 +707,13 @@ WITH v AS (SELECT o_custkey, o_orderpriority AS b, count(*) AS n, min(o_orderkey
 t AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey) AS total FROM v)
 SELECT o_custkey, CASE WHEN n / total >= 0.4 THEN b END AS building FROM t QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, seen) = 1""")
 def e21_region_vote(spark, d):
-    o = read(spark, d, "orders")
-    total = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("_t"))
-    top = A.most_common(o, ["o_custkey"], "o_orderpriority", "o_orderkey").join(total, "o_custkey")
-    return top.select("o_custkey", F.when(F.col("n") / F.col("_t") >= 0.4, F.col("o_orderpriority")).alias("building"))
+    return A.dominant(read(spark, d, "orders"), ["o_custkey"], "o_orderpriority", "o_orderkey", 0.4).withColumnRenamed("o_orderpriority", "building")
 
 
 @query("SELECT p_brand, coalesce(median(p_size) FILTER (p_type = 'ECONOMY' AND p_size > 45), 0.25)::DOUBLE AS wall, median(p_size) FILTER (p_type = 'PROMO')::DOUBLE AS thickness FROM part GROUP BY 1")
 def e24_default_median(spark, d):
-    pick = lambda c: F.median(F.when(c, F.col("p_size")))
-    return read(spark, d, "part").groupBy("p_brand").agg(F.coalesce(pick((F.col("p_type") == "ECONOMY") & (F.col("p_size") > 45)), F.lit(0.25)).alias("wall"), pick(F.col("p_type") == "PROMO").alias("thickness"))
+    size, kind = F.col("p_size"), F.col("p_type")
+    return read(spark, d, "part").groupBy("p_brand").agg(A.median_or(size, (kind == "ECONOMY") & (size > 45), 0.25).alias("wall"), A.median_or(size, kind == "PROMO").alias("thickness"))
 
 
 @query("SELECT p_type AS kind, p_partkey AS id FROM part WHERE p_size > 10 UNION ALL SELECT 'supplier', s_suppkey FROM supplier EXCEPT ALL SELECT 'supplier', c_custkey FROM customer WHERE c_nationkey = 3")
@@ -740,24 +737,329 @@ def f03_accepted_ascending(spark, d):
 @query("""
 WITH l AS (SELECT p_partkey AS label_id, (p_partkey * 37 % 2000)::DOUBLE AS x, (p_partkey * 53 % 2000)::DOUBLE AS y, p_size % 3 AS k FROM part),
 o AS (SELECT s_suppkey AS obj_id, (s_suppkey * 71 % 2000)::DOUBLE AS x0, (s_suppkey * 97 % 2000)::DOUBLE AS y0, (s_suppkey * 71 % 2000 + 40 + s_suppkey % 60)::DOUBLE AS x1, (s_suppkey * 97 % 2000 + 20 + s_suppkey % 30)::DOUBLE AS y1, s_nationkey % 3 AS ok FROM supplier),
-e AS (SELECT *, sqrt(greatest(x0 - x, x - x1, 0.0) ** 2 + greatest(y0 - y, y - y1, 0.0) ** 2) AS dist FROM l, o)
-SELECT label_id, obj_id, CASE WHEN k = ok THEN 0.0::DOUBLE WHEN k = 0 THEN 1.0::DOUBLE END AS penalty FROM e WHERE dist < 15""")
+e AS (SELECT *, sqrt(greatest(x0 - x, x - x1, 0.0) ** 2 + greatest(y0 - y, y - y1, 0.0) ** 2) AS dist, CASE k WHEN 0 THEN 'column' WHEN 1 THEN 'shear_wall' ELSE 'raft' END AS named,
+  CASE ok WHEN 0 THEN 'column' WHEN 1 THEN 'core_wall' END AS cls, CASE obj_id % 4 WHEN 1 THEN 'column' WHEN 2 THEN 'wall' WHEN 3 THEN 'raft' END AS near FROM l, o)
+SELECT label_id, obj_id, CASE WHEN label_id % 7 = 0 OR label_id % 5 = 0 THEN NULL WHEN named = cls THEN 0.0::DOUBLE WHEN obj_id % 3 = 0 AND cls IS NOT NULL THEN NULL
+  WHEN near IS NULL OR near = CASE named WHEN 'shear_wall' THEN 'wall' ELSE named END THEN 1.0::DOUBLE END AS penalty FROM e WHERE dist < 15""")
 def k22_penalty(spark, d):
-    penalty = F.when(F.col("kind") == F.col("obj_kind"), 0.0).when(F.col("kind") == 0, 1.0)
-    return label_edges(spark, d).select("label_id", "obj_id", penalty.alias("penalty"))
+    pick = lambda c, n, *words: F.element_at(F.array(*map(F.lit, words)), (c % n + 1).cast("int"))
+    e = label_edges(spark, d).withColumn("named", F.array(pick(F.col("kind"), 3, "column", "shear_wall", "raft"))).withColumn("cls", pick(F.col("obj_kind"), 3, "column", "core_wall", None)).withColumn("near", pick(F.col("obj_id"), 4, None, "column", "wall", "raft"))
+    families = F.transform("named", lambda c: rules.lookup(FAMILY, c))
+    penalty = rules.compatibility(F.col("label_id") % 7 != 0, F.col("label_id") % 5 != 0, F.col("named"), F.coalesce("cls", F.lit("")), (F.col("obj_id") % 3 == 0) & F.col("cls").isNotNull(), F.col("near"), families, 1.0)
+    return e.select("label_id", "obj_id", penalty.alias("penalty"))
+
+
+# --- shapes of one neighbourhood -----------------------------------------------------------------------------------
+
+
+def as_plan(df, key):
+    return df.withColumn("plan_id", key.cast("string"))
+
+
+@query("""
+SELECT p_partkey, round_even(CASE WHEN p_partkey % 2 = 0 THEN w * h ELSE greatest(w, b) ** 2 * h / (2 * (w + b)) END, 6) AS area
+FROM (SELECT p_partkey, (p_size + 1)::DOUBLE AS w, (p_partkey % 7 + 2)::DOUBLE AS h, (p_partkey % 5 + 0.5)::DOUBLE AS b FROM part)""")
+def b06_valid_polygon(spark, d):
+    """Rings that cross themselves, drawn as bow ties, keep their larger half; others stay."""
+    k, w, h, b = F.col("p_partkey"), (F.col("p_size") + 1).cast("double"), (F.col("p_partkey") % 7 + 2).cast("double"), F.col("p_partkey") % 5 + 0.5
+    at, o = G.point, F.lit(0.0)
+    ring = F.when(k % 2 == 0, F.array(at(o, o), at(w, o), at(w, h), at(o, h))).otherwise(F.array(at(o, o), at(w, o), at(o, h), at(b, h)))
+    return S.repaired(read(spark, d, "part").select("p_partkey", ring.alias("ring"))).select("p_partkey", F.bround(G.area(F.col("ring")), 6).alias("area"))
+
+
+@query("""
+WITH m AS (SELECT p_partkey AS label_id, p_partkey % 97 AS obj_id, CASE WHEN p_partkey % 97 % 2 = 0 THEN 'band' ELSE 'solid' END AS obj_kind, CASE WHEN p_partkey % 3 = 0 THEN 'retaining_wall+strip_footing' ELSE 'wall' END AS kind, 'SF' || p_size AS key FROM part)
+SELECT label_id, obj_id, kind, key FROM m WHERE kind = 'wall'
+UNION ALL SELECT label_id, obj_id, 'strip_footing', key FROM m WHERE kind <> 'wall' AND obj_kind = 'band'
+UNION ALL SELECT label_id, obj_id, 'retaining_wall', 'VP' || label_id % 5 FROM m WHERE kind <> 'wall' AND obj_kind = 'solid'
+UNION ALL SELECT label_id, obj_id + 1000, 'retaining_wall', 'VP' || label_id % 5 FROM m WHERE kind <> 'wall' AND obj_kind = 'band' AND obj_id % 4 = 0""")
+def b14_compound_targets(spark, d):
+    k = F.col("p_partkey")
+    m = as_plan(read(spark, d, "part"), F.lit("p")).select("plan_id", k.alias("label_id"), (k % 97).alias("obj_id"), F.when(k % 97 % 2 == 0, "band").otherwise("solid").alias("obj_kind"), F.when(k % 3 == 0, "retaining_wall+strip_footing").otherwise("wall").alias("kind"), F.concat(F.lit("SF"), "p_size").alias("key"), F.concat(F.lit("VP"), k % 5).alias("wall_key"))
+    inside = m.filter("obj_kind = 'band' and obj_id % 4 = 0").select("plan_id", "obj_id", "label_id", (F.col("obj_id") + 1000).alias("solid_id"))
+    return R.compound_targets(m, inside).select("label_id", "obj_id", "kind", "key")
+
+
+@query("""
+SELECT p_partkey, round_even(radians(CASE WHEN w >= h THEN a ELSE a + 90 END), 6) AS dir, round_even(greatest(w, h), 6) AS text_len
+FROM (SELECT p_partkey, (p_size + 3)::DOUBLE AS w, (p_partkey % 40 + 2.5)::DOUBLE AS h, (p_partkey % 8) * 10.0 + 5 AS a FROM part) WHERE greatest(w, h) > 1.8 * least(w, h)""")
+def b25_text_direction(spark, d):
+    w, h, a = (F.col("p_size") + 3).cast("double"), F.col("p_partkey") % 40 + 2.5, F.radians(F.col("p_partkey") % 8 * 10.0 + 5)
+    at = lambda u, v: G.point(u * F.cos(a) - v * F.sin(a), u * F.sin(a) + v * F.cos(a))
+    o = F.lit(0.0)
+    points = read(spark, d, "part").select("p_partkey", F.explode(F.array(at(o, o), at(w, o), at(w, h), at(o, h), at(w / 2, h / 2), at(w / 3, h / 2))).alias("p")).select("p_partkey", "p.x", "p.y")
+    return R.text_directions(points, ["p_partkey"]).select("p_partkey", F.bround("dir", 6).alias("dir"), F.bround("text_len", 6).alias("text_len"))
+
+
+@query("""
+SELECT p_partkey, 2.0 * p_size * p_retailprice / (p_size + p_retailprice) / 2 <= 2 * u AS thin FROM part JOIN (SELECT p_brand, coalesce(median(p_size) FILTER (p_size < 20), 0.4) AS u FROM part GROUP BY 1) USING (p_brand)""")
+def c08_thin_fill(spark, d):
+    p = read(spark, d, "part")
+    usual = p.groupBy("p_brand").agg(A.median_or(F.col("p_size"), F.col("p_size") < 20, 0.4).alias("u"))
+    thin = rules.thin_fill(F.col("p_size") * F.col("p_retailprice"), 2 * (F.col("p_size") + F.col("p_retailprice")), 2 * F.col("u"))
+    return p.join(usual, "p_brand").select("p_partkey", thin.alias("thin"))
+
+
+@query("SELECT s_suppkey AS wall, 40::BIGINT AS strokes, s_suppkey % 2 = 0 AS crossed, round_even(0.1 + s_suppkey % 5 * 0.1, 6) AS thickness FROM supplier")
+def e06_hatch_thickness(spark, d):
+    """Hatched walls: 40 strokes a tenth of a metre apart from face to face; every second one has a second family along it."""
+    s, t = F.col("s_suppkey"), 0.1 + F.col("s_suppkey") % 5 * 0.1
+    x = F.col("i") * 0.1
+    across = (s % 2 == 1) | (F.col("i") % 2 == 0)
+    rows = read(spark, d, "supplier").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    strokes = rows.select(
+        F.lit("p").alias("plan_id"), s.alias("root"), F.col("i").alias("seg_id"), t.alias("len"), F.when(across, pi / 2).otherwise(0.0).alias("ang"),
+        x.alias("ax"), F.when(across, 0.0).otherwise(t).alias("ay"), F.when(across, x).otherwise(x + 0.1).alias("bx"), t.alias("by"),
+    )
+    return S.hatch_blobs(strokes, ["plan_id", "root"], 20, 0.06, 0.8).select(F.col("root").alias("wall"), "strokes", "crossed", F.bround("thickness", 6).alias("thickness"))
+
+
+BORDER_LINES = "(SELECT c_nationkey % 5 AS plan, c_custkey AS line, (c_custkey * 31 % 60)::DOUBLE AS x0, (c_custkey * 31 % 60 + 3 + c_custkey % 9)::DOUBLE AS x1, (c_custkey % 20)::DOUBLE AS y FROM customer)"
+BORDER_SIDES = """(SELECT s_nationkey % 5 AS plan, (s_suppkey * 7 % 50)::DOUBLE AS a0, (s_suppkey * 7 % 50 + 5 + s_suppkey % 7)::DOUBLE AS a1, (s_suppkey % 18)::DOUBLE AS y FROM supplier
+  UNION ALL SELECT s_nationkey % 5, s_suppkey * 7 % 50, s_suppkey * 7 % 50 + 5 + s_suppkey % 7, s_suppkey % 18 + 2 + s_suppkey % 5 FROM supplier)"""
+
+
+@query(f"""
+WITH c AS (SELECT line, x1 - x0 AS n, greatest(x0, a0) AS lo, least(x1, a1) AS hi FROM {BORDER_LINES} l JOIN {BORDER_SIDES} s ON l.plan = s.plan AND l.y = s.y AND a0 < x1 AND x0 < a1),
+r AS (SELECT *, max(hi) OVER (PARTITION BY line ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c)
+SELECT line, round_even(sum(greatest(hi - greatest(lo, coalesce(reach, lo)), 0)) / n, 6) AS share FROM r GROUP BY line, n""")
+def d09_line_on_border(spark, d):
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    x, y, n = (c * 31 % 60).cast("double"), (c % 20).cast("double"), (3 + c % 9).cast("double")
+    lines = as_plan(read(spark, d, "customer"), F.col("c_nationkey") % 5).select("plan_id", c.alias("seg_id"), x.alias("ax"), y.alias("ay"), (x + n).alias("bx"), y.alias("by"), n.alias("len"), F.lit(0.0).alias("ang"))
+    a, b, w, h = (s * 7 % 50).cast("double"), (s % 18).cast("double"), (5 + s % 7).cast("double"), (2 + s % 5).cast("double")
+    ring = F.array(G.point(a, b), G.point(a + w, b), G.point(a + w, b + h), G.point(a, b + h))
+    shapes = as_plan(read(spark, d, "supplier"), F.col("s_nationkey") % 5).select("plan_id", ring.alias("ring"))
+    return R.on_borders(lines, R.sides_of(shapes), 0.25).select(F.col("seg_id").alias("line"), F.bround("share", 6).alias("share"))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey % 500 AS pair, l_linenumber % 3 AS dir, count(*) AS n, max(l_partkey % 40) - min(l_partkey % 40) AS wide FROM lineitem GROUP BY 1, 2)
+SELECT pair, dir, n FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY pair ORDER BY n DESC, dir) = 1) WHERE n >= 50 AND wide >= 38.5""")
+def d13_hatched_flag(spark, d):
+    strokes = read(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("pair"), (F.col("l_linenumber") % 3).alias("dir"), (F.col("l_partkey") % 40).cast("double").alias("at"), F.lit(50.0).alias("length"))
+    return R.hatched(strokes, ["pair"], "dir", "at", "length", 1.0, 0.77)
+
+
+LINE_ENDS = "(SELECT c_nationkey AS plan, c_custkey AS line, round_even(unnest([c_custkey * 31 % 300, c_custkey * 13 % 300]) / 10.0 / 0.25, 0) AS kx, round_even(unnest([c_custkey * 17 % 300, c_custkey * 7 % 300]) / 10.0 / 0.25, 0) AS ky FROM customer)"
+
+
+@query(f"SELECT DISTINCT a.line AS u, b.line AS v FROM {LINE_ENDS} a JOIN {LINE_ENDS} b ON a.plan = b.plan AND a.line < b.line AND abs(a.kx - b.kx) <= 1 AND abs(a.ky - b.ky) <= 1")
+def d15_end_adjacency(spark, d):
+    c = F.col("c_custkey")
+    at = lambda n: (c * n % 300) / 10.0
+    lines = as_plan(read(spark, d, "customer"), F.col("c_nationkey")).select("plan_id", c.alias("seg_id"), at(31).alias("ax"), at(17).alias("ay"), at(13).alias("bx"), at(7).alias("by"))
+    return R.end_to_end(lines, 0.25).select("u", "v")
+
+
+@query(f"""
+SELECT DISTINCT p_partkey FROM {PART_BOX} JOIN (SELECT (s_suppkey * 7 % 60) + 0.25 AS ex, (s_suppkey * 3 % 60) + 0.5 AS ey FROM supplier) ON sqrt(greatest(x0 - ex, ex - x1, 0) ** 2 + greatest(y0 - ey, ey - y1, 0) ** 2) < 0.4""")
+def d16_open_ends(spark, d):
+    ring, _ = box_items()
+    shapes = as_plan(part_boxes(spark, d), F.lit("p")).select("plan_id", F.col("p_partkey").alias("id"), ring.alias("ring"), *R.BOX)
+    s = F.col("s_suppkey")
+    ends = as_plan(read(spark, d, "supplier"), F.lit("p")).select("plan_id", (s * 7 % 60 + 0.25).alias("ex"), (s * 3 % 60 + 0.5).alias("ey"))
+    return R.open_ends_at(ends, shapes, 0.4).select(F.col("id").alias("p_partkey"))
+
+
+BENT = "(SELECT p_partkey, 0.2 + p_partkey % 2 * 0.05 AS t, 2 + p_size % 5 * 0.5 AS a, 1.75 + p_partkey % 4 * 0.5 AS b FROM part)"
+
+
+@query(f"""
+SELECT p_partkey, 0 AS part, round_even((greatest(a, b) - t) * t, 6) AS area FROM {BENT} WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, 1, round_even((least(a, b) - t) * t, 6) FROM {BENT} WHERE p_partkey % 3 > 0
+UNION ALL SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY area DESC)::INT - 1, area FROM (SELECT p_partkey, CASE WHEN side = 0 THEN CASE WHEN 1.2 > 0.5 * (a - t) THEN round_even((a - t - 1.2) * t, 6) ELSE round_even((a - t) * t, 6) END ELSE round_even((b - t) * t, 6) END AS area,
+  side = 1 OR 1.2 <= 0.5 * (a - t) OR a - t - 1.2 >= t AS stays FROM {BENT}, (SELECT unnest([0, 1]) AS side) WHERE p_partkey % 3 = 0) WHERE stays""")
+def k04_straight_stretches(spark, d):
+    """Bent walls in two legs; every third has 1.2 m of one leg drawn as a solid of its own already."""
+    k = F.col("p_partkey")
+    t, a, b, o = 0.2 + k % 2 * 0.05, 2 + F.col("p_size") % 5 * 0.5, 1.75 + k % 4 * 0.5, F.lit(0.0)
+    at = G.point
+    p = as_plan(read(spark, d, "part"), k)
+    bent = p.select("plan_id", k.alias("id"), F.array(at(o, o), at(a, o), at(a, t), at(t, t), at(t, b), at(o, b)).alias("ring"))
+    solids = p.filter(k % 3 == 0).select("plan_id", F.array(at(t, o), at(t + 1.2, o), at(t + 1.2, t), at(t, t)).alias("ring"))
+    got = S.stretches(bent, solids, (0.1, 0.6), 0.3).select(F.col("of").alias("p_partkey"), F.bround(G.area(F.col("ring")), 6).alias("area"))
+    return W.numbered_by(got, ["p_partkey"], [F.desc("area")], "part").withColumn("part", F.col("part") - 1)
+
+
+@query("""
+WITH o AS (SELECT l_suppkey AS wall, l_linenumber / 10.0 AS pen, sum(l_quantity) AS on_it FROM lineitem WHERE l_quantity >= 0.9 * (l_quantity + l_partkey % 6) GROUP BY 1, 2)
+SELECT wall, CASE WHEN on_it >= 0.75 * 1500 THEN pen ELSE 0.0 END AS outline_pen FROM o QUALIFY row_number() OVER (PARTITION BY wall ORDER BY on_it DESC, pen) = 1""")
+def d19_pen_along_border(spark, d):
+    l = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("wall"), (F.col("l_linenumber") / 10.0).alias("pen"), F.col("l_quantity").alias("inside"), (F.col("l_quantity") + F.col("l_partkey") % 6).alias("length"), F.lit(1500.0).alias("border"))
+    return R.pen_along(l, ["wall"], "pen", "inside", "length", "border")
+
+
+@query(f"""
+WITH p AS (SELECT *, unnest(range(x0::INT, x1::INT)) AS cx FROM {PART_BOX}), c AS (SELECT *, unnest(range(y0::INT, y1::INT)) AS cy FROM p)
+SELECT p_partkey AS id, round_even(count(DISTINCT (cx, cy)) / ((x1 - x0) * (y1 - y0)), 6) AS share FROM c JOIN {HOLDERS} h ON c.p_partkey % 4 = h.s % 4 AND cx >= a0 AND cx < a1 AND cy >= b0 AND cy < b1 GROUP BY p_partkey, x0, x1, y0, y1""")
+def e10_covered_share(spark, d):
+    """Share of each box that several others cover together, overlaps once."""
+    ring, _ = box_items()
+    shapes = as_plan(part_boxes(spark, d), F.col("p_partkey") % 4).select("plan_id", F.col("p_partkey").alias("id"), ring.alias("ring"))
+    held = F.array(*(G.point(F.col(x), F.col(y)) for x, y in (("a0", "b0"), ("a1", "b0"), ("a1", "b1"), ("a0", "b1"))))
+    others = as_plan(holders(spark, d), F.col("s") % 4).select("plan_id", F.col("s").alias("id"), held.alias("ring"))
+    return R.covered_shares(shapes, others, 0.0, 8.0).filter("share > 0").select("id", F.bround("share", 6).alias("share"))
+
+
+LEGS = "(SELECT o_custkey % 200 AS region, o_orderkey AS leg, (o_orderkey * 13 % 100) / 100.0 AS share, (o_custkey % 200 % 10) / 10.0 AS rectness FROM orders)"
+
+
+@query(f"""
+SELECT 'leg' AS what, leg AS id FROM {LEGS} WHERE share > 0.5 AND rectness <= 0.6
+UNION ALL SELECT DISTINCT 'region', region FROM {LEGS} x WHERE NOT EXISTS (SELECT 1 FROM {LEGS} y WHERE y.region = x.region AND share > 0.5 AND rectness <= 0.6)""")
+def d21_hatch_to_legs(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 200
+    o = as_plan(read(spark, d, "orders"), F.lit("p"))
+    regions = o.select("plan_id", c.alias("id"), (c % 10 / 10.0).alias("rectness")).distinct()
+    pairs = o.select("plan_id", c.alias("region"), k.alias("leg"), (k * 13 % 100 / 100.0).alias("share"))
+    stay, used = R.replaced_by_legs(regions, o.select("plan_id", k.alias("id")), pairs, 0.6)
+    return used.select(F.lit("leg").alias("what"), "id").unionByName(stay.select(F.lit("region").alias("what"), "id"))
+
+
+HATCH_PAIRS = """(SELECT p_partkey AS a, s_suppkey AS b, p_size % 5 / 10.0 AS wa, s_suppkey % 5 / 10.0 AS wb, (p_partkey * 7 % 180)::DOUBLE AS da, (s_suppkey * 11 % 180)::DOUBLE AS db, (p_size + 5)::DOUBLE AS sa, (s_suppkey % 20 + 5)::DOUBLE AS sb, (p_partkey * s_suppkey % 12)::DOUBLE AS common
+  FROM part JOIN supplier ON p_partkey % 100 = s_suppkey % 100 OR p_partkey % 37 = s_suppkey % 37)"""
+
+
+def hatch_pairs(spark, d):
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    p, q = read(spark, d, "part"), read(spark, d, "supplier")
+    met = p.join(q, k % 100 == s % 100).unionByName(p.join(q, k % 37 == s % 37)).dropDuplicates(["p_partkey", "s_suppkey"])
+    return as_plan(met, F.lit("p")), k, s
+
+
+@query(f"""
+SELECT a AS hatch, b AS solid FROM {HATCH_PAIRS} WHERE abs(wa - wb) <= 0.03 AND abs((da - db + 90 + 360) % 180 - 90) <= 15 AND common > 0.5 * least(sa, sb) QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) = 1""")
+def d22_hatched_and_filled(spark, d):
+    met, k, s = hatch_pairs(spark, d)
+    h = as_plan(read(spark, d, "part"), F.lit("p")).select("plan_id", k.alias("id"), (F.col("p_size") % 5 / 10.0).alias("width"), (k * 7 % 180).cast("double").alias("deg"), (F.col("p_size") + 5).cast("double").alias("area"))
+    f = as_plan(read(spark, d, "supplier"), F.lit("p")).select("plan_id", s.alias("id"), (s % 5 / 10.0).alias("width"), (s * 11 % 180).cast("double").alias("deg"), (s % 20 + 5).cast("double").alias("area"))
+    return R.drawn_twice(h, f, met.select("plan_id", k.alias("a"), s.alias("b"), (k * s % 12).cast("double").alias("common")), 0.03, 15.0).select("hatch", "solid")
+
+
+@query(f"""
+SELECT a AS outline, b AS wall FROM {HATCH_PAIRS} WHERE common / 12 >= 0.5 AND abs((da - db + 90 + 360) % 180 - 90) <= 15 QUALIFY row_number() OVER (PARTITION BY a ORDER BY sb DESC, b) = 1""")
+def d23_wall_in_outline(spark, d):
+    met, k, s = hatch_pairs(spark, d)
+    pairs = met.select("plan_id", k.alias("outline"), s.alias("wall"), ((k * s % 12).cast("double") / 12).alias("share"), (s % 20 + 5).cast("double").alias("wall_area"), (k * 7 % 180).cast("double").alias("outline_deg"), (s * 11 % 180).cast("double").alias("wall_deg"))
+    return R.wall_in_outline(pairs, 15.0, 0.5).select("outline", "wall")
+
+
+@query(f"""
+WITH c AS (SELECT p_partkey, x1 - x0 + 8 AS n, greatest(x0 - 4, a0) AS lo, least(x1 + 4, a1) AS hi FROM {PART_BOX} p JOIN {HOLDERS} h ON p.p_partkey % 3 = h.s % 3 AND y0 + 0.5 > b0 AND y0 + 0.5 < b1 AND a0 < x1 + 4 AND x0 - 4 < a1),
+r AS (SELECT *, max(hi) OVER (PARTITION BY p_partkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c)
+SELECT p_partkey AS id, round_even(sum(greatest(hi - greatest(lo, coalesce(reach, lo)), 0)), 6) AS crossed FROM r GROUP BY 1""")
+def d25_net_lengths(spark, d):
+    """How much of each axis lies in boxes, overlapping ones once."""
+    y = F.col("y0") + 0.5
+    runs = as_plan(part_boxes(spark, d), F.col("p_partkey") % 3).select("plan_id", F.col("p_partkey").alias("id"), (F.col("x0") - 4).alias("ax"), y.alias("ay"), (F.col("x1") + 4).alias("bx"), y.alias("by"))
+    held = F.array(*(G.point(F.col(x), F.col(y)) for x, y in (("a0", "b0"), ("a1", "b0"), ("a1", "b1"), ("a0", "b1"))))
+    shapes = as_plan(holders(spark, d), F.col("s") % 3).select("plan_id", held.alias("ring"))
+    return R.net_lengths(runs, shapes, 8.0).select("id", F.bround("crossed", 6).alias("crossed"))
+
+
+@query("SELECT s_suppkey AS stamp, TRUE AS traced, round_even(((6 + s_suppkey % 5) * (4 + s_suppkey % 3))::DOUBLE, 4) AS area FROM supplier")
+def k13_traced_outline(spark, d):
+    """Rectangles drawn as single lines around a stamp, with a line that hangs loose; every second one lacks half a side."""
+    s = F.col("s_suppkey")
+    w, h, o = (6 + s % 5).cast("double"), (4 + s % 3).cast("double"), F.lit(0.0)
+    at = G.point
+    stamps_ = as_plan(read(spark, d, "supplier"), s).select("plan_id", F.lit(0).alias("idx"), (w / 2).alias("cx"), (h / 2).alias("cy"), F.array(F.lit(99).cast("long")).alias("rays"), F.array(at(o, o), at(w, o), at(w, h), at(o, h)).alias("corners"))
+    ends = [(o, o, w, o), (w, o, w, h), (w, h, o, h), (o, h, o, F.when(s % 2 == 0, h / 2).otherwise(o)), (w, h, w + 1, h + 1), (w / 2, h / 2, w, h)]
+    lines = F.explode(F.array(*(F.struct(F.lit(99 if i == 5 else i).cast("long").alias("seg_id"), *(v.alias(c) for v, c in zip(e, ("ax", "ay", "bx", "by")))) for i, e in enumerate(ends))))
+    segs = as_plan(read(spark, d, "supplier"), s).select("plan_id", lines.alias("l")).select("plan_id", "l.*")
+    none = stamps_.select("plan_id", F.col("corners").alias("ring")).limit(0)
+    got = S.traced_outlines(stamps_, segs, none, 2.0, 0.05, 0.1)
+    return got.select(F.col("plan_id").cast("long").alias("stamp"), "traced", F.bround(G.area(F.col("ring")), 4).alias("area"))
+
+
+@query("""
+SELECT c_custkey AS id, CASE WHEN c_nationkey % 2 = 1 AND x > 10.2 THEN 2 ELSE 1 END AS region FROM (SELECT c_custkey, c_nationkey, c_custkey * 7 % 16 + CASE WHEN c_custkey * 7 % 16 >= 9 THEN 2.0 ELSE 0.5 END AS x FROM customer)""")
+def k15_building_regions(spark, d):
+    """A building of columns in every nation, cut by a joint in every second; customers stand in it."""
+    n = as_plan(read(spark, d, "nation"), F.col("n_nationkey"))
+    spot = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    x, y = F.col("i") * 4.0, F.col("j") * 4.0
+    shapes = spot.select("plan_id", F.array(G.point(x, y), G.point(x + 0.5, y), G.point(x + 0.5, y + 0.5), G.point(x, y + 0.5)).alias("ring"))
+    c = F.col("c_custkey")
+    points = as_plan(read(spark, d, "customer"), F.col("c_nationkey")).select("plan_id", c.cast("string").alias("point"), (c * 7 % 16 + F.when(c * 7 % 16 >= 9, 2.0).otherwise(0.5)).alias("x"), (c * 3 % 11 + 0.7).alias("y"))
+    cuts = n.filter("n_nationkey % 2 = 1").select("plan_id", F.lit(10.2).alias("ax"), F.lit(1.0).alias("ay"), F.lit(10.2).alias("bx"), F.lit(11.0).alias("by"))
+    return S.footprints(shapes, points, cuts, 1.0, 3.0, 0.1, 20.0).select(F.col("point").cast("long").alias("id"), "region")
+
+
+@query("""
+SELECT label_id, obj_id, cost + CASE WHEN abs(l - tl) > 3 OR abs(w - tw) > 3 THEN 1.5 ELSE 0 END + CASE WHEN b <> r THEN 1.5 ELSE 0 END AS cost FROM (SELECT p_partkey AS label_id, p_partkey % 97 AS obj_id, CASE WHEN p_partkey % 5 > 0 THEN 1.0 END AS cost, p_size AS l, p_partkey % 9 AS w,
+  CASE WHEN p_partkey % 4 > 0 THEN 20 END AS tl, CASE WHEN p_partkey % 4 > 0 THEN 4 END AS tw, CASE WHEN p_partkey % 3 > 0 THEN '12' || p_partkey % 3 END AS b, CASE WHEN p_size % 3 > 0 THEN '12' || p_size % 3 END AS r FROM part)""")
+def k23_checked_penalty(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    named = lambda c: F.when(c % 3 > 0, F.concat(F.lit("12"), c % 3))
+    cost = rules.checked(F.when(k % 5 > 0, 1.0), size, k % 9, F.when(k % 4 > 0, 20), F.when(k % 4 > 0, 4), 3, 1.5, named(k), named(size), 1.5)
+    return read(spark, d, "part").select(k.alias("label_id"), (k % 97).alias("obj_id"), cost.alias("cost"))
+
+
+@query("""
+WITH l AS (SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN radians(p_partkey % 18 * 10.0) END AS dir, p_size % 20 AS n, p_partkey % 7 * 25.0 AS deg, p_size::DOUBLE AS length, (p_partkey % 10 + 1)::DOUBLE AS w FROM part)
+SELECT p_partkey, CASE WHEN dir IS NOT NULL AND length >= 2 * w AND length >= n THEN round_even(abs(sin(dir - radians(deg))), 6) ELSE 0.0 END AS mis FROM l""")
+def k01_misalignment(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    mis = rules.misalignment(F.when(k % 3 > 0, F.radians(k % 18 * 10.0)), size % 20, k % 7 * 25.0, size.cast("double"), (k % 10 + 1).cast("double"))
+    return read(spark, d, "part").select("p_partkey", r6(mis).alias("mis"))
+
+
+@query("""
+SELECT p_partkey, coalesce(CASE WHEN p_size % 5 = 0 THEN 'own' END, CASE WHEN p_partkey % 3 = 0 THEN 'region' END, CASE WHEN p_partkey % 2 = 0 THEN 'near' END, CASE WHEN p_partkey % 7 > 0 THEN 'any' END) AS building FROM part""")
+def k24_building(spark, d):
+    k = F.col("p_partkey")
+    return read(spark, d, "part").select("p_partkey", rules.building_of(F.when(F.col("p_size") % 5 == 0, "own"), F.when(k % 3 == 0, "region"), F.when(k % 2 == 0, "near"), F.when(k % 7 > 0, "any")).alias("building"))
+
+
+ODD = "(SELECT p_partkey AS id, p_type AS class, p_brand AS key, p_size::DOUBLE AS l, (p_partkey % 9)::DOUBLE AS w, p_partkey % 2 = 0 AS width_only, 'b' || p_partkey % 3 AS building, CASE WHEN p_partkey % 4 = 0 THEN 'b' || p_size % 3 END AS region FROM part)"
+
+
+@query(f"""
+WITH n AS (SELECT a.id, a.class, a.key, (SELECT count(*) FROM {ODD} b WHERE b.class = a.class AND b.key = a.key AND abs(a.w - b.w) <= 1 AND (a.width_only OR abs(a.l - b.l) <= 4)) AS m FROM {ODD} a)
+SELECT id, m - 1 AS agreeing, CASE WHEN count(*) OVER k = 1 OR m > 1 THEN 'fits' WHEN max(m) OVER k >= 2 THEN 'retype' ELSE 'conflict' END AS verdict FROM n WINDOW k AS (PARTITION BY class, key)""")
+def k25_validation(spark, d):
+    return A.two_size_consistency(odd_types(spark, d), ["plan_id", "class", "key"], "length", "width", "id", 4.0, 1.0, "width_only").select("id", "agreeing", "verdict")
+
+
+def odd_types(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    b = lambda c: F.concat(F.lit("b"), c % 3)
+    return as_plan(read(spark, d, "part"), F.lit("p")).select("plan_id", k.alias("id"), F.col("p_type").alias("class"), F.col("p_brand").alias("key"), size.cast("double").alias("length"), (k % 9).cast("double").alias("width"), (k % 2 == 0).alias("width_only"), b(k).alias("building"), F.when(k % 4 == 0, b(size)).alias("region_building"))
+
+
+@query(f"""
+WITH u AS (SELECT class, key, building, median(l) AS gl, median(w) AS gw FROM {ODD} GROUP BY 1, 2, 3),
+s AS (SELECT *, 0 AS scope, region AS asked FROM {ODD} WHERE region IS NOT NULL UNION ALL SELECT *, 1, building FROM {ODD}),
+f AS (SELECT s.id, s.scope, u.key FROM s JOIN u ON u.class = s.class AND u.building = s.asked AND u.key <> s.key AND abs(s.w - gw) <= 0.5 AND (s.width_only OR abs(s.l - gl) <= 2)),
+g AS (SELECT id, scope, string_agg(DISTINCT key, '|' ORDER BY key) AS keys FROM f GROUP BY 1, 2)
+SELECT id, scope, keys FROM g QUALIFY row_number() OVER (PARTITION BY id ORDER BY scope) = 1""")
+def k25_retype(spark, d):
+    o = odd_types(spark, d)
+    usual = o.groupBy("plan_id", "class", "key", "building").agg(F.median("length").alias("length"), F.median("width").alias("width"))
+    return R.retyped(o, usual, ["region_building", "building"], 2.0, 0.5).select("id", "scope", "keys")
+
+
+@query("""
+WITH u AS (SELECT p_brand AS key, median(p_size) AS m FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+SELECT p_partkey AS id, string_agg(key, '|' ORDER BY abs(p_size - m), key) AS candidates FROM part JOIN u ON abs(p_size - m) <= 2 WHERE p_partkey % 3 > 0 GROUP BY 1""")
+def k29_thickness_types(spark, d):
+    p = as_plan(read(spark, d, "part"), F.lit("p")).select("plan_id", F.col("p_partkey").alias("id"), F.col("p_brand").alias("key"), F.col("p_size").cast("double").alias("width"))
+    return R.thickness_types(p.filter("id % 3 > 0"), p.filter("id % 3 = 0"), 2.0).select("id", "candidates")
 
 
 # --- assignment, clustering, graph ---------------------------------------------------------------------------------
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE (c_custkey * 7919) % 10 < 6),
-n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
-r(node, root) AS (SELECT node, node FROM n UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a)
-SELECT node, min(root) AS root FROM r GROUP BY 1""")
+WITH g AS (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal - lag(c_acctbal) OVER w <= 400 THEN 0 ELSE 1 END AS new FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)),
+i AS (SELECT g.c_custkey, g.c_nationkey, sum(new) OVER (PARTITION BY g.c_nationkey ORDER BY c.c_acctbal, c.c_custkey ROWS UNBOUNDED PRECEDING) AS island FROM g JOIN customer c USING (c_custkey))
+SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, island) AS root FROM i QUALIFY count(*) OVER (PARTITION BY c_nationkey, island) > 1""")
 def j01_components(spark, d):
-    k = F.col("c_custkey")
-    return components(read(spark, d, "customer").filter(k * 7919 % 10 < 6).select(k.alias("u"), (k + 1).alias("v")))
+    """Customers of a nation are linked along their balances: chains of any length, which the SQL finds as islands."""
+    after = Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")
+    c = read(spark, d, "customer").withColumn("v", F.lead("c_custkey").over(after)).withColumn("gap", F.lead("c_acctbal").over(after) - F.col("c_acctbal"))
+    return components(c.filter("gap <= 400").select(F.col("c_custkey").alias("u"), "v"))
 
 
 @query()
@@ -768,15 +1070,18 @@ def j01_components_all(spark, d):
     return components(chain.unionByName(read(spark, d, "lineitem").select(order.alias("u"), part.alias("v"))))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE b AS (SELECT *, (x1 - x0) * (y1 - y0) AS size, row_number() OVER (PARTITION BY p_brand ORDER BY (x1 - x0) * (y1 - y0) DESC, p_partkey) AS k FROM {PART_BOX}),
+r(p_brand, k, kept) AS (SELECT p_brand, 1::BIGINT, [{{'id': p_partkey, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'size': size}}] FROM b WHERE k = 1
+  UNION ALL SELECT b.p_brand, b.k, CASE WHEN len(list_filter(r.kept, lambda q: q.x0 <= b.x1 AND b.x0 <= q.x1 AND q.y0 <= b.y1 AND b.y0 <= q.y1
+      AND (least(q.x1, b.x1) - greatest(q.x0, b.x0)) * (least(q.y1, b.y1) - greatest(q.y0, b.y0)) > 0.5 * least(q.size, b.size))) = 0
+    THEN list_append(r.kept, {{'id': b.p_partkey, 'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1, 'size': b.size}}) ELSE r.kept END FROM r JOIN b ON b.p_brand = r.p_brand AND b.k = r.k + 1)
+SELECT unnest(kept).id AS id FROM r QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY k DESC) = 1""")
 def k05_nms(spark, d):
-    boxes = part_boxes(spark, d).withColumn("size", F.expr("(x1 - x0) * (y1 - y0)"))
-    other = J.renamed(boxes, "b_", ["p_brand"])
-    pairs = J.grid_join(boxes, other, ("x0", "y0", "x1", "y1"), ("b_x0", "b_y0", "b_x1", "b_y1"), 8.0, ["p_brand"]).filter("p_partkey < b_p_partkey")
-    common = F.expr("(least(x1, b_x1) - greatest(x0, b_x0)) * (least(y1, b_y1) - greatest(y0, b_y0))")
-    clash = pairs.filter(common > 0.5 * F.least("size", "b_size")).select(F.col("p_partkey").alias("a"), F.col("b_p_partkey").alias("b"))
-    ranked = boxes.select(F.col("p_partkey").alias("id"), F.struct((-F.col("size")).alias("s"), "p_partkey").alias("rank"))
-    return suppress(ranked, clash)
+    ring, _ = box_items()
+    boxes = part_boxes(spark, d).select(F.col("p_brand").alias("plan_id"), F.col("p_partkey").alias("id"), ring.alias("ring"), F.expr("(x1 - x0) * (y1 - y0)").alias("size"))
+    clash = overlaps(boxes, boxes, 8.0).filter("a < b and common > 0.5 * least(area_a, area_b)").select("a", "b")
+    return suppress(boxes.select("id", F.struct((-F.col("size")).alias("s"), "id").alias("rank")), clash)
 
 
 @query()

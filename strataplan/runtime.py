@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -76,6 +77,30 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_REMEMBERED: dict = {}
+
+
+def remembered(key, make):
+    """In a Python worker: what ``make`` gives, kept for later tasks of the same operator. Another operator's things go
+    first, since workers are reused and their memory would add up."""
+    if key not in _REMEMBERED:
+        forget()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
+def forget() -> None:
+    """In a Python worker: drop what earlier operators keep there, and give the memory back."""
+    if not _REMEMBERED:
+        return
+    _REMEMBERED.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library frees as it sees fit
+        pass
+
+
 def spread(n_rows: int, per_bucket: int = 50_000) -> int:
     """How many salt buckets hold ``n_rows`` at about ``per_bucket`` rows each."""
     return max(1, -(-n_rows // per_bucket))

@@ -65,6 +65,32 @@ class Tolerances:
     grow: float = 0.03
     dot_max: float = 0.1
     wall_default: float = 0.25
+    fuse: float = 0.01
+    stretch_thickness: tuple[float, float] = (0.1, 0.6)
+    stretch_min_len: float = 0.3
+    bent_fill_min_area: float = 0.5
+    thin_default: float = 0.4
+    hatch_local: float = 0.8
+    hatch_min_len: float = 0.3
+    run_dup: float = 0.02
+    on_border: float = 0.015
+    on_region: float = 0.1
+    stroke_max: float = 1.0
+    stroke_reach: float = 0.01
+    hatch_spread: float = 0.5
+    footprint_close: float = 3.0
+    joint_min_len: float = 15.0
+    joint_gap: tuple[float, float] = (0.03, 0.16)
+    joint_cut: float = 0.1
+    joint_margin: float = 1.0
+    region_min_area: float = 20.0
+    region_dominant: float = 0.7
+    region_penalty: float = 1.5
+    pen_share: float = 0.1
+    trace_zone: float = 2.0
+    trace_snap: float = 0.05
+    trace_min_line: float = 0.1
+    trace_wall_reach: float = 0.1
     ray_min: float = 1.5
     ray_start: float = 0.4
     ray_reach: float = 2.0
@@ -92,3 +118,12 @@ CLASS_COLOURS = {
     "column": (0.0, 0.65, 0.0), "shear_wall": (0.85, 0.0, 0.0), "retaining_wall": (0.6, 0.0, 0.3), "core_wall": (0.9, 0.4, 0.6), "isolated_footing": (1.0, 0.45, 0.0),
     "combined_footing": (0.55, 0.25, 0.0), "strip_footing": (0.9, 0.7, 0.0), "grade_beam": (0.1, 0.3, 0.9), "raft": (0.5, 0.0, 0.8), "sump_pit": (0.3, 0.3, 0.3),
 }
+UNNAMED_COLOUR = (0.45, 0.45, 0.45)
+KIND_WORDS = {
+    "solid": ("filled shape", "filled shapes"), "outline": ("closed outline", "closed outlines"), "band": ("pair of parallel lines", "pairs of parallel lines"),
+    "cross_hatch": ("cross-hatched area", "cross-hatched areas"), "single_hatch": ("hatched area", "hatched areas"), "stamped_region": ("stamped region", "stamped regions"),
+}
+GROUP_FACTS = [
+    ("on_stamped_region", "on a stamped region"), ("inside_outline", "inside a closed outline"), ("touches_solid", "touching filled shapes"), ("dots_inside", "with a pattern inside"),
+    ("solids_inside", "with filled shapes inside"), ("nested_boxes", "drawn as nested boxes"), ("on_perimeter", "on the building edge"),
+]

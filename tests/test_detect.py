@@ -50,7 +50,26 @@ def test_sinks(found):
     assert {r["class"]: r.n for r in sinks.class_counts(found.objects).collect()}["column"] == 24
     svg = sinks.to_svg(sinks.draw_commands(found.objects)).collect()
     assert any(r.layer == "column" and r.svg.count("<polygon") == 24 for r in svg)
-    sinks.unidentified_groups(found.objects).collect()
+    assert all(r.place > 0 and r.members for r in sinks.unidentified_groups(found.objects, found.calibration).collect())
+
+
+def test_documents(found):
+    one = {r.plan_id: json.loads(r.json) for r in sinks.documents(found.objects, found.calibration).collect()}
+    assert list(one) == ["p"] and one["p"]["calibration"]["scale"] == "1/200" and one["p"]["source"] == "p"
+    assert one["p"]["counts"]["column"] == 24 and list(one["p"]["counts"])[0] == "column" and one["p"]["image"]["dpi"] == 150
+    ids = [d["id"] for d in one["p"]["detections"]]
+    assert ids == sorted(ids) and len(ids) == sum(one["p"]["counts"].values())
+    assert {"group", "drawing_kind", "count", "description", "members"} <= set(one["p"]["unidentified_groups"][0]) if one["p"]["unidentified_groups"] else True
+    log = {(r.plan_id, r.what): r.n for r in found.log.collect()}
+    assert log["p", "objects: solid"] == 29 and log["p", "paths"] > 100
+
+
+def test_render_says_what_it_needs(found):
+    import importlib.util
+
+    if importlib.util.find_spec("pymupdf") is None:
+        with pytest.raises(RuntimeError, match="PyMuPDF"):
+            sinks.render(sinks.draw_commands(found.objects), found.calibration, found.calibration)
 
 
 def test_stream(spark, tmp_path):
