@@ -17,11 +17,10 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from strataplan.runtime import ship
+from strataplan.runtime import remembered, ship
 
 CACHE_WORDS = 400_000  # remembered words in a worker; all are dropped when full
 LONG = 64  # longer fragments merge through a heap
@@ -339,15 +338,11 @@ def in_groups(forms: Remembered, texts):
     yield from flush()
 
 
-@lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return remembered(("codec", path), lambda: Codec(path))
 
 
-@lru_cache(maxsize=4)
-def _digest_forms(path: str) -> Remembered:
-    c = codec(path)
-
+def _digest_forms(c: Codec) -> Remembered:
     def made(ids, at):
         ids = ids.tolist()
         for i, j in zip(at, at[1:]):
@@ -412,7 +407,8 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         import pyarrow as pa
 
-        c, forms = codec(path), _digest_forms(path)
+        forms = remembered(("digests", path), lambda: _digest_forms(Codec(path)))
+        c = forms.codec
         for b in batches:
             rows = [one(c, pieces) for pieces in in_groups(forms, b.column(1))]
             n, i, d = zip(*rows) if rows else ((), (), ())

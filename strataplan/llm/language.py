@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataplan.llm.bpe import public_path
-from strataplan.runtime import ship
+from strataplan.runtime import remembered, ship
 
 SAMPLE_ROWS = 150
 SAMPLE_CHARS = 20_000
@@ -219,7 +219,6 @@ class Scorer:
         return self.languages[int(logs.argmax())], float(odds.max() / odds.sum())
 
 
-_SCORERS: dict[str, Scorer] = {}
 GROUP_CHARS = 3_000_000  # texts whose new words are scored together hold about so many characters
 
 
@@ -234,12 +233,9 @@ def model_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str, vocabul
     return pieces, languages, table
 
 
-def judged(model_key: str, model, texts):
-    """(lang_pred, score) of each text, a group at a time."""
-    scorer = _SCORERS.get(model_key)
-    if scorer is None:
-        _SCORERS.clear()
-        scorer = _SCORERS[model_key] = Scorer(*model)
+def judged(model_key: str, sent, texts):
+    """(lang_pred, score) of each text, a group at a time; sent: the broadcast model."""
+    scorer = remembered(("language", model_key), lambda: Scorer(*sent.value))
     runs, size = [], 0
     for t in texts:
         text = t.as_py() or ""
@@ -265,7 +261,7 @@ def predictions(docs: DataFrame, vocabulary_path: str | None = None) -> DataFram
         import pyarrow as pa
 
         for b in batches:
-            out = list(judged(key, sent.value, b.column(2)))
+            out = list(judged(key, sent, b.column(2)))
             names, scores = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -285,7 +281,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         import pyarrow as pa
 
         for b in batches:
-            keep = [name != "und" and score >= least for name, score in judged(key, sent.value, b.column(at))]
+            keep = [name != "und" and score >= least for name, score in judged(key, sent, b.column(at))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataplan.operators.graph import components, merged_components
-from strataplan.runtime import ROWS_PER_TASK, SHORT_ROWS, save, ship, text_key, without
+from strataplan.runtime import ROWS_PER_TASK, SHORT_ROWS, forget, save, ship, text_key, without
 
 WORDS = 5
 THRESHOLD = (85, 100)
@@ -132,6 +132,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_l
 
         from strataplan.llm.shingles import shingle_set
 
+        forget()
         for b in batches:
             n, node, bands = [], [], []
             for t in b.column(2):
@@ -256,6 +257,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
 
         from strataplan.llm.shingles import shingle_set
 
+        forget()
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             texts = [t.as_py() or b"" for t in b.column(0)]

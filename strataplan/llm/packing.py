@@ -13,13 +13,12 @@ trade places; rows with a null doc_id are packed; an empty table gives an empty
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataplan.llm.bpe import Remembered, codec, in_groups, public_path
-from strataplan.runtime import numbered, save, ship
+from strataplan.llm.bpe import Codec, Remembered, in_groups, public_path
+from strataplan.runtime import numbered, remembered, save, ship
 
 CAPACITY = 1024
 MIN_CUT = 64
@@ -28,14 +27,13 @@ CLOSING_ID = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-@lru_cache(maxsize=4)
 def _word_bytes(path: str) -> Remembered:
     def made(ids, at):
         raw = ids.astype("<u4").tobytes()
         for i, j in zip(at, at[1:]):
             yield raw[4 * i : 4 * j]
 
-    return Remembered(codec(path), made)
+    return Remembered(Codec(path), made)
 
 
 def cut(n: int, capacity: int = CAPACITY, min_cut: int = MIN_CUT) -> list[int]:
@@ -64,7 +62,7 @@ def tokenised_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches):
         import pyarrow as pa
 
-        forms = _word_bytes(path)
+        forms = remembered(("packing", path), lambda: _word_bytes(path))
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
             for d, pieces in zip(b.column(0), in_groups(forms, b.column(1))):

@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataplan.runtime import save, ship, unused, whole
+from strataplan.runtime import forget, save, ship, unused, whole
 
 # The rules, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex")
@@ -56,6 +56,7 @@ def _compressed(docs: DataFrame, text_col: str) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
+        forget()
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze((t.as_py() or "").encode()) for t in b.column(1)], pa.binary())], ["blob", "_packed"])
