@@ -26,29 +26,32 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 50, at_most: int | None = None) -> DataFrame:
     """node, root (the smallest node of its component), for every node of an edge (u, v) list.
 
-    Each round is written to the shared folder, so a lost executor costs one round at most. Rounds grow with the
-    logarithm of the number of nodes; ``rounds`` only stops a run that would never end, by raising. ``at_most``: edges
-    at most, where the caller knows.
+    Each round is written to the shared folder, so a lost executor costs one round at most. It is over when every node
+    but the roots hangs on exactly one that hangs on none, which edges that are stars already need no round for. Rounds
+    grow with the logarithm of the number of nodes; ``rounds`` only stops a run that would never end, by raising.
+    ``at_most``: edges at most, where the caller knows.
     """
-    edges = save(edges.filter("u != v").distinct(), "edges", at_most, SHORT_ROWS)
-    mark = _mark(edges)
+    down = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = save(down.distinct(), "edges", at_most, SHORT_ROWS)
+    n, moving = _state(edges)
     for _ in range(rounds):
-        if not mark[0]:
+        if not moving:
             break
-        edges = save(_small_star(_large_star(edges)).distinct(), "edges", mark[0], SHORT_ROWS if mark[0] > SHORT_ROWS else 0)
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
+        edges = save(_small_star(_large_star(edges)).distinct(), "edges", n, SHORT_ROWS if n > SHORT_ROWS else 0)
+        n, moving = _state(edges)
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if moving:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number of edges, and a sum that changes with any of them."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """Number of edges (u, v; v < u), and of nodes that hang on several or on a node that hangs itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    at = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    n, moving = at.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+    return n, moving
 
 
 def merged_components(roots: DataFrame, links: DataFrame, at_most: int | None = None) -> DataFrame:

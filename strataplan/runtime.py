@@ -14,12 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_PER_BATCH = 1_000
 ROWS_PER_TASK = 5_000  # of whole texts
 SHORT_ROWS = 100_000  # the same, of ids and hashes
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in executors' Python workers, once per application."""
+    """Make this package importable in executors' Python workers, once per application; and hand whole texts to them in
+    batches of ROWS_PER_BATCH, which both sides hold in memory at once."""
+    if int(spark.conf.get(_BATCH)) > ROWS_PER_BATCH:
+        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
