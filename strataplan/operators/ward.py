@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from strataplan.runtime import ship
 
 
-def merges(x):
+def squares(x):
+    """Squared distances of all pairs, a coordinate at a time: n x n, whatever the dimension."""
+    import numpy as np
+
+    d = np.zeros((len(x), len(x)))
+    for column in x.T:
+        d += (column[:, None] - column[None]) ** 2
+    return d
+
+
+def merges(x, d=None):
     """The n - 1 merges (i, j) of Ward's method, by Lance-Williams updates of squared distances; j joins i."""
     import numpy as np
 
     n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    d = squares(x) if d is None else d.copy()
     np.fill_diagonal(d, np.inf)
     size = np.ones(n)
     out = []
@@ -41,28 +51,31 @@ def cut(pairs, n: int, k: int):
     return np.unique(root, return_inverse=True)[1]
 
 
-def silhouette(x, labels) -> float:
-    """Mean over points of (other - own) / max(other, own), Euclidean; 0 for a cluster of one."""
+def silhouette(d, labels) -> float:
+    """Mean over points of (other - own) / max(other, own), of Euclidean distances; 0 for a cluster of one."""
     import numpy as np
 
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     k = labels.max() + 1
     member = np.eye(k)[labels]
     n = member.sum(0)
     sums = d @ member
-    own = sums[np.arange(len(x)), labels] / np.maximum(n[labels] - 1, 1)
+    own = sums[np.arange(len(d)), labels] / np.maximum(n[labels] - 1, 1)
     mean = sums / n
-    mean[np.arange(len(x)), labels] = np.inf
+    mean[np.arange(len(d)), labels] = np.inf
     other = mean.min(1)
     return float(np.where(n[labels] > 1, (other - own) / np.maximum(np.maximum(other, own), 1e-300), 0).mean())
 
 
 def best_cut(x, low: int, high: int):
     """(clusters, labels, silhouette): the first best number of clusters in [low, min(high, n - 1)]."""
-    pairs, best = merges(x), None
+    import numpy as np
+
+    d = squares(x)
+    pairs, best = merges(x, d), None
+    np.sqrt(d, out=d)
     for k in range(low, min(high, len(x) - 1) + 1):
         labels = cut(pairs, len(x), k)
-        s = silhouette(x, labels)
+        s = silhouette(d, labels)
         if best is None or s > best[2]:
             best = (k, labels, s)
     return best

@@ -3,7 +3,9 @@
 K = 14.17  # points per metre
 
 
-def plan(plan_id="p"):
+def plan(plan_id="p", more=False):
+    """``more``: a raft named by a stamp beside the building, a hatched wall between border lines, a bent wall, a wall in
+    two touching pieces, and an expansion joint."""
     paths, texts = [], []
 
     def rect_items(x0, y0, x1, y1):
@@ -41,4 +43,24 @@ def plan(plan_id="p"):
         y = 40 + n
         line(0, y, value - 3.0 / K, y, 0.1)
         text(f"{value:.2f}".replace(".", ","), value / 2, y - 0.1, 0.8, 0.3)
+    if more:
+        corners = [(50, 5), (58, 5), (58, 13), (50, 13)]
+        for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+            line(ax, ay, bx, by, 0.4)
+        circle = [{"kind": "c", "pts": [{"x": (54 + 0.4 * x) * K, "y": (9 + 0.4 * y) * K} for x, y in q]} for q in ([(1, 0), (1, 0.55), (0.55, 1), (0, 1)], [(0, 1), (-1, 0.55), (-1, 0), (0, -1)])]
+        add("s", circle, 0.2)
+        for x, y in corners:
+            line(54 + (x - 54) * 0.1, 9 + (y - 9) * 0.1, x, y, 0.2)
+        text("Radier 60 CM", 54, 9.05)
+        for y in (34.0, 34.3):  # a hatched wall
+            line(8, y, 14, y, 0.6)
+        for i in range(118):
+            x = 8.05 + 0.05 * i
+            line(x, 34.02, x + 0.05, 34.28, 0.15)
+        bent = [(20, 34), (26, 34), (26, 34.25), (20.25, 34.25), (20.25, 38), (20, 38)]
+        add("f", [{"kind": "l", "pts": [{"x": a * K, "y": b * K}, {"x": c * K, "y": d * K}]} for (a, b), (c, d) in zip(bent, bent[1:] + bent[:1])])
+        add("f", rect_items(30, 34, 32, 34.25))
+        add("f", rect_items(32, 34, 34, 34.25))
+        for x in (19.0, 19.08):
+            line(x, -1.5, x, 26, 0.9)
     return paths, texts

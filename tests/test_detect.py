@@ -64,6 +64,33 @@ def test_documents(found):
     assert log["p", "objects: solid"] == 29 and log["p", "paths"] > 100
 
 
+@pytest.fixture(scope="module")
+def more(spark):
+    paths, texts = plan("m", more=True)
+    return detect(spark.createDataFrame(paths, dumps.PATHS), dumps.clean_texts(spark.createDataFrame(texts, dumps.TEXTS)), dumps.read_config())
+
+
+def test_stamped_raft_is_traced_and_named(more):
+    raft = [r for r in more.objects.collect() if r.kind == "stamped_region"]
+    assert len(raft) == 1 and raft[0].traced and abs(raft[0].area - 64) < 0.1
+    assert raft[0]["class"] == "raft" and raft[0].key == "Radier 60" and raft[0].label == "Radier 60 CM"
+
+
+def test_hatched_bent_and_painted_walls(more):
+    rows = more.objects.collect()
+    hatch = [r for r in rows if r.kind in ("single_hatch", "cross_hatch")]
+    assert len(hatch) == 1 and abs(hatch[0].length - 6) < 0.5 and abs(hatch[0].thickness - 0.26) < 0.05
+    new = sorted((round(r.length, 2), round(r.width, 2)) for r in rows if r.kind == "solid" and r.y0 > 33)
+    assert new == [(3.75, 0.25), (4.0, 0.25), (5.75, 0.25)]
+    assert sum(r.kind == "solid" for r in rows) == 29 + 3
+
+
+def test_joint_cuts_the_building(more):
+    log = {r.what: r.n for r in more.log.collect()}
+    assert log["joints"] == 1 and log["regions"] >= 2 and log["traced regions"] == 1
+    assert {r.class_ for r in more.objects.selectExpr("class as class_").collect()} >= {"column", "isolated_footing", "grade_beam", "raft"}
+
+
 def test_render_says_what_it_needs(found):
     import importlib.util
 
