@@ -119,6 +119,18 @@ def findings(docs: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSIO
     return paths.join(hits, "blob", "left").select("doc_id", F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def history(versions: DataFrame, ledger: DataFrame | None = None, path_col: str = "path", version_col: str = "version", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every historical version of every path: (path, blob, first_version, last_version, spans of exposures; the ledger).
+
+    A content that a path takes up again, or that several paths share, is one blob and scanned once.
+    """
+    ledger = updated(versions, ledger, text_col)
+    rows = versions.select(F.col(path_col).alias("path"), F.col(version_col).alias("version"), blob_address(text_col).alias("blob"))
+    held = rows.groupBy("path", "blob").agg(F.min("version").alias("first_version"), F.max("version").alias("last_version"))
+    hits = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select("blob", "spans")
+    return held.join(hits, "blob").select("path", "blob", "first_version", "last_version", "spans"), ledger
+
+
 def report(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Scan what is new; (per-path findings with counts and digest, ledger with the new rows added)."""
     ledger = updated(docs, ledger)

@@ -174,6 +174,20 @@ def test_stored_ledger_is_read_and_appended(spark, odd, small, tmp_path, monkeyp
         spark.conf.unset(secrets.STORE)
 
 
+def test_history_of_versions(spark):
+    """A secret that comes, goes and comes back in one path and stands in another: one blob, scanned once."""
+    leak, clean = "password = hunter2hunter2", "nothing here"
+    rows = [("a", 1, clean), ("a", 2, leak), ("a", 3, clean), ("a", 5, leak), ("b", 4, leak), ("c", 1, None)]
+    versions = spark.createDataFrame(rows, "path string, version int, text string")
+    found, ledger = secrets.history(versions)
+    assert sorted((r.path, r.first_version, r.last_version) for r in found.collect()) == [("a", 2, 5), ("b", 4, 4)]
+    assert ledger.count() == 3
+    later = versions.unionByName(spark.createDataFrame([("d", 9, leak), ("d", 10, "token: abcdefgh")], versions.schema))
+    assert secrets.unseen(later, ledger, secrets.RULE_VERSION).count() == 1
+    found, more = secrets.history(later, ledger)
+    assert more.count() == 4 and {r.path for r in found.collect()} == {"a", "b", "d"}
+
+
 def test_redaction(odd, none):
     got = {r.doc_id: r for r in secrets.redacted(odd.withColumn("n_chars", odd.doc_id)).collect()}
     assert got[16].text == "[SECRET] [SECRET] [SECRET] secret: x" and got[16].n_chars == len(got[16].text) and got[5].text is None
