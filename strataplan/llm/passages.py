@@ -6,7 +6,9 @@ on the input.
 1. Sampling. The SPAN-byte windows of a text fall into stretches whose windows hold the same smallest K-byte hash. Equal
    windows lie in stretches with equal smallest hash, so stretches meet in buckets by that hash. Stretches with equal
    content are settled there (all but those of the smallest doc_id go); within a map task that is done before the
-   shuffle. A hash with one content needs nothing more.
+   shuffle. A hash with one content needs nothing more. A hash that very many texts share (a licence line, say) would
+   bring all its surroundings to one task; such hashes are found on a sample, which decides nothing else, and their
+   windows are dealt singly, each by its own bytes.
 2. Index. Where one hash has several contents that also agree in the REACH bytes left or right of the hashed ones (any
    common window holds one of the two), the bytes of the first occurrences are fetched and meet in cells. A cell
    sorts their suffixes, keeps the run-compressed Burrows-Wheeler transform (runs also end where the SPAN-byte context
@@ -16,8 +18,9 @@ on the input.
    A hash with more than HOT contents is dealt by single windows instead, so no cell grows with it.
 3. Marks are joined to the texts, which are cut.
 
-Identity of stretches rests on 96 bits of two independent hashes; cells compare bytes. One task of step 1 holds, for a
-passage that stands in n different surroundings, n records of about 20 bytes.
+Identity of stretches and single windows rests on 96 bits of two independent hashes; cells compare bytes. One task of
+step 1 holds, for a passage in n different surroundings, n records of about 20 bytes, where it stands in fewer than
+HOT_SHARE of the texts; else one record for each of its windows and FLUSH_BYTES of text.
 
 Defined results: null text counts as empty; a row with a null doc_id keeps all its bytes and removes none elsewhere;
 rows that share a doc_id do not remove from each other; texts under SPAN bytes stay; an empty table gives an empty
@@ -41,6 +44,10 @@ PART_BYTES = 4 << 20  # text per part that is cut at once
 FLUSH_BYTES = 8 << 20  # text whose stretches leave a map task together
 CELL_BYTES = 1 << 20  # bytes per cell that is indexed
 HOT = 20_000  # contents of one hash beyond which windows are dealt singly
+HOT_SAMPLE = 4_000  # texts, of each at most HOT_BYTES, that are looked at for hashes which HOT_SHARE of them have
+HOT_BYTES = 1 << 16
+HOT_SHARE = 0.01
+HOT_LEAST = 40  # texts of the sample
 
 _POSITION_BITS, _HASH_BITS = 16, 48
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -233,8 +240,39 @@ def _by(values, *arrays):
         yield int(values[lo]), [a[order[lo:hi]] for a in arrays]
 
 
-def sampled(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
-    """bucket, kind, data: records of stretches by bucket, and marks that a map task could settle alone."""
+def hot_hashes(docs: DataFrame, n_rows: int) -> list[int]:
+    """Smallest hashes that HOT_SHARE of the texts have, found on a sample: they steer records, and no result hangs on them."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            found = [np.unique(stretches(np.frombuffer(t.as_py(), np.uint8))[2]) for t in b.column(0) if t.as_buffer().size >= SPAN]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, np.uint64)).cast(pa.int64())], ["m"])
+
+    step = max(1, n_rows // HOT_SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "_key", F.lit("hot")), F.lit(step)) == 0).select(F.substring(F.col("text").cast("binary"), 1, HOT_BYTES).alias("t"))
+    least = max(HOT_LEAST, int(HOT_SHARE * n_rows / step))
+    counts = some.mapInArrow(run, "m long").groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return sorted(r[0] for r in counts.select("m").collect())  # at most the sample's stretches / HOT_LEAST
+
+
+def single_windows(data, starts, ends):
+    """m, content hash, start of every window of the stretches, as stretches of their own."""
+    import numpy as np
+
+    from strataplan.llm.shingles import RangeHash, mix
+
+    n = ends - starts - SPAN + 1
+    at = np.repeat(starts, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    h = RangeHash(data).of(at, at + SPAN)
+    return mix(h + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - _HASH_BITS), mix(h + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - _HASH_BITS), at
+
+
+def sampled(docs: DataFrame, buckets: int, parts: int, hot: list[int] = ()) -> DataFrame:
+    """bucket, kind, data: records of stretches by bucket, and marks that a map task could settle alone. Windows of stretches
+    whose smallest hash is ``hot`` are records of their own."""
 
     def flush(held):
         import numpy as np
@@ -257,12 +295,18 @@ def sampled(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
     def run(batches):
         import numpy as np
 
-        held, size = [], 0
+        held, size, crowded = [], 0, np.array(hot, np.uint64)
         for b in batches:
             for doc, key, text in zip(b.column(0), b.column(1), b.column(2)):
                 data = np.frombuffer(text.as_buffer(), np.uint8) if text.as_buffer().size else np.empty(0, np.uint8)
                 starts, ends, m, s, left, right = stretches(data)
                 if len(starts):
+                    apart = np.isin(m, crowded) if len(crowded) else np.zeros(len(m), bool)
+                    if apart.any():
+                        wm, ws, at = single_windows(data, starts[apart], ends[apart])
+                        cold, none = ~apart, np.zeros(len(at), np.uint8)
+                        starts, ends = np.concatenate([starts[cold], at]), np.concatenate([ends[cold], at + SPAN])
+                        m, s, left, right = (np.concatenate([x[cold], y]) for x, y in ((m, wm), (s, ws), (left, none), (right, none)))
                     held.append((m, s, left, right, np.full(len(starts), doc.as_py()), np.full(len(starts), key.as_py()), starts, ends - starts))
                     size += len(data)
                 if size >= FLUSH_BYTES:
@@ -558,10 +602,11 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     rows = rows.withColumn("_key", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0x7FFFFFFF)))  # tells rows of one doc_id apart
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     buckets, parts = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // PART_BYTES))
 
-    settled = save(resolve(sampled(rows, buckets, parts), parts), "passage-records")
+    hot = hot_hashes(rows.filter("doc_id is not null"), n_rows)
+    settled = save(resolve(sampled(rows, buckets, parts, hot), parts), "passage-records")
     release(spark)
     wanted = settled.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cells = max(1, -(-wanted * (SPAN + K) // CELL_BYTES))

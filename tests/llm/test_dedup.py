@@ -346,6 +346,9 @@ def test_passages_hot(spark, none, monkeypatch):
     rows = [(i, f"{i * 7919 % 1009} some text before {core} and {i * 31 % 17} after it {'pad ' * (i % 5)}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(map(tuple, passages.dedup_passages(docs).collect())) == passages_by_force(rows)
+    monkeypatch.setattr(passages, "HOT_LEAST", 5)
+    assert passages.hot_hashes(docs.withColumn("_key", docs["doc_id"]), 60)
+    assert Counter(map(tuple, passages.dedup_passages(docs).collect())) == passages_by_force(rows)
     assert passages.dedup_passages(none).count() == 0 and lines.dedup_lines(none).count() == 0
 
 
