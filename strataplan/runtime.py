@@ -106,12 +106,12 @@ def forget() -> None:
         pass
 
 
-def spread(n_rows: int, per_bucket: int = 50_000) -> int:
+def spread(n_rows: int, per_bucket: int = 20_000) -> int:
     """How many salt buckets hold ``n_rows`` at about ``per_bucket`` rows each."""
     return max(1, -(-n_rows // per_bucket))
 
 
-def numbered(df: DataFrame, key: str, order: list[str], salt_on: list[str], n_rows: int, out: str, per_bucket: int = 50_000) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[str], salt_on: list[str], n_rows: int, out: str, per_bucket: int = 20_000) -> DataFrame:
     """Add ``out``: 0, 1, 2 ... without gaps within each value of ``key``, although a key may hold most rows.
 
     Rows of a key are dealt over salt buckets, each bucket is numbered by itself, and a bucket starts where the
