@@ -32,7 +32,7 @@ def components(edges: DataFrame, rounds: int = 50, at_most: int | None = None) -
     ``at_most``: edges at most, where the caller knows.
     """
     down = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = save(down.distinct(), "edges", at_most, SHORT_ROWS)
+    edges = save(down.distinct(), "edges", at_most)
     n, moving = _state(edges)
     for _ in range(rounds):
         if not moving:

@@ -111,13 +111,15 @@ def spread(n_rows: int, per_bucket: int = 20_000) -> int:
     return max(1, -(-n_rows // per_bucket))
 
 
-def numbered(df: DataFrame, key: str, order: list[str], salt_on: list[str], n_rows: int, out: str, per_bucket: int = 20_000) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[str], salt_on: list[str], n_rows: int, out: str, per_bucket: int = 20_000, of_key: Column | None = None) -> DataFrame:
     """Add ``out``: 0, 1, 2 ... without gaps within each value of ``key``, although a key may hold most rows.
 
     Rows of a key are dealt over salt buckets, each bucket is numbered by itself, and a bucket starts where the
-    buckets before it end. Counts per (key, salt) are the only thing that meets per key.
+    buckets before it end. Counts per (key, salt) are the only thing that meets per key. ``of_key``: rows of the key, where
+    they are known; small keys then have one bucket instead of as many as the largest might need.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(spread(n_rows, per_bucket))))
+    buckets = F.lit(spread(n_rows, per_bucket)) if of_key is None else F.greatest(F.lit(1), F.ceil(of_key / per_bucket)).cast("int")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), buckets))
     counts = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
