@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataplan.operators.graph import components, merged_components
-from strataplan.runtime import ROWS_PER_TASK, SHORT_ROWS, forget, save, ship, text_key, without
+from strataplan.runtime import SHORT_ROWS, forget, save, ship, text_key, without
 
 WORDS = 5
 THRESHOLD = (85, 100)
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     banded = filled.select("node", F.posexplode("bands").alias("band", "key")).distinct()
     buckets = banded.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.count(F.lit(1)).alias("_meets")).filter("_lo != _hi").drop("_lo", "_hi")
-    met = save(banded.join(buckets, "key").select("key", "band", "node", "_meets"), "buckets", n, SHORT_ROWS)
+    met = save(banded.join(buckets, "key").select("key", "band", "node", "_meets"), "buckets", n)
     meets = met.groupBy("node").agg(F.sum("_meets").alias("_all"))
     hubs = met.join(meets, "node").groupBy("key").agg(F.max(F.struct("_all", "node"))["node"].alias("hub"))
     stars = met.join(hubs, "key").filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = classes.join(meets, "node", "left_semi")
     sets = save(sets_of(docs, candidates, id_col, text_col), "candidate-texts", n)
     bands = filled.join(meets, "node", "left_semi").select("node", "bands").dropDuplicates(["node"])
-    described = save(bands.join(sets.select("node", "signature"), "node"), "described", n, 4 * ROWS_PER_TASK)
+    described = save(bands.join(sets.select("node", "signature"), "node"), "described", n)
     roots = save(components(confirm(prune(stars, sets, at_least), sets, at_least), at_most=n), "roots", n, SHORT_ROWS)
     for likeliest in (True, False):
         members = met.select("key", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -84,10 +84,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     n_rows = rows.count()
     groups = save(rows.groupBy("_group").agg(F.sum("size").alias("_size")), "shard-groups", n_rows)
     runs = [(r[0], r[1]) for r in groups.groupBy("_size").agg(F.count(F.lit(1))).collect()]
-    placed = spark.createDataFrame(schedule(runs, shards), "_size long, _ends array<long>")
+    placed = spark.createDataFrame([(size, ends, ends[-1]) for size, ends in schedule(runs, shards)], "_size long, _ends array<long>, _groups long")
     placed = F.broadcast(placed) if len(runs) <= BROADCAST_RUNS else placed
-    ranked = numbered(groups, "_size", ["_group"], ["_group"], n_rows, "_rank")
-    homes = ranked.join(placed, "_size").select("_group", F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))).alias("shard"))
+    ranked = numbered(groups.join(placed, "_size"), "_size", ["_group"], ["_group"], n_rows, "_rank", of_key=F.col("_groups"))
+    homes = ranked.select("_group", F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))).alias("shard"))
     keyed = rows.join(homes, "_group")
     out = numbered(keyed, "shard", ["doc_id", "_row"], ["_row"], n_rows, "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
