@@ -123,7 +123,7 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     """Ray casting: an odd number of sides to the right."""
     crossing = F.filter(
         sides(ring),
-        lambda s: ((s["a"]["y"] > y) != (s["b"]["y"] > y)) & (x < (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / (s["b"]["y"] - s["a"]["y"]) + s["a"]["x"]),
+        lambda s: ((s["a"]["y"] > y) != (s["b"]["y"] > y)) & (x < (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / F.nullif(s["b"]["y"] - s["a"]["y"], F.lit(0.0)) + s["a"]["x"]),
     )
     return F.pmod(F.size(crossing), F.lit(2)) == 1
 
@@ -142,7 +142,8 @@ def sizes_agree(kind: Column, band: Column, numbers: Column, tolerance: float) -
 def circle_of(items: Column, x0: Column, y0: Column, x1: Column, y1: Column, low: float = 0.85, high: float = 1.15) -> Column:
     """struct<cx, cy, r> of a path that is all curves in a nearly square box, else null."""
     w, h = x1 - x0, y1 - y0
-    round_ = (F.size(items) > 0) & F.forall(items, lambda i: i["kind"] == "c") & (w > 0) & (h / w > low) & (h / w < high)
+    shape = h / F.nullif(w, F.lit(0.0))
+    round_ = (F.size(items) > 0) & F.forall(items, lambda i: i["kind"] == "c") & (w > 0) & (shape > low) & (shape < high)
     return F.when(round_, F.struct(((x0 + x1) / 2).alias("cx"), ((y0 + y1) / 2).alias("cy"), (F.greatest(w, h) / 2).alias("r")))
 
 

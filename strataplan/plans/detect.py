@@ -309,10 +309,10 @@ def hatches(s: DataFrame, t: Tolerances) -> DataFrame:
     roots = components(close.select(node.alias("u"), F.concat("plan_id", F.lit("\x00"), "t_seg_id").alias("v")))
     m = h.withColumn("node", node).join(roots, "node")
     big = with_box(S.hatch_blobs(m, ["plan_id", "root"], t.hatch_min_strokes, t.hatch_gap, t.hatch_local))
-    length = F.col("area") / F.col("thickness")
+    length = F.col("area") / F.nullif("thickness", F.lit(0.0))
     big = big.filter(length >= t.hatch_min_len)
     kind = F.when(F.col("crossed"), "cross_hatch").otherwise("single_hatch")
-    box = F.struct(F.col("o.length").alias("length"), F.col("o.width").alias("width"), F.col("o.angle_deg").alias("angle_deg"), (F.col("area") / (F.col("o.length") * F.col("o.width"))).alias("rectness"), F.col("o.obb").alias("obb"))
+    box = F.struct(F.col("o.length").alias("length"), F.col("o.width").alias("width"), F.col("o.angle_deg").alias("angle_deg"), F.coalesce(F.col("area") / F.nullif(F.col("o.length") * F.col("o.width"), F.lit(0.0)), F.lit(0.0)).alias("rectness"), F.col("o.obb").alias("obb"))
     return big.select("plan_id", F.xxhash64("plan_id", "root").alias("id"), kind.alias("kind"), F.col("o.obb").alias("ring"), box.alias("o"), "area", F.lit(0.0).alias("pen"), "strokes", "stroke_len", "thickness", length.alias("hatch_length"))
 
 

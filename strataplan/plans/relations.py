@@ -266,7 +266,7 @@ def net_lengths(runs: DataFrame, shapes: DataFrame, cell: float = 4.0) -> DataFr
         ex, ey = side["b"]["x"] - side["a"]["x"], side["b"]["y"] - side["a"]["y"]
         f0 = turn * (ex * (F.col("ay") - side["a"]["y"]) - ey * (F.col("ax") - side["a"]["x"]))
         slope = turn * (ex * dy - ey * dx)
-        t = -f0 / slope
+        t = -f0 / F.nullif(slope, F.lit(0.0))
         lo = F.when(F.abs(slope) < 1e-12, F.when(f0 < 0, 2.0).otherwise(0.0)).when(slope > 0, t).otherwise(0.0)
         hi = F.when((F.abs(slope) >= 1e-12) & (slope < 0), t).otherwise(1.0)
         return F.struct(lo.alias("lo"), hi.alias("hi"))
@@ -319,5 +319,6 @@ def grown_run(by: float) -> Column:
 def grown_box(by: float) -> Column:
     """The rectangle of an oriented box ``o``, grown on all sides."""
     c = F.col("o.obb")
-    out = lambda i: F.struct(*((c[i][x] + by * ((c[i][x] - c[(i + 1) % 4][x]) / F.hypot(c[i]["x"] - c[(i + 1) % 4]["x"], c[i]["y"] - c[(i + 1) % 4]["y"]) + (c[i][x] - c[(i + 3) % 4][x]) / F.hypot(c[i]["x"] - c[(i + 3) % 4]["x"], c[i]["y"] - c[(i + 3) % 4]["y"]))).alias(x) for x in "xy"))
+    way = lambda i, k, x: (c[i][x] - c[k][x]) / F.nullif(F.hypot(c[i]["x"] - c[k]["x"], c[i]["y"] - c[k]["y"]), F.lit(0.0))
+    out = lambda i: F.struct(*((c[i][x] + by * F.coalesce(way(i, (i + 1) % 4, x) + way(i, (i + 3) % 4, x), F.lit(0.0))).alias(x) for x in "xy"))
     return F.array(*(out(i) for i in range(4)))

@@ -61,7 +61,7 @@ def test_documents(found):
     assert ids == sorted(ids) and len(ids) == sum(one["p"]["counts"].values())
     assert {"group", "drawing_kind", "count", "description", "members"} <= set(one["p"]["unidentified_groups"][0]) if one["p"]["unidentified_groups"] else True
     log = {(r.plan_id, r.what): r.n for r in found.log.collect()}
-    assert log["p", "objects: solid"] == 29 and log["p", "paths"] > 100
+    assert log["p", "objects: solid"] == 29 and log["p", "paths"] == 75
 
 
 @pytest.fixture(scope="module")
