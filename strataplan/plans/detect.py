@@ -271,7 +271,8 @@ def band_runs(pieces: DataFrame, t: Tolerances) -> DataFrame:
     runs = runs.withColumn("ring", ring).withColumn("id", F.xxhash64(*keys, "island")).withColumn("area", (F.col("hi") - F.col("lo")) * F.col("band")).withColumn("span", F.col("hi") - F.col("lo"))
     runs = save(runs, "runs")
     # Inside another, grown by run_dup: less than its whole area may stick out by the tolerance along its sides.
-    within = overlaps(runs, runs.select("plan_id", "id", R.grown_run(t.run_dup).alias("ring"))).filter((F.col("a") != F.col("b")) & (F.col("common") >= F.col("area_a") * (1 - 1e-9)))
+    wider = save(runs.select("plan_id", "id", R.grown_run(t.run_dup).alias("ring")), "wider-runs")
+    within = overlaps(runs, wider).filter((F.col("a") != F.col("b")) & (F.col("common") >= F.col("area_a") * (1 - 1e-9)))
     ranked = runs.select("id", F.struct((-F.col("span")).alias("s"), "id").alias("rank"))
     size = runs.select("id", "span")
     longer = within.join(size.select(F.col("id").alias("a"), F.col("span").alias("sa")), "a").join(size.select(F.col("id").alias("b"), F.col("span").alias("sb")), "b")
@@ -353,7 +354,8 @@ def borders_of_walls(closed: DataFrame, walls: DataFrame, t: Tolerances) -> tupl
     covered = R.covered_shares(closed, walls, t.grow).filter("share > 0.8").select(*KEY)
     left = save(closed.join(covered, KEY, "left_anti"), "open-outlines")
     hatch = walls.filter("kind <> 'solid'")
-    share = overlaps(hatch.select("plan_id", "id", "ring"), left.select("plan_id", "id", R.grown_box(t.grow).alias("ring"))).select("plan_id", F.col("a").alias("wall"), F.col("b").alias("outline"), (F.col("common") / F.col("area_a")).alias("share"), F.col("area_a").alias("wall_area"))
+    grown = save(left.select("plan_id", "id", R.grown_box(t.grow).alias("ring")), "grown-outlines")
+    share = overlaps(hatch.select("plan_id", "id", "ring"), grown).select("plan_id", F.col("a").alias("wall"), F.col("b").alias("outline"), (F.col("common") / F.col("area_a")).alias("share"), F.col("area_a").alias("wall_area"))
     share = share.join(left.select("plan_id", F.col("id").alias("outline"), F.col("o.angle_deg").alias("outline_deg")), ["plan_id", "outline"]).join(hatch.select("plan_id", F.col("id").alias("wall"), F.col("o.angle_deg").alias("wall_deg")), ["plan_id", "wall"])
     taken = R.wall_in_outline(share, t.parallel_deg)
     shape = left.select("plan_id", F.col("id").alias("outline"), F.col("ring").alias("_ring"), F.col("o").alias("_o"), F.col("area").alias("_area"))
