@@ -154,7 +154,7 @@ def test_stored_ledger_is_read_and_appended(spark, odd, small, tmp_path, monkeyp
 
     scanned, scan = [], secrets.scan
     monkeypatch.setattr(secrets, "scan", lambda *a, **b: scanned.append(scan(*a, **b)) or scanned[-1])
-    monkeypatch.setattr(secrets, "save", lambda df, name, put=secrets.save: scanned.append(put(df, name)) or scanned[-1])
+    monkeypatch.setattr(secrets, "save", lambda df, name, *more, put=secrets.save: scanned.append(put(df, name, *more)) or scanned[-1])
     docs = spark.read.parquet(f"{small}/documents.parquet")
     want = Counter(map(tuple, secrets.op6_secrets(spark, small).collect()))
     masked = Counter((r.doc_id, r.text) for r in corpus_pipeline.secrets(spark, docs, small).collect())
