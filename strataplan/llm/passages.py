@@ -8,7 +8,8 @@ on the input.
    content are settled there (all but those of the smallest doc_id go); within a map task that is done before the
    shuffle. A hash with one content needs nothing more. A hash that very many texts share (a licence line, say) would
    bring all its surroundings to one task; such hashes are found on a sample, which decides nothing else, and their
-   windows are dealt singly, each by its own bytes.
+   windows are dealt singly, each by its own bytes. Buckets travel in groups, and what a group says of a part of the
+   texts leaves as one piece: the more text, the more buckets a group has (``group_size``).
 2. Index. Where one hash has several contents that also agree in the REACH bytes left or right of the hashed ones (any
    common window holds one of the two), the bytes of the first occurrences are fetched and meet in cells. A cell
    sorts their suffixes, keeps the run-compressed Burrows-Wheeler transform (runs also end where the SPAN-byte context
@@ -29,6 +30,7 @@ table; columns other than the two named are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import DataFrame
@@ -40,8 +42,11 @@ SPAN = 50
 K = 16
 REACH = (SPAN - K) // 2  # of the bytes around the hashed ones, a window has so many on one side at least
 BUCKET_BYTES = 8 << 20  # text per bucket of sampled stretches
-PART_BYTES = 4 << 20  # text per part that is cut at once
+PART_BYTES = 4 << 20  # text per part that is cut at once, and so many times more as a group has buckets
+GROUP_BYTES = 256 << 20  # of text times the square of the buckets in a group, so that pieces do not grow with the square of the text
+GROUP_MOST = 8
 FLUSH_BYTES = 8 << 20  # text whose stretches leave a map task together
+FLUSH_MARKS = 1 << 20  # marks that do
 CELL_BYTES = 1 << 20  # bytes per cell that is indexed
 HOT = 20_000  # contents of one hash beyond which windows are dealt singly
 HOT_SAMPLE = 4_000  # texts, of each at most HOT_BYTES, that are looked at for hashes which HOT_SHARE of them have
@@ -66,8 +71,9 @@ def stretches(data):
 
 
 def stretches_of(data):
-    """start, end, smallest hash, content hash, and a byte each for the bytes left and right of the hashed ones (0
-    where the stretch does not reach that far), for each stretch of windows with one smallest K-byte hash."""
+    """start, end, smallest hash, content hash, and two bytes each for the bytes left and right of the hashed ones (0
+    where the stretch does not reach that far), for each stretch of windows with one smallest K-byte hash. A frequent hash
+    has the more contents the more text there is, so one byte would tell ever fewer of them apart."""
     import numpy as np
 
     from strataplan.llm.shingles import RangeHash, mix
@@ -75,7 +81,7 @@ def stretches_of(data):
     n = len(data)
     if n < SPAN:
         none = np.empty(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint8), none.astype(np.uint8)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint16), none.astype(np.uint16)
     ranges = RangeHash(data)
     at = np.arange(n - K + 1)
     mask = np.uint64((1 << _POSITION_BITS) - 1)
@@ -92,8 +98,8 @@ def stretches_of(data):
     sides = []
     for lo, hi in ((place - REACH, place), (place + K, place + K + REACH)):
         there = (lo >= starts) & (hi <= ends)
-        code = ranges.of(np.where(there, lo, 0), np.where(there, hi, 0)) % np.uint64(255) + np.uint64(1)
-        sides.append(np.where(there, code, 0).astype(np.uint8))
+        code = ranges.of(np.where(there, lo, 0), np.where(there, hi, 0)) % np.uint64(65535) + np.uint64(1)
+        sides.append(np.where(there, code, 0).astype(np.uint16))
     content = mix(ranges.of(starts, ends) + np.uint64(0x5851F42D4C957F2D))
     return starts, ends, low[starts] >> np.uint64(64 - _HASH_BITS), content >> np.uint64(64 - _HASH_BITS), *sides
 
@@ -123,10 +129,16 @@ _MARK = ("<i8", "<i8", "<i4", "<i4")  # doc_id, row key, start, end
 _WANT = ("<i8", "<i8", "<i4", "<i4", "<u8", "<i1")  # the same, smallest hash, hot
 
 
-def _squeeze(*arrays) -> bytes:
+@functools.cache
+def _zstd():
+    """What compresses and what decompresses, made once in a worker."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _squeeze(*arrays) -> bytes:
+    return _zstd()[0].compress(b"".join(a.tobytes() for a in arrays))
 
 
 def _by_document(doc, key, start):
@@ -182,7 +194,7 @@ def _records(m, s, left, right, doc, key, start, size) -> bytes:
     d, k, counts, order = _by_document(doc, key, start)
     steps = _squeeze(np.diff(d, prepend=0).astype("<i8"), counts.astype("<i4"), np.diff(start[order], prepend=0).astype("<i4"), size[order].astype("<u1"))
     head = np.array([len(d), len(order), len(steps)], "<i8").tobytes()
-    return head + k.astype("<i4").tobytes() + _bytes_of(m[order], 6).tobytes() + _bytes_of(s[order], 6).tobytes() + left[order].tobytes() + right[order].tobytes() + steps
+    return head + k.astype("<i4").tobytes() + _bytes_of(m[order], 6).tobytes() + _bytes_of(s[order], 6).tobytes() + left[order].astype("<u2").tobytes() + right[order].astype("<u2").tobytes() + steps
 
 
 def _read_records(blob):
@@ -195,8 +207,8 @@ def _read_records(blob):
     at += 4 * docs
     m, s = _back(blob[at : at + 6 * n], 6), _back(blob[at + 6 * n : at + 12 * n], 6)
     at += 12 * n
-    left, right = np.frombuffer(blob, np.uint8, n, at), np.frombuffer(blob, np.uint8, n, at + n)
-    raw = _unzip(blob[at + 2 * n :])
+    left, right = np.frombuffer(blob, "<u2", n, at), np.frombuffer(blob, "<u2", n, at + 2 * n)
+    raw = _unzip(blob[at + 4 * n :])
     d = np.cumsum(np.frombuffer(raw, "<i8", docs))
     counts = np.frombuffer(raw, "<i4", docs, 8 * docs)
     start = np.cumsum(np.frombuffer(raw, "<i4", n, 12 * docs), dtype=np.int32)
@@ -240,6 +252,16 @@ def _by(values, *arrays):
         yield int(values[lo]), [a[order[lo:hi]] for a in arrays]
 
 
+def _marks_by_part(marks, parts: int):
+    """(part, its intervals) of lists of intervals."""
+    import numpy as np
+
+    if marks:
+        cols = [np.concatenate(x) for x in zip(*marks)]
+        for part, cols in _by(cols[1] % parts, *cols):
+            yield part, _marks(*cols)
+
+
 def hot_hashes(docs: DataFrame, n_rows: int) -> list[int]:
     """Smallest hashes that HOT_SHARE of the texts have, found on a sample: they steer records, and no result hangs on them."""
 
@@ -270,32 +292,35 @@ def single_windows(data, starts, ends):
     return mix(h + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - _HASH_BITS), mix(h + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - _HASH_BITS), at
 
 
-def sampled(docs: DataFrame, buckets: int, parts: int, hot: list[int] = ()) -> DataFrame:
-    """bucket, kind, data: records of stretches by bucket, and marks that a map task could settle alone. Windows of stretches
-    whose smallest hash is ``hot`` are records of their own."""
+def sampled(docs: DataFrame, groups: int, parts: int, hot: list[int] = ()) -> DataFrame:
+    """group, part, data: records of stretches by group of buckets, and marks that a map task could settle alone. Windows of
+    stretches whose smallest hash is ``hot`` are records of their own."""
 
-    def flush(held):
+    def flush(held, marks):
         import numpy as np
 
         m, s, left, right, doc, key, start, size = (np.concatenate(x) for x in zip(*held))
         order, _, first = _settled(m, s, doc)
         gone, kept = order[~first], order[first]
-        for part, cols in _by(key[gone] % parts, doc[gone], key[gone], start[gone].astype("<i4"), (start[gone] + size[gone]).astype("<i4")):
-            yield part % buckets, part, _marks(*cols)
+        marks.append((doc[gone], key[gone], start[gone].astype("<i4"), (start[gone] + size[gone]).astype("<i4")))
         m, s, left, right, doc, key, start, size = (x[kept] for x in (m, s, left, right, doc, key, start, size))
-        for bucket, cols in _by((m % np.uint64(buckets)).astype(np.int64), m, s, left, right, doc, key, start, size):
-            yield bucket, -1, _records(*cols)
+        for group, cols in _by((m % np.uint64(groups)).astype(np.int64), m, s, left, right, doc, key, start, size):
+            yield group, -1, _records(*cols)
+
+    def settled(marks):
+        for part, blob in _marks_by_part(marks, parts):
+            yield part % groups, part, blob
 
     def table(rows):
         import pyarrow as pa
 
         b, p, d = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.int32()), pa.array(d, pa.binary())], ["bucket", "part", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.int32()), pa.array(d, pa.binary())], ["group", "part", "data"])
 
     def run(batches):
         import numpy as np
 
-        held, size, crowded = [], 0, np.array(hot, np.uint64)
+        held, marks, size, crowded = [], [], 0, np.array(hot, np.uint64)
         for b in batches:
             for doc, key, text in zip(b.column(0), b.column(1), b.column(2)):
                 data = np.frombuffer(text.as_buffer(), np.uint8) if text.as_buffer().size else np.empty(0, np.uint8)
@@ -304,59 +329,80 @@ def sampled(docs: DataFrame, buckets: int, parts: int, hot: list[int] = ()) -> D
                     apart = np.isin(m, crowded) if len(crowded) else np.zeros(len(m), bool)
                     if apart.any():
                         wm, ws, at = single_windows(data, starts[apart], ends[apart])
-                        cold, none = ~apart, np.zeros(len(at), np.uint8)
+                        cold, none = ~apart, np.zeros(len(at), np.uint16)
                         starts, ends = np.concatenate([starts[cold], at]), np.concatenate([ends[cold], at + SPAN])
                         m, s, left, right = (np.concatenate([x[cold], y]) for x, y in ((m, wm), (s, ws), (left, none), (right, none)))
                     held.append((m, s, left, right, np.full(len(starts), doc.as_py()), np.full(len(starts), key.as_py()), starts, ends - starts))
                     size += len(data)
                 if size >= FLUSH_BYTES:
-                    yield table(list(flush(held)))
+                    yield table(list(flush(held, marks)))
                     held, size = [], 0
+                    if sum(len(x[0]) for x in marks) >= FLUSH_MARKS:
+                        yield table(list(settled(marks)))
+                        marks = []
         if held:
-            yield table(list(flush(held)))
+            yield table(list(flush(held, marks)))
+        if any(len(x[0]) for x in marks):
+            yield table(list(settled(marks)))
 
     known = docs.filter("doc_id is not null")
-    return known.select("doc_id", "_key", F.col("text").cast("binary")).mapInArrow(run, "bucket int, part int, data binary")
+    return known.select("doc_id", "_key", F.col("text").cast("binary")).mapInArrow(run, "group int, part int, data binary")
 
 
-def resolve(records: DataFrame, parts: int) -> DataFrame:
-    """part, kind (0 marks, 1 contents wanted), n, data."""
+def resolve(records: DataFrame, groups: int, each: int, parts: int) -> DataFrame:
+    """part, kind (0 marks, 1 contents wanted), n, data. A group's ``each`` buckets are told apart and settled one by one, and
+    what they say of a part leaves together."""
 
-    def bucket(table):
+    def group(table):
         import numpy as np
         import pyarrow as pa
 
-        out, blobs = [], []
+        out, blobs, marks, wants = [], [], [], []
         for part, data in zip(table["part"].to_pylist(), table["data"]):
             if part >= 0:
                 raw = data.as_py()
                 out.append((part, 0, int.from_bytes(raw[8:16], "little"), raw))
             else:
-                blobs.append(data.as_buffer().to_pybytes())
-        if blobs:
-            m, s, left, right, doc, key, start, size = (np.concatenate(x) for x in zip(*map(_read_records, blobs)))
-            del blobs
-            order, new, first = _settled(m, s, doc)
-            m, left, right, doc, key, start = (x[order] for x in (m, left, right, doc, key, start))
-            end = start + size[order]
-            for part, cols in _by(key[~first] % parts, doc[~first], key[~first], start[~first], end[~first]):
-                out.append((part, 0, len(cols[0]), _marks(*cols)))
-            # Contents of each hash, and whether they begin in more than one document.
-            edges = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-            contents = np.add.reduceat(new.astype(np.int64), edges)
-            lows = np.where(first, doc, np.iinfo(np.int64).min)
-            differ = np.maximum.reduceat(lows, edges) > np.minimum.reduceat(doc, edges)
-            rows = np.diff(np.append(edges, len(m)))
-            content = np.cumsum(new)
-            alike = _told_apart(m, left, content) | _told_apart(m, right, content)
-            want = np.repeat((contents > 1) & differ, rows) & first & alike
-            hot = np.repeat(contents > HOT, rows)
-            for part, cols in _by(key[want] % parts, doc[want], key[want], start[want], end[want].astype("<i4"), m[want].astype("<u8"), hot[want].astype("<i1")):
+                blobs.append(memoryview(data.as_buffer()))
+        of = [[] for _ in range(each)]
+        while blobs:
+            read = _read_records(blobs.pop())
+            for bucket, cols in _by((read[0] // np.uint64(groups) % np.uint64(each)).astype(np.int64), *read):
+                of[bucket].append(cols)
+        for k in range(each):
+            if of[k]:
+                settle([np.concatenate(x) for x in zip(*of[k])], marks, wants)
+                of[k] = []
+        for part, blob in _marks_by_part(marks, parts):
+            out.append((part, 0, int.from_bytes(blob[8:16], "little"), blob))
+        if wants:
+            cols = [np.concatenate(x) for x in zip(*wants)]
+            for part, cols in _by(cols[1] % parts, *cols):
                 out.append((part, 1, len(cols[0]), _pack(*cols)))
         part, kind, n, data = zip(*out) if out else ((), (), (), ())
         return pa.table([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["part", "kind", "n", "data"])
 
-    return records.groupBy("bucket").applyInArrow(bucket, "part int, kind int, n long, data binary")
+    def settle(records, marks, wants):
+        import numpy as np
+
+        m, s, left, right, doc, key, start, size = records
+        order, new, first = _settled(m, s, doc)
+        m, left, right, doc, key, start = (x[order] for x in (m, left, right, doc, key, start))
+        end = start + size[order]
+        marks.append((doc[~first], key[~first], start[~first], end[~first]))
+        # Contents of each hash, and whether they begin in more than one document.
+        edges = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
+        contents = np.add.reduceat(new.astype(np.int64), edges)
+        lows = np.where(first, doc, np.iinfo(np.int64).min)
+        differ = np.maximum.reduceat(lows, edges) > np.minimum.reduceat(doc, edges)
+        rows = np.diff(np.append(edges, len(m)))
+        content = np.cumsum(new)
+        want = np.flatnonzero(np.repeat((contents > 1) & differ, rows) & first)
+        want = want[_told_apart(m[want], left[want], content[want]) | _told_apart(m[want], right[want], content[want])] if len(want) else want
+        hot = np.repeat(contents > HOT, rows)
+        wants.append((doc[want], key[want], start[want], end[want].astype("<i4"), m[want].astype("<u8"), hot[want].astype("<i1")))
+
+    return records.groupBy("group").applyInArrow(group, "part int, kind int, n long, data binary")
 
 
 def packed_texts(docs: DataFrame, parts: int) -> DataFrame:
@@ -364,9 +410,8 @@ def packed_texts(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = _zstd()[0].compress
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([squeeze(t.as_py()) for t in b.column(3)], pa.binary())], ["part", "doc_id", "_key", "packed"])
 
@@ -375,10 +420,7 @@ def packed_texts(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _texts(table):
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
-    return {(d, k): unpack(p.as_py()) for d, k, p in zip(table["doc_id"].to_pylist(), table["_key"].to_pylist(), table["packed"])}
+    return {(d, k): _unzip(p.as_py()) for d, k, p in zip(table["doc_id"].to_pylist(), table["_key"].to_pylist(), table["packed"])}
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, cells: int, parts: int) -> DataFrame:
@@ -435,11 +477,10 @@ class RunIndex:
         plain[ends] = False
         symbols[plain] = body.astype(np.int64) + 1
         left = np.repeat(ends, sizes + 1) - np.arange(len(symbols))  # bytes from here to the text's end mark
-        order, rank = self._sort(symbols, left, int(sizes.max(initial=0)) + 1)
+        # Contexts: rows of the sorted suffixes whose first `span` bytes agree.
+        order, rank, context = self._sort(symbols, left, int(sizes.max(initial=0)) + 1, span)
         owner = np.repeat(np.arange(count), sizes + 1)
 
-        # Contexts: rows of the sorted suffixes whose first `span` bytes agree.
-        context = self._contexts(symbols, order, left, span)
         before = symbols[order - 1]  # of the first text's first place, the last text's end mark
         head = np.concatenate(([True], (before[1:] != before[:-1]) | (context[1:] != context[:-1]) | (before[1:] == 0)))
         self.starts = np.flatnonzero(head)
@@ -449,7 +490,8 @@ class RunIndex:
         by_symbol = np.argsort(self.heads, kind="stable")
         base = np.empty(len(self.starts), np.int64)
         base[by_symbol] = np.cumsum(lengths[by_symbol]) - lengths[by_symbol]
-        self.base = base
+        self.shift = base - self.starts
+        self.run_of = np.repeat(np.arange(len(self.starts), dtype=np.int32), lengths)  # rank over the marks of run heads
         # Samples at run ends: the context, and the smallest document that has it.
         low = np.minimum.reduceat(doc[owner[order]], self.starts)
         self.context = context[self.starts]
@@ -459,54 +501,42 @@ class RunIndex:
         self.sizes, self.span = sizes, span
 
     @staticmethod
-    def _sort(symbols, left, longest: int):
-        """Suffix order by doubling from seven symbols; an end mark is unlike any other, in text order."""
+    def _sort(symbols, left, longest: int, span: int):
+        """Suffix order by doubling from seven symbols, its inverse, and the number of each row's context; an end mark is
+        unlike any other, in text order, so a suffix shorter than the span is a context by itself.
+
+        A group of suffixes that still agree is numbered by its first row, and only such groups are sorted again.
+        """
         import numpy as np
 
-        n, width = len(symbols), 7
+        n, width = len(symbols), min(7, span)
         key = np.zeros(n, np.int64)
         for i in range(width):
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - i] = symbols[i:]
-            key = (key << 9) | np.where(left >= i, ahead, 0)
+            key <<= 9
+            key[: n - i] |= symbols[i:]
+        near = np.flatnonzero(left < width - 1)  # what follows an end mark does not count
+        key[near] &= -(np.int64(1) << 9 * (width - 1 - left[near]))
         order = np.argsort(key, kind="stable")
         key = key[order]
         # A window that reaches its end mark is unique.
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (left[order[1:]] < width)))
+        rows = np.arange(n)
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        while width < longest and rank.max(initial=0) < n - 1:
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - width] = rank[width:]
-            key = (rank << 32) | np.where(left >= width, ahead, 0)
-            order = np.argsort(key)
-            key = key[order]
-            new = np.concatenate(([True], key[1:] != key[:-1]))
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
-            width *= 2
-        return order, rank
-
-    @staticmethod
-    def _contexts(symbols, order, left, span: int):
-        """Number of each row's context; a suffix shorter than the span is a context by itself."""
-        import numpy as np
-
-        full = left[order] >= span
-        same = np.zeros(len(order), bool)
-        pair = np.flatnonzero(full[1:] & full[:-1])
-        for at in range(0, len(pair), 1 << 16):
-            p = pair[at : at + (1 << 16)]
-            a, b = order[p], order[p + 1]
-            alike = np.ones(len(p), bool)
-            for i in range(0, span, 10):
-                on = np.flatnonzero(alike)
-                if not len(on):
-                    break
-                cols = np.arange(i, min(span, i + 10))
-                alike[on] = (symbols[a[on, None] + cols] == symbols[b[on, None] + cols]).all(1)
-            same[p + 1] = alike
-        return np.cumsum(~same) - 1
+        rank[order] = np.maximum.accumulate(np.where(new, rows, 0))
+        context = np.cumsum(new) - 1 if width == span else None
+        while width < longest and (context is None or not new.all()):
+            step = min(width, span - width) if width < span else width
+            tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+            at = order[tied]
+            key = (rank[at] << 32) | rank[at + step]
+            some = np.argsort(key)
+            order[tied], key = at[some], key[some]
+            new[tied] = np.concatenate(([True], key[1:] != key[:-1])) if len(tied) else True
+            rank[order[tied]] = np.maximum.accumulate(np.where(new[tied], tied, 0))
+            width += step
+            if width == span:
+                context = np.cumsum(new) - 1
+        return order, rank, np.cumsum(new) - 1 if context is None else context
 
     def covered(self, doc):
         """For each text, which of its places start a span that a smaller document has: (text, place)."""
@@ -516,22 +546,31 @@ class RunIndex:
         place = self.sizes.copy()
         out = []
         while len(text):
-            run = np.searchsorted(self.starts, row, "right") - 1
+            run = self.run_of[row]
             on = (self.sizes[text] - place) >= self.span
             hit = on & (self.low[run] < doc[text])
             out.append((text[hit], place[hit]))
             go = place > 0
             row, text, place, run = row[go], text[go], place[go] - 1, run[go]
-            row = self.base[run] + row - self.starts[run]  # LF: the suffix one byte longer
+            row = row + self.shift[run]  # LF: the suffix one byte longer
         return np.concatenate([x[0] for x in out]) if out else np.empty(0, np.int64), np.concatenate([x[1] for x in out]) if out else np.empty(0, np.int64)
 
 
-def indexed(contents: DataFrame, parts: int) -> DataFrame:
-    """Marks from the run-length index of every cell: part, data."""
+def indexed(contents: DataFrame, each: int, parts: int) -> DataFrame:
+    """Marks from the run-length index of every cell: part, data. ``each`` cells meet in a task, are indexed one by one, and
+    what they say of a part leaves together."""
+
+    def cells(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        marks = [cell(table.filter(pc.equal(table["cell"], c))) for c in table["cell"].unique()]
+        out = list(_marks_by_part(marks, parts))
+        part, data = zip(*out) if out else ((), ())
+        return pa.table([pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
 
     def cell(table):
         import numpy as np
-        import pyarrow as pa
 
         doc, key, start, end = _unpack((x.as_py() for x in table["data"]), _MARK)
         body = np.frombuffer(b"".join(x.as_py() for x in table["body"]), np.uint8)
@@ -546,13 +585,11 @@ def indexed(contents: DataFrame, parts: int) -> DataFrame:
         text, place = text[order], place[order]
         new = np.concatenate(([True], (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1))) if len(text) else np.empty(0, bool)
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(text)) - 1
+        last = np.append(first[1:], len(text))[: len(first)] - 1  # none, where no text of the cell is covered
         text, lo, hi = text[first], place[first], place[last] + SPAN
-        out = [(part, _marks(*cols)) for part, cols in _by(key[text] % parts, doc[text], key[text], start[text] + lo, start[text] + hi)]
-        part, data = zip(*out) if out else ((), ())
-        return pa.table([pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+        return doc[text], key[text], start[text] + lo, start[text] + hi
 
-    return contents.groupBy("cell").applyInArrow(cell, "part int, data binary")
+    return contents.groupBy(F.floor(F.col("cell") / each).alias("cells")).applyInArrow(cells, "part int, data binary")
 
 
 def cut_texts(docs: DataFrame, marks: DataFrame, parts: int, with_text: bool = False) -> DataFrame:
@@ -591,9 +628,13 @@ def cut_texts(docs: DataFrame, marks: DataFrame, parts: int, with_text: bool = F
 
 
 def _unzip(packed: bytes) -> bytes:
-    import zstandard
+    return _zstd()[1].decompress(packed)
+
 
-    return zstandard.ZstdDecompressor().decompress(packed)
+def group_size(total: int) -> int:
+    """Buckets of a group. Map tasks deal a piece to each group, groups one to each part, so that with groups and parts of one
+    size the number of pieces would grow with the square of the text."""
+    return max(1, min(GROUP_MOST, round((total / GROUP_BYTES) ** 0.5)))
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -603,14 +644,15 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     rows = rows.withColumn("_key", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0x7FFFFFFF)))  # tells rows of one doc_id apart
     total, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    buckets, parts = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // PART_BYTES))
+    each = group_size(total)
+    groups, parts = max(1, -(-total // (BUCKET_BYTES * each))), max(1, -(-total // (PART_BYTES * each)))
 
     hot = hot_hashes(rows.filter("doc_id is not null"), n_rows)
-    settled = save(resolve(sampled(rows, buckets, parts, hot), parts), "passage-records")
+    settled = save(resolve(sampled(rows, groups, parts, hot), groups, each, parts), "passage-records")
     release(spark)
     wanted = settled.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cells = max(1, -(-wanted * (SPAN + K) // CELL_BYTES))
-    more = save(indexed(fetched(rows, settled, cells, parts), parts), "passage-marks")
+    more = save(indexed(fetched(rows, settled, cells, parts), each, parts), "passage-marks")
     release(spark)
     marks = settled.filter("kind = 0").select("part", "data").unionByName(more)
     return cut_texts(rows, marks, parts, with_text)

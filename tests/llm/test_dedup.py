@@ -1,9 +1,11 @@
 """Exact, near, line and passage deduplication against brute force; sharding by its laws."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from strataplan.llm import exact_dedup, lines, near_dedup, passages, sharding
@@ -352,6 +354,43 @@ def test_passages_hot(spark, none, monkeypatch):
     assert passages.dedup_passages(none).count() == 0 and lines.dedup_lines(none).count() == 0
 
 
+def test_passages_in_groups(spark, monkeypatch):
+    """Buckets and cells that meet in a task are settled one by one, and pieces do not grow with the square of the text."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    shared = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(12)]
+    rows = [(d, " ".join(rng.choice(shared) if rng.random() < 0.3 else rng.choice(words) for _ in range(rng.randint(0, 60)))) for d in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, size in (("BUCKET_BYTES", 4096), ("PART_BYTES", 4096), ("GROUP_BYTES", 8192), ("FLUSH_BYTES", 4096), ("FLUSH_MARKS", 20), ("CELL_BYTES", 2048)):
+        monkeypatch.setattr(passages, name, size)
+    assert passages.group_size(sum(len(t) for _, t in rows)) > 2
+    assert Counter(map(tuple, passages.dedup_passages(docs).collect())) == passages_by_force(rows)
+    monkeypatch.undo()
+
+    def pieces(total):  # of map tasks' flushes for groups, and of groups for parts
+        each = passages.group_size(total)
+        groups = total / (passages.BUCKET_BYTES * each)
+        return groups * (total / passages.FLUSH_BYTES + total / (passages.PART_BYTES * each))
+
+    assert pieces(10 << 30) < 3 * (10 / 0.9) * pieces(int(0.9 * (1 << 30)))
+
+
+def test_sides_tell_many_contents_apart():
+    """Of 2000 contents of one hash whose sides all differ hardly one looks like another."""
+    from strataplan.llm.shingles import RangeHash
+
+    rng, found = np.random.default_rng(2), []
+    middle = min((b"%016d" % k for k in range(500)), key=lambda b: RangeHash(np.frombuffer(b, np.uint8)).of(np.array([0]), np.array([16]))[0])
+    for _ in range(2000):
+        text = bytes(rng.integers(97, 123, 34, dtype=np.uint8)) + middle + bytes(rng.integers(97, 123, 34, dtype=np.uint8))
+        _, _, m, s, left, right = passages.stretches(np.frombuffer(text, np.uint8))
+        found += list(zip(m, s, left, right))
+    most = Counter(x[0] for x in found).most_common(1)[0][0]
+    m, s, left, right = (np.array(x) for x in zip(*(x for x in found if x[0] == most)))
+    alike = passages._told_apart(m, left, s) | passages._told_apart(m, right, s)
+    assert len(m) > 200 and alike.sum() < len(m) / 10
+
+
 def test_run_index_small():
     import numpy as np
 
